@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from strataforge.llm.sharding import op5_sharding
+from strataforge.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
 }
 SQL = {
+    "op1_warc": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
