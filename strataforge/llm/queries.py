@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from strataforge.llm.bpe import op2_bpe
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from strataforge.llm.packing import op3_packing
 from strataforge.llm.sharding import op5_sharding
 from strataforge.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_bpe": op2_bpe,
+    "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
 }
