@@ -13,10 +13,8 @@ table gives an empty result; columns other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +57,12 @@ def slots(digests: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _digest_array(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 32)
+def _column(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    return np.asarray(table[name].to_numpy(), kind)
+
+
+def _digest_array(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table[f"{P}digest"].to_pylist()), np.uint8).reshape(-1, 32)
 
 
 def _shard(shards: int) -> Column:
@@ -70,35 +72,38 @@ def _shard(shards: int) -> Column:
 def history_index(groups: DataFrame, shards: int) -> DataFrame:
     """The sharded perfect hash of ``groups``, one row (digest, winner) per distinct digest."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        digests = _digest_array(pdf[f"{P}digest"])
+    def build(table: pa.Table) -> pa.Table:
+        digests = _digest_array(table)
         levels = build_levels(digests)
         order = np.empty(len(digests), np.int64)
         order[slots(digests, levels)] = np.arange(len(digests))
-        winners = pdf[f"{P}winner"].to_numpy(np.int64)[order]
-        size = np.array([len(x) for x in levels], np.int64).tobytes()
-        return pd.DataFrame({f"{P}shard": [pdf[f"{P}shard"].iloc[0]], "levels": [[size, *(np.packbits(x).tobytes() for x in levels)]], "digests": [digests[order].tobytes()], "winners": [winners.tobytes()]})
+        sizes = np.array([len(x) for x in levels], np.int64).tobytes()
+        return pa.table({
+            f"{P}shard": pa.array([table[f"{P}shard"][0].as_py()], pa.int32()),
+            "levels": pa.array([[sizes, *(np.packbits(x).tobytes() for x in levels)]], pa.list_(pa.binary())),
+            "digests": pa.array([digests[order].tobytes()], pa.binary()),
+            "winners": pa.array([_column(table, f"{P}winner")[order].tobytes()], pa.binary()),
+        })
 
-    return groups.withColumn(f"{P}shard", _shard(shards)).groupBy(f"{P}shard").applyInPandas(build, _HISTORY)
+    return groups.withColumn(f"{P}shard", _shard(shards)).groupBy(f"{P}shard").applyInArrow(build, _HISTORY)
 
 
 def lookup(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """``incoming`` distinct digests with ``winner``: the locator in the slot whose bytes are equal."""
+    """``incoming`` distinct digests with ``member``: the locator in the slot whose bytes are equal."""
 
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left[[f"{P}digest", f"{P}winner", f"{P}size"]].copy()
-        out[f"{P}member"] = pd.array([None] * len(out), dtype="Int64")
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        locators, member = np.zeros(len(left), np.int64), np.zeros(len(left), bool)
         if len(left) and len(right):
-            sizes, *packed = right["levels"].iloc[0]
-            levels = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)).astype(bool) for x, n in zip(packed, np.frombuffer(sizes, np.int64))]
-            wanted, held = _digest_array(left[f"{P}digest"]), np.frombuffer(right["digests"].iloc[0], np.uint8).reshape(-1, 32)
+            sizes, *packed = right["levels"][0].as_py()
+            levels = [np.unpackbits(np.frombuffer(x, np.uint8), count=int(n)).astype(bool) for x, n in zip(packed, np.frombuffer(sizes, np.int64), strict=True)]
+            wanted, held = _digest_array(left), np.frombuffer(right["digests"][0].as_py(), np.uint8).reshape(-1, 32)
             at = slots(wanted, levels)
             member = (at >= 0) & (held[np.maximum(at, 0)] == wanted).all(axis=1)
-            out.loc[member, f"{P}member"] = np.frombuffer(right["winners"].iloc[0], np.int64)[at[member]]
-        return out
+            locators[member] = np.frombuffer(right["winners"][0].as_py(), np.int64)[at[member]]
+        return left.select([f"{P}digest", f"{P}winner", f"{P}size"]).append_column(f"{P}member", pa.array(locators, mask=~member))
 
     left = incoming.withColumn(f"{P}shard", _shard(shards)).groupBy(f"{P}shard")
-    return left.cogroup(index.groupBy(f"{P}shard")).applyInPandas(find, f"{P}digest binary, {P}winner long, {P}size long, {P}member long")
+    return left.cogroup(index.groupBy(f"{P}shard")).applyInArrow(find, f"{P}digest binary, {P}winner long, {P}size long, {P}member long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, historical: Column | None = None, scan: bool = False) -> DataFrame:
