@@ -6,6 +6,7 @@ from strataforge.llm.bpe import op2_bpe
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from strataforge.llm.packing import op3_packing
 from strataforge.llm.sharding import op5_sharding
+from strataforge.llm.substrings import OP10_SQL, op10_substring
 from strataforge.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -14,8 +15,10 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_substring": op10_substring,
 }
 SQL = {
     "op1_warc": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op10_substring": OP10_SQL,
 }
