@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strataforge.llm.bpe import op2_bpe
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from strataforge.llm.jaccard import OP6_SQL, op6_jaccard
 from strataforge.llm.packing import op3_packing
 from strataforge.llm.sharding import op5_sharding
 from strataforge.llm.substrings import OP10_SQL, op10_substring
@@ -14,11 +15,13 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op5_sharding": op5_sharding,
+    "op6_jaccard": op6_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_substring": op10_substring,
 }
 SQL = {
     "op1_warc": OP1_SQL,
+    "op6_jaccard": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_substring": OP10_SQL,
 }
