@@ -6,6 +6,7 @@ from strataforge.llm.bpe import op2_bpe
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from strataforge.llm.jaccard import OP6_SQL, op6_jaccard
 from strataforge.llm.packing import op3_packing
+from strataforge.llm.quality import op4_quality
 from strataforge.llm.sharding import op5_sharding
 from strataforge.llm.substrings import OP10_SQL, op10_substring
 from strataforge.llm.warc import OP1_SQL, op1_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_jaccard": op6_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
