@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strataforge.llm.bpe import op2_bpe
+from strataforge.llm.embeddings import op9_embeddings
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from strataforge.llm.jaccard import OP6_SQL, op6_jaccard
 from strataforge.llm.packing import op3_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_jaccard": op6_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_embeddings": op9_embeddings,
     "op10_substring": op10_substring,
 }
 SQL = {
