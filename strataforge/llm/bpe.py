@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 import tiktoken
 
 from strataforge.llm.pieces import PieceIndex, cells, unvarint, varint
-from strataforge.llm.store import RID, P, identified, partitions
+from strataforge.llm.store import RID, P, identified, is_scan, partitions
 from strataforge.llm.textcore import packed_rows, pretokens, ragged, slices, span_hashes
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -136,8 +136,9 @@ def _reassemble(kind: str):  # noqa: ANN202
     return reassemble
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", *, scan: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", *, scan: bool | None = None) -> DataFrame:
     """Row identity, doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
+    scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
     kind = "<u2" if max(token_ranks(ranks_path).values()) < 1 << 16 else "<u4"
     buckets = 4 * partitions(docs.sparkSession)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.graph import components
-from strataforge.llm.store import RID, P, identified, materialize
+from strataforge.llm.store import RID, P, identified, is_scan, materialize
 from strataforge.llm.textcore import mix
 
 #: Neighbours of a node at level 0 (half above), beam while building, first beam while searching.
@@ -249,8 +249,9 @@ def _build_graphs(table: pa.Table) -> pa.Table:
     return table.select(["length", "shard"]).slice(0, 1).append_column("nodes", pa.array([nodes.tobytes()], pa.binary())).append_column("vectors", pa.array([vectors.tobytes()], pa.binary())).append_column("graph", pa.array([SmallWorld(vectors, nodes).dump()], pa.binary()))
 
 
-def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", *, scan: bool = False) -> DataFrame:
+def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", *, scan: bool | None = None) -> DataFrame:
     """One row per row of ``embeddings``: identity, vec_id, n_links, component_id and kept."""
+    scan = is_scan(embeddings) if scan is None else scan
     rows = identified(embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), *(["_metadata"] if scan else [])), "vec_id", "vector", scan=scan)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.store import RID, P, identified, materialize, partitions
+from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
 
 _HISTORY = f"{P}shard int, levels array<binary>, digests binary, winners binary"
 #: Digests per shard that the number of shards aims at.
@@ -106,13 +106,14 @@ def lookup(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     return left.cogroup(index.groupBy(f"{P}shard")).applyInArrow(find, f"{P}digest binary, {P}winner long, {P}size long, {P}member long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, historical: Column | None = None, scan: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, historical: Column | None = None, scan: bool | None = None) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (and its identity).
 
     ``historical`` marks the rows that the index is built over (by default every other file row,
     so both paths do their work); the rest are the incoming ones. The row with the largest id of
     all equal texts stays, whichever part it is in.
     """
+    scan = is_scan(docs) if scan is None else scan
     spark = docs.sparkSession
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([historical.alias(f"{P}old")] if historical is not None else []), *(["_metadata"] if scan else [])), "doc_id", "text", *([f"{P}old"] if historical is not None else []), scan=scan)
     old = F.col(f"{P}old") if historical is not None else F.pmod(F.col(RID[1]), F.lit(2)) == 0

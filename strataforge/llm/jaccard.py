@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strataforge.llm.graph import components
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import RID, P, identified, materialize, partitions
+from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
 from strataforge.llm.textcore import LOWER, mix, packed_rows, ragged, slices, span_hashes, windows, words
 
 #: Shingles that a fragment aims at; pivots of a prefix shingle and size class.
@@ -264,8 +264,9 @@ def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     return table, labels
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", *, scan: bool = False) -> DataFrame:
-    """One row per row of ``docs``: identity, doc_id, n_shingles and component_id, its smallest id."""
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", *, scan: bool | None = None) -> DataFrame:
+    """One row per row of ``docs``: identity, class, doc_id, n_shingles, component_id (its smallest id), component_size."""
+    scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
     table, labels = near_classes(rows, size, percent)
     known = table.join(labels.withColumnRenamed("node", f"{P}set"), f"{P}set", "left").withColumn(f"{P}class", F.coalesce("component", f"{P}set")).drop("component")
@@ -273,7 +274,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     named = materialize(known.where("n_shingles > 0").groupBy(f"{P}class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size")), "named")
     out = known.join(named, f"{P}class", "left")
     alone = F.col("n_shingles") == 0
-    return out.select(*RID, "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(1)).otherwise(F.col("component_size")).cast("long").alias("component_size"))
+    return out.select(*RID, f"{P}class", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(1)).otherwise(F.col("component_size")).cast("long").alias("component_size"))
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

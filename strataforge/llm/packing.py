@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.pieces import PieceIndex, cells
-from strataforge.llm.store import RID, P, identified, materialize, partitions
+from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
 from strataforge.llm.textcore import mix, packed_rows, pretokens, ragged, slices, span_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -111,8 +111,9 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hilbert_keys(points, BITS)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", *, scan: bool = False, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", *, scan: bool | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

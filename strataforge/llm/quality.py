@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import RID, P, identified, materialize
+from strataforge.llm.store import RID, P, identified, is_scan, materialize
 from strataforge.llm.textcore import LOWER, packed_rows, slices, span_hashes, words
 
 #: Fourier features, kernel width in standard deviations of one statistic, ridge penalty, seed.
@@ -125,8 +125,9 @@ def fourier(statistics: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.n
     return np.concatenate((np.sqrt(2 / FOURIER) * np.cos(x @ frequency + phase), np.ones((len(x), 1))), axis=1)
 
 
-def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scan: bool = False) -> DataFrame:
+def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, scan: bool | None = None) -> DataFrame:
     """Row identity, doc_id and statistics (binary doubles) of every whole text, as a written table."""
+    scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

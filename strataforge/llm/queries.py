@@ -10,6 +10,7 @@ from strataforge.llm.packing import op3_packing
 from strataforge.llm.quality import op4_quality
 from strataforge.llm.sharding import op5_sharding
 from strataforge.llm.substrings import OP10_SQL, op10_substring
+from strataforge.llm.suffixes import OP8_SQL, op8_suffixes
 from strataforge.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_jaccard": op6_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_suffixes": op8_suffixes,
     "op9_embeddings": op9_embeddings,
     "op10_substring": op10_substring,
 }
@@ -27,5 +29,6 @@ SQL = {
     "op1_warc": OP1_SQL,
     "op6_jaccard": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_suffixes": OP8_SQL,
     "op10_substring": OP10_SQL,
 }

@@ -16,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.store import RID, P, identified, materialize, range_positions
+from strataforge.llm.store import RID, P, identified, is_scan, materialize, range_positions
 
 
-def stratified_shards(docs: DataFrame, shards: int, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, scan: bool = False) -> DataFrame:
+def stratified_shards(docs: DataFrame, shards: int, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, scan: bool | None = None) -> DataFrame:
     """One row per row of ``docs``: id, source, size, text_crc32, shard and slot (0, 1, ... in each shard).
 
     Shards' row counts differ by one at most, and a shard's count of any source differs from its
     share by less than two.
     """
+    scan = is_scan(docs) if scan is None else scan
     rows = identified(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *(["_metadata"] if scan else [])), "doc_id", "text", "source", scan=scan
     ).select(

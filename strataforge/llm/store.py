@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether the rows come straight from files, so that file and row number identify them."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
 def identified(docs: DataFrame, *columns: str, scan: bool = False) -> DataFrame:
     """``columns`` of ``docs`` plus a row identity that any re-evaluation repeats.
 

@@ -13,7 +13,7 @@ result; other columns are carried only where asked. Windows are compared by 64-b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataforge.llm.blocks import BLOCK, ENTRIES, block_runs, blocked, entry_batch, fragments_for, ids_of, marked_positions, marks, not_first, shared
-from strataforge.llm.store import P
+from strataforge.llm.store import P, is_scan
 from strataforge.llm.textcore import packed_rows, ragged, slices, span_hashes, windows, words
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
+#: Words of a text, how many of them go, and the others joined by one space.
+RESULT = [f"{P}n_words", f"{P}n_removed", f"{P}kept"]
 
 
 def cover_anchors(blocks: DataFrame, window: int, fragments: int) -> DataFrame:
@@ -50,20 +52,30 @@ def cover_anchors(blocks: DataFrame, window: int, fragments: int) -> DataFrame:
     return blocks.mapInArrow(anchors, ENTRIES)
 
 
-def _candidate_windows(window: int, fragments: int, around: int):  # noqa: ANN202
-    """Of a block: entries of the windows that hold a marked anchor (of window - around + 1 words)."""
+def around_anchors(around: int) -> Callable:
+    """Ranges of window starts (slots, begin, end) at which a window holds a marked anchor."""
+
+    def ranges(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slots, positions = marked_positions(found)
+        return slots, positions - around + 1, positions + 1
+
+    return ranges
+
+
+def _candidate_windows(window: int, fragments: int, ranges: Callable):  # noqa: ANN202
+    """Of a block: entries of the windows that start in the ranges found."""
 
     def candidates(docs: pa.Table, found: pa.Table) -> pa.Table:
         out = []
-        slots, positions = marked_positions(found)
+        slots, begins, stops = ranges(found)
         ids, slot = ids_of(docs[f"{P}id"]), docs[f"{P}slot"].to_numpy()
         for i, j, data, offsets in slices(docs[f"{P}text"].combine_chunks()) if len(found) and len(docs) else ():
             starts, ends, first = words(data, offsets)
             row = np.full(1 << 16, -1)
             row[slot[i:j]] = np.arange(j - i)
             here = row[slots] >= 0
-            anchor, text = first[row[slots[here]]] + positions[here], row[slots[here]]
-            begin, end = np.maximum(anchor - around + 1, first[text]), np.minimum(anchor, first[text + 1] - window) + 1
+            text = row[slots[here]]
+            begin, end = first[text] + np.maximum(begins[here], 0), np.minimum(first[text] + stops[here], first[text + 1] - window + 1)
             wanted = np.zeros(len(starts) + 1, np.int64)
             ok = begin < end
             np.add.at(wanted, begin[ok], 1)
@@ -114,38 +126,45 @@ def _remove(window: int, carry: list[str]):  # noqa: ANN202
             n_words.append(np.diff(first))
             n_removed.append(np.diff(total[first]))
             kept.append(joined_words(data, starts, ends, first, keep))
-        return pa.table([docs[f"{P}id"], docs[f"{P}text"], *(docs[c] for c in carry), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.chunked_array(kept)], names=[f"{P}id", f"{P}text", *carry, "n_words", "n_removed", "kept"])
+        return pa.table([docs[f"{P}id"], docs[f"{P}text"], *(docs[c] for c in carry), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.chunked_array(kept)], names=[f"{P}id", f"{P}text", *carry, *RESULT])
 
     return remove
 
 
 def remove_windows(blocks: DataFrame, flagged: DataFrame, window: int, carry: list[str]) -> DataFrame:
-    """The rows of ``blocks`` with n_words, n_removed and ``kept``, the words that no flagged window covers."""
+    """The rows of ``blocks`` with ``RESULT``: the words that no flagged window covers stay."""
     kinds = {f.name: f for f in blocks.schema.fields}
-    schema = T.StructType([kinds[c] for c in (f"{P}id", f"{P}text", *carry)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    schema = T.StructType([kinds[c] for c in (f"{P}id", f"{P}text", *carry)] + [T.StructField(n, t) for n, t in zip(RESULT, (T.LongType(), T.LongType(), T.StringType()), strict=True)])
     return blocks.groupBy(*BLOCK).cogroup(flagged.groupBy(*BLOCK)).applyInArrow(_remove(window, carry), schema)
 
 
-def flag_windows(blocks: DataFrame, found: DataFrame, window: int, around: int) -> DataFrame:
-    """Windows around the marks ``found`` whose word sequence also starts in a document with a smaller id."""
+def flag_windows(blocks: DataFrame, found: DataFrame, window: int, ranges: Callable) -> DataFrame:
+    """Windows in the ``ranges`` of what was found whose word sequence also starts in a document with a smaller id."""
     fragments = fragments_for(blocks, 0.25)
-    entries = blocks.groupBy(*BLOCK).cogroup(found.groupBy(*BLOCK)).applyInArrow(_candidate_windows(window, fragments, around), ENTRIES)
+    entries = blocks.groupBy(*BLOCK).cogroup(found.groupBy(*BLOCK)).applyInArrow(_candidate_windows(window, fragments, ranges), ENTRIES)
     return marks(entries, not_first)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, *, scan: bool = False) -> DataFrame:
-    """One row per row of ``docs``: _sf_id, _sf_text, ``carry``, n_words, n_removed and kept (text)."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, *, scan: bool | None = None) -> DataFrame:
+    """One row per row of ``docs``: _sf_id, _sf_text, ``carry`` and ``RESULT``."""
+    scan = is_scan(docs) if scan is None else scan
     if window <= PERIOD:
         raise ValueError(f"a window must be longer than the cover's period, {PERIOD}")
+    scan = is_scan(docs) if scan is None else scan
     blocks = blocked(docs, id_col, text_col, carry or [], scan)
     found = marks(cover_anchors(blocks, window, fragments_for(blocks, len(COVER) / PERIOD)), shared)
-    return remove_windows(blocks, flag_windows(blocks, found, window, PERIOD), window, carry or [])
+    return remove_windows(blocks, flag_windows(blocks, found, window, around_anchors(PERIOD)), window, carry or [])
+
+
+def digests(out: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
+    return out.select(F.col(f"{P}id").alias("doc_id"), F.col(RESULT[0]).alias("n_words"), F.col(RESULT[1]).alias("n_removed"), F.sha2(RESULT[2], 256).alias("kept_sha256"))
 
 
 def op10_substring(spark, sf_dir: str) -> DataFrame:
     """All documents without the words of 13-word windows that start in an earlier document."""
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True)
-    return out.select(F.col(f"{P}id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return digests(out)
 
 
 OP10_SQL = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.store import RID, P, fresh_dir, identified, materialize
+from strataforge.llm.store import RID, P, fresh_dir, identified, is_scan, materialize
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -81,12 +81,13 @@ def parse_record(member: bytes) -> dict:
     }
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, scan: bool = False) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *, scan: bool | None = None) -> DataFrame:
     """Write a record per row of ``pages`` into archives below ``folder``; returns the index.
 
     Of the records with equal payloads of at least ``REVISIT_FROM`` bytes the one with the largest
     id is the response; the others are revisits that refer to it.
     """
+    scan = is_scan(pages) if scan is None else scan
     rows = identified(
         pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"), *(["_metadata"] if scan else [])),
         "page_id", "url", "payload", scan=scan,
