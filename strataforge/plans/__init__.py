@@ -77,12 +77,13 @@ def _micros() -> Column:
     return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")
 
 
-def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _logs(spark: SparkSession, sf_dir: str, elapsed: Column | None = None) -> DataFrame:
     """Events of a user as a progress log: the value is the item's time, the event's number its place."""
+    elapsed = _micros().cast("double") if elapsed is None else elapsed
     e = _table(spark, sf_dir, "events")
     return e.select(
         F.col("user_id").alias("file"), F.col("event_id").alias("line"), F.lit(True).alias("terminated"), F.col("event_id").alias("processed"), F.lit(None).cast("long").alias("total"),
-        _micros().cast("double").alias("elapsed_seconds"), F.col("event_id").cast("string").alias("last_id"), F.col("value").alias("item_seconds"), F.col("event_type").alias("phase"),
+        elapsed.alias("elapsed_seconds"), F.col("event_id").cast("string").alias("last_id"), F.col("value").alias("item_seconds"), F.col("event_type").alias("phase"),
         F.when(~fn.finite_nonnegative(F.col("value")), "invalid_item_seconds").alias("error"),
     )
 
@@ -107,9 +108,20 @@ def progress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("file").alias("user_id"), "status", "reason", "records", "line", "median_item_seconds", "slowest_item_seconds", "slowest_id", "phase")
 
 
-@_query(_LOG_SQL + "SELECT user_id, event_id, error FROM r WHERE error IS NOT NULL")
+#: The same logs with the value as the elapsed time, which falls again and again.
+_FALLING_SQL = _LOG_SQL.replace("epoch_us(ts)::DOUBLE", "value")
+
+
+@_query(_FALLING_SQL + "SELECT user_id, event_id, error FROM r WHERE error IS NOT NULL")
 def monotonic_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.monotony_errors(_logs(spark, sf_dir)).where("error is not null").select(F.col("file").alias("user_id"), F.col("line").alias("event_id"), "error")
+    return progress.monotony_errors(_logs(spark, sf_dir, F.col("value"))).where("error is not null").select(F.col("file").alias("user_id"), F.col("line").alias("event_id"), "error")
+
+
+@_query(_FALLING_SQL + "SELECT b.user_id, r.error AS reason, coalesce(records, 0) AS records, bad AS line FROM b LEFT JOIN a USING (user_id) LEFT JOIN r ON r.user_id = b.user_id AND r.event_id = b.bad")
+def progress_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each log is valid."""
+    out = progress.progress_summary(progress.monotony_errors(_logs(spark, sf_dir, F.col("value"))))
+    return out.select(F.col("file").alias("user_id"), "reason", "records", "line")
 
 
 @_query("""
