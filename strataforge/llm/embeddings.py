@@ -275,7 +275,7 @@ def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "ve
     named = materialize(classes.groupBy("component").agg(F.min("least_id").alias("component_id")), "named")
     classes = materialize(classes.drop("least_id").join(named, "component"), "classes")
     own = F.coalesce("component_id", "vec_id")
-    return rows.join(classes, "vector", "left").select(*RID, "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
+    return rows.join(classes, "vector", "left").select(*RID, "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
 
 
 def op9_embeddings(spark, sf_dir: str) -> DataFrame:
