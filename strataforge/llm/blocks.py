@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import RID, P, identified, partitions
+from strataforge.llm.store import RID, TABLES, P, identified, partitions
 from strataforge.llm.textcore import packed_rows
 
 BLOCK = [f"{P}block_file", f"{P}block_no"]
-#: Rows of a block; a row's number in its block fits 16 bits.
-BLOCK_ROWS = 1024
+#: Rows of a block, least and most (a row's number in its block fits 16 bits), and blocks per partition.
+#: A block is a file of the table and a task's group: its rows grow with the table up to the bound.
+BLOCK_ROWS, BLOCKS = (256, 1 << 14), 4
 #: Entries that a fragment aims at.
 FRAGMENT_ENTRIES = 1 << 20
 _ENTRIES = f"{P}fragment int, {BLOCK[0]} long, {BLOCK[1]} long, rows binary, counts binary, docs binary, hashes binary, positions binary"
@@ -34,9 +35,10 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str], scan:
     """A table of the rows of ``docs`` (doc_id, text, ``carry``), bucketed by block in the warehouse."""
     spark = docs.sparkSession
     rows = identified(docs.select(F.col(id_col).cast("long").alias(f"{P}id"), F.col(text_col).alias(f"{P}text"), *carry, *(["_metadata"] if scan else [])), f"{P}id", f"{P}text", *carry, scan=scan)
-    name = f"strataforge_blocks_{uuid.uuid4().hex}"
+    name = f"{TABLES}{uuid.uuid4().hex}"
+    size = min(max(rows.count() // (BLOCKS * partitions(spark)) + 1, BLOCK_ROWS[0]), BLOCK_ROWS[1])
     rows.select(
-        F.col(RID[0]).alias(BLOCK[0]), F.floor(F.col(RID[1]) / BLOCK_ROWS).alias(BLOCK[1]), (F.col(RID[1]) % BLOCK_ROWS).cast("int").alias(f"{P}slot"), f"{P}id", f"{P}text", *carry
+        F.col(RID[0]).alias(BLOCK[0]), F.floor(F.col(RID[1]) / size).alias(BLOCK[1]), (F.col(RID[1]) % size).cast("int").alias(f"{P}slot"), f"{P}id", f"{P}text", *carry
     ).write.bucketBy(partitions(spark), *BLOCK).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 

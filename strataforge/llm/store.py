@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Prefix of the internal columns, so that a table's own columns never clash with them.
 P = "_sf_"
 RID = [f"{P}file", f"{P}row"]
+#: Prefix of the bucketed tables in the warehouse.
+TABLES = "strataforge_blocks_"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/strataforge/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/strataforge/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the operators wrote in this session; results not yet written elsewhere go with it."""
+    for table in spark.catalog.listTables(pattern=f"{TABLES}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strataforge/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
