@@ -3,15 +3,16 @@
 Suffixes are retained only at minimiser positions: of every ``LENGTH - GRAM + 1`` consecutive word
 windows of ``GRAM`` words the one with the least hash. The text alone selects them, so two equal
 stretches of ``LENGTH`` words hold the same one. Suffixes whose first words stand in several
-documents are sorted over range partitions; each is compared with its neighbours (those astride a
-partition's edge included) and a match is extended right from and left of the suffix. Where a match
-reaches ``LENGTH`` words, its windows of that length are compared exactly, and of equal windows
-only those in the document with the smallest id stay.
-
-Word contexts are compared by 16-bit codes and windows by 64-bit hashes. Defined cases: a null text
-has no words; a null id comes after every id; repeats within one id stay; texts of fewer than
-``LENGTH`` words keep all; an empty table gives an empty result; other columns are carried only
-where asked.
+documents are sorted over range partitions; the longest match of a suffix is that with one of its
+neighbours (those astride a partition's edge included), and it extends the suffix to the right. To
+the left it extends as far as a window of ``LENGTH`` words reaches; the windows in between are
+compared exactly, and of equal windows only those in the document with the smallest id stay. No
+repeated window is missed.
+
+Suffixes are compared by 16-bit word codes, which can only lengthen a match before the exact step,
+and windows by 64-bit hashes. Defined cases: a null text has no words; a null id comes after every
+id; repeats within one id stay; texts of fewer than ``LENGTH`` words keep all; an empty table gives
+an empty result; other columns are carried only where asked.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from strataforge.llm.substrings import OP10_SQL, digests, flag_windows, remove_w
 from strataforge.llm.textcore import packed_rows, ragged, slices, span_hashes, windows, words
 
 LENGTH, GRAM = 50, 8
-_SUFFIX = f"right binary, left binary, id long, {BLOCK[0]} long, {BLOCK[1]} long, slot int, at int"
-_NAMES = ["right", "left", "id", *BLOCK, "slot", "at"]
-_TYPES = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_SUFFIX = f"right binary, id long, {BLOCK[0]} long, {BLOCK[1]} long, slot int, at int"
+_NAMES = ["right", "id", *BLOCK, "slot", "at"]
+_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 _OUT = f"kind int, part int, {_SUFFIX}, length int"
 
 
@@ -59,13 +60,13 @@ def _seeds(length: int, gram: int, fragments: int):  # noqa: ANN202
                     starts, ends, first = words(data, offsets)
                     at, text, grams = minimisers(first, span_hashes(data, starts, ends), length, gram)
                     if len(at):
-                        yield entry_batch(fragments, block, slots, ids, text + i, grams, at - first[text])
+                        yield entry_batch(fragments, block, slots, ids, text + i, grams, at - first[text], 5)
 
     return seeds
 
 
-def _suffixes(length: int, gram: int):  # noqa: ANN202
-    """Of a block: the words from each shared seed on, and those before it, backwards."""
+def _suffixes(length: int):  # noqa: ANN202
+    """Of a block: the codes of the words from each shared seed on."""
 
     def suffixes(docs: pa.Table, found: pa.Table) -> pa.Table:
         out = []
@@ -80,95 +81,89 @@ def _suffixes(length: int, gram: int):  # noqa: ANN202
             text, position = row[slots[here]], positions[here]
             at = first[text] + position
             right = np.minimum(length, first[text + 1] - at)
-            left = np.minimum(length - gram, position)
-            back = ragged(at - left, left)
-            owner = np.repeat(np.arange(len(at)), left)
-            back = 2 * at[owner] - left[owner] - 1 - back  # each stretch backwards
-            out.append(pa.RecordBatch.from_arrays([packed_rows(right, codes[ragged(at, right)]), packed_rows(left, codes[back]), pa.array(ids[i + text]), *(docs[c].combine_chunks().take(pa.array(i + text)) for c in BLOCK), pa.array(slot[i + text].astype(np.int32)), pa.array(position.astype(np.int32))], _NAMES))
+            out.append(pa.RecordBatch.from_arrays([packed_rows(right, codes[ragged(at, right)]), pa.array(ids[i + text]), *(docs[c].combine_chunks().take(pa.array(i + text)) for c in BLOCK), pa.array(slot[i + text].astype(np.int32)), pa.array(position.astype(np.int32))], _NAMES))
         schema = pa.schema(list(zip(_NAMES, _TYPES, strict=True)))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
     return suffixes
 
 
-def _common(column: pa.Array, shift: int) -> np.ndarray:
-    """Common leading codes of rows k and k + shift of a column of packed codes."""
+def _common(column: pa.Array) -> np.ndarray:
+    """Common leading codes of each row and the next one, of a column of packed codes."""
     data, offsets = cells(column)
     codes, size = np.ascontiguousarray(data).view(">u2"), np.diff(offsets) // 2
-    width = int(size.max(initial=0))
-    wide = np.full((len(size), width + 1), -1, np.int32)
+    wide = np.full((len(size), int(size.max(initial=0)) + 1), -1, np.int32)
     wide[np.repeat(np.arange(len(size)), size), ragged(np.zeros(len(size), np.int64), size)] = codes
-    return np.minimum((wide[:-shift] != wide[shift:]).argmax(axis=1) + (wide[:-shift] == wide[shift:]).all(axis=1) * width, np.minimum(size[:-shift], size[shift:]))
+    differ = np.concatenate((wide[:-1] != wide[1:], np.ones((len(size) - 1, 1), bool)), axis=1).argmax(axis=1)
+    return np.minimum(differ, np.minimum(size[:-1], size[1:]))
 
 
-def _matches(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with a neighbour (first or second next) that matches ``length`` words, and how far it does."""
-    row, left, right = [], [], []
-    for shift in (1, 2):
-        if len(batch) > shift:
-            r, le = _common(batch.column(0), shift), _common(batch.column(1), shift)
-            hit = np.flatnonzero(r + le >= length)
-            for side in (hit, hit + shift):
-                row.append(side), left.append(le[hit]), right.append(r[hit])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, left, right))
+def _rows(batch: pa.RecordBatch, kind: int, part: int, row: np.ndarray, start: np.ndarray, size: np.ndarray, right: pa.Array | None) -> pa.RecordBatch:
+    """Rows of kind 0 (a stretch of words: at, length) or 1 (a partition's outermost suffixes)."""
+    take = batch.take(pa.array(row))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(row), kind), pa.int32()), pa.array(np.full(len(row), part), pa.int32()), pa.nulls(len(row), pa.binary()) if right is None else right, *(take.column(k) for k in range(1, 5)), pa.array(start, pa.int32()), pa.array(size, pa.int32())],
+        ["kind", "part", *_NAMES, "length"],
+    )
 
 
-def _rows(batch: pa.RecordBatch, kind: int, part: int, row: np.ndarray, start: np.ndarray, size: np.ndarray, whole: bool) -> pa.RecordBatch:
-    """Rows of kind 0 (a matched stretch: at, length) or 1 (a partition's outermost suffixes)."""
-    take = batch.take(pa.array(row))
-    text = [take.column(0), take.column(1)] if whole else [pa.nulls(len(row), pa.binary())] * 2
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind), pa.int32()), pa.array(np.full(len(row), part), pa.int32()), *text, *(take.column(k) for k in range(2, 6)), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["kind", "part", *_NAMES, "length"])
+def _found(batch: pa.RecordBatch, part: int, length: int, gram: int) -> pa.RecordBatch:
+    """Stretches around suffixes that can hold a window of ``length`` words their neighbour has too."""
+    common, at = _common(batch.column(0)), batch.column(5).to_numpy()
+    row = np.concatenate((np.arange(len(common)), np.arange(len(common)) + 1))
+    right = np.concatenate((common, common))
+    left = np.minimum(at[row], length - gram)
+    fits = left + right >= length
+    row, left, right = row[fits], left[fits], right[fits]
+    return _rows(batch, 0, part, row, at[row] - left, left + right, None)
+
 
+def _neighbours(length: int, gram: int):  # noqa: ANN202
+    def edge(batch: pa.RecordBatch, part: int, k: int) -> pa.RecordBatch:
+        return _rows(batch, 1, part, np.array([k]), batch.column(5).to_numpy()[[k]], np.array([0]), batch.column(0).slice(k, 1))
 
-def _neighbours(length: int):  # noqa: ANN202
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, kept = TaskContext.get().partitionId(), None
+        part, last = TaskContext.get().partitionId(), None
         for whole in batches:
             for c in range(0, len(whole), 4096):
                 batch = whole.slice(c, 4096)
-                if kept is None:
-                    yield _edge(batch, part, 0)
-                batch = pa.Table.from_batches([kept, batch] if kept is not None else [batch]).combine_chunks().to_batches()[0]
-                yield _found(batch, part, length)
-                kept = batch.slice(max(len(batch) - 2, 0))
-        if kept is not None:
-            yield _edge(kept, part, len(kept) - 1)
-
-    def _edge(batch: pa.RecordBatch, part: int, k: int) -> pa.RecordBatch:
-        return _rows(batch, 1, part, np.array([k]), batch.column(6).to_numpy()[[k]], np.array([0]), True)
+                if last is None:
+                    yield edge(batch, part, 0)
+                else:
+                    batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+                yield _found(batch, part, length, gram)
+                last = batch.slice(len(batch) - 1)
+        if last is not None:
+            yield edge(last, part, 0)
 
     return neighbours
 
 
-def _found(batch: pa.RecordBatch, part: int, length: int) -> pa.RecordBatch:
-    row, left, right = _matches(batch, length)
-    return _rows(batch, 0, part, row, batch.column(6).to_numpy()[row] - left, left + right, False)
-
-
-def _across(length: int):  # noqa: ANN202
+def _across(length: int, gram: int):  # noqa: ANN202
     """Each row holds the last suffix of a partition and the first of the next one."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = len(_NAMES)
         for batch in batches:
             for k in range(len(batch)):
                 one = batch.slice(k, 1)
-                pair = pa.Table.from_batches([pa.RecordBatch.from_arrays(one.columns[c : c + 7], _NAMES) for c in (0, 7)]).combine_chunks().to_batches()[0]
-                yield _found(pair, 0, length)
+                pair = pa.Table.from_batches([pa.RecordBatch.from_arrays(one.columns[c : c + half], _NAMES) for c in (0, half)]).combine_chunks().to_batches()[0]
+                yield _found(pair, 0, length, gram)
 
     return across
 
 
-def matched_stretches(suffixes: DataFrame, length: int) -> DataFrame:
-    """Stretches (block, slot, at, length) of sorted suffixes that match a neighbour ``length`` words far."""
-    order = ["right", "left", "id", *BLOCK, "slot", "at"]
+def matched_stretches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
+    """Stretches (block, slot, at, length) that hold every window of ``length`` words that repeats."""
+    order = ["right", "id", *BLOCK, "slot", "at"]
     ordered = suffixes.repartitionByRange(partitions(suffixes.sparkSession), *order).sortWithinPartitions(*order)
-    found = materialize(ordered.select(*_NAMES).mapInArrow(_neighbours(length), _OUT), "neighbours")
+    found = materialize(ordered.select(*_NAMES).mapInArrow(_neighbours(length, gram), _OUT), "neighbours")
     # two rows of each range partition: its first and its last suffix
     edges = found.where("kind = 1").select("part", *_NAMES)
     along = Window.orderBy("part", *order)
     beyond = edges.select("*", F.lead("part").over(along).alias("next"), *(F.lead(c).over(along).alias(f"next_{c}") for c in _NAMES))
-    astride = beyond.where("next > part").select(*_NAMES, *(f"next_{c}" for c in _NAMES)).mapInArrow(_across(length), _OUT)
-    return found.where("kind = 0").union(astride).select(*BLOCK, "slot", "at", "length").distinct()
+    astride = beyond.where("next > part").select(*_NAMES, *(f"next_{c}" for c in _NAMES)).mapInArrow(_across(length, gram), _OUT)
+    return found.where("kind = 0").union(astride).groupBy(*BLOCK, "slot", "at").agg(F.max("length").alias("length"))
 
 
 def _stretch_ranges(window: int):  # noqa: ANN202
@@ -187,8 +182,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     blocks = blocked(docs, id_col, text_col, carry or [], scan)
     fragments = fragments_for(blocks, 2 / (length - gram + 2))
     found = marks(blocks.mapInArrow(_seeds(length, gram, fragments), ENTRIES), shared)
-    suffixes = blocks.groupBy(*BLOCK).cogroup(found.groupBy(*BLOCK)).applyInArrow(_suffixes(length, gram), _SUFFIX)
-    stretches = matched_stretches(suffixes, length)
+    suffixes = blocks.groupBy(*BLOCK).cogroup(found.groupBy(*BLOCK)).applyInArrow(_suffixes(length), _SUFFIX)
+    stretches = matched_stretches(suffixes, length, gram)
     return remove_windows(blocks, flag_windows(blocks, stretches, length, _stretch_ranges(length)), length, carry or [])
 
 
