@@ -126,3 +126,63 @@ def output_name_error(name: Column) -> Column:
     """A saved output's name is a plain base name that no record of the run itself uses."""
     plain = ~blank(name) & ~name.isin(".", "..") & ~name.contains("/") & ~name.contains("\\")
     return F.when(~F.coalesce(plain, F.lit(False)), "invalid_output_name").when(name.isin("receipt.json", "admission.json"), "reserved_output_name")
+
+
+def run_request_errors(requests: DataFrame) -> DataFrame:
+    """Run requests (keys, schema, bundle_id, wanted_id, source_ref, inputs, timeout_seconds, config_json) with the first broken rule.
+
+    A run names a source by its identity and can't edit it; its configuration is a JSON object or absent.
+    """
+    c = F.col
+    inputs = F.map_entries(F.coalesce("inputs", F.create_map().cast("map<string,struct<path:string,ref:string,blob:string>>")))
+    editing = F.arrays_overlap("keys", F.array(*map(F.lit, ("files", "changed_files", "delete_files", "sha256", "base_source_ref"))))
+    bad_input = F.get(F.filter(F.transform(inputs, lambda e: input_error(e.key, e.value.path, e.value.ref, e.value.blob)), lambda e: e.isNotNull()), F.lit(0))
+    low, high = SECONDS
+    configured = F.array_contains("keys", "config")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("config_json")).startswith("OBJECT"), F.lit(False))
+    collides = F.exists(inputs, lambda e: e.key == "run_config.json")
+    error = (
+        F.when(~F.coalesce((c("schema") == "private-run-request/1") & (c("bundle_id") == c("wanted_id")), F.lit(False)), "run_request_identity_mismatch").when(~fullmatch(c("source_ref"), OBJECT_ID), "invalid_run_source_ref")
+        .when(editing, "run_request_cannot_edit_source").when(bad_input.isNotNull(), bad_input).when(~F.coalesce(c("timeout_seconds").between(low, high), F.lit(True)), "invalid_timeout")
+        .when(configured & ~is_object, "invalid_run_config").when(configured & collides, "run_config_input_collision")
+    )
+    return requests.withColumn("error", error)
+
+
+def name_collision(inputs: Column, sources: Column, has_config: Column) -> Column:
+    """A run's inputs or its configuration hide a source file of the same name, or null."""
+    return F.when(F.arrays_overlap(inputs, sources), "input_source_name_collision").when(has_config & F.array_contains(sources, "run_config.json"), "run_config_source_collision")
+
+
+def receipt_errors(receipts: DataFrame) -> DataFrame:
+    """Receipts (schema, bundle_id, bundle_blob, source_ref, status, collection_errors, run_id, run_attempt, files
+    and what is wanted: wanted_id, wanted_blob, producer or null) with the first broken rule."""
+    c = F.col
+    known = (c("schema") == "bundle-computation-receipt/2") & (c("bundle_id") == c("wanted_id")) & (c("bundle_blob") == c("wanted_blob")) & fullmatch(c("source_ref"), OBJECT_ID) & c("status").isin("materialized", "failed_or_partial")
+    identity = F.concat(F.coalesce("run_id", F.lit("")), F.lit("-"), F.coalesce("run_attempt", F.lit("")))
+    entry_ok = lambda name, digest: output_name_error(name).isNull() & ~name.contains("\x00") & fullmatch(digest, r"[0-9a-f]{64}")
+    error = (
+        F.when(~F.coalesce(known, F.lit(False)), "result_identity_mismatch").when((c("status") == "materialized") & (F.coalesce("collection_errors", F.lit(0)) > 0), "false_completion_rejected")
+        .when(~fullmatch(identity, r"[1-9][0-9]*-[1-9][0-9]*") | F.coalesce(c("producer") != identity, F.lit(False)), "producer_identity_mismatch").when(c("files").isNull(), "invalid_result_manifest")
+        .when(F.exists(F.map_entries("files"), lambda e: ~F.coalesce(entry_ok(e.key, e.value), F.lit(False))), "invalid_result_manifest_entry")
+    )
+    return receipts.withColumns({"identity": identity, "error": error})
+
+
+def push_triggers(pushes: DataFrame) -> DataFrame:
+    """Pushes (commits, added, modified, removed arrays) with the one trigger path that they touch, or an error."""
+    changed = F.array_distinct(F.concat("added", "modified", "removed"))
+    rest = lambda path: F.substring(path, len(SLOT_PREFIX) + 2, 1 << 16)
+    trigger = F.filter(changed, lambda p: (p == SINGLE_PATH) | (p.startswith(SLOT_PREFIX + "/") & p.endswith(".json") & ~rest(p).contains("/")))
+    path = F.get(trigger, F.lit(0))
+    error = (
+        F.when(~F.coalesce(F.col("commits") == 1, F.lit(False)), "push_must_contain_one_commit").when(F.size(trigger) != 1, "push_must_change_one_trigger")
+        .when(F.size(changed) != 1, "trigger_commit_must_be_isolated").when(F.array_contains("removed", path), "trigger_file_removed")
+    )
+    return pushes.withColumn("error", error).withColumn("path", F.when(F.col("error").isNull(), path))
+
+
+def output_binding(folder: Column, name: Column, ref: Column, blob: Column) -> Column:
+    """A saved output as a pinned input; null unless the name is a base name and the object is there."""
+    ok = output_name_error(name).isNull() & blob.isNotNull()
+    return F.when(ok, F.struct(F.concat_ws("/", folder, name).alias("path"), ref.alias("ref"), blob.alias("blob")))

@@ -44,3 +44,8 @@ def write_selection(rows: DataFrame, path: str, ids: DataFrame | None = None, li
         if keys is not None and not missing_keys(rows, keys, column).isEmpty():
             raise ValueError("requested records missing from this file")
     select_records(rows, ids, lines).orderBy("line").select("raw").write.mode("errorifexists").text(path)
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """The index as JSON lines in a new folder; an existing one is an error."""
+    structure_index(rows).write.mode("errorifexists").json(path)

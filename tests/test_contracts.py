@@ -97,3 +97,35 @@ def test_names_and_delivery(spark):
     assert [r.e for r in names] == [None, "invalid_output_name", "invalid_output_name", "invalid_output_name", "reserved_output_name"]
     changes = spark.createDataFrame([("a", "added"), ("b", "removed"), ("c", "added")], "path string, status string")
     assert {r.path for r in lifecycle.outside_delivery(changes, spark.createDataFrame([("a",), ("b",)], "path string"), "path").collect()} == {"b", "c"}
+
+
+def test_run_requests(spark):
+    schema = "keys array<string>, schema string, bundle_id string, wanted_id string, source_ref string, inputs map<string,struct<path:string,ref:string,blob:string>>, timeout_seconds int, config_json string"
+    ref = "0" * 40
+    good = (["schema", "config"], "private-run-request/1", "b", "b", ref, None, 30, '{"a":18}')
+    names = [c.split()[0] for c in "keys k, schema k, bundle_id k, wanted_id k, source_ref k, inputs k, timeout_seconds k, config_json k".split(", ")]
+    swap = lambda **x: tuple(x.get(n, v) for n, v in zip(names, good))
+    rows = [good, swap(bundle_id="c"), swap(source_ref="x"), swap(keys=["files"]), swap(inputs={"a": ("../a", ref, ref)}), swap(timeout_seconds=1801), swap(config_json="[1]"), swap(inputs={"run_config.json": ("inputs/a", ref, ref)}), swap(keys=["schema"], config_json=None)]
+    got = [r.error for r in contracts.run_request_errors(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [None, "run_request_identity_mismatch", "invalid_run_source_ref", "run_request_cannot_edit_source", "invalid_path", "invalid_timeout", "invalid_run_config", "run_config_input_collision", None]
+    rows = spark.createDataFrame([(["a"], ["a"], False), (["a"], ["run_config.json"], True), (["a"], ["b"], True)], "i array<string>, s array<string>, c boolean")
+    assert [r.e for r in rows.select(contracts.name_collision(F.col("i"), F.col("s"), F.col("c")).alias("e")).collect()] == ["input_source_name_collision", "run_config_source_collision", None]
+
+
+def test_receipts(spark):
+    schema = "schema string, bundle_id string, bundle_blob string, source_ref string, status string, collection_errors int, run_id string, run_attempt string, files map<string,string>, wanted_id string, wanted_blob string, producer string"
+    names, digest = [c.split()[0] for c in schema.split(", ")], "a" * 64
+    good = ("bundle-computation-receipt/2", "b", "x", "0" * 40, "materialized", 0, "12", "1", {"result.jsonl": digest}, "b", "x", "12-1")
+    swap = lambda **x: tuple(x.get(n, v) for n, v in zip(names, good))
+    rows = [good, swap(bundle_blob="y"), swap(status="done"), swap(collection_errors=1), swap(run_id="012"), swap(producer="12-2"), swap(files=None), swap(files={"receipt.json": digest}), swap(files={"a": "b"}), swap(producer=None, status="failed_or_partial", collection_errors=2)]
+    got = [r.error for r in contracts.receipt_errors(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [None, "result_identity_mismatch", "result_identity_mismatch", "false_completion_rejected", "producer_identity_mismatch", "producer_identity_mismatch", "invalid_result_manifest", "invalid_result_manifest_entry", "invalid_result_manifest_entry", None]
+
+
+def test_pushes_and_bindings(spark):
+    slot = "private_job/slots/ml-01.json"
+    rows = [(1, [], [slot], []), (2, [], [slot], []), (1, [slot], ["private_job/request.json"], []), (1, [], [slot, "README"], []), (1, [], [], [slot]), (1, [], ["private_job/slots/a/b.json"], [])]
+    got = [(r.path, r.error) for r in contracts.push_triggers(spark.createDataFrame(rows, "commits int, added array<string>, modified array<string>, removed array<string>")).collect()]
+    assert got == [(slot, None), (None, "push_must_contain_one_commit"), (None, "push_must_change_one_trigger"), (None, "trigger_commit_must_be_isolated"), (None, "trigger_file_removed"), (None, "push_must_change_one_trigger")]
+    rows = spark.createDataFrame([("d", "a.json", "r", "s"), ("d", "../a", "r", "s"), ("d", "a", "r", None)], "f string, n string, r string, b string")
+    assert [r.o and r.o.path for r in rows.select(contracts.output_binding(*map(F.col, "fnrb")).alias("o")).collect()] == ["d/a.json", None, None]
