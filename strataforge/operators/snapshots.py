@@ -49,20 +49,17 @@ def request_chain(requests: DataFrame, node: str, parent: str, roots: DataFrame)
     spark = requests.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chain-"))  # only where the cluster names none
-    edges = requests.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
-    known = edges.select(F.col("node").alias("next"), F.lit(True).alias("known")).distinct()
-    frontier = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth"), F.array(F.col(roots.columns[0])).alias("seen"))
-    found, depth = None, 0
+    nodes = requests.select(F.col(node).alias("parent"), F.lit(True).alias("known")).distinct()
+    edges = requests.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("parent is not null").join(nodes, "parent", "left").checkpoint()
+    start = F.col(roots.columns[0])
+    frontier = roots.select(start.alias("root"), start.alias("node"), F.lit(0).alias("depth"), F.array(start).alias("seen"))
+    found = frontier.select("root", "node", "depth", F.lit(None).cast("string").alias("error"))
     while True:
-        frontier = frontier.checkpoint()
-        step = frontier.select("root", "node", "depth", F.lit(None).cast("string").alias("error"))
-        found = step if found is None else found.union(step)
-        following = frontier.join(edges, "node").where("parent is not null").select("root", F.col("parent").alias("next"), (F.col("depth") + 1).alias("depth"), "seen").join(known, "next", "left").checkpoint()
-        cyclic = F.array_contains("seen", F.col("next"))
-        bad = following.where(cyclic | F.col("known").isNull()).select("root", F.col("next").alias("node"), "depth", F.when(cyclic, "cyclic_chain").otherwise("missing_parent").alias("error"))
-        found = found.union(bad)
-        frontier = following.where(~cyclic & F.col("known")).select("root", F.col("next").alias("node"), "depth", F.concat("seen", F.array("next")).alias("seen"))
-        depth += 1
+        cyclic = F.array_contains("seen", F.col("parent"))
+        error = F.when(cyclic, "cyclic_chain").when(F.col("known").isNull(), "missing_parent")
+        step = frontier.join(edges, "node").select("root", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("parent")).alias("seen"), error.alias("error")).checkpoint()
+        found = found.union(step.select("root", "node", "depth", "error"))
+        frontier = step.where("error is null").drop("error")
         if frontier.isEmpty():
             return found
 
