@@ -107,10 +107,14 @@ def test_sharding(docs, empty, spark, tmp_path):
     share = Counter(r.source for r in rows)
     for (s, source), k in Counter((r.shard, r.source) for r in rows).items():
         assert abs(k - share[source] * count[s] / n) < 2
-    assert [tuple(r) for r in stratified_shards(docs, shards).collect()] == [tuple(r) for r in rows] or True
     assert stratified_shards(empty, shards).count() == 0
 
 
+def test_sharding_is_repeatable(scanned):
+    one, two = (key(tuple(r) for r in stratified_shards(scanned, 5).collect()) for _ in range(2))
+    assert one == two
+
+
 def test_write_shards(scanned, spark, tmp_path):
     placed = materialize(stratified_shards(scanned, 3))
     write_shards(scanned, placed, str(tmp_path / "shards"), columns=["doc_id", "text"])
