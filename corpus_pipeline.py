@@ -26,7 +26,8 @@ def _scanned(docs: DataFrame) -> DataFrame:
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of the file scan ``docs`` whose identity is in ``kept``."""
     known = docs.select(*docs.columns, F.xxhash64(F.col("_metadata.file_path")).alias(RID[0]), F.col("_metadata.row_index").alias(RID[1]))
-    return known.join(materialize(kept.select(*RID), "kept"), RID, "left_semi").drop(*RID)
+    # a merge join at every size: whether the identities can be broadcast isn't left to chance
+    return known.join(materialize(kept.select(*RID), "kept").hint("merge"), RID, "left_semi").drop(*RID)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, id_col: str =
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array([x.tobytes() for x in parts], pa.binary())] if with_ids else []), names + (["ids"] if with_ids else []))
 
-    joined = tokens.join(starts, RID).select("doc_id", "doc_tokens", f"{P}width", "ids", f"{P}at")
+    joined = tokens.join(starts.hint("merge"), RID).select("doc_id", "doc_tokens", f"{P}width", "ids", f"{P}at")
     return joined.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
 
 
