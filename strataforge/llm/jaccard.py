@@ -39,7 +39,7 @@ CUTS = (4, 8, 16)
 _SETS = f"{RID[0]} long, {RID[1]} long, doc_id long, n_shingles long, {P}set long"
 _SHINGLES = f"{P}fragment int, sets binary, sizes binary, counts binary, shingles binary"
 _SHARED = f"{P}bucket int, sets binary, sizes binary, counts binary, shingles binary, freqs binary"
-_CLASSES = "set long, n long, prefix binary, segments array<binary>"
+_CLASSES = "set long, n long, m long, prefix binary, segments array<binary>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,8 @@ def _classes(percent: int):  # noqa: ANN202
         names, first, inverse = np.unique(sets, return_index=True, return_inverse=True)
         n = sizes[first]
         owner = np.repeat(inverse, counts)
-        spare = np.bincount(owner, minlength=len(names)) - (-(-percent * n // 100)) + 1
+        m = np.bincount(owner, minlength=len(names))
+        spare = m - (-(-percent * n // 100)) + 1
         order = np.lexsort((found, freq, owner))
         order = order[spare[owner[order]] > 0]
         found, freq, owner = found[order], freq[order], owner[order]
@@ -157,16 +158,18 @@ def _classes(percent: int):  # noqa: ANN202
             again = np.lexsort((part, who))
             segments.append(_six_rows(np.bincount(who, minlength=len(names))[alive], part[again]))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(segments) * len(alive) + 1, len(segments)), pa.int32()), pa.concat_arrays(segments).take(pa.array(np.arange(len(segments) * len(alive)).reshape(len(segments), -1).T.ravel())))
-        return pa.table([pa.array(names[alive].view(np.int64)), pa.array(n[alive]), packed_rows(spare, found[ragged(start, spare)]), lists], names=["set", "n", "prefix", "segments"])
+        return pa.table([pa.array(names[alive].view(np.int64)), pa.array(n[alive]), pa.array(m[alive]), packed_rows(spare, found[ragged(start, spare)]), lists], names=["set", "n", "m", "prefix", "segments"])
 
     return classes
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = cells(batch.column(2))
-        row = np.repeat(np.arange(len(batch)), np.diff(offsets) // 8)
-        yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["shingle", "set", "n"])
+        data, offsets = cells(batch.column(3))
+        count = np.diff(offsets) // 8
+        row = np.repeat(np.arange(len(batch)), count)
+        rest = batch.column(2).to_numpy()[row] - ragged(np.zeros(len(count), np.int64), count)
+        yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), *(batch.column(k).take(pa.array(row)) for k in range(3)), pa.array(rest)], ["shingle", "set", "n", "m", "rest"])
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +186,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach ``percent``, by partial overlaps summed over the fragments."""
     segments = classes.select("set", F.posexplode("segments").alias("fragment", "shingles")).where(F.length("shingles") > 0)
-    left = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("size")).join(segments.select(F.col("set").alias("a"), "fragment", F.col("shingles").alias("left")), "a")
-    both = left.join(segments.select(F.col("set").alias("b"), "fragment", F.col("shingles").alias("right")), ["b", "fragment"])
+    left = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("size")).join(segments.select(F.col("set").alias("a"), "fragment", F.col("shingles").alias("left")).hint("merge"), "a")
+    both = left.join(segments.select(F.col("set").alias("b"), "fragment", F.col("shingles").alias("right")).hint("merge"), ["b", "fragment"])
     counted = both.select("a", "b", "size", "left", "right").mapInArrow(_partial, "a long, b long, size long, common long")
     # common / (size - common) >= percent / 100
     return counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("size").alias("size")).where(F.col("common") * (100 + percent) >= F.col("size") * percent).select("a", "b")
@@ -192,7 +195,7 @@ def overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 def _pair(x: str, y: str) -> list:
     swap = F.col(f"{x}set") > F.col(f"{y}set")
-    return [F.when(swap, F.col(f"{q}{c}")).otherwise(F.col(f"{p}{c}")).alias(n) for c, p, q, n in (("set", x, y, "a"), ("set", y, x, "b"), ("n", x, y, "na"), ("n", y, x, "nb"))]
+    return [F.when(swap, F.col(f"{q}{c}")).otherwise(F.col(f"{p}{c}")).alias(n) for c, p, q, n in (("set", x, y, "a"), ("set", y, x, "b"), ("n", x, y, "na"), ("n", y, x, "nb"), ("rest", x, y, "ra"), ("rest", y, x, "rb"))]
 
 
 def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -221,40 +224,39 @@ def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     table = materialize(rows.mapInArrow(sets, _SETS), "sets")
     shared = rows.mapInArrow(split, _SHINGLES).groupBy(f"{P}fragment").applyInArrow(_shared(fragments), _SHARED)
     classes = materialize(shared.groupBy(f"{P}bucket").applyInArrow(_classes(percent), _CLASSES), "classes")
-    prefix = materialize(classes.select("set", "n", "prefix").mapInArrow(_prefix_rows, "shingle long, set long, n long"), "prefix")
+    prefix = materialize(classes.select("set", "n", "m", "prefix").mapInArrow(_prefix_rows, "shingle long, set long, n long, m long, rest long"), "prefix")
     links, labels = None, None
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))
+    # sizes fit, and so do the shingles from here on in the global order: ``rest`` bounds the overlap
+    # of two classes whose first common shingle this is
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent) & (F.col("a") != F.col("b"))
+    renamed = lambda p: {c: p + c for c in ("set", "n", "rest", "component")}
 
     def members() -> DataFrame:
-        """Rows of the prefix lists that hold more than one component, with their components."""
+        """The prefix lists with their members' components."""
         if labels is None:
             return prefix.withColumn("component", F.col("set"))
-        known = prefix.join(labels.withColumnRenamed("node", "set"), "set", "left").select("shingle", "set", "n", F.coalesce("component", "set").alias("component"))
-        return materialize(known, "lists")
+        known = prefix.join(labels.withColumnRenamed("node", "set"), "set", "left")
+        return materialize(known.withColumn("component", F.coalesce("component", "set")), "lists")
 
     for turn in range(PIVOTS + 1):
-        lists = members()
-        if turn < PIVOTS:
-            # sizes within a class fit; the pivot of a list and class has the least seeded hash
-            lists = lists.withColumn("class", F.floor(F.log("n") / float(np.log(100 / percent))))
-            by = ["shingle", "class"]
-            pivot = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n", "component")).alias("p")
-        else:
-            by, pivot = ["shingle"], F.lit(None).alias("p")
-        groups = lists.groupBy(*by).agg(pivot, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        if turn < PIVOTS:
-            groups = materialize(groups.select(*by, F.col("p.set").alias("pset"), F.col("p.n").alias("pn"), F.col("p.component").alias("pcomponent")), "pivots")
-            met = lists.withColumnsRenamed({"set": "mset", "n": "mn", "component": "mcomponent"}).join(groups, by)
-        else:
-            groups = materialize(groups.select("shingle"), "open")
-            left = materialize(lists.join(groups, "shingle").select("shingle", F.col("set").alias("mset"), F.col("n").alias("mn"), F.col("component").alias("mcomponent")), "open")
-            right = left.withColumnsRenamed({"mset": "pset", "mn": "pn", "mcomponent": "pcomponent"})
-            met = left.join(right, "shingle").where("mcomponent < pcomponent")
-        pairs = materialize(met.where("mcomponent <> pcomponent").select(*_pair("m", "p")).where(fits).distinct(), "pairs")
+        lists, by = members(), ["shingle"]
+        if turn < PIVOTS:  # sizes within a size class fit
+            lists, by = lists.withColumn("class", F.floor(F.log("n") / max(float(np.log(100 / percent)), 1e-6))), ["shingle", "class"]
+        # the first pivot is the member that shares the largest part of its shingles with others:
+        # most likely what the others are copies of; later pivots have the least seeded hash
+        rank = [(-F.col("m") / F.col("n")).alias("r")] if turn == 0 else []
+        pivot = F.min(F.struct(*rank, F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n", "rest", "component")).alias("p")
+        groups = lists.groupBy(*by).agg(pivot, F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        groups = materialize(groups.select(*by, "least", *(F.col(f"p.{c}").alias(f"p{c}") for c in renamed("p"))), "pivots")
+        # a member needs enough shingles from here on for the smallest set that it can meet here
+        other = F.greatest(F.col("least"), F.ceil(F.col("mn") * percent / 100))
+        met = lists.withColumnsRenamed(renamed("m")).join(groups, by).where(F.col("mrest") * (100 + percent) >= (F.col("mn") + other) * percent)
+        if turn == PIVOTS:
+            left = materialize(met.select("shingle", *renamed("m").values()), "open")
+            met = left.join(left.withColumnsRenamed({f"m{c}": f"p{c}" for c in renamed("p")}), "shingle").where("mcomponent < pcomponent")
+        pairs = materialize(met.where("mcomponent <> pcomponent").select(*_pair("m", "p")).where(fits).select("a", "b", "na", "nb").distinct(), "pairs")
         if pairs.isEmpty():
-            if turn < PIVOTS:
-                continue
-            break
+            continue
         good = materialize(overlapping(pairs, classes, percent), "links")
         if not good.isEmpty():
             links = good if links is None else links.union(good)
