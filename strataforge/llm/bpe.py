@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +36,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_WORDS, BLOCK_BYTES = 300_000, 32 << 20
 _BLOCK = [f"{P}block_file", f"{P}block_row"]
 _WORDS = f"{P}bucket int, {_BLOCK[0]} long, {_BLOCK[1]} long, numbers binary, sizes binary, words binary"
-_PLACED = f"{_BLOCK[0]} long, {_BLOCK[1]} long, {RID[0]} long, {RID[1]} long, doc_id long, positions binary"
+_PLACED = f"{_BLOCK[0]} long, {_BLOCK[1]} long, {RID[0]} array<long>, {RID[1]} array<long>, doc_id array<long>, pieces binary, positions binary"
 _IDS = f"{_BLOCK[0]} long, {_BLOCK[1]} long, numbers binary, counts binary, ids binary"
 
 
@@ -51,6 +52,14 @@ def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=token_ranks(path), special_tokens={})
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    return zlib.compress(varint(values)[0].tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    return unvarint(np.frombuffer(zlib.decompress(data), np.uint8))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], words: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     """The words of each block by bucket, or (``words`` false) its documents' positions."""
     index, block, size, kept = PieceIndex(), None, 0, []
@@ -61,15 +70,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool, buckets: int) -> Ite
         hashes, lengths, data = (np.concatenate(x) for x in zip(*kept, strict=True))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        start = np.cumsum(lengths) - lengths
-        per = np.bincount(bucket, minlength=buckets)
-        some = np.flatnonzero(per)
-        flat = data[ragged(start[order], lengths[order])]
-        bytes_per = np.bincount(bucket, weights=lengths, minlength=buckets).astype(np.int64)[some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), *(pa.array(np.full(len(some), x), pa.int64()) for x in block), packed_rows(per[some], order.astype("<u4")), packed_rows(per[some], lengths[order].astype("<u4")), packed_rows(bytes_per, flat)],
-            [x.split(" ")[0] for x in _WORDS.split(", ")],
-        )
+        start = (np.cumsum(lengths) - lengths)[order]
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(edge))
+        parts: list[list[bytes]] = [[], [], []]
+        for k in some.tolist():
+            here = order[edge[k] : edge[k + 1]]  # ascending: small steps
+            flat = data[ragged(start[edge[k] : edge[k + 1]], lengths[here])]
+            for part, value in zip(parts, (_squeezed(np.diff(here, prepend=0)), _squeezed(lengths[here]), zlib.compress(flat.tobytes(), 1)), strict=True):
+                part.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(np.full(len(some), x), pa.int64()) for x in block), *(pa.array(x, pa.binary()) for x in parts)], [x.split(" ")[0] for x in _WORDS.split(", ")])
 
     for batch in batches:
         file, row, doc_id, text = batch.columns
@@ -86,10 +96,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool, buckets: int) -> Ite
                 lengths = (ends - starts)[fresh]
                 kept.append((hashes[fresh], lengths, data[ragged(starts[fresh], lengths)]))
             else:
-                packed, sizes = varint(numbers)
-                total = np.concatenate(([0], np.cumsum(sizes)))
+                ends_here = pa.array([0, j - i], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(j - i, x), pa.int64()) for x in block), file.slice(i, j - i), row.slice(i, j - i), doc_id.slice(i, j - i), packed_rows(np.diff(total[first]), packed)],
+                    [*(pa.array([x], pa.int64()) for x in block), *(pa.ListArray.from_arrays(ends_here, c.slice(i, j - i)) for c in (file, row, doc_id)), pa.array([_squeezed(np.diff(first))], pa.binary()), pa.array([_squeezed(numbers)], pa.binary())],
                     [x.split(" ")[0] for x in _PLACED.split(", ")],
                 )
     yield from flush()
@@ -98,10 +107,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool, buckets: int) -> Ite
 def _encode_bucket(path: str, pattern: str, kind: str):  # noqa: ANN202
     def encode(table: pa.Table) -> pa.Table:
         encoder, known, counts, ids = _encoder(path, pattern), {}, [], []
-        (sizes, size_at), (data, data_at) = cells(table["sizes"]), cells(table["words"])
-        for k in range(len(table)):
-            text = data[data_at[k] : data_at[k + 1]].tobytes()
-            ends = np.cumsum(sizes[size_at[k] : size_at[k + 1]].view("<u4")).tolist()
+        for sizes, words in zip(table["sizes"].to_pylist(), table["words"].to_pylist(), strict=True):
+            text = zlib.decompress(words)
+            ends = np.cumsum(_unsqueezed(sizes)).tolist()
             row, start = [], 0
             for end in ends:
                 word = text[start:end]
@@ -110,8 +118,8 @@ def _encode_bucket(path: str, pattern: str, kind: str):  # noqa: ANN202
                 if found is None:
                     found = known[word] = encoder.encode_ordinary(word.decode())
                 row.append(found)
-            counts.append(np.fromiter(map(len, row), "<u4", len(row)).tobytes())
-            ids.append(np.fromiter((x for w in row for x in w), kind).tobytes())
+            counts.append(_squeezed(np.fromiter(map(len, row), np.int64, len(row))))
+            ids.append(zlib.compress(np.fromiter((x for w in row for x in w), kind).tobytes(), 1))
         return table.select([*_BLOCK, "numbers"]).append_column("counts", pa.array(counts, pa.binary())).append_column("ids", pa.array(ids, pa.binary()))
 
     return encode
@@ -119,18 +127,21 @@ def _encode_bucket(path: str, pattern: str, kind: str):  # noqa: ANN202
 
 def _reassemble(kind: str):  # noqa: ANN202
     def reassemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        number, count, flat = (np.ascontiguousarray(cells(words[c])[0]).view(k).astype(np.int64 if c != "ids" else "<u4") for c, k in (("numbers", "<u4"), ("counts", "<u4"), ("ids", kind)))
+        held = {c: words[c].to_pylist() for c in ("numbers", "counts", "ids")}
+        number = np.concatenate([np.cumsum(_unsqueezed(x)) for x in held["numbers"]] or [np.zeros(0, np.int64)])
+        count = np.concatenate([_unsqueezed(x) for x in held["counts"]] or [np.zeros(0, np.int64)])
+        flat = np.frombuffer(b"".join(map(zlib.decompress, held["ids"])), kind)
         size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         size[number], start[number] = count, np.cumsum(count) - count
         out = []
-        for batch in docs.to_batches(max_chunksize=512):
-            data, offsets = cells(batch.column("positions"))
-            place = unvarint(data)
-            done = np.concatenate(([0], np.cumsum(data < 128)))[offsets]
+        for k in range(len(docs)):
+            rows = [docs[c].combine_chunks().slice(k, 1).flatten() for c in (*RID, "doc_id")]
+            place = _unsqueezed(docs["positions"][k].as_py())
+            done = np.concatenate(([0], np.cumsum(_unsqueezed(docs["pieces"][k].as_py()))))
             lengths = size[place]
-            ids = flat[ragged(start[place], lengths)]
+            ids = flat[ragged(start[place], lengths)].astype("<u4")
             total = np.concatenate(([0], np.cumsum(lengths)))[done]
-            out.append(pa.RecordBatch.from_arrays([batch.column(RID[0]), batch.column(RID[1]), batch.column("doc_id"), pa.array(np.diff(total), pa.int64()), packed_rows(np.diff(total), ids)], [*RID, "doc_id", "n_tokens", "ids"]))
+            out.append(pa.RecordBatch.from_arrays([*rows, pa.array(np.diff(total), pa.int64()), packed_rows(np.diff(total), ids)], [*RID, "doc_id", "n_tokens", "ids"]))
         return pa.Table.from_batches(out) if out else pa.table({RID[0]: pa.array([], pa.int64()), RID[1]: pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
 
     return reassemble
