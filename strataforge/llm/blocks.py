@@ -49,9 +49,14 @@ def fragments_for(blocks: DataFrame, share: float) -> int:
     return max(partitions(blocks.sparkSession), int(size / 6 * share / FRAGMENT_ENTRIES) + 1)
 
 
-def entry_batch(fragments: int, block: tuple, slots: np.ndarray, ids: np.ndarray, text: np.ndarray, hashes: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
-    """Entries of one block by fragment. ``text`` is the row of each entry in ``slots`` and ``ids``."""
+def entry_batch(fragments: int, block: tuple, slots: np.ndarray, ids: np.ndarray, text: np.ndarray, hashes: np.ndarray, positions: np.ndarray, width: int = 8) -> pa.RecordBatch:
+    """Entries of one block by fragment. ``text`` is the row of each entry in ``slots`` and ``ids``.
+
+    ``width`` bytes of a hash travel: all 8 where equal hashes decide, 5 where an exact step follows.
+    """
     fragment = (hashes % np.uint64(fragments)).astype(np.int64)
+    if width < 8:
+        hashes = hashes // np.uint64(fragments)
     order = np.lexsort((positions, text, fragment))
     fragment, text = fragment[order], text[order]
     per = np.bincount(fragment, minlength=fragments)
@@ -65,7 +70,7 @@ def entry_batch(fragments: int, block: tuple, slots: np.ndarray, ids: np.ndarray
         [
             pa.array(some, pa.int32()), *(pa.array(np.full(len(some), x), pa.int64()) for x in block),
             packed_rows(docs, slots[text[at]].astype("<u2")), packed_rows(docs, counts.astype("<u4")), packed_rows(docs, ids[text[at]].astype("<i8")),
-            packed_rows(per[some], hashes[order].astype("<u8")), packed_rows(per[some], positions[order].astype("<u4")),
+            packed_rows(per[some] * width, np.ascontiguousarray(hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()), packed_rows(per[some], positions[order].astype("<u4")),
         ],
         [x.split(" ")[0] for x in _ENTRIES.split(", ")],
     )
@@ -88,10 +93,13 @@ def _report(decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
     """A fragment's function: group entries by hash, let ``decide`` mark groups' entries, report them."""
 
     def report(table: pa.Table) -> pa.Table:
-        hashes = cells(table["hashes"])[0].view("<u8")
-        if not len(hashes):
+        (rows, _), (counts, _), (docs, _), (positions, entry_at) = (cells(table[c]) for c in ("rows", "counts", "docs", "positions"))
+        if not len(positions):
             return table.select([*BLOCK, "rows", "positions"]).slice(0, 0)
-        (rows, _), (counts, _), (docs, doc_at), (positions, entry_at) = (cells(table[c]) for c in ("rows", "counts", "docs", "positions"))
+        raw = cells(table["hashes"])[0].reshape(len(positions) // 4, -1)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, : raw.shape[1]] = raw
+        hashes = wide.view("<u8")[:, 0]
         counts = counts.view("<u4").astype(np.int64)
         doc = np.repeat(np.arange(len(counts)), counts)  # a document of a row, by entry
         order = np.argsort(hashes, kind="stable")

@@ -47,7 +47,7 @@ def cover_anchors(blocks: DataFrame, window: int, fragments: int) -> DataFrame:
                     kept = on[position % PERIOD]
                     at, text, position = at[kept], text[kept], position[kept]
                     if len(at):
-                        yield entry_batch(fragments, block, slots, ids, text + i, span_hashes(hashes, at, at + size), position)
+                        yield entry_batch(fragments, block, slots, ids, text + i, span_hashes(hashes, at, at + size), position, 5)
 
     return blocks.mapInArrow(anchors, ENTRIES)
 
