@@ -1,10 +1,10 @@
 """Embedding near-duplicates: a navigable small-world graph per shard, queried by every vector.
 
 Equal vectors are one node. Nodes are dealt to shards by hash; a task builds a shard's hierarchical
-graph, and blocks of queries meet each shard's graph. A beam that is full of links is widened, and
-a block's beams are widened until an audit of some of its queries against the whole shard reaches
-the recall asked for (at worst the beam is the shard). Every link's cosine is then verified in
-double precision, and linked nodes are united.
+graph, and blocks of queries meet each shard's graph. A query whose beam is full of links is
+compared with the whole shard. Some of a block's other queries are audited against the whole shard;
+unless each of them has the recall asked for, the whole block is compared with the whole shard.
+Every link's cosine is then verified in double precision, and linked nodes are united.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links
 with nothing; vectors link only with vectors of their length; null and repeated ids are rows of
@@ -25,11 +25,11 @@ from strataforge.llm.graph import components
 from strataforge.llm.store import RID, P, identified, is_scan, materialize
 from strataforge.llm.textcore import mix
 
-#: Neighbours of a node at level 0 (half above), beam while building, first beam while searching.
+#: Neighbours of a node at level 0 (half above), beam while building, beam while searching.
 DEGREE, BUILD_BEAM, BEAM = 32, 48, 48
-#: Shards at least, nodes of a shard at most (about), queries of a block, audited queries of a block.
+#: Shards at least, nodes of a shard at most (about), queries of a block, audited queries of a block, recall of each.
 SHARDS, SHARD_NODES, BLOCK_QUERIES, AUDITED, RECALL = 4, 100_000, 8192, 64, 0.99
-_BATCH, _EXPAND, _SLACK = 256, 4, 1e-5
+_BATCH, _EXPAND, _SLACK, _VERIFIED = 256, 4, 1e-5, 1 << 16
 
 
 class SmallWorld:
@@ -177,23 +177,49 @@ class SmallWorld:
             near, members = flat, np.arange(len(members))
         self.levels[-1] = (members, near)
 
-    def links(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of at least ``least`` that beams of ``beam`` find, widened where full."""
-        n = len(self.unit)
-        wait, out = np.arange(len(queries)), []
-        unit = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+    def near(self, unit: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node) pairs of at least ``least`` that beams of ``beam`` find, and which beams are full of such."""
+        n, full, out = len(self.unit), np.zeros(len(unit), bool), []
         step = max(8, min(_BATCH * 2, (32 << 20) // n))
-        while len(wait):
-            width, again = min(beam, n), []
-            for c in range(0, len(wait), step):
-                some = wait[c : c + step]
-                nodes, sims = self._beam(unit[some], self._enter(unit[some], len(self.levels) - 1), self.levels[-1][1], None, width)
-                full = (sims[:, -1] >= least - _SLACK) & (width < n)
-                again.append(some[full])
-                a, k = np.nonzero((sims >= least - _SLACK) & ~full[:, None] & (nodes >= 0))
-                out.append((some[a], nodes[a, k]))
-            wait, beam = np.concatenate(again), beam * 4
-        return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        for c in range(0, len(unit), step):
+            some = unit[c : c + step]
+            nodes, sims = self._beam(some, self._enter(some, len(self.levels) - 1), self.levels[-1][1], None, min(beam, n))
+            full[c : c + step] = sims[:, -1] >= least - self._slack()
+            a, k = np.nonzero((sims >= least - self._slack()) & (nodes >= 0))
+            out.append((c + a, nodes[a, k]))
+        return *_joined(out), full
+
+    def exact(self, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, node) pairs of at least ``least``, by comparing slices of queries with every node."""
+        out, step = [], max(8, (8 << 20) // len(self.unit))
+        for c in range(0, len(unit), step):
+            a, node = np.nonzero(unit[c : c + step] @ self.unit.T >= least - self._slack())
+            out.append((c + a, node))
+        return _joined(out)
+
+    def links(self, queries: np.ndarray, least: float, beam: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of at least ``least``: from beams of ``beam`` where an audit allows, else exact.
+
+        Queries whose beam is full are compared with every node. Some of the others (least hash of
+        ``keys``) are audited; if one of them misses more than it may of its own pairs, all others
+        are compared with every node as well.
+        """
+        unit = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+        query, node, whole = self.near(unit, least, beam)
+        rest = np.flatnonzero(~whole)
+        keys = np.arange(len(unit)) if keys is None else keys
+        audit = rest[np.argsort(mix(keys[rest].astype(np.int64).view(np.uint64)))[:AUDITED]]
+        sample, there = self.exact(unit[audit], least)
+        hit = np.isin(audit[sample] * len(self.unit) + there, query * len(self.unit) + node)
+        true, missed = np.bincount(sample, minlength=len(audit)), np.bincount(sample[~hit], minlength=len(audit))
+        if (missed > (1 - RECALL) * np.maximum(true - 1, 0)).any():  # one of its pairs is the query's own node, if here
+            whole = np.ones(len(unit), bool)
+        full, by_beam = np.flatnonzero(whole), ~whole[query]
+        again, other = self.exact(unit[full], least)
+        return np.concatenate((query[by_beam], full[again])), np.concatenate((node[by_beam], other))
+
+    def _slack(self) -> float:
+        return max(_SLACK, self.unit.shape[1] * 2.0**-23)
 
     def dump(self) -> bytes:
         file = io.BytesIO()
@@ -208,6 +234,10 @@ class SmallWorld:
         return self
 
 
+def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+
+
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.zeros((0, 0))
 
@@ -224,21 +254,13 @@ def _search(least: float):  # noqa: ANN202
             graph = SmallWorld.load(graphs["graph"][0].as_py())
             names, held = np.frombuffer(graphs["nodes"][0].as_py(), np.int64), np.frombuffer(graphs["vectors"][0].as_py(), np.float64).reshape(len(graph.unit), -1)
             mine, asked = queries["node"].to_numpy(), _vectors(queries["vector"]).astype(np.float64)
-            audit = np.argsort(mix(mine.view(np.uint64)))[:AUDITED]
-            unit, audited = held / np.linalg.norm(held, axis=1, keepdims=True), asked[audit]
-            truth = (audited / np.linalg.norm(audited, axis=1, keepdims=True)) @ unit.T >= least
-            beam = BEAM
-            while True:  # widen until the audit passes; a beam as wide as the shard misses nothing it can reach
-                sample, node = graph.links(audited, least, beam)
-                hit = np.zeros(truth.shape, bool)
-                hit[sample, node] = True
-                if (hit & truth).sum() >= RECALL * truth.sum() or beam >= len(held):
-                    break
-                beam *= 2
-            query, node = graph.links(asked, least, beam)
-            good = (_cosines(asked[query], held[node]) >= least) & (mine[query] != names[node])
+            query, node = graph.links(asked, least, BEAM, mine)
+            good = mine[query] != names[node]
+            for c in range(0, len(query), _VERIFIED):
+                here = slice(c, c + _VERIFIED)
+                good[here] &= _cosines(asked[query[here]], held[node[here]]) >= least
             out.append((mine[query[good]], names[node[good]]))
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        a, b = _joined(out)
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return search

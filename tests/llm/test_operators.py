@@ -7,12 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 import tiktoken
 
 from strataforge.llm.bpe import RANKS, bpe_decode, bpe_encode, token_ranks
-from strataforge.llm.embeddings import SmallWorld, embedding_links
+from strataforge.llm.embeddings import SmallWorld, _search, embedding_links
 from strataforge.llm.exact_dedup import build_levels, exact_dedup, slots
 from strataforge.llm.graph import components
 from strataforge.llm.jaccard import jaccard_components
@@ -235,3 +236,27 @@ def test_small_world_recall():
     hit = np.zeros_like(truth)
     hit[a, b] = True
     assert (hit & truth).sum() >= 0.99 * truth.sum()
+
+
+def unreachable_links(hot: int) -> tuple[set, set]:
+    """Links found and true among small groups that a shard's graph has no way to, beside a hot group of ``hot``."""
+    rnd = np.random.default_rng(4)
+    vectors = rnd.normal(size=(1500, 24))
+    vectors[:hot] = vectors[0] + 0.1 * rnd.normal(size=(hot, 24))
+    vectors[1300:] = np.repeat(vectors[1300::5], 5, axis=0) + 0.1 * rnd.normal(size=(200, 24))
+    names = np.arange(1500)
+    graph = SmallWorld(vectors, names)
+    for _, near in graph.levels:
+        near[near >= 1300] = -1
+    table = pa.table({"graph": [graph.dump()], "nodes": [names.tobytes()], "vectors": [vectors.tobytes()]})
+    got = _search(0.9)(pa.table({"node": names, "vector": list(vectors)}), table)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)), strict=True) if a >= 1300}
+    assert len(true) > 300
+    return {(a, b) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True) if a >= 1300}, true
+
+
+def test_small_groups_beside_a_hot_one_are_audited_on_their_own():
+    got, true = unreachable_links(500)
+    assert got == true
+
