@@ -260,3 +260,8 @@ def test_small_groups_beside_a_hot_one_are_audited_on_their_own():
     got, true = unreachable_links(500)
     assert got == true
 
+
+def test_nodes_that_no_beam_reaches_are_compared_exactly():
+    got, true = unreachable_links(0)
+    assert got == true
+
