@@ -265,3 +265,18 @@ def test_nodes_that_no_beam_reaches_are_compared_exactly():
     got, true = unreachable_links(0)
     assert got == true
 
+
+def test_embeddings_recall_outside_a_hot_group(spark):
+    rnd = np.random.default_rng(6)
+    vectors = rnd.normal(size=(1200, 24))
+    vectors[:400] = vectors[0] + 0.1 * rnd.normal(size=(400, 24))
+    vectors[1000:] = np.repeat(vectors[1000::5], 5, axis=0) + 0.1 * rnd.normal(size=(200, 24))
+    vectors = vectors.astype("f4")
+    got = {r.vec_id: r.n_links for r in embedding_links(spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>")).collect()}
+    unit = vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert true[:400].min() > 300 and true[1000:].sum() > 600
+    for part in (slice(0, 400), slice(400, 1200)):
+        assert sum(got[k] for k in range(1200)[part]) >= 0.99 * true[part].sum()
+    assert all(got[k] <= true[k] for k in range(1200))
+
