@@ -11,13 +11,22 @@ from strataforge.functions import content_sha256
 def file_manifest(files: DataFrame, by: str, name: str, content: str) -> DataFrame:
     """(group, n_files, total_bytes, manifest): a map name -> SHA-256 with its names in order.
 
-    Suited to groups of files that belong together; a group's map is one value.
+    Suited to small groups of files that belong together: a group's map is one value, and a name
+    may not repeat in it. ``manifest_rows`` has neither limit.
     """
     size = F.octet_length(content) if dict(files.dtypes)[content] == "string" else F.length(content)
     entry = F.struct(F.col(name).alias("key"), content_sha256(F.col(content)).alias("value"))
     return files.groupBy(by).agg(F.count("*").alias("n_files"), F.sum(size).cast("long").alias("total_bytes"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("manifest"))
 
 
+def manifest_rows(files: DataFrame, by: str, name: str, content: str) -> DataFrame:
+    """(group, name, digest, n_files, total_bytes), a row per file; groups of any size, repeated and null names included."""
+    size = F.octet_length(content) if dict(files.dtypes)[content] == "string" else F.length(content)
+    totals = files.groupBy(F.col(by).alias("_group")).agg(F.count("*").alias("n_files"), F.sum(size).cast("long").alias("total_bytes"))
+    rows = files.select(by, F.col(name).alias("name"), content_sha256(F.col(content)).alias("digest"))
+    return rows.join(totals, F.col(by).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def duplicate_names(rows: DataFrame, name: str) -> DataFrame:
     """(normalized, copies) of names that coincide once case and underscores are set aside."""
     return rows.groupBy(F.translate(F.lower(name), "_", "-").alias("normalized")).agg(F.count("*").alias("copies")).where("copies > 1")

@@ -209,7 +209,7 @@ SELECT host, page_id::VARCHAR AS name, sha256(html) AS digest, count(*) OVER w A
 def manifest_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of a host as its files."""
     files = _table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.col("page_id").cast("string").alias("name"), "html")
-    return identity.file_manifest(files, "host", "name", "html").select("host", F.explode("manifest").alias("name", "digest"), "n_files", "total_bytes")
+    return identity.manifest_rows(files, "host", "name", "html")
 
 
 @_query("""
@@ -334,9 +334,10 @@ WITH s AS (SELECT o_custkey, list(DISTINCT o_orderstatus) AS a, list(DISTINCT le
 SELECT o_custkey, NOT list_has_any(a, ['P']) AS disjoint_from_p, len(a) = 2 AND list_has_all(a, ['F', 'O']) AS exactly_f_o, len(b) = n AS no_repeats FROM s""")
 def set_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's order statuses and priorities as sets."""
-    per = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("a"), F.collect_list(F.substring("o_orderpriority", 1, 1)).alias("b"))
+    b = F.substring("o_orderpriority", 1, 1)
+    per = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("a"), (F.count_distinct(b) == F.count(b)).alias("no_repeats"))
     want = lambda *x: F.array(*map(F.lit, x))
-    return per.select("o_custkey", identity.disjoint(F.col("a"), want("P")).alias("disjoint_from_p"), identity.set_equal(F.col("a"), want("F", "O")).alias("exactly_f_o"), identity.no_repeats(F.col("b")).alias("no_repeats"))
+    return per.select("o_custkey", identity.disjoint(F.col("a"), want("P")).alias("disjoint_from_p"), identity.set_equal(F.col("a"), want("F", "O")).alias("exactly_f_o"), "no_repeats")
 
 
 @_query("""
