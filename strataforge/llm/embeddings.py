@@ -1,10 +1,11 @@
 """Embedding near-duplicates: a navigable small-world graph per shard, queried by every vector.
 
 Equal vectors are one node. Nodes are dealt to shards by hash; a task builds a shard's hierarchical
-graph, and blocks of queries meet each shard's graph. A query whose beam is full of links is
-compared with the whole shard. Some of a block's other queries are audited against the whole shard;
-unless each of them has the recall asked for, the whole block is compared with the whole shard.
-Every link's cosine is then verified in double precision, and linked nodes are united.
+graph and writes it to the shared folder, where blocks of queries find it. A search follows a beam
+to the nearest nodes and from there opens every node that is near enough. Queries of each block are
+audited against the whole shard, each on its own links, and beams double until all of them pass; a
+beam as wide as the shard is a comparison with all of it. Cosines are verified in double precision.
+A block's task counts its links and unites what they join: no table holds a row per pair.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links
 with nothing; vectors link only with vectors of their length; null and repeated ids are rows of
@@ -14,21 +15,29 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 import io
+import uuid
 
 import numpy as np
+from pyarrow import fs
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.graph import components
-from strataforge.llm.store import RID, P, identified, is_scan, materialize
-from strataforge.llm.textcore import mix
-
-#: Neighbours of a node at level 0 (half above), beam while building, beam while searching.
-DEGREE, BUILD_BEAM, BEAM = 32, 48, 48
-#: Shards at least, nodes of a shard at most (about), queries of a block, audited queries of a block, recall of each.
-SHARDS, SHARD_NODES, BLOCK_QUERIES, AUDITED, RECALL = 4, 100_000, 8192, 64, 0.99
+from strataforge.llm.store import PART_BYTES, RID, P, fresh_dir, identified, is_scan, materialize, partitions
+from strataforge.llm.textcore import mix, ragged
+
+#: Neighbours of a node at level 0 (half above), beam while building, first beam while searching.
+DEGREE, BUILD_BEAM, BEAM = 32, 48, 32
+#: Bytes of a shard and of a block of queries: eight for a component and ``NODE_BYTES`` more for a node.
+SHARD_BYTES, BLOCK_BYTES, NODE_BYTES = 16 << 20, 4 << 20, 512
+#: Queries of an audit's first round, and links that an audit wants to have seen; recall of each audited query.
+AUDITED, RECALL = 64, 0.99
+#: Nodes this much below the threshold are opened too: groups hang together by them.
+_AROUND = 0.02
 _BATCH, _EXPAND, _SLACK, _VERIFIED = 256, 4, 1e-5, 1 << 16
 
 
@@ -36,8 +45,7 @@ class SmallWorld:
     """A hierarchical navigable small-world graph over unit vectors; batches move in lock step."""
 
     def __init__(self, vectors: np.ndarray, keys: np.ndarray) -> None:
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.unit = (vectors / norms).astype(np.float32)
+        self.unit = unit_vectors(vectors)
         uniform = ((mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(11)).astype(float) + 1) / 2**53
         level = np.floor(-np.log(uniform) / np.log(DEGREE / 2)).astype(int)
         top = int(level.max(initial=0))
@@ -134,7 +142,7 @@ class SmallWorld:
         row = np.full(len(self.unit), -1)
         row[members] = np.arange(len(members))
         near = np.full((len(members), degree), -1, np.int32)
-        done = 0
+        done, edges = 0, [(members[:0], members[:0])]
         while done < len(members):
             size = min(_BATCH, max(32, done), len(members) - done)
             batch = members[done : done + size]
@@ -144,11 +152,13 @@ class SmallWorld:
             mine = np.argsort(-own, axis=1)[:, : BUILD_BEAM // 3]
             nodes, sims = batch[mine], np.take_along_axis(own, mine, 1)
             nodes = np.where(sims > -9, nodes, -1)
+            edges.append((batch[sims[:, 0] > -9], nodes[sims[:, 0] > -9, 0]))
             if done:
                 start = self._enter(queries, len(self.levels) - 1) if len(self.levels) > 1 else np.full(size, members[0])
                 outside = row[start] >= done  # not inserted yet: begin at the first node
                 start[outside] = members[0]
                 more, more_sims = self._beam(queries, start, near, row, BUILD_BEAM)
+                edges.append((batch, more[:, 0]))
                 nodes, sims = np.concatenate((nodes, more), axis=1), np.concatenate((sims, more_sims), axis=1)
             links = self._choose(nodes, sims, degree)
             near[done : done + size] = links
@@ -175,66 +185,95 @@ class SmallWorld:
             flat = np.full_like(near, -1)
             flat[members] = near
             near, members = flat, np.arange(len(members))
+            # the nearest nodes of its batch and before it that each node met, both ways: pruned by nobody
+            a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+            order = np.argsort(np.concatenate((a, b)), kind="stable")
+            self.kin, self.kin_at = np.concatenate((b, a))[order].astype(np.int32), np.searchsorted(np.concatenate((a, b))[order], np.arange(len(members) + 1))
         self.levels[-1] = (members, near)
 
-    def near(self, unit: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, node) pairs of at least ``least`` that beams of ``beam`` find, and which beams are full of such."""
-        n, full, out = len(self.unit), np.zeros(len(unit), bool), []
-        step = max(8, min(_BATCH * 2, (32 << 20) // n))
+    def near(self, unit: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) pairs of at least ``least`` that searches with beams of ``beam`` find, some queries at a time.
+
+        A beam leads to the nearest nodes; from there every node that is near enough is opened, whatever
+        the beam's width, so that the work follows the links and a group isn't cut off by a full beam.
+        """
+        n, bottom = len(self.unit), self.levels[-1][1]
+        step, least = max(8, min(_BATCH * 2, (16 << 20) // n)), least - self._slack()
         for c in range(0, len(unit), step):
             some = unit[c : c + step]
-            nodes, sims = self._beam(some, self._enter(some, len(self.levels) - 1), self.levels[-1][1], None, min(beam, n))
-            full[c : c + step] = sims[:, -1] >= least - self._slack()
-            a, k = np.nonzero((sims >= least - self._slack()) & (nodes >= 0))
-            out.append((c + a, nodes[a, k]))
-        return *_joined(out), full
-
-    def exact(self, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, node) pairs of at least ``least``, by comparing slices of queries with every node."""
-        out, step = [], max(8, (8 << 20) // len(self.unit))
+            nodes, sims = self._beam(some, self._enter(some, len(self.levels) - 1), bottom, None, min(beam, n))
+            seen = np.zeros((len(some), n), bool)
+            a, k = np.nonzero((sims >= least - _AROUND) & (nodes >= 0))
+            query, node, good, found = a, nodes[a, k], sims[a, k] >= least, []
+            seen[query, node] = True
+            while len(query):
+                found.append((c + query[good], node[good]))
+                fresh = []
+                for low in range(0, len(query), 1 << 14):
+                    opened, asking = node[low : low + (1 << 14)], query[low : low + (1 << 14)]
+                    around, kin = bottom[opened], self.kin_at[opened + 1] - self.kin_at[opened]
+                    who = np.broadcast_to(asking[:, None], around.shape)[around >= 0]
+                    key = np.concatenate((who * n + around[around >= 0], np.repeat(asking, kin) * n + self.kin[ragged(self.kin_at[opened], kin)]))
+                    key = np.unique(key[~seen.ravel()[key]])
+                    seen.ravel()[key] = True
+                    who, there = key // n, key % n
+                    sims = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", some[who[d : d + _VERIFIED]], self.unit[there[d : d + _VERIFIED]]) for d in range(0, len(key), _VERIFIED))])
+                    close = sims >= least - _AROUND
+                    fresh.append((who[close], there[close], sims[close] >= least))
+                query, node, good = (np.concatenate(x) for x in zip(*fresh, strict=True))
+            yield joined(found)
+
+    def exact(self, unit: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (query, node) pairs of at least ``least``: beams as wide as the shard, by slices of queries."""
+        step = max(8, (4 << 20) // len(self.unit))
         for c in range(0, len(unit), step):
             a, node = np.nonzero(unit[c : c + step] @ self.unit.T >= least - self._slack())
-            out.append((c + a, node))
-        return _joined(out)
+            yield c + a, node
 
-    def links(self, queries: np.ndarray, least: float, beam: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of at least ``least``: from beams of ``beam`` where an audit allows, else exact.
+    def links(self, queries: np.ndarray, least: float, beam: int, keys: np.ndarray, names: np.ndarray) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], int]:
+        """(query, node) pairs of at least ``least``, and the beam that an audit let pass (0: wider than the shard).
 
-        Queries whose beam is full are compared with every node. Some of the others (least hash of
-        ``keys``) are audited; if one of them misses more than it may of its own pairs, all others
-        are compared with every node as well.
+        ``keys`` and ``names`` name queries and nodes. Queries of least hash are compared with every
+        node, in rounds, until a number of links (a node to itself isn't one) or all queries are
+        audited. If one of the audited finds less than its share of its own links, all beams double.
+        A beam as wide as the shard sees every node, those without a way to them too.
         """
-        unit = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
-        query, node, whole = self.near(unit, least, beam)
-        rest = np.flatnonzero(~whole)
-        keys = np.arange(len(unit)) if keys is None else keys
-        audit = rest[np.argsort(mix(keys[rest].astype(np.int64).view(np.uint64)))[:AUDITED]]
-        sample, there = self.exact(unit[audit], least)
-        hit = np.isin(audit[sample] * len(self.unit) + there, query * len(self.unit) + node)
-        true, missed = np.bincount(sample, minlength=len(audit)), np.bincount(sample[~hit], minlength=len(audit))
-        if (missed > (1 - RECALL) * np.maximum(true - 1, 0)).any():  # one of its pairs is the query's own node, if here
-            whole = np.ones(len(unit), bool)
-        full, by_beam = np.flatnonzero(whole), ~whole[query]
-        again, other = self.exact(unit[full], least)
-        return np.concatenate((query[by_beam], full[again])), np.concatenate((node[by_beam], other))
+        unit = unit_vectors(queries)
+        order, audit, there, count = np.argsort(mix(keys.astype(np.int64).view(np.uint64)), kind="stable"), [], [], 0
+        while len(order) > len(audit) and count < AUDITED:
+            more = order[len(audit) : max(2 * len(audit), AUDITED)]
+            pairs = joined(list(self.exact(unit[more], least)))
+            other = keys[more[pairs[0]]] != names[pairs[1]]
+            there.append((len(audit) + pairs[0][other], pairs[1][other]))
+            audit, count = [*audit, *more], count + int(other.sum())
+        sample, node = joined(there)
+        true = np.bincount(sample, minlength=len(audit))
+        wanted = sample * len(self.unit) + node
+        while beam < len(self.unit):
+            query, found = joined(list(self.near(unit[audit], least, beam)))
+            missed = np.bincount(sample[~np.isin(wanted, query * len(self.unit) + found)], minlength=len(audit))
+            if (missed <= (1 - RECALL) * true).all():
+                return self.near(unit, least, beam), beam
+            beam *= 2
+        return self.exact(unit, least), 0
 
     def _slack(self) -> float:
         return max(_SLACK, self.unit.shape[1] * 2.0**-23)
 
-    def dump(self) -> bytes:
+    def dump(self, **more: np.ndarray) -> bytes:
         file = io.BytesIO()
-        np.savez(file, unit=self.unit, **{f"{'mn'[k]}{i}": x for i, level in enumerate(self.levels) for k, x in enumerate(level)})
+        np.savez(file, unit=self.unit, kin=self.kin, kin_at=self.kin_at, depth=len(self.levels), **{f"{'mn'[k]}{i}": x for i, level in enumerate(self.levels) for k, x in enumerate(level)}, **more)
         return file.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> SmallWorld:
-        held, self = np.load(io.BytesIO(data)), cls.__new__(cls)
-        self.unit = held["unit"]
-        self.levels = [(held[f"m{i}"], held[f"n{i}"]) for i in range((len(held.files) - 1) // 2)]
+    def load(cls, held: np.lib.npyio.NpzFile) -> SmallWorld:
+        self = cls.__new__(cls)
+        self.unit, self.kin, self.kin_at = (held[x] for x in ("unit", "kin", "kin_at"))
+        self.levels = [(held[f"m{i}"], held[f"n{i}"]) for i in range(int(held["depth"]))]
         return self
 
 
-def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
 
 
@@ -242,62 +281,118 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.zeros((0, 0))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors as doubles, each divided by a power of two (exactly), so that no product overflows."""
+    x = vectors.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    x = scaled(vectors)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
+def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the classes of ``a`` and ``b``, pair by pair; ``labels`` (in place) names each class by its least member."""
+    while len(a):
+        x, y = labels[a], labels[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (labels[labels] != labels).any():
+            labels[:] = labels[labels]
+
+
+@lru_cache(maxsize=1)
+def _shelf(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, SmallWorld]:
+    """Names, copies, vectors and graph of a shard's file."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as file:
+        held = np.load(io.BytesIO(file.read()))
+        return held["names"], held["copies"], held["vectors"], SmallWorld.load(held)
+
+
+def search_block(mine: np.ndarray, asked: np.ndarray, shelf: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of queries (names, vectors) against a shard: copies of all nodes linked to each, and a forest (a, b) of the links.
+
+    Pairs are verified and counted as they are found; what leaves is a number for each query and
+    an edge at most for each node met.
+    """
+    names, copies, held, graph = shelf
+    outside, labels = np.zeros(len(mine), np.int64), np.arange(len(mine) + len(names))
+    for query, node in graph.links(asked, least, BEAM, mine, names)[0]:
+        other = mine[query] != names[node]
+        query, node = query[other], node[other]
+        good = np.concatenate([np.zeros(0, bool), *(_cosines(asked[query[c : c + _VERIFIED]], held[node[c : c + _VERIFIED]]) >= least for c in range(0, len(query), _VERIFIED))])
+        query, node = query[good], node[good]
+        outside += np.bincount(query, weights=copies[node], minlength=len(mine)).astype(np.int64)
+        unite(labels, query, len(mine) + node)
+    every, child = np.concatenate((mine, names)), np.flatnonzero(labels != np.arange(len(labels)))
+    return outside, every[child], every[labels[child]]
+
+
 def _search(least: float):  # noqa: ANN202
-    def search(queries: pa.Table, graphs: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(queries) and len(graphs):
-            graph = SmallWorld.load(graphs["graph"][0].as_py())
-            names, held = np.frombuffer(graphs["nodes"][0].as_py(), np.int64), np.frombuffer(graphs["vectors"][0].as_py(), np.float64).reshape(len(graph.unit), -1)
-            mine, asked = queries["node"].to_numpy(), _vectors(queries["vector"]).astype(np.float64)
-            query, node = graph.links(asked, least, BEAM, mine)
-            good = mine[query] != names[node]
-            for c in range(0, len(query), _VERIFIED):
-                here = slice(c, c + _VERIFIED)
-                good[here] &= _cosines(asked[query[here]], held[node[here]]) >= least
-            out.append((mine[query[good]], names[node[good]]))
-        a, b = _joined(out)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    def search(queries: pa.Table, shelves: pa.Table) -> pa.Table:
+        mine = np.zeros(0, np.int64)
+        outside, a, b = mine, mine, mine
+        if len(queries) and len(shelves):
+            mine = queries["node"].to_numpy()
+            outside, a, b = search_block(mine, _vectors(queries["vector"]), _shelf(shelves["uri"][0].as_py()), least)
+        linked = outside > 0
+        return pa.table({"a": np.concatenate((mine[linked], a)), "b": pa.array(np.concatenate((np.zeros(linked.sum(), np.int64), b)), mask=np.arange(linked.sum() + len(a)) < linked.sum()), "outside": np.concatenate((outside[linked], np.zeros(len(a), np.int64)))})
 
     return search
 
 
-def _build_graphs(table: pa.Table) -> pa.Table:
-    nodes, vectors = table["node"].to_numpy(), _vectors(table["vector"]).astype(np.float64)
-    return table.select(["length", "shard"]).slice(0, 1).append_column("nodes", pa.array([nodes.tobytes()], pa.binary())).append_column("vectors", pa.array([vectors.tobytes()], pa.binary())).append_column("graph", pa.array([SmallWorld(vectors, nodes).dump()], pa.binary()))
+def _build_graphs(folder: str):  # noqa: ANN202
+    def build(table: pa.Table) -> pa.Table:
+        names, vectors = table["node"].to_numpy(), _vectors(table["vector"])
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"shard-{uuid.uuid4().hex}.npz"  # a repeated attempt writes a file of its own
+        with store.open_output_stream(f"{root}/{name}") as file:
+            file.write(SmallWorld(vectors, names).dump(names=names, copies=table["copies"].to_numpy(), vectors=vectors))
+        return table.select(["length", "shard"]).slice(0, 1).append_column("uri", pa.array([f"{folder}/{name}"]))
+
+    return build
 
 
 def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", *, scan: bool | None = None) -> DataFrame:
     """One row per row of ``embeddings``: identity, vec_id, n_links, component_id and kept."""
+    spark = embeddings.sparkSession
     scan = is_scan(embeddings) if scan is None else scan
     rows = identified(embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), *(["_metadata"] if scan else [])), "vec_id", "vector", scan=scan)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.coalesce(F.forall("vector", finite) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("vector", F.when(usable, F.col("vector"))).select(*RID, "vec_id", "vector")
-    distinct = rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
+    good, bad = rows.where(usable).select(*RID, "vec_id", "vector"), rows.where(~usable).select(*RID, "vec_id")
+    distinct = good.groupBy("vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "nodes")
-    n = nodes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_NODES)), max(1, -(-n // BLOCK_QUERIES))
+    count, values = nodes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    size = 8 * values + NODE_BYTES * count
+    shards, blocks = size // SHARD_BYTES + 1, size // BLOCK_BYTES + 1
     place = lambda k, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(k)).cast("int")
-    graphs = materialize(nodes.select("length", place(shards, 1).alias("shard"), "node", "vector").groupBy("length", "shard").applyInArrow(_build_graphs, "length int, shard int, nodes binary, vectors binary, graph binary"), "graphs")
+    shelves = materialize(
+        nodes.select("length", place(shards, 1).alias("shard"), "node", "vector", "copies").repartition(shards, "length", "shard").groupBy("length", "shard").applyInArrow(_build_graphs(fresh_dir(spark, "graphs")), "length int, shard int, uri string"), "shelves"
+    )
+    # a graph's file is read where it is needed; only its name goes along with each block of queries
     asked = nodes.select("length", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), place(blocks, 2).alias("block"), "node", "vector")
-    shelves = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    named = shelves.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["length", "shard", "block"]
-    found = asked.groupBy(*key).cogroup(shelves.groupBy(*key)).applyInArrow(_search(least), "a long, b long")
-    links = materialize(found.distinct(), "links")
-    both = materialize(links.union(links.select("b", "a")), "both")
-    copies = nodes.select(F.col("node").alias("b"), "copies")
-    degree = materialize(both.join(copies, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("outside")), "degree")
-    classes = nodes.join(degree, "node", "left").join(components(links), "node", "left").select("vector", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least_id")
-    classes = materialize(classes, "classes")
-    named = materialize(classes.groupBy("component").agg(F.min("least_id").alias("component_id")), "named")
-    classes = materialize(classes.drop("least_id").join(named, "component"), "classes")
+    parts = min(shards * blocks, max(partitions(spark), shards * size // PART_BYTES + 1))
+    found = materialize(asked.repartition(parts, *key).groupBy(*key).cogroup(named.repartition(parts, *key).groupBy(*key)).applyInArrow(_search(least), "a long, b long, outside long"), "found")
+    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("outside").alias("outside"))
+    united = components(found.where("b is not null").select("a", "b"))
+    classes = materialize(nodes.join(degree, "node", "left").join(united, "node", "left").select("vector", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least_id"), "classes")
+    least_ids = materialize(classes.groupBy("component").agg(F.min("least_id").alias("component_id")), "named")
+    classes = materialize(classes.drop("least_id").join(least_ids, "component"), "classes")
     own = F.coalesce("component_id", "vec_id")
-    return rows.join(classes, "vector", "left").select(*RID, "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    out = good.join(classes, "vector").select(*RID, "vec_id", "n_links", own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    return out.union(bad.select(*RID, "vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
 
 
 def op9_embeddings(spark, sf_dir: str) -> DataFrame:

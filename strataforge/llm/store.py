@@ -18,12 +18,16 @@ P = "_sf_"
 RID = [f"{P}file", f"{P}row"]
 #: Prefix of the bucketed tables in the warehouse.
 TABLES = "strataforge_blocks_"
+#: Bytes that a shuffled part aims at where a table's size decides the number of parts.
+PART_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset, a folder of this machine."""
+    """The session's spark.checkpoint.dir. Where it is unset, a local session gets a folder of this machine; another one an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +57,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def total_bytes(rows: DataFrame, column: str) -> int:
+    """Bytes of a string or binary column of all rows."""
+    return int(rows.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def dealt(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into parts of about ``PART_BYTES`` where ``size`` bytes ask for more parts than the session has."""
+    parts = size // PART_BYTES + 1
+    return df.repartition(parts, *keys) if parts > partitions(df.sparkSession) else df
+
+
 def is_scan(docs: DataFrame) -> bool:
     """Whether the rows come straight from files, so that file and row number identify them."""
     try:

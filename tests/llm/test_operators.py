@@ -2,18 +2,18 @@
 
 from collections import Counter, defaultdict
 import hashlib
+import io
 import os
 import zlib
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 import tiktoken
 
 from strataforge.llm.bpe import RANKS, bpe_decode, bpe_encode, token_ranks
-from strataforge.llm.embeddings import SmallWorld, _search, embedding_links
+from strataforge.llm.embeddings import SmallWorld, embedding_links, joined, search_block
 from strataforge.llm.exact_dedup import build_levels, exact_dedup, slots
 from strataforge.llm.graph import components
 from strataforge.llm.jaccard import jaccard_components
@@ -229,17 +229,20 @@ def test_small_world_recall():
     rnd = np.random.default_rng(2)
     vectors = rnd.normal(size=(1500, 24))
     vectors[::3] = vectors[0] + 0.2 * rnd.normal(size=(500, 24))  # one dense cluster
-    graph = SmallWorld.load(SmallWorld(vectors, np.arange(1500)).dump())
+    names = np.arange(1500)
+    graph = SmallWorld.load(np.load(io.BytesIO(SmallWorld(vectors, names).dump())))
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     truth = unit @ unit.T >= 0.9
-    a, b = graph.links(vectors, 0.9, 32)
+    found, beam = graph.links(vectors, 0.9, 16, names, names)
+    a, b = joined(list(found))
     hit = np.zeros_like(truth)
     hit[a, b] = True
-    assert (hit & truth).sum() >= 0.99 * truth.sum()
+    assert beam and (hit & truth).sum() >= 0.99 * truth.sum()
 
 
-def unreachable_links(hot: int) -> tuple[set, set]:
-    """Links found and true among small groups that a shard's graph has no way to, beside a hot group of ``hot``."""
+@pytest.mark.parametrize("hot", [0, 500])
+def test_nodes_that_no_beam_reaches_are_found(hot):
+    """Small groups that the graph has no way to, beside a hot group or none: audits fail until beams are as wide as the shard."""
     rnd = np.random.default_rng(4)
     vectors = rnd.normal(size=(1500, 24))
     vectors[:hot] = vectors[0] + 0.1 * rnd.normal(size=(hot, 24))
@@ -248,22 +251,30 @@ def unreachable_links(hot: int) -> tuple[set, set]:
     graph = SmallWorld(vectors, names)
     for _, near in graph.levels:
         near[near >= 1300] = -1
-    table = pa.table({"graph": [graph.dump()], "nodes": [names.tobytes()], "vectors": [vectors.tobytes()]})
-    got = _search(0.9)(pa.table({"node": names, "vector": list(vectors)}), table)
+    graph.kin = np.where(graph.kin >= 1300, np.repeat(names, np.diff(graph.kin_at)), graph.kin)
+    assert graph.links(vectors, 0.9, 32, names, names)[1] == 0
+    outside, a, b = search_block(names, vectors, (names, np.ones(1500, int), vectors, graph), 0.9)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.9, 1)), strict=True) if a >= 1300}
-    assert len(true) > 300
-    return {(a, b) for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True) if a >= 1300}, true
+    truth = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()
+    assert len(truth) > 300 and outside.tolist() == np.bincount(np.ravel(truth), minlength=1500).tolist()
+    assert brute.components(1500, list(zip(a.tolist(), b.tolist()))) == brute.components(1500, truth) and len(a) < 3000
 
 
-def test_small_groups_beside_a_hot_one_are_audited_on_their_own():
-    got, true = unreachable_links(500)
-    assert got == true
+def test_audits_count_links_of_a_node_to_others_only():
+    rnd = np.random.default_rng(3)
+    vectors, names = rnd.normal(size=(600, 32)), np.arange(600)
+    vectors[500:] = vectors[400:500] + 0.01 * rnd.normal(size=(100, 32))
+    graph = SmallWorld(vectors, names)
+    found, beam = graph.links(vectors, 0.9, 16, names, names)
+    a, b = joined(list(found))
+    assert beam == 16 and (a != b).sum() == 200
+    graph.links(vectors[:200], 0.9, 16, names[:200], names)  # no links at all: every query is audited
 
 
-def test_nodes_that_no_beam_reaches_are_compared_exactly():
-    got, true = unreachable_links(0)
-    assert got == true
+def test_vectors_whose_products_overflow(spark):
+    rows = [(1, [3e200, 4e200]), (2, [3.0, 4.0]), (3, [-3e200, 4e200]), (4, [3e-200, 4e-200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
 
 
 def test_embeddings_recall_outside_a_hot_group(spark):
