@@ -1,87 +1,100 @@
-"""Texts in bucketed blocks, and hash fragments that report back to the blocks.
+"""Texts in bucketed blocks, and fragments that report on the blocks' distinct hashes.
 
-The substring operators look at every word several times, each time with decisions that came from
-all documents. The texts are therefore written once, bucketed by block (a stretch of rows of a
-file): meeting the decisions of a block later shuffles the decisions and never the texts. Hashes of
-word windows go, packed by (fragment, block), to the fragment that owns their range.
+The substring and Jaccard operators look at every word several times, each time with decisions that
+came from all documents. The texts are therefore written once, bucketed by block (a run of rows of
+bounded bytes that one task wrote): meeting decisions later shuffles the decisions, never the texts.
+
+A block sends each of its distinct hashes once, with what its documents say of it, to the fragment
+that owns the hash's range. A fragment answers with a byte per hash, in the order they were sent. So
+a hash that stands in a third of all documents is an entry per block, never a list of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import RID, TABLES, P, identified, partitions
-from strataforge.llm.textcore import packed_rows
-
-BLOCK = [f"{P}block_file", f"{P}block_no"]
-#: Rows of a block, least and most (a row's number in its block fits 16 bits), and blocks per partition.
-#: A block is a file of the table and a task's group: its rows grow with the table up to the bound.
-BLOCK_ROWS, BLOCKS = (256, 1 << 14), 4
+from strataforge.llm.store import PART_BYTES, TABLES, P, dealt, partitions, quoted, total_bytes, written
+from strataforge.llm.textcore import LOWER, packed_rows, ragged, slices, span_hashes, text_buffer, words
+
+BLOCK, SLOT, ID, TEXT = (f"{P}{x}" for x in ("block", "slot", "id", "text"))
+#: Rows of a block at most (a slot fits 16 bits), its bytes (and one text more) least and most, and
+#: blocks per partition that a small table aims at.
+BLOCK_ROWS, BLOCK_BYTES, BLOCKS = 1 << 14, (64 << 10, 16 << 20), 4
+#: Buckets at most, as Spark allows.
+BUCKETS = 100_000
 #: Entries that a fragment aims at.
-FRAGMENT_ENTRIES = 1 << 20
-_ENTRIES = f"{P}fragment int, {BLOCK[0]} long, {BLOCK[1]} long, rows binary, counts binary, docs binary, hashes binary, positions binary"
-_MARKS = f"{BLOCK[0]} long, {BLOCK[1]} long, rows binary, positions binary"
+FRAGMENT_ENTRIES = 2 << 20
+ENTRIES = f"{P}fragment int, {BLOCK} long, hashes binary, extra binary"
+REPORT = f"{BLOCK} long, {P}fragment int, told binary"
 _LAST = np.iinfo(np.int64).max
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str], scan: bool) -> DataFrame:
-    """A table of the rows of ``docs`` (doc_id, text, ``carry``), bucketed by block in the warehouse."""
+def carried(carry: list[str]) -> list[str]:
+    """Names under which a block table carries other columns, whatever they are called."""
+    return [f"{P}c{k}" for k in range(len(carry))]
+
+
+def _deal(limit: int) -> Callable:
+    """Block and slot of each row, as rows of a task pass by."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, held = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            offsets, n, i = text_buffer(batch.column(1))[1], len(batch), 0
+            blocks, numbers = np.empty(n, np.int64), np.empty(n, np.int32)
+            while i < n:
+                if rows >= BLOCK_ROWS or (rows and held >= limit):
+                    block, rows, held = block + 1, 0, 0
+                fit = int(np.searchsorted(offsets, offsets[i] + limit - held, "right")) - 1
+                j = min(max(fit, i + 1), i + BLOCK_ROWS - rows, n)
+                blocks[i:j], numbers[i:j] = block, np.arange(rows, rows + j - i)
+                rows, held, i = rows + j - i, held + int(offsets[j] - offsets[i]), j
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks), pa.array(numbers)], [*batch.schema.names, BLOCK, SLOT])
+
+    return deal
+
+
+def blocked(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, int]:
+    """A table of the rows of ``docs`` (id, text, ``carry`` as ``carried``), bucketed by block, and its texts' bytes."""
     spark = docs.sparkSession
-    rows = identified(docs.select(F.col(id_col).cast("long").alias(f"{P}id"), F.col(text_col).alias(f"{P}text"), *carry, *(["_metadata"] if scan else [])), f"{P}id", f"{P}text", *carry, scan=scan)
+    rows = docs.select(F.col(id_col).cast("long").alias(ID), F.col(text_col).cast("string").alias(TEXT), *(F.col(quoted(c)).alias(n) for c, n in zip(carry, carried(carry), strict=True)))
+    size = total_bytes(rows, TEXT)
+    low, high = BLOCK_BYTES
+    placed = rows.mapInArrow(_deal(min(max(size // (BLOCKS * partitions(spark)), low), high)), T.StructType([*rows.schema.fields, T.StructField(BLOCK, T.LongType()), T.StructField(SLOT, T.IntegerType())]))
     name = f"{TABLES}{uuid.uuid4().hex}"
-    size = min(max(rows.count() // (BLOCKS * partitions(spark)) + 1, BLOCK_ROWS[0]), BLOCK_ROWS[1])
-    rows.select(
-        F.col(RID[0]).alias(BLOCK[0]), F.floor(F.col(RID[1]) / size).alias(BLOCK[1]), (F.col(RID[1]) % size).cast("int").alias(f"{P}slot"), f"{P}id", f"{P}text", *carry
-    ).write.bucketBy(partitions(spark), *BLOCK).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    placed.write.bucketBy(max(partitions(spark), min(size // PART_BYTES + 1, BUCKETS)), BLOCK).option("compression", "zstd").saveAsTable(written(name))
+    return spark.table(name), size
 
 
-def fragments_for(blocks: DataFrame, share: float) -> int:
-    """Fragments for ``share`` of the words of all texts, by their bytes."""
-    size = blocks.agg(F.sum(F.octet_length(f"{P}text"))).first()[0] or 0
-    return max(partitions(blocks.sparkSession), int(size / 6 * share / FRAGMENT_ENTRIES) + 1)
+class Words(NamedTuple):
+    """A slice of a block: its first row, bytes, words by bytes, each text's first word, hashes of the words."""
 
+    row: int
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    hashes: np.ndarray
 
-def entry_batch(fragments: int, block: tuple, slots: np.ndarray, ids: np.ndarray, text: np.ndarray, hashes: np.ndarray, positions: np.ndarray, width: int = 8) -> pa.RecordBatch:
-    """Entries of one block by fragment. ``text`` is the row of each entry in ``slots`` and ``ids``.
 
-    ``width`` bytes of a hash travel: all 8 where equal hashes decide, 5 where an exact step follows.
-    """
-    fragment = (hashes % np.uint64(fragments)).astype(np.int64)
-    if width < 8:
-        hashes = hashes // np.uint64(fragments)
-    order = np.lexsort((positions, text, fragment))
-    fragment, text = fragment[order], text[order]
-    per = np.bincount(fragment, minlength=fragments)
-    some = np.flatnonzero(per)
-    new = np.ones(len(text), bool)
-    new[1:] = (fragment[1:] != fragment[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    docs = np.bincount(fragment[at], minlength=fragments)[some]
-    counts = np.diff(np.append(at, len(text)))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(some, pa.int32()), *(pa.array(np.full(len(some), x), pa.int64()) for x in block),
-            packed_rows(docs, slots[text[at]].astype("<u2")), packed_rows(docs, counts.astype("<u4")), packed_rows(docs, ids[text[at]].astype("<i8")),
-            packed_rows(per[some] * width, np.ascontiguousarray(hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()), packed_rows(per[some], positions[order].astype("<u4")),
-        ],
-        [x.split(" ")[0] for x in _ENTRIES.split(", ")],
-    )
-
-
-def block_runs(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Runs of rows of one block in a batch of a block table."""
-    file, no = table.column(BLOCK[0]).to_numpy(), table.column(BLOCK[1]).to_numpy()
-    edge = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (no[1:] != no[:-1]))) if len(file) else np.zeros(0, np.int64)
-    for a, b in zip(edge, np.append(edge[1:], len(file)), strict=True):
-        yield (int(file[a]), int(no[a])), table.slice(a, b - a)
+def word_slices(column: pa.ChunkedArray, lower: bool = False) -> list[Words]:
+    out = []
+    for i, _, data, offsets in slices(column.combine_chunks()) if len(column) else ():
+        data = LOWER[data] if lower else data
+        starts, ends, first = words(data, offsets)
+        out.append(Words(i, data, starts, ends, first, span_hashes(data, starts, ends)))
+    return out
 
 
 def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -89,52 +102,89 @@ def ids_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.fill_null(_LAST).to_numpy(), np.int64)
 
 
-def _report(decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):  # noqa: ANN202
-    """A fragment's function: group entries by hash, let ``decide`` mark groups' entries, report them."""
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def distinct(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, each entry's number among them, and least and largest value of each."""
+    order = np.argsort(hashes, kind="stable")
+    edge = np.append(True, np.diff(hashes[order]) != 0) if len(order) else np.zeros(0, bool)
+    start, inverse = np.flatnonzero(edge), np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(edge) - 1
+    if not len(start):
+        return hashes, inverse, values, values
+    return hashes[order][start], inverse, np.minimum.reduceat(values[order], start), np.maximum.reduceat(values[order], start)
+
+
+def fragments_for(spark, size: int, share: float) -> int:  # noqa: ANN001
+    """Fragments for ``share`` of the words of texts of ``size`` bytes."""
+    return max(partitions(spark), int(size / 6 * share / FRAGMENT_ENTRIES) + 1)
+
+
+def _place(keys: np.ndarray, fragments: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
+
+
+def entry_rows(block: int, keys: np.ndarray, extra: np.ndarray, fragments: int, width: int = 8) -> pa.Table:
+    """A block's distinct hashes (ascending) by fragment, with a value for each.
+
+    ``width`` low bytes of a hash travel (its fragment is part of it too): all 8 where equal hashes
+    decide, fewer where an exact step follows.
+    """
+    fragment = _place(keys, fragments)
+    start = np.flatnonzero(np.append(True, np.diff(fragment) != 0)) if len(keys) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(keys)))
+    low = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
+    return pa.table([pa.array(fragment[start], pa.int32()), pa.array(np.full(len(start), block), pa.int64()), packed_rows(count * width, low), packed_rows(count, extra)], names=[x.split(" ")[0] for x in ENTRIES.split(", ")])
+
+
+def _report(width: int, kind: str, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """A fragment's function: group entries by hash, let ``decide`` tell a byte for each, 0 for nothing to tell."""
 
     def report(table: pa.Table) -> pa.Table:
-        (rows, _), (counts, _), (docs, _), (positions, entry_at) = (cells(table[c]) for c in ("rows", "counts", "docs", "positions"))
-        if not len(positions):
-            return table.select([*BLOCK, "rows", "positions"]).slice(0, 0)
-        raw = cells(table["hashes"])[0].reshape(len(positions) // 4, -1)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, : raw.shape[1]] = raw
-        hashes = wide.view("<u8")[:, 0]
-        counts = counts.view("<u4").astype(np.int64)
-        doc = np.repeat(np.arange(len(counts)), counts)  # a document of a row, by entry
-        order = np.argsort(hashes, kind="stable")
-        start = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
-        marked = np.zeros(len(hashes), bool)
-        marked[order] = decide(start, doc[order], docs.view("<i8")[doc[order]])
-        part = np.repeat(np.arange(len(table)), np.diff(entry_at) // 4)
-        per = np.bincount(part[marked], minlength=len(table))
-        some = per > 0
-        return pa.table([table[BLOCK[0]].filter(pa.array(some)), table[BLOCK[1]].filter(pa.array(some)), packed_rows(per[some], rows.view("<u2")[doc[marked]]), packed_rows(per[some], positions.view("<u4")[marked])], names=[*BLOCK, "rows", "positions"])
+        raw, at = cells(table["hashes"])
+        n = len(raw) // width
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = raw.reshape(n, width)
+        keys = wide.view("<u8")[:, 0]
+        order = np.argsort(keys, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0)) if n else np.zeros(0, np.int64)
+        values, begin, count = np.zeros(n, np.uint8), at[:-1] // width, np.diff(at) // width
+        if n:
+            values[order] = decide(start, np.diff(np.append(start, n)), cells(table["extra"])[0].view(kind)[order])
+        some = np.maximum.reduceat(values, begin) > 0 if n else np.zeros(len(table), bool)
+        kept = table.select([BLOCK, f"{P}fragment"]).filter(pa.array(some))
+        return kept.append_column("told", packed_rows(count[some], values[ragged(begin[some], count[some])]))
 
     return report
 
 
-def shared(start: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Entries whose hash stands in two documents at least (rows, whatever their ids)."""
-    size = np.diff(np.append(start, len(doc)))
-    return np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), size)
+def shared(start: np.ndarray, size: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """1 for hashes that two blocks hold, or several documents of one."""
+    return np.repeat((size > 1) | (np.maximum.reduceat(several, start) > 0), size)
 
 
-def not_first(start: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Entries whose hash also stands in a document with a smaller id."""
-    return np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(ids)))) < ids
+def not_first(start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """1 where another block holds the hash in a document with a smaller id than any of this one."""
+    return np.repeat(np.minimum.reduceat(ids, start), size) < ids
 
 
-def marks(entries: DataFrame, decide: Callable) -> DataFrame:
-    """Rows and positions that ``decide`` marked, by block."""
-    return entries.groupBy(f"{P}fragment").applyInArrow(_report(decide), _MARKS)
+def reports(entries: DataFrame, size: int, decide: Callable, width: int = 8, kind: str = "<i8") -> DataFrame:
+    """What the fragments tell the blocks; ``size`` bytes of entries, about."""
+    return dealt(entries, size, f"{P}fragment").groupBy(f"{P}fragment").applyInArrow(_report(width, kind, decide), REPORT)
 
 
-def marked_positions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and positions of a block's marks, sorted."""
-    slots, positions = cells(table["rows"])[0].view("<u2").astype(np.int64), cells(table["positions"])[0].view("<u4").astype(np.int64)
-    order = np.lexsort((positions, slots))
-    return slots[order], positions[order]
+def told(table: pa.Table, keys: np.ndarray, fragments: int) -> np.ndarray:
+    """A byte for each of a block's distinct hashes, from the reports it got."""
+    out, fragment = np.zeros(len(keys), np.uint8), _place(keys, fragments)
+    names, (data, at) = table[f"{P}fragment"].to_numpy(), cells(table["told"])
+    first, count = np.searchsorted(fragment, names), np.diff(at)
+    if (np.searchsorted(fragment, names, "right") - first != count).any():
+        raise ValueError("a report doesn't fit its block")
+    out[ragged(first, count)] = data[ragged(at[:-1], count)]
+    return out
 
 
-ENTRIES, MARKS = _ENTRIES, _MARKS
+def of_kind(found: pa.Table, kind: int) -> pa.Table:
+    return found.filter(pc.equal(found["kind"], kind))

@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 import tiktoken
 
 from strataforge.llm.pieces import PieceIndex, cells, unvarint, varint
-from strataforge.llm.store import RID, P, identified, is_scan, partitions
-from strataforge.llm.textcore import packed_rows, pretokens, ragged, slices, span_hashes
+from strataforge.llm.store import RID, P, dealt, identified, is_scan, partitions, total_bytes
+from strataforge.llm.textcore import packed_rows, pretokens, ragged, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: A block ends at this many distinct words or bytes of text.
 BLOCK_WORDS, BLOCK_BYTES = 300_000, 32 << 20
+#: Text for each bucket; its distinct words of all blocks are some tenths of that, in one task's memory.
+BUCKET_BYTES = 128 << 20
 _BLOCK = [f"{P}block_file", f"{P}block_row"]
 _WORDS = f"{P}bucket int, {_BLOCK[0]} long, {_BLOCK[1]} long, numbers binary, sizes binary, words binary"
 _PLACED = f"{_BLOCK[0]} long, {_BLOCK[1]} long, {RID[0]} array<long>, {RID[1]} array<long>, doc_id array<long>, pieces binary, positions binary"
@@ -90,8 +92,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool, buckets: int) -> Ite
             size += len(data)
             starts, first = pretokens(data, offsets)
             ends = np.append(starts[1:], len(data))[: len(starts)]
-            hashes = span_hashes(data, starts, ends)
-            numbers, fresh = index.add(hashes)
+            numbers, fresh, hashes = index.add(data, starts, ends)
             if words:
                 lengths = (ends - starts)[fresh]
                 kept.append((hashes[fresh], lengths, data[ragged(starts[fresh], lengths)]))
@@ -152,12 +153,14 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
     scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
     kind = "<u2" if max(token_ranks(ranks_path).values()) < 1 << 16 else "<u4"
-    buckets = 4 * partitions(docs.sparkSession)
-    # both sides come from the same deterministic pass over the same splits: cutting text again
-    # is cheaper than keeping positions until the ids are back
-    words = rows.mapInArrow(lambda it: _blocks(it, True, buckets), _WORDS)
-    ids = words.groupBy(f"{P}bucket").applyInArrow(_encode_bucket(ranks_path, pattern, kind), _IDS)
-    placed = rows.mapInArrow(lambda it: _blocks(it, False, buckets), _PLACED)
+    size = total_bytes(rows, "text")
+    buckets = max(4 * partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
+    # both sides come from the same deterministic pass over the same splits: cutting text again is
+    # cheaper than keeping positions until the ids are back. Words are numbered as they first appear,
+    # so blocks that ended elsewhere the second time would lack words, and the task would fail
+    words = dealt(rows.mapInArrow(lambda it: _blocks(it, True, buckets), _WORDS), size // 4, f"{P}bucket")
+    ids = dealt(words.groupBy(f"{P}bucket").applyInArrow(_encode_bucket(ranks_path, pattern, kind), _IDS), size, *_BLOCK)
+    placed = dealt(rows.mapInArrow(lambda it: _blocks(it, False, buckets), _PLACED), size, *_BLOCK)
     return placed.groupBy(*_BLOCK).cogroup(ids.groupBy(*_BLOCK)).applyInArrow(_reassemble(kind), f"{RID[0]} long, {RID[1]} long, doc_id long, n_tokens long, ids binary")
 
 

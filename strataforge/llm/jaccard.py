@@ -1,8 +1,8 @@
 """N-gram Jaccard join by vertical partitioning, with classes instead of all pairs.
 
-Every distinct shingle set is one class (a 64-bit digest of the set), so copies never pair up.
-Shingles go to the fragment that owns their hash range; a fragment knows in how many classes each
-of its shingles stands and reports the shared ones to the classes. Frequency orders all shingles
+Every distinct shingle set is one class (a 64-bit digest of the set), so copies never pair up: one
+row of a class stands for all. Blocks of texts send their distinct shingles, counted, to the
+fragments that own their hash ranges and learn how frequent each is. Frequency orders all shingles
 globally: those of one class only come first, so a class of which too few shingles are shared has
 an empty prefix and drops out. The others' shared shingles are cut at fixed frequencies into
 fragments of that global order; pairs that meet at a prefix shingle have their partial overlaps
@@ -15,7 +15,7 @@ across components. No pair that could join two components is left out.
 Defined cases: A-Z count as a-z; a null or wordless text has an empty set and links with nothing; a
 text of fewer words than a shingle is one shingle; a null id is never a component's id unless all
 its ids are null; repeated rows are rows of their own; an empty table gives an empty result; other
-columns are not read.
+columns are not read. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,32 +27,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataforge.llm.blocks import BLOCK, ENTRIES, ID, SLOT, TEXT, Words, blocked, carried, entry_rows, fragments_for, joined, of_kind, reports, told, word_slices
 from strataforge.llm.graph import components
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
-from strataforge.llm.textcore import LOWER, mix, packed_rows, ragged, slices, span_hashes, windows, words
+from strataforge.llm.store import RID, P, identified, is_scan, materialize
+from strataforge.llm.textcore import mix, packed_rows, ragged, window_hashes, windows
 
-#: Shingles that a fragment aims at; pivots of a prefix shingle and size class.
-FRAGMENT_SHINGLES, PIVOTS = 4 << 20, 3
+#: Pivots of a prefix shingle and size class.
+PIVOTS = 3
 #: Frequencies at which the global order is cut.
 CUTS = (4, 8, 16)
-_SETS = f"{RID[0]} long, {RID[1]} long, doc_id long, n_shingles long, {P}set long"
-_SHINGLES = f"{P}fragment int, sets binary, sizes binary, counts binary, shingles binary"
-_SHARED = f"{P}bucket int, sets binary, sizes binary, counts binary, shingles binary, freqs binary"
+_SETS = f"{BLOCK} long, {SLOT} int, {RID[0]} long, {RID[1]} long, doc_id long, n_shingles long, {P}set long"
 _CLASSES = "set long, n long, m long, prefix binary, segments array<binary>"
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, one text after another, and their counts."""
-    data = LOWER[data]
-    starts, ends, first = words(data, offsets)
-    hashes = span_hashes(data, starts, ends)
-    at, text = windows(first, size)
-    count = np.diff(first)
-    short = np.flatnonzero((count > 0) & (count < size))
-    begin, end = np.concatenate((at, first[short])), np.concatenate((at + size, first[short + 1]))
-    text = np.concatenate((text, short))
-    found = span_hashes(hashes, begin, end)
+def shingle_sets(part: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text of a slice, one text after another, and their counts."""
+    at, text = windows(part.first, size)
+    count = np.diff(part.first)
+    found, of = [window_hashes(part.hashes, at, size)], [text]
+    for k in range(1, size):  # a text of fewer words is one shingle
+        short = np.flatnonzero(count == k)
+        found.append(window_hashes(part.hashes, part.first[short], k))
+        of.append(short)
+    found, text = np.concatenate(found), np.concatenate(of)
     order = np.lexsort((found, text))
     found, text = found[order], text[order]
     new = np.ones(len(found), bool)
@@ -67,100 +65,47 @@ def set_digests(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, mix(total[end] - total[end - counts] + counts.astype(np.uint64)), np.uint64(0))
 
 
-def _six(values: np.ndarray) -> np.ndarray:
-    """Six low bytes of each value."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-
-
-def _unsix(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
-    return out.view("<u8")[:, 0]
-
-
-def _six_rows(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
-    return packed_rows(lengths * 6, _six(values).ravel())
-
-
-def _by(key: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order by ``key``, the keys that occur, and how often each does."""
-    per = np.bincount(key, minlength=keys)
-    return np.argsort(key, kind="stable"), np.flatnonzero(per), per[per > 0]
-
-
-def _fragment_rows(found: np.ndarray, counts: np.ndarray, digests: np.ndarray, fragments: int) -> pa.RecordBatch:
-    """Shingles by fragment: top 16 bits choose it, low 48 bits stay."""
-    text = np.repeat(np.arange(len(counts)), counts)
-    fragment = (((found >> np.uint64(48)) * np.uint64(fragments)) >> np.uint64(16)).astype(np.int64)
-    order, some, per = _by(fragment, fragments)
-    fragment, text = fragment[order], text[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (fragment[1:] != fragment[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    sets = np.bincount(fragment[at], minlength=fragments)[some]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), packed_rows(sets, digests[text[at]]), packed_rows(sets, counts[text[at]].astype("<u4")), packed_rows(sets, np.diff(np.append(at, len(text))).astype("<u4")), _six_rows(per, found[order])],
-        [x.split(" ")[0] for x in _SHINGLES.split(", ")],
-    )
-
-
-def _shared(buckets: int):  # noqa: ANN202
-    """A fragment's shingles that stand in two classes at least, by the classes' bucket."""
-
-    def shared(table: pa.Table) -> pa.Table:
-        sets, sizes, counts = cells(table["sets"])[0].view("<u8"), cells(table["sizes"])[0].view("<u4"), cells(table["counts"])[0].view("<u4").astype(np.int64)
-        _, first = np.unique(sets, return_index=True)  # copies of a class have equal shingles here
-        start = (np.cumsum(counts) - counts)[first]
-        sets, sizes, counts = sets[first], sizes[first], counts[first]
-        found = _unsix(cells(table["shingles"])[0])[ragged(start, counts)]
-        order = np.argsort(found, kind="stable")
-        edge = np.flatnonzero(np.append(True, np.diff(found[order]) != 0))
-        freq = np.empty(len(found), np.int64)
-        size = np.diff(np.append(edge, len(found)))
-        freq[order] = np.repeat(size, size)
-        some = freq > 1
-        owner = np.repeat(np.arange(len(sets)), counts)[some]
-        found, freq = found[some], freq[some]
-        per = np.bincount(owner, minlength=len(sets))
-        has = np.flatnonzero(per)
-        bucket = (sets[has] % np.uint64(buckets)).astype(np.int64)
-        order, used, classes = _by(bucket, buckets)
-        has = has[order]
-        take = ragged((np.cumsum(per) - per)[has], per[has])
-        entries = np.bincount(bucket, weights=per[np.flatnonzero(per)], minlength=buckets).astype(np.int64)[used]
-        return pa.table([pa.array(used, pa.int32()), packed_rows(classes, sets[has]), packed_rows(classes, sizes[has]), packed_rows(classes, per[has].astype("<u4")), _six_rows(entries, found[take]), packed_rows(entries, freq[take].astype("<u4"))], names=[x.split(" ")[0] for x in _SHARED.split(", ")])
-
-    return shared
-
-
-def _classes(percent: int):  # noqa: ANN202
-    """Classes of a bucket that can have links: prefix, and shared shingles cut by the global order."""
-
-    def classes(table: pa.Table) -> pa.Table:
-        sets, sizes, counts = cells(table["sets"])[0].view("<u8"), cells(table["sizes"])[0].view("<u4").astype(np.int64), cells(table["counts"])[0].view("<u4").astype(np.int64)
-        found, freq = _unsix(cells(table["shingles"])[0]), cells(table["freqs"])[0].view("<u4").astype(np.int64)
-        names, first, inverse = np.unique(sets, return_index=True, return_inverse=True)
-        n = sizes[first]
-        owner = np.repeat(inverse, counts)
-        m = np.bincount(owner, minlength=len(names))
-        spare = m - (-(-percent * n // 100)) + 1
-        order = np.lexsort((found, freq, owner))
-        order = order[spare[owner[order]] > 0]
-        found, freq, owner = found[order], freq[order], owner[order]
-        alive = np.flatnonzero(spare > 0)
-        per = np.bincount(owner, minlength=len(names))[alive]
-        start = np.cumsum(per) - per
-        spare = spare[alive]
-        segments = []
-        for low, high in zip((0, *CUTS), (*CUTS, np.inf), strict=True):
-            inside = (freq >= low) & (freq < high)
-            part, who = found[inside], owner[inside]
-            again = np.lexsort((part, who))
-            segments.append(_six_rows(np.bincount(who, minlength=len(names))[alive], part[again]))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(segments) * len(alive) + 1, len(segments)), pa.int32()), pa.concat_arrays(segments).take(pa.array(np.arange(len(segments) * len(alive)).reshape(len(segments), -1).T.ravel())))
-        return pa.table([pa.array(names[alive].view(np.int64)), pa.array(n[alive]), pa.array(m[alive]), packed_rows(spare, found[ragged(start, spare)]), lists], names=["set", "n", "m", "prefix", "segments"])
-
-    return classes
+def frequency(start: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Classes that hold a hash, less one, as a byte: exact up to 64, eight steps for each doubling beyond. It orders all shingles alike everywhere."""
+    total = np.add.reduceat(counts.astype(np.int64), start)
+    return np.repeat(np.where(total <= 64, total - 1, np.minimum(63 + 8 * np.log2(total / 64), 255)).astype(np.uint8), size)
+
+
+def _chosen(docs: pa.Table, rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts of a block that stand for a class: shingles, their counts, digests; distinct shingles and how many sets hold each."""
+    stands = np.zeros(1 << 16, bool)
+    stands[rows[SLOT].to_numpy()] = True
+    found, counts = [], []
+    mine = docs.filter(pa.array(stands[docs[SLOT].to_numpy()]))
+    for part in word_slices(mine[TEXT], lower=True):
+        some, per = shingle_sets(part, size)
+        found.append(some)
+        counts.append(per)
+    found, counts = joined(found, np.uint64), joined(counts)
+    keys, per = np.unique(found, return_counts=True)
+    return found, counts, set_digests(found, counts), keys, per
+
+
+def _classes(found: np.ndarray, counts: np.ndarray, digests: np.ndarray, freq: np.ndarray, percent: int) -> pa.Table:
+    """Classes that can have links: prefix, and shared shingles cut by the global order. ``freq`` is 0 for shingles of one class."""
+    owner, n = np.repeat(np.arange(len(counts)), counts), counts
+    found, freq, owner = found[freq > 0], freq[freq > 0], owner[freq > 0]
+    m = np.bincount(owner, minlength=len(counts))
+    spare = m - (-(-percent * n // 100)) + 1
+    some = spare[owner] > 0
+    found, freq, owner = found[some], freq[some], owner[some]
+    alive = np.flatnonzero((spare > 0) & (n > 0))
+    number = np.full(len(counts), -1)
+    number[alive] = np.arange(len(alive))
+    order = np.lexsort((found, freq, owner))
+    per = np.bincount(number[owner], minlength=len(alive))
+    prefix = found[order][ragged(np.cumsum(per) - per, spare[alive])]
+    segments = []
+    for low, high in zip((0, *(c - 1 for c in CUTS)), (*(c - 1 for c in CUTS), 256), strict=True):
+        inside = (freq >= low) & (freq < high)  # found is sorted in each set
+        segments.append(packed_rows(np.bincount(number[owner[inside]], minlength=len(alive)), found[inside]))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(segments) * len(alive) + 1, len(segments)), pa.int32()), pa.concat_arrays(segments).take(pa.array(np.arange(len(segments) * len(alive)).reshape(len(segments), -1).T.ravel())))
+    return pa.table([pa.array(digests[alive].view(np.int64)), pa.array(n[alive]), pa.array(m[alive]), packed_rows(spare[alive], prefix), lists], names=["set", "n", "m", "prefix", "segments"])
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +118,21 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Common shingles of two sorted segments, row by row."""
+    """Common shingles of two segments, row by row: one sort of a run of rows, equal neighbours counted."""
     for batch in batches:
-        out = []
-        for left, right in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            a, b = _unsix(np.frombuffer(left, np.uint8)), _unsix(np.frombuffer(right, np.uint8))
-            at = np.searchsorted(b, a)
-            out.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(out, pa.int64())], ["a", "b", "size", "common"])
+        out = np.zeros(len(batch), np.int64)
+        sides = [cells(batch.column(k)) for k in (3, 4)]
+        total = np.cumsum(sum(np.diff(at) // 8 for _, at in sides))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 18), "right")))
+            row = np.concatenate([np.repeat(np.arange(b - a), np.diff(at[a : b + 1]) // 8) for _, at in sides])
+            value = np.concatenate([data[at[a] : at[b]].view("<u8") for data, at in sides])
+            order = np.lexsort((value, row))
+            same = (value[order][1:] == value[order][:-1]) & (row[order][1:] == row[order][:-1])
+            out[a:b] = np.bincount(row[order][1:][same], minlength=b - a)
+            a = b
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(out)], ["a", "b", "size", "common"])
 
 
 def overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -201,29 +153,34 @@ def _pair(x: str, y: str) -> list:
 def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their set's digest and size, (node, component) of linked sets)."""
     spark = rows.sparkSession
-    shingles = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    fragments = min(max(partitions(spark), shingles // FRAGMENT_SHINGLES + 1), 1 << 16)
+    blocks, total = blocked(rows, "doc_id", "text", RID)
+    fragments = fragments_for(spark, total, 1)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(3)):
-                found, counts = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(counts, pa.int64()), pa.array(set_digests(found, counts).view(np.int64))], [x.split(" ")[0] for x in _SETS.split(", ")])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(3)):
-                found, counts = shingle_sets(data, offsets, size)
-                digests = set_digests(found, counts)
-                start = np.cumsum(counts) - counts
-                once = np.sort(np.unique(digests, return_index=True)[1])  # copies nearby: once
-                once = once[counts[once] > 0]
-                if len(once):
-                    yield _fragment_rows(found[ragged(start[once], counts[once])], counts[once], digests[once], fragments)
-
-    table = materialize(rows.mapInArrow(sets, _SETS), "sets")
-    shared = rows.mapInArrow(split, _SHINGLES).groupBy(f"{P}fragment").applyInArrow(_shared(fragments), _SHARED)
-    classes = materialize(shared.groupBy(f"{P}bucket").applyInArrow(_classes(percent), _CLASSES), "classes")
+            for part in word_slices(pa.chunked_array([batch.column(0)]), lower=True):
+                found, counts = shingle_sets(part, size)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.row, len(counts)) for k in range(1, 6)), pa.array(counts, pa.int64()), pa.array(set_digests(found, counts).view(np.int64))], [x.split(" ")[0] for x in _SETS.split(", ")])
+
+    def shingles(docs: pa.Table, stand: pa.Table) -> pa.Table:
+        if not len(stand):
+            return entry_rows(0, np.zeros(0, np.uint64), np.zeros(0, "<u4"), fragments)
+        *_, keys, per = _chosen(docs, stand, size)
+        return entry_rows(docs[BLOCK][0].as_py(), keys, per.astype("<u4"), fragments)
+
+    def ordered(docs: pa.Table, here: pa.Table) -> pa.Table:
+        found, counts, digests, keys, _ = _chosen(docs, of_kind(here, 0), size)
+        freq = told(of_kind(here, 1), keys, fragments)
+        return _classes(found, counts, digests, freq[np.searchsorted(keys, found)], percent)
+
+    table = materialize(blocks.select(TEXT, BLOCK, SLOT, *(F.col(n).alias(c) for n, c in zip(carried(RID), RID, strict=True)), F.col(ID).alias("doc_id")).mapInArrow(sets, _SETS), "sets")
+    # one row stands for a class
+    stand = table.where("n_shingles > 0").groupBy(f"{P}set").agg(F.min(F.struct(BLOCK, SLOT)).alias("r")).select(F.col(f"r.{BLOCK}").alias(BLOCK), F.col(f"r.{SLOT}").alias(SLOT), F.lit(0).alias("kind"))
+    stand = materialize(stand, "stand")
+    entries = blocks.groupBy(BLOCK).cogroup(stand.groupBy(BLOCK)).applyInArrow(shingles, ENTRIES)
+    frequencies = reports(entries, 2 * total, frequency, 8, "<u4").withColumn("kind", F.lit(1))
+    both = stand.unionByName(frequencies, allowMissingColumns=True)
+    classes = materialize(blocks.groupBy(BLOCK).cogroup(both.groupBy(BLOCK)).applyInArrow(ordered, _CLASSES), "classes")
     prefix = materialize(classes.select("set", "n", "m", "prefix").mapInArrow(_prefix_rows, "shingle long, set long, n long, m long, rest long"), "prefix")
     links, labels = None, None
     # sizes fit, and so do the shingles from here on in the global order: ``rest`` bounds the overlap

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 import os
 import zlib
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strataforge.llm.pieces import PieceIndex, cells
 from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
-from strataforge.llm.textcore import mix, packed_rows, pretokens, ragged, slices, span_hashes
+from strataforge.llm.textcore import mix, packed_rows, pretokens, ragged, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 DIMENSIONS, BITS = 4, 12
@@ -50,17 +51,44 @@ class _Encoder:
         self.index, self.flat, self.size = PieceIndex(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts and each text's number of ids."""
-        raw = data.tobytes()
-        if any(token in raw for token in self.added):  # the library itself cuts at added tokens
-            ids = [e.ids for e in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
-            return np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids], np.int64)
+        """The ids of all texts and each text's number of ids; a text that holds an added token is left to the library."""
+        raw, edges = data.tobytes(), {0, len(offsets) - 1}
+        marked = self._marked(raw, offsets)
+        for k in marked:
+            edges |= {k, k + 1}
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a, b in pairwise(sorted(edges)):
+            if a in marked:
+                found = self.tokenizer.encode(raw[offsets[a] : offsets[b]].decode(), add_special_tokens=False).ids
+                part = np.array(found, np.uint32), np.array([len(found)], np.int64)
+            else:
+                part = self._pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            ids.append(part[0])
+            counts.append(part[1])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _marked(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """The texts in which an added token stands (the library cuts there first)."""
+        found = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[text + 1]:
+                    found.add(text)
+                    at = raw.find(token, int(offsets[text + 1]))
+                else:
+                    at = raw.find(token, at + 1)
+        return found
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > REMEMBERED:
             self.forget()
         starts, first = pretokens(data, offsets)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        numbers, fresh = self.index.add(span_hashes(data, starts, ends))
+        numbers, fresh, _ = self.index.add(data, starts, ends)
         if len(fresh):
+            raw = data.tobytes()
             found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)], add_special_tokens=False)]
             self.flat = np.concatenate((self.flat, np.array([x for e in found for x in e], np.uint32)))
             self.size = np.concatenate((self.size, np.array([len(e) for e in found], np.int64)))

@@ -5,19 +5,71 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from strataforge.llm.textcore import chunk_hashes, mix, ragged, span_chunks, text_buffer
+
 
 class PieceIndex:
-    """Numbers 0, 1, ... for distinct 64-bit piece hashes, in order of first appearance."""
+    """Numbers 0, 1, ... for distinct byte strings, in order of first appearance.
+
+    A hash finds a string's place and its bytes decide: a string whose hash another one holds
+    moves on to the next hash of its own. A direct table answers for most strings already known.
+    """
+
+    BITS = 18
 
     def __init__(self) -> None:
         self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # of each number: bytes in all, first eight bytes, and where its further chunks begin
+        self.sizes, self.first, self.at = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rest = np.zeros(0, np.uint64)
+        self.table = np.full(1 << self.BITS, -1, np.int32)
 
     def __len__(self) -> int:
-        return len(self.keys)
+        return len(self.sizes)
+
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the spans ``data[starts:ends]``: their numbers, which of them are new to the index, and hashes."""
+        sizes = ends - starts
+        chunks = span_chunks(data, starts, sizes)
+        hashes = chunk_hashes(*chunks, sizes)
+        return *self._add(hashes, sizes, *chunks), hashes
 
-    def add(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each piece, and where (in ``hashes``) those new to the index first stand."""
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray, rest: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.cumsum(more) - more
+
+        def same(found: np.ndarray, row: np.ndarray) -> np.ndarray:
+            """Whether the strings ``found`` in the index have the bytes of the rows."""
+            equal = (self.sizes[found] == sizes[row]) & (self.first[found] == first[row])
+            long = np.flatnonzero(equal & (more[row] > 0))
+            count = more[row[long]]
+            differ = self.rest[ragged(self.at[found[long]], count)] != rest[ragged(begin[row[long]], count)]
+            equal[np.repeat(long, count)[differ]] = False
+            return equal
+
+        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        numbers, open_ = self.table[slot].astype(np.int64), np.arange(len(hashes))
+        if len(self):
+            guessed = numbers >= 0
+            guessed[guessed] = same(numbers[guessed], open_[guessed])
+            open_ = open_[~guessed]
+        missed, keys, fresh = open_, hashes.copy(), [np.zeros(0, np.int64)]
+        while len(open_):
+            found, new = self._numbers(keys[open_])
+            new = open_[new]
+            fresh.append(new)
+            self.sizes, self.first = np.append(self.sizes, sizes[new]), np.append(self.first, first[new])
+            self.at = np.append(self.at, len(self.rest) + np.cumsum(more[new]) - more[new])
+            self.rest = np.append(self.rest, rest[ragged(begin[new], more[new])])
+            good = same(found, open_)
+            numbers[open_[good]] = found[good]
+            open_ = open_[~good]
+            keys[open_] = mix(keys[open_] + np.uint64(1))
+        self.table[slot[missed]] = numbers[missed]
+        return numbers, np.concatenate(fresh)
+
+    def _numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number that each key has, and where (in ``keys``) those that were new first stand."""
+        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         pos = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         known = self.keys[pos] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
         number = np.empty(len(distinct), np.int64)
@@ -55,7 +107,5 @@ def unvarint(data: np.ndarray) -> np.ndarray:
 
 def cells(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column's rows, one after another, and the rows' offsets."""
-    from strataforge.llm.textcore import text_buffer
-
     data, offsets = text_buffer(column)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

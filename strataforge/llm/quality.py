@@ -156,8 +156,9 @@ def isotonic(at: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.n
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
     sums = np.array(blocks)
-    # one good and one bad example more in each block: no block is quite sure
-    return sums[:, 0] / sums[:, 1], (sums[:, 2] + 0.5) / (sums[:, 1] + 1)
+    # not quite sure at the ends: half an example of all is held against either
+    doubt = 0.5 / (sums[:, 1].sum() + 1)
+    return sums[:, 0] / sums[:, 1], np.clip(sums[:, 2] / sums[:, 1], doubt, 1 - doubt)
 
 
 def fit_quality(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> QualityModel:

@@ -41,8 +41,37 @@ def release(spark: SparkSession) -> None:
     """Delete what the operators wrote in this session; results not yet written elsewhere go with it."""
     for table in spark.catalog.listTables(pattern=f"{TABLES}*"):
         spark.sql(f"DROP TABLE IF EXISTS {table.name}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strataforge/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/strataforge/{spark.sparkContext.applicationId}")
+    _written.clear()
+
+
+#: Folders and tables that this driver's operators wrote, in order.
+_written: list[str] = []
+
+
+def written(name: str) -> str:
+    """Note a folder or table of an operator, so that ``drop_since`` finds it."""
+    _written.append(name)
+    return name
+
+
+def mark() -> int:
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, start: int, keep: int = 0) -> None:
+    """Delete what was written since ``mark`` gave ``start``, but for the last ``keep`` of it."""
+    gone = _written[start : len(_written) - keep]
+    del _written[start : len(_written) - keep]
+    for name in gone:
+        if name.startswith(TABLES):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            _delete(spark, name)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -50,13 +79,18 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here."""
     path = fresh_dir(df.sparkSession, kind)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(path))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def total_bytes(rows: DataFrame, column: str) -> int:
     """Bytes of a string or binary column of all rows."""
     return int(rows.agg(F.sum(F.octet_length(column))).first()[0] or 0)

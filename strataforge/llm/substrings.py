@@ -13,7 +13,8 @@ result; other columns are carried only where asked. Windows are compared by 64-b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataforge.llm.blocks import BLOCK, ENTRIES, block_runs, blocked, entry_batch, fragments_for, ids_of, marked_positions, marks, not_first, shared
-from strataforge.llm.store import P, is_scan
-from strataforge.llm.textcore import packed_rows, ragged, slices, span_hashes, windows, words
+from strataforge.llm.blocks import BLOCK, ENTRIES, ID, TEXT, Words, blocked, carried, distinct, entry_rows, fragments_for, ids_of, joined, not_first, of_kind, reports, shared, told, word_slices
+from strataforge.llm.store import P, materialize
+from strataforge.llm.textcore import packed_rows, ragged, window_hashes, windows
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -31,65 +32,79 @@ PERIOD, COVER = 7, (0, 1, 3)
 RESULT = [f"{P}n_words", f"{P}n_removed", f"{P}kept"]
 
 
+class _Anchors(NamedTuple):
+    """Anchors of a block, slice by slice: their words, texts and hashes; the distinct hashes and each anchor's number."""
+
+    at: list[np.ndarray]
+    text: list[np.ndarray]
+    keys: np.ndarray
+    number: np.ndarray
+    several: np.ndarray
+
+
+def _anchors(parts: list[Words], size: int) -> _Anchors:
+    """The windows of ``size`` words that start at cover positions."""
+    on, at, text = np.isin(np.arange(PERIOD), COVER), [], []
+    for s in parts:
+        here, of = windows(s.first, size)
+        kept = on[(here - s.first[of]) % PERIOD]
+        at.append(here[kept])
+        text.append(of[kept])
+    hashes = joined([window_hashes(s.hashes, x, size) for s, x in zip(parts, at, strict=True)], np.uint64)
+    keys, number, least, most = distinct(hashes, joined([s.row + x for s, x in zip(parts, text, strict=True)]))
+    return _Anchors(at, text, keys, number, (least != most).astype(np.uint8))
+
+
 def cover_anchors(blocks: DataFrame, window: int, fragments: int) -> DataFrame:
-    """Entries of the anchors at cover positions: hashes of ``window - PERIOD + 1`` words."""
-    size, on = window - PERIOD + 1, np.isin(np.arange(PERIOD), COVER)
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, rows in block_runs(batch):
-                slots, ids = rows.column(f"{P}slot").to_numpy(), ids_of(rows.column(f"{P}id"))
-                for i, _, data, offsets in slices(rows.column(f"{P}text")):
-                    starts, ends, first = words(data, offsets)
-                    hashes = span_hashes(data, starts, ends)
-                    at, text = windows(first, size)
-                    position = at - first[text]
-                    kept = on[position % PERIOD]
-                    at, text, position = at[kept], text[kept], position[kept]
-                    if len(at):
-                        yield entry_batch(fragments, block, slots, ids, text + i, span_hashes(hashes, at, at + size), position, 5)
-
-    return blocks.mapInArrow(anchors, ENTRIES)
-
-
-def around_anchors(around: int) -> Callable:
-    """Ranges of window starts (slots, begin, end) at which a window holds a marked anchor."""
-
-    def ranges(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slots, positions = marked_positions(found)
-        return slots, positions - around + 1, positions + 1
-
-    return ranges
-
-
-def _candidate_windows(window: int, fragments: int, ranges: Callable):  # noqa: ANN202
-    """Of a block: entries of the windows that start in the ranges found."""
-
-    def candidates(docs: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        slots, begins, stops = ranges(found)
-        ids, slot = ids_of(docs[f"{P}id"]), docs[f"{P}slot"].to_numpy()
-        for i, j, data, offsets in slices(docs[f"{P}text"].combine_chunks()) if len(found) and len(docs) else ():
-            starts, ends, first = words(data, offsets)
-            row = np.full(1 << 16, -1)
-            row[slot[i:j]] = np.arange(j - i)
-            here = row[slots] >= 0
-            text = row[slots[here]]
-            begin, end = first[text] + np.maximum(begins[here], 0), np.minimum(first[text] + stops[here], first[text + 1] - window + 1)
-            wanted = np.zeros(len(starts) + 1, np.int64)
-            ok = begin < end
-            np.add.at(wanted, begin[ok], 1)
-            np.add.at(wanted, end[ok], -1)
-            at = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
-            if len(at):
-                text = np.searchsorted(first, at, "right") - 1
-                hashes = span_hashes(span_hashes(data, starts, ends), at, at + window)
-                out.append(entry_batch(fragments, (docs[BLOCK[0]][0].as_py(), docs[BLOCK[1]][0].as_py()), slot, ids, text + i, hashes, at - first[text]))
-        schema = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-        fields = pa.schema([(n, schema[t]) for n, t in (x.split(" ") for x in ENTRIES.split(", "))])
-        return pa.Table.from_batches(out, fields) if out else fields.empty_table()
-
-    return candidates
+    """Entries of the blocks' anchors; five bytes of a hash are enough before the exact step."""
+
+    def entries(docs: pa.Table) -> pa.Table:
+        found = _anchors(word_slices(docs[TEXT]), window - PERIOD + 1)
+        return entry_rows(docs[BLOCK][0].as_py(), found.keys, found.several, fragments, 5)
+
+    return blocks.groupBy(BLOCK).applyInArrow(entries, ENTRIES)
+
+
+def starts_in(part: Words, text: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """Words at which a whole window of a text starts, in the ranges ``begin .. end - 1`` of the texts."""
+    begin, end = np.maximum(begin, part.first[text]), np.minimum(end, part.first[text + 1] - window + 1)
+    ok, wanted = begin < end, np.zeros(len(part.starts) + 1, np.int64)
+    np.add.at(wanted, begin[ok], 1)
+    np.add.at(wanted, end[ok], -1)
+    return np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+
+
+def around_anchors(window: int, fragments: int) -> Callable:
+    """Of a block's slices: starts of the windows that hold an anchor that two documents share."""
+
+    def locate(parts: list[Words], docs: pa.Table, found: pa.Table) -> list[np.ndarray]:
+        anchors = _anchors(parts, window - PERIOD + 1)
+        marked, done, out = told(of_kind(found, 0), anchors.keys, fragments)[anchors.number] > 0, 0, []
+        for part, at, text in zip(parts, anchors.at, anchors.text, strict=True):
+            good = marked[done : done + len(at)]
+            done += len(at)
+            out.append(starts_in(part, text[good], at[good] - PERIOD + 1, at[good] + 1, window))
+        return out
+
+    return locate
+
+
+class _Candidates(NamedTuple):
+    parts: list[Words]
+    at: list[np.ndarray]
+    ids: np.ndarray
+    keys: np.ndarray
+    number: np.ndarray
+    least: np.ndarray
+
+
+def _candidates(docs: pa.Table, found: pa.Table, window: int, locate: Callable) -> _Candidates:
+    """The windows of a block that ``locate`` finds, with their documents' ids; the distinct ones with their least id."""
+    parts, doc_ids = word_slices(docs[TEXT]), ids_of(docs[ID])
+    at = locate(parts, docs, found) if len(found) else [s.first[:0] for s in parts]
+    ids = joined([doc_ids[s.row + np.searchsorted(s.first, x, "right") - 1] for s, x in zip(parts, at, strict=True)])
+    keys, number, least, _ = distinct(joined([window_hashes(s.hashes, x, window) for s, x in zip(parts, at, strict=True)], np.uint64), ids)
+    return _Candidates(parts, at, ids, keys, number, least)
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
@@ -107,63 +122,60 @@ def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first:
     return packed_rows(np.maximum(per - 1, 0), flat[whole]).cast(pa.string())
 
 
-def _remove(window: int, carry: list[str]):  # noqa: ANN202
-    def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
-        slots, positions = marked_positions(found) if len(found) else (np.zeros(0, np.int64),) * 2
-        n_words, n_removed, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.string())]
-        slot = docs[f"{P}slot"].to_numpy()
-        for i, j, data, offsets in slices(docs[f"{P}text"].combine_chunks()) if len(docs) else ():
-            starts, ends, first = words(data, offsets)
-            row = np.full(1 << 16, -1)
-            row[slot[i:j]] = np.arange(j - i)
-            here = row[slots] >= 0
-            at = first[row[slots[here]]] + positions[here]
-            cover = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + window, -1)
+def remove_repeats(blocks: DataFrame, size: int, found: DataFrame, window: int, locate: Callable, carry: list[str]) -> DataFrame:
+    """The rows of ``blocks`` with ``RESULT``: words go that a window covers whose words also start in a document with a smaller id.
+
+    ``locate`` names the windows that come into question, from a block's rows of ``found``.
+    """
+    fragments = fragments_for(blocks.sparkSession, size, 0.25)
+
+    def entries(docs: pa.Table, here: pa.Table) -> pa.Table:
+        if not len(docs) or not len(here):
+            return entry_rows(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), fragments)
+        got = _candidates(docs, here, window, locate)
+        return entry_rows(docs[BLOCK][0].as_py(), got.keys, got.least.astype("<i8"), fragments)
+
+    def remove(docs: pa.Table, here: pa.Table) -> pa.Table:
+        got = _candidates(docs, here, window, locate)
+        gone = (got.least[got.number] < got.ids) | (told(of_kind(here, 1), got.keys, fragments)[got.number] > 0)
+        n_words, n_removed, kept, done = [], [], [], 0
+        for part, at in zip(got.parts, got.at, strict=True):
+            flagged = at[gone[done : done + len(at)]]
+            done += len(at)
+            cover = np.zeros(len(part.starts) + 1, np.int64)
+            cover[flagged] += 1
+            cover[flagged + window] -= 1
             keep = np.cumsum(cover)[:-1] == 0
-            total = np.concatenate(([0], np.cumsum(~keep)))
-            n_words.append(np.diff(first))
-            n_removed.append(np.diff(total[first]))
-            kept.append(joined_words(data, starts, ends, first, keep))
-        return pa.table([docs[f"{P}id"], docs[f"{P}text"], *(docs[c] for c in carry), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.chunked_array(kept)], names=[f"{P}id", f"{P}text", *carry, *RESULT])
-
-    return remove
-
+            n_words.append(np.diff(part.first))
+            n_removed.append(np.diff(np.concatenate(([0], np.cumsum(~keep)))[part.first]))
+            kept.append(joined_words(part.data, part.starts, part.ends, part.first, keep))
+        return docs.select([ID, TEXT, *carried(carry)]).append_column(RESULT[0], pa.array(joined(n_words))).append_column(RESULT[1], pa.array(joined(n_removed))).append_column(RESULT[2], pa.chunked_array(kept, pa.string()))
 
-def remove_windows(blocks: DataFrame, flagged: DataFrame, window: int, carry: list[str]) -> DataFrame:
-    """The rows of ``blocks`` with ``RESULT``: the words that no flagged window covers stay."""
+    pairs = blocks.groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(entries, ENTRIES)
+    both = found.unionByName(reports(pairs, size // 2, not_first).withColumn("kind", F.lit(1)), allowMissingColumns=True)
     kinds = {f.name: f for f in blocks.schema.fields}
-    schema = T.StructType([kinds[c] for c in (f"{P}id", f"{P}text", *carry)] + [T.StructField(n, t) for n, t in zip(RESULT, (T.LongType(), T.LongType(), T.StringType()), strict=True)])
-    return blocks.groupBy(*BLOCK).cogroup(flagged.groupBy(*BLOCK)).applyInArrow(_remove(window, carry), schema)
-
-
-def flag_windows(blocks: DataFrame, found: DataFrame, window: int, ranges: Callable) -> DataFrame:
-    """Windows in the ``ranges`` of what was found whose word sequence also starts in a document with a smaller id."""
-    fragments = fragments_for(blocks, 0.25)
-    entries = blocks.groupBy(*BLOCK).cogroup(found.groupBy(*BLOCK)).applyInArrow(_candidate_windows(window, fragments, ranges), ENTRIES)
-    return marks(entries, not_first)
+    schema = T.StructType([kinds[c] for c in (ID, TEXT, *carried(carry))] + [T.StructField(n, t) for n, t in zip(RESULT, (T.LongType(), T.LongType(), T.StringType()), strict=True)])
+    return blocks.groupBy(BLOCK).cogroup(both.groupBy(BLOCK)).applyInArrow(remove, schema).toDF(ID, TEXT, *carry, *RESULT)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, *, scan: bool | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: _sf_id, _sf_text, ``carry`` and ``RESULT``."""
-    scan = is_scan(docs) if scan is None else scan
     if window <= PERIOD:
         raise ValueError(f"a window must be longer than the cover's period, {PERIOD}")
-    scan = is_scan(docs) if scan is None else scan
-    blocks = blocked(docs, id_col, text_col, carry or [], scan)
-    found = marks(cover_anchors(blocks, window, fragments_for(blocks, len(COVER) / PERIOD)), shared)
-    return remove_windows(blocks, flag_windows(blocks, found, window, around_anchors(PERIOD)), window, carry or [])
+    blocks, size = blocked(docs, id_col, text_col, carry or [])
+    fragments = fragments_for(docs.sparkSession, size, len(COVER) / PERIOD)
+    found = materialize(reports(cover_anchors(blocks, window, fragments), size // 2, shared, 5, "u1").withColumn("kind", F.lit(0)), "anchors")
+    return remove_repeats(blocks, size, found, window, around_anchors(window, fragments), carry or [])
 
 
 def digests(out: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    return out.select(F.col(f"{P}id").alias("doc_id"), F.col(RESULT[0]).alias("n_words"), F.col(RESULT[1]).alias("n_removed"), F.sha2(RESULT[2], 256).alias("kept_sha256"))
+    return out.select(F.col(ID).alias("doc_id"), F.col(RESULT[0]).alias("n_words"), F.col(RESULT[1]).alias("n_removed"), F.sha2(RESULT[2], 256).alias("kept_sha256"))
 
 
 def op10_substring(spark, sf_dir: str) -> DataFrame:
     """All documents without the words of 13-word windows that start in an earlier document."""
-    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True)
+    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return digests(out)
 
 

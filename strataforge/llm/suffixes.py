@@ -2,22 +2,23 @@
 
 Suffixes are retained only at minimiser positions: of every ``LENGTH - GRAM + 1`` consecutive word
 windows of ``GRAM`` words the one with the least hash. The text alone selects them, so two equal
-stretches of ``LENGTH`` words hold the same one. Suffixes whose first words stand in several
-documents are sorted over range partitions; the longest match of a suffix is that with one of its
-neighbours (those astride a partition's edge included), and it extends the suffix to the right. To
-the left it extends as far as a window of ``LENGTH`` words reaches; the windows in between are
-compared exactly, and of equal windows only those in the document with the smallest id stay. No
-repeated window is missed.
-
-Suffixes are compared by 16-bit word codes, which can only lengthen a match before the exact step,
-and windows by 64-bit hashes. Defined cases: a null text has no words; a null id comes after every
-id; repeats within one id stay; texts of fewer than ``LENGTH`` words keep all; an empty table gives
-an empty result; other columns are carried only where asked.
+stretches of ``LENGTH`` words hold the same one. All suffixes are sorted over range partitions and
+compared with their neighbours (those astride a partition's edge included): what a suffix shares
+with a neighbour is the longest match to the right that it has with any other. To the left a match
+that counts extends no further than a window of ``LENGTH`` words reaches. Windows of ``LENGTH``
+words within such a stretch are then compared exactly, since the neighbour to the right need not be
+the match to the left; of equal windows only those in the document with the smallest id stay.
+
+Suffixes are compared by 16-bit word codes over the ``LENGTH`` words that a window can hold, which
+can only lengthen a match before the exact step, and windows by 64-bit hashes. Defined cases: a null
+text has no words; a null id comes after every id; repeats within one id stay; texts of fewer than
+``LENGTH`` words keep all; an empty table gives an empty result; other columns are carried only
+where asked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +26,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.llm.blocks import BLOCK, ENTRIES, block_runs, blocked, entry_batch, fragments_for, ids_of, marked_positions, marks, shared
+from strataforge.llm.blocks import BLOCK, ID, SLOT, TEXT, Words, blocked, of_kind
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import P, is_scan, materialize, partitions
-from strataforge.llm.substrings import OP10_SQL, digests, flag_windows, remove_windows
-from strataforge.llm.textcore import packed_rows, ragged, slices, span_hashes, windows, words
+from strataforge.llm.store import PART_BYTES, materialize, partitions
+from strataforge.llm.substrings import OP10_SQL, digests, remove_repeats, starts_in
+from strataforge.llm.textcore import packed_rows, ragged, slices, span_hashes, window_hashes, windows, words
 
 LENGTH, GRAM = 50, 8
-_SUFFIX = f"right binary, id long, {BLOCK[0]} long, {BLOCK[1]} long, slot int, at int"
-_NAMES = ["right", "id", *BLOCK, "slot", "at"]
-_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_SUFFIX = f"right binary, id long, {BLOCK} long, {SLOT} int, at int"
+_NAMES = [x.split(" ")[0] for x in _SUFFIX.split(", ")]
 _OUT = f"kind int, part int, {_SUFFIX}, length int"
 
 
 def minimisers(first: np.ndarray, hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of the selected positions, their texts and their window hashes."""
     at, text = windows(first, gram)
-    grams = span_hashes(hashes, at, at + gram)
+    grams = window_hashes(hashes, at, gram)
     width = length - gram + 1
     begin, _ = windows(np.searchsorted(text, np.arange(len(first))), width)
     if not len(begin):
@@ -51,39 +51,19 @@ def minimisers(first: np.ndarray, hashes: np.ndarray, length: int, gram: int) ->
     return at[chosen], text[chosen], grams[chosen]
 
 
-def _seeds(length: int, gram: int, fragments: int):  # noqa: ANN202
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffixes(length: int, gram: int) -> Callable:
+    """The codes of the words from each minimiser on."""
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, rows in block_runs(batch):
-                slots, ids = rows.column(f"{P}slot").to_numpy(), ids_of(rows.column(f"{P}id"))
-                for i, _, data, offsets in slices(rows.column(f"{P}text")):
-                    starts, ends, first = words(data, offsets)
-                    at, text, grams = minimisers(first, span_hashes(data, starts, ends), length, gram)
-                    if len(at):
-                        yield entry_batch(fragments, block, slots, ids, text + i, grams, at - first[text], 5)
-
-    return seeds
-
-
-def _suffixes(length: int):  # noqa: ANN202
-    """Of a block: the codes of the words from each shared seed on."""
-
-    def suffixes(docs: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        slots, positions = marked_positions(found)
-        ids, slot = ids_of(docs[f"{P}id"]), docs[f"{P}slot"].to_numpy()
-        for i, j, data, offsets in slices(docs[f"{P}text"].combine_chunks()) if len(found) and len(docs) else ():
-            starts, ends, first = words(data, offsets)
-            codes = (span_hashes(data, starts, ends) >> np.uint64(48)).astype(">u2")
-            row = np.full(1 << 16, -1)
-            row[slot[i:j]] = np.arange(j - i)
-            here = row[slots] >= 0
-            text, position = row[slots[here]], positions[here]
-            at = first[text] + position
-            right = np.minimum(length, first[text + 1] - at)
-            out.append(pa.RecordBatch.from_arrays([packed_rows(right, codes[ragged(at, right)]), pa.array(ids[i + text]), *(docs[c].combine_chunks().take(pa.array(i + text)) for c in BLOCK), pa.array(slot[i + text].astype(np.int32)), pa.array(position.astype(np.int32))], _NAMES))
-        schema = pa.schema(list(zip(_NAMES, _TYPES, strict=True)))
-        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+            for i, _, data, offsets in slices(batch.column(0)):
+                starts, ends, first = words(data, offsets)
+                hashes = span_hashes(data, starts, ends)
+                at, text, _ = minimisers(first, hashes, length, gram)
+                right = np.minimum(length, first[text + 1] - at)
+                rows = batch.take(pa.array(i + text))
+                codes = (hashes >> np.uint64(48)).astype(">u2")
+                yield pa.RecordBatch.from_arrays([packed_rows(right, codes[ragged(at, right)]), *rows.columns[1:], pa.array((at - first[text]).astype(np.int32))], _NAMES)
 
     return suffixes
 
@@ -102,14 +82,14 @@ def _rows(batch: pa.RecordBatch, kind: int, part: int, row: np.ndarray, start: n
     """Rows of kind 0 (a stretch of words: at, length) or 1 (a partition's outermost suffixes)."""
     take = batch.take(pa.array(row))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(row), kind), pa.int32()), pa.array(np.full(len(row), part), pa.int32()), pa.nulls(len(row), pa.binary()) if right is None else right, *(take.column(k) for k in range(1, 5)), pa.array(start, pa.int32()), pa.array(size, pa.int32())],
+        [pa.array(np.full(len(row), kind), pa.int32()), pa.array(np.full(len(row), part), pa.int32()), pa.nulls(len(row), pa.binary()) if right is None else right, *take.columns[1:4], pa.array(start, pa.int32()), pa.array(size, pa.int32())],
         ["kind", "part", *_NAMES, "length"],
     )
 
 
 def _found(batch: pa.RecordBatch, part: int, length: int, gram: int) -> pa.RecordBatch:
     """Stretches around suffixes that can hold a window of ``length`` words their neighbour has too."""
-    common, at = _common(batch.column(0)), batch.column(5).to_numpy()
+    common, at = _common(batch.column(0)), batch.column(4).to_numpy()
     row = np.concatenate((np.arange(len(common)), np.arange(len(common)) + 1))
     right = np.concatenate((common, common))
     left = np.minimum(at[row], length - gram)
@@ -118,9 +98,9 @@ def _found(batch: pa.RecordBatch, part: int, length: int, gram: int) -> pa.Recor
     return _rows(batch, 0, part, row, at[row] - left, left + right, None)
 
 
-def _neighbours(length: int, gram: int):  # noqa: ANN202
-    def edge(batch: pa.RecordBatch, part: int, k: int) -> pa.RecordBatch:
-        return _rows(batch, 1, part, np.array([k]), batch.column(5).to_numpy()[[k]], np.array([0]), batch.column(0).slice(k, 1))
+def _neighbours(length: int, gram: int) -> Callable:
+    def edge(batch: pa.RecordBatch, part: int) -> pa.RecordBatch:
+        return _rows(batch, 1, part, np.array([0]), batch.column(4).to_numpy()[:1], np.array([0]), batch.column(0).slice(0, 1))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
@@ -128,18 +108,18 @@ def _neighbours(length: int, gram: int):  # noqa: ANN202
             for c in range(0, len(whole), 4096):
                 batch = whole.slice(c, 4096)
                 if last is None:
-                    yield edge(batch, part, 0)
+                    yield edge(batch, part)
                 else:
                     batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
                 yield _found(batch, part, length, gram)
                 last = batch.slice(len(batch) - 1)
         if last is not None:
-            yield edge(last, part, 0)
+            yield edge(last, part)
 
     return neighbours
 
 
-def _across(length: int, gram: int):  # noqa: ANN202
+def _across(length: int, gram: int) -> Callable:
     """Each row holds the last suffix of a partition and the first of the next one."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,43 +133,51 @@ def _across(length: int, gram: int):  # noqa: ANN202
     return across
 
 
-def matched_stretches(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
+def matched_stretches(suffixes: DataFrame, size: int, length: int, gram: int) -> DataFrame:
     """Stretches (block, slot, at, length) that hold every window of ``length`` words that repeats."""
-    order = ["right", "id", *BLOCK, "slot", "at"]
-    ordered = suffixes.repartitionByRange(partitions(suffixes.sparkSession), *order).sortWithinPartitions(*order)
-    found = materialize(ordered.select(*_NAMES).mapInArrow(_neighbours(length, gram), _OUT), "neighbours")
+    parts = max(partitions(suffixes.sparkSession), size // PART_BYTES + 1)
+    ordered = suffixes.repartitionByRange(parts, *_NAMES).sortWithinPartitions(*_NAMES)
+    found = materialize(ordered.mapInArrow(_neighbours(length, gram), _OUT), "neighbours")
     # two rows of each range partition: its first and its last suffix
     edges = found.where("kind = 1").select("part", *_NAMES)
-    along = Window.orderBy("part", *order)
+    along = Window.orderBy("part", *_NAMES)
     beyond = edges.select("*", F.lead("part").over(along).alias("next"), *(F.lead(c).over(along).alias(f"next_{c}") for c in _NAMES))
     astride = beyond.where("next > part").select(*_NAMES, *(f"next_{c}" for c in _NAMES)).mapInArrow(_across(length, gram), _OUT)
-    return found.where("kind = 0").union(astride).groupBy(*BLOCK, "slot", "at").agg(F.max("length").alias("length"))
+    return found.where("kind = 0").union(astride).groupBy(BLOCK, SLOT, "at").agg(F.max("length").alias("length"))
+
 
+def _within(length: int) -> Callable:
+    """Of a block's slices: starts of the windows that lie within a stretch."""
 
-def _stretch_ranges(window: int):  # noqa: ANN202
-    def ranges(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slot, at, length = (found[c].to_numpy().astype(np.int64) for c in ("slot", "at", "length"))
-        return slot, at, at + length - window + 1
+    def locate(parts: list[Words], docs: pa.Table, found: pa.Table) -> list[np.ndarray]:
+        stretches = of_kind(found, 0)
+        slots, at, size = (stretches[c].to_numpy().astype(np.int64) for c in (SLOT, "at", "length"))
+        row, out = np.full(1 << 16, -1), []
+        row[docs[SLOT].to_numpy()] = np.arange(len(docs))
+        row = row[slots]
+        for part in parts:
+            here = (row >= part.row) & (row < part.row + len(part.first) - 1)
+            text = row[here] - part.row
+            begin = part.first[text] + at[here]
+            out.append(starts_in(part, text, begin, begin + size[here] - length + 1, length))
+        return out
 
-    return ranges
+    return locate
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, *, scan: bool | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: _sf_id, _sf_text, ``carry`` and ``substrings.RESULT``."""
-    scan = is_scan(docs) if scan is None else scan
     if not 0 < gram < length:
         raise ValueError("gram must be positive and less than length")
-    blocks = blocked(docs, id_col, text_col, carry or [], scan)
-    fragments = fragments_for(blocks, 2 / (length - gram + 2))
-    found = marks(blocks.mapInArrow(_seeds(length, gram, fragments), ENTRIES), shared)
-    suffixes = blocks.groupBy(*BLOCK).cogroup(found.groupBy(*BLOCK)).applyInArrow(_suffixes(length), _SUFFIX)
-    stretches = matched_stretches(suffixes, length, gram)
-    return remove_windows(blocks, flag_windows(blocks, stretches, length, _stretch_ranges(length)), length, carry or [])
+    blocks, size = blocked(docs, id_col, text_col, carry or [])
+    suffixes = blocks.select(TEXT, ID, BLOCK, SLOT).mapInArrow(_suffixes(length, gram), _SUFFIX)
+    stretches = materialize(matched_stretches(suffixes, size, length, gram).withColumn("kind", F.lit(0)), "stretches")
+    return remove_repeats(blocks, size, stretches, length, _within(length), carry or [])
 
 
 def op8_suffixes(spark, sf_dir: str) -> DataFrame:
     """All documents without the words of 50-word stretches that start in an earlier document."""
-    return digests(suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), scan=True))
+    return digests(suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 #: The definition without minimisers: windows of 50 words in place of 13.

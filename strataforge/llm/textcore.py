@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 
 U = np.uint64
 SLICE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,15 +38,6 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, U)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every bit of ``x`` reaches every bit of the result."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -56,13 +45,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``values[starts:ends]``: equal spans hash equally wherever they stand."""
-    n = len(values)
-    total = np.zeros(n + 1, U)
-    np.cumsum((values.astype(U) + U(1)) * _power(_BASE, n), out=total[1:])
-    span = (total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts]
-    return mix(span + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of ``data`` on, as numbers (zeros beyond its end)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_chunks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk of eight bytes of each span, the further chunks of all spans, and their number for each."""
+    eight = _eights(data)
+    more = np.maximum(sizes - 1, 0) // 8
+    row, number = np.repeat(np.arange(len(sizes)), more), 1 + ragged(np.zeros(len(sizes), np.int64), more)
+    rest = eight[starts[row] + 8 * number] & _KEEP[np.minimum(sizes[row] - 8 * number, 8)]
+    return eight[starts] & _KEEP[np.minimum(sizes, 8)], rest, more
+
+
+def chunk_hashes(first: np.ndarray, rest: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans given as ``span_chunks``.
+
+    Every chunk of eight bytes is mixed with its place in the span before they are added up, so
+    that no pattern in a span's bytes (as with powers of one base) makes spans alike.
+    """
+    out = mix(first + U(0x632BE59BD9B4E019))
+    if len(rest):
+        number = 1 + ragged(np.zeros(len(more), np.int64), more)
+        total = np.concatenate((np.zeros(1, U), np.cumsum(mix(rest ^ mix(number.astype(U))), dtype=U)))
+        end = np.cumsum(more)
+        out += total[end] - total[end - more]
+    return mix(out + sizes.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``data[starts:ends]``: equal spans hash equally wherever they stand."""
+    sizes = ends - starts
+    return chunk_hashes(*span_chunks(data, starts, sizes), sizes)
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = left * U(0x9E3779B97F4A7C15) + right
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    x ^= x >> U(29)
+    return x
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of the ``size`` values from each of ``at`` on: parts of a power of two values are joined and mixed."""
+    if not len(at):
+        return np.zeros(0, U)
+    level, width, out, offset = hashes, 1, None, 0
+    while True:
+        if size & width:
+            part = level[at + offset]
+            out, offset = part if out is None else _join(out, part), offset + width
+        if size < 2 * width:
+            return mix(out + U(size))
+        level, width = _join(level[:-width], level[width:]), 2 * width
 
 
 _SPACE = np.zeros(256, bool)
@@ -100,10 +138,17 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @cache
 def _classes() -> np.ndarray:
-    """Code point classes: 1 letter, 2 number, 3 white space, 0 anything else."""
-    of = {"L": 1, "N": 2, "Z": 3}
-    table = np.array([of.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
-    table[[*range(0x09, 0x0E), 0x85]] = 3
+    """Code point classes: 1 letter, 2 number, 3 white space, 0 anything else, as the tokenizer library has them.
+
+    Libraries know different versions of Unicode. The one whose pieces are wanted is asked itself:
+    a vocabulary of single bytes and a pattern of one class give back the characters of the class.
+    """
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype("<u4")
+    text = points.tobytes().decode("utf-32-le")
+    table = np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (3, r"\s")):
+        one = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([k]): k for k in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(one.encode_ordinary(text)).decode().encode("utf-32-le"), "<u4")] = kind
     return table
 
 

@@ -33,7 +33,7 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 #: Smaller payloads are always written whole.
 REVISIT_FROM = 1000
 #: Merge ranges with gaps up to this, into reads up to that, and start a new file from FILE_BYTES.
-GAP, READ, FILE_BYTES = 64 << 10, 8 << 20, 256 << 20
+GAP, READ, FILE_BYTES = 64 << 10, 4 << 20, 256 << 20
 _DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -92,14 +92,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "utf-8").alias("payload"), *(["_metadata"] if scan else [])),
         "page_id", "url", "payload", scan=scan,
     ).withColumn(f"{P}sha1", F.unhex(F.sha1("payload")))
-    light = rows.where(F.octet_length("payload") >= REVISIT_FROM).groupBy(f"{P}sha1").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("id"), *RID)).alias(f"{P}top"), F.count("*").alias(f"{P}n"))
-    shared = materialize(light.where(F.col(f"{P}n") > 1).select(f"{P}sha1", f"{P}top"), "payloads")
-    large = F.octet_length("payload") >= REVISIT_FROM
-    joined = rows.join(shared, f"{P}sha1", "left").select(
-        "page_id", "url", "payload", f"{P}sha1",
-        F.nullif(F.col(f"{P}top.id"), F.lit(-(2**63))).alias("refers_to"),
-        (large & F.col(f"{P}top").isNotNull() & ~((F.col(f"{P}top.{RID[0]}") == F.col(RID[0])) & (F.col(f"{P}top.{RID[1]}") == F.col(RID[1])))).alias("revisit"),
-    )
+    # which records revisit which: narrow rows only, so that a popular page's payload isn't shuffled
+    light = materialize(rows.where(F.octet_length("payload") >= REVISIT_FROM).select(f"{P}sha1", F.coalesce("page_id", F.lit(-(2**63))).alias("id"), *RID), "digests")
+    top = light.groupBy(f"{P}sha1").agg(F.max(F.struct("id", *RID)).alias("top"), F.count("*").alias("n")).where("n > 1")
+    other = ~((F.col(f"top.{RID[0]}") == F.col(RID[0])) & (F.col(f"top.{RID[1]}") == F.col(RID[1])))
+    revisits = materialize(light.join(top, f"{P}sha1").where(other).select(*RID, F.nullif(F.col("top.id"), F.lit(-(2**63))).alias("refers_to"), F.lit(True).alias("revisit")), "revisits")
+    joined = rows.join(revisits, RID, "left").select("page_id", "url", "payload", f"{P}sha1", "refers_to", "revisit")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -130,10 +128,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of any selection of index rows (columns file, offset, length), parsed.
 
-    Rows are dealt by file and stretch of ``4 * READ`` bytes, sorted by offset there, and
-    neighbouring ranges become one read.
+    Rows are ranged by file and offset into as many parts as their bytes ask for, and neighbouring
+    ranges become one read.
     """
-    dealt = index.select("file", "offset", "length").repartition("file", F.expr(f"offset div {4 * READ}")).sortWithinPartitions("file", "offset")
+    size = int(index.agg(F.sum("length")).first()[0] or 0)
+    dealt = index.select("file", "offset", "length").repartitionByRange(size // READ + 1, "file", "offset").sortWithinPartitions("file", "offset")
     types = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

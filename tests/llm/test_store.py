@@ -34,7 +34,7 @@ def test_release(spark, awkward):
     from strataforge.llm.store import TABLES, release
 
     path = materialize(spark.range(3)).inputFiles()[0].removeprefix("file://")
-    blocked(awkward, "doc_id", "text", [], False)
+    blocked(awkward, "doc_id", "text", [])
     assert os.path.exists(path) and spark.catalog.listTables(pattern=f"{TABLES}*")
     release(spark)
     assert not os.path.exists(path) and not spark.catalog.listTables(pattern=f"{TABLES}*")
