@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from strataforge.llm.exact_dedup import exact_dedup
 from strataforge.llm.jaccard import jaccard_components
 from strataforge.llm.packing import TOKENIZER, pack
-from strataforge.llm.quality import fit_quality, keep_good, quality_statistics
-from strataforge.llm.store import RID, P, is_scan, materialize
+from strataforge.llm.quality import fit_quality, quality_scores, quality_statistics
+from strataforge.llm.store import RID, P, drop_since, is_scan, mark, materialize, quoted
 from strataforge.llm.substrings import RESULT, substring_dedup
 
 
@@ -25,20 +25,25 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of the file scan ``docs`` whose identity is in ``kept``."""
-    known = docs.select(*docs.columns, F.xxhash64(F.col("_metadata.file_path")).alias(RID[0]), F.col("_metadata.row_index").alias(RID[1]))
+    known = docs.select(*(F.col(quoted(c)) for c in docs.columns), F.xxhash64(F.col("_metadata.file_path")).alias(RID[0]), F.col("_metadata.row_index").alias(RID[1]))
     # a merge join at every size: whether the identities can be broadcast isn't left to chance
     return known.join(materialize(kept.select(*RID), "kept").hint("merge"), RID, "left_semi").drop(*RID)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score, learned from the labels of the training folds, is 0.5 or more."""
+    """Documents whose quality score, learned from the labels of the training folds, is 0.5 or more.
+
+    Each row is judged by its own text: a null text as an empty one, rows with null or repeated ids
+    like any other. Without labels of both kinds every score is one half and all rows stay.
+    """
     docs = _scanned(docs)
-    model = fit_quality(quality_statistics(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return keep_good(docs, model)
+    statistics = quality_statistics(docs)
+    scores = quality_scores(statistics, fit_quality(statistics, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _only(docs, scores.where("score >= 0.5"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts (a null one counts as empty), the row with the largest doc_id; a null doc_id loses, the last row of equals stays."""
     docs = _scanned(docs)
     return _only(docs, exact_dedup(docs).where("kept"))
 
@@ -46,7 +51,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of 5-word-shingle Jaccard similarity 0.8 or more, the row with the smallest doc_id.
 
-    Documents without words link with nothing and stay.
+    Documents without words link with nothing and stay; a null doc_id comes after every other.
     """
     docs = _scanned(docs)
     found = materialize(jaccard_components(docs, 5, 80), "near")
@@ -58,21 +63,25 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 13-word windows that start in a document with a smaller doc_id.
 
-    A text that loses nothing stays as it is; another one is its kept words joined by one space.
+    A text that loses nothing stays as it is (a null one too); another one is its kept words joined
+    by one space. A null doc_id comes after every other; rows of one doc_id keep each other's words.
     """
     columns = docs.columns
     carry = [c for c in columns if c not in ("doc_id", "text")]
-    out = substring_dedup(_scanned(docs), carry=carry)
+    out = substring_dedup(docs, carry=carry)
     changed = F.col(RESULT[1]) > 0
     text = F.when(changed, F.col(RESULT[2])).otherwise(F.col(f"{P}text"))
     made = {"doc_id": F.col(f"{P}id"), "text": text}
     if "n_chars" in carry:
         made["n_chars"] = F.when(changed, F.length(RESULT[2]).cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*(made.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
+    return out.select(*(made.get(c, F.col(quoted(c))).alias(c) for c in columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed along the Hilbert curve into sequences of 1024 tokens (pieces with their ids)."""
+    """What is left, packed along the Hilbert curve into sequences of 1024 tokens (pieces with their ids).
+
+    Row by row: a null text is a single end token, null and repeated doc_ids are packed like others.
+    """
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -89,8 +98,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and reread; what a stage wrote on its way goes once it is done."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
+        drop_since(spark, start, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
