@@ -30,7 +30,7 @@ from strataforge.llm.textcore import LOWER, packed_rows, ragged, slices, span_ha
 BLOCK, SLOT, ID, TEXT = (f"{P}{x}" for x in ("block", "slot", "id", "text"))
 #: Rows of a block at most (a slot fits 16 bits), its bytes (and one text more) least and most, and
 #: blocks per partition that a small table aims at.
-BLOCK_ROWS, BLOCK_BYTES, BLOCKS = 1 << 14, (64 << 10, 16 << 20), 4
+BLOCK_ROWS, BLOCK_BYTES, BLOCKS = 1 << 14, (1 << 20, 16 << 20), 4
 #: Buckets at most, as Spark allows.
 BUCKETS = 100_000
 #: Entries that a fragment aims at.
