@@ -34,6 +34,17 @@ def blob_id(value: Column) -> Column:
     return F.sha1(F.concat(head, F.unhex(F.lit("00")), raw))
 
 
+def blob_id_of_bytes(raw: Column) -> Column:
+    """``blob_id`` of a binary column."""
+    head = F.encode(F.concat(F.lit("blob "), F.octet_length(raw).cast("string")), "utf-8")
+    return F.sha1(F.concat(head, F.unhex(F.lit("00")), raw))
+
+
+def decoded_base64(content: Column) -> Column:
+    """The bytes of base64 text, whatever line breaks it holds; null where it isn't base64."""
+    return F.try_to_binary(F.regexp_replace(content, r"[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+
+
 def short_digest(value: Column, length: int = 12) -> Column:
     return F.substring(F.sha2(value, 256), 1, length)
 
@@ -87,6 +98,15 @@ def json_kind(value: Column) -> Column:
     )
 
 
+#: White space as Python's strip knows it: Unicode's and the separators 0x1C to 0x1F.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space, in any script, at either end."""
+    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+
+
 def field(value: Column, name: str) -> Column:
     """A field of a variant object, or null."""
     return F.try_variant_get(value, f"$.{name}", "variant")
@@ -94,4 +114,4 @@ def field(value: Column, name: str) -> Column:
 
 def blank(text: Column) -> Column:
     """Nothing but white space, in any script, or the separators 0x1C to 0x1F."""
-    return F.regexp_like(text, F.lit(r"(?U)\A[\s\x1c-\x1f]*\z"))
+    return F.regexp_like(text, F.lit(rf"(?U)\A{_SPACE}*\z"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.functions import blank, fullmatch, safe_path, starts_with_any
+from strataforge.functions import blank, blob_id_of_bytes, decoded_base64, field, fullmatch, json_kind, safe_path, starts_with_any, strict_json, stripped
+from strataforge.sources import SPLITS
 
 # Fixed values of the formats.
 TRIGGER_ID = r"[A-Za-z0-9][A-Za-z0-9_.\-]{0,95}"
@@ -70,9 +71,9 @@ def resolve_requests(requests: DataFrame) -> DataFrame:
 def trigger_decisions(events: DataFrame) -> DataFrame:
     """Events (action, is_pull_request, actor, owner, triggering_actor, author, title, body) with ok, bundle_id, reason."""
     c = F.col
-    title = F.regexp_replace(c("title"), r"(?U)\A\s+|\s+\z", "")
+    title = stripped(c("title"))
     bundle = F.when(fullmatch(title, "bundle-task:" + BUNDLE_ID), F.substring(title, len("bundle-task:") + 1, 200))
-    lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("body", F.lit("")), SPLITS["unicode"]), stripped), lambda x: x != "")
     wanted = F.array_sort(F.array(F.lit("schema=private-bundle-trigger/2"), F.concat(F.lit("id="), bundle)))
     owned = (c("owner") != "") & (c("actor") == c("owner")) & (F.coalesce(F.nullif("triggering_actor", F.lit("")), c("actor")) == c("owner")) & c("author").eqNullSafe(c("owner"))
     reason = (
@@ -82,40 +83,110 @@ def trigger_decisions(events: DataFrame) -> DataFrame:
     return events.withColumns({"reason": reason, "ok": reason == "authorized", "bundle_id": F.when(reason == "authorized", bundle).otherwise("")})
 
 
-def input_error(name: Column, path: Column, ref: Column, blob: Column) -> Column:
-    """What is wrong with a pinned input, or null."""
+def input_error(name: Column, path: Column, ref: Column, blob: Column, reserved: Column | None = None) -> Column:
+    """What is wrong with a pinned input, or null; ``reserved`` says whether its name is taken."""
+    taken = F.coalesce(reserved, F.lit(False)) if reserved is not None else F.lit(False)
     return (
-        F.when(~fullmatch(name, FILE_NAME) | (name == SOURCE_MANIFEST), "invalid_input_entry").when(~safe_path(path), "invalid_path").when(~starts_with_any(path, INPUT_PREFIXES), "input_path_not_allowed")
+        F.when(~fullmatch(name, FILE_NAME) | taken, "invalid_input_entry").when(~safe_path(path), "invalid_path").when(~starts_with_any(path, INPUT_PREFIXES), "input_path_not_allowed")
         .when(~(fullmatch(ref, OBJECT_ID) & fullmatch(blob, OBJECT_ID)), "input_identity_invalid")
     )
 
 
+def plain_source_name(name: Column) -> Column:
+    return fullmatch(name, FILE_NAME) & (name != SOURCE_MANIFEST)
+
+
 def source_error(name: Column, text: Column) -> Column:
-    return F.when(~fullmatch(name, FILE_NAME) | (name == SOURCE_MANIFEST) | text.isNull(), "invalid_source_entry")
+    return F.when(~plain_source_name(name) | text.isNull(), "invalid_source_entry")
+
+
+def _first(entries: Column, rule) -> Column:  # noqa: ANN001
+    """The first error that ``rule`` finds, entry by entry."""
+    return F.get(F.filter(F.transform(entries, rule), lambda e: e.isNotNull()), F.lit(0))
 
 
 def bundle_errors(bundles: DataFrame) -> DataFrame:
     """Bundles (files, hashes maps; inputs map of (path, ref, blob); timeout_seconds) with the first broken rule.
 
     Declared hashes may be absent (null); where they are given they must cover the files exactly.
+    Files, then inputs, are judged one after another.
     """
     c = F.col
     files, inputs = F.map_entries("files"), F.map_entries(F.coalesce("inputs", F.create_map().cast("map<string,struct<path:string,ref:string,blob:string>>")))
     names = F.map_keys("files")
     declared = c("hashes").isNotNull()
     covered = (F.size(F.array_except(names, F.map_keys("hashes"))) == 0) & (F.size(F.array_except(F.map_keys("hashes"), names)) == 0)
-    first = lambda entries, rule: F.get(F.filter(F.transform(entries, rule), lambda e: e.isNotNull()), F.lit(0))
-    wrong_hash = F.exists(files, lambda e: F.sha2(e.value, 256) != F.try_element_at(c("hashes"), e.key))
+    wrong_hash = lambda e: F.when(declared & ~F.sha2(e.value, 256).eqNullSafe(F.try_element_at(c("hashes"), e.key)), "source_hash_mismatch")
     low, high = SECONDS
     error = (
         F.when(F.coalesce(F.size("files"), F.lit(0)) < 1, "invalid_source_files").when(~F.array_contains(names, ENTRY_POINT), "invalid_source_manifest").when(declared & ~covered, "invalid_source_manifest")
-        .when(first(files, lambda e: source_error(e.key, e.value)).isNotNull(), "invalid_source_entry").when(declared & wrong_hash, "source_hash_mismatch")
-        .when(F.exists(inputs, lambda e: F.array_contains(names, e.key)), "invalid_input_entry")
-        .otherwise(F.coalesce(first(inputs, lambda e: input_error(e.key, e.value.path, e.value.ref, e.value.blob)), F.when(~F.coalesce(c("timeout_seconds").between(low, high), F.lit(True)), "invalid_timeout")))
+        .otherwise(F.coalesce(
+            _first(files, lambda e: F.coalesce(source_error(e.key, e.value), wrong_hash(e))),
+            _first(inputs, lambda e: input_error(e.key, e.value.path, e.value.ref, e.value.blob, F.array_contains(names, e.key))),
+            F.when(~F.coalesce(c("timeout_seconds").between(low, high), F.lit(True)), "invalid_timeout"),
+        ))
     )
     return bundles.withColumn("error", error)
 
 
+# Fixed values of the formats: bundles with declared hashes, with text alone, and successors of an earlier source.
+BUNDLE_SCHEMAS = ["private-task-bundle/2", "private-task-bundle/3", "private-task-bundle/4"]
+
+
+def bundle_verdicts(bundles: DataFrame) -> DataFrame:
+    """Bundles as JSON texts (raw, bundle_id) with ``schema`` and the first broken rule, whole documents judged.
+
+    A successor (the last schema) names an earlier source by its commit and lists changed and
+    deleted files; the others list all files, with their hashes or, in the second schema, without.
+    Kinds are lexical: ``30.0`` is no time-out. JSON is strict here, so NaN makes a text invalid.
+    """
+    v = F.try_parse_json("raw")
+    at = lambda name: field(v, name)
+    has = lambda name: at(name).isNotNull()
+    kind = lambda name: json_kind(at(name))
+    text = lambda value: F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string"))
+    members = lambda name: F.map_entries(F.coalesce(F.try_variant_get(v, f"$.{name}", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    keys = lambda name: F.transform(members(name), lambda e: e.key)
+    schema = text(at("schema"))
+    low, high = SECONDS
+
+    deletes = F.transform(F.coalesce(F.try_variant_get(v, "$.delete_files", "array<variant>"), F.array().cast("array<variant>")), text)
+    deleted = F.coalesce(deletes, F.array().cast("array<string>"))
+    successor = (
+        F.when(has("files") | has("sha256"), "successor_ambiguous_source_fields").when(~fullmatch(text(at("base_source_ref")), OBJECT_ID), "invalid_base_source_ref")
+        .when(has("changed_files") & (kind("changed_files") != "object"), "invalid_changed_files")
+        .when(has("delete_files") & ((kind("delete_files") != "array") | (F.size(F.array_distinct(deleted)) != F.size(deleted))), "invalid_delete_files")
+        .when((F.size(members("changed_files")) == 0) & (F.size(deleted) == 0), "successor_no_requested_changes")
+        .when(F.exists(members("changed_files"), lambda e: ~plain_source_name(e.key) | text(e.value).isNull()), "invalid_changed_source_entry")
+        .when(F.exists(deleted, lambda name: ~plain_source_name(F.coalesce(name, F.lit("")))), "invalid_delete_source_entry")
+        .when(F.arrays_overlap(keys("changed_files"), deleted), "successor_change_delete_overlap").when(F.array_contains(deleted, ENTRY_POINT), "cannot_delete_run_task")
+    )
+    declared = (schema == BUNDLE_SCHEMAS[0]) | has("sha256")
+    differ = (F.size(F.array_except(keys("files"), keys("sha256"))) > 0) | (F.size(F.array_except(keys("sha256"), keys("files"))) > 0)
+    hashes = F.map_from_entries(F.transform(members("sha256"), lambda e: F.struct(e.key.alias("key"), text(e.value).alias("value"))))
+    entry = lambda e: F.coalesce(
+        F.when(~plain_source_name(e.key) | text(e.value).isNull(), "invalid_source_entry"), F.when(declared & ~F.sha2(text(e.value), 256).eqNullSafe(F.try_element_at(hashes, e.key)), "source_hash_mismatch")
+    )
+    whole = (
+        F.when(~F.coalesce(kind("files") == "object", F.lit(False)) | (F.size(members("files")) == 0), "invalid_source_files").when(~F.array_contains(keys("files"), ENTRY_POINT), "invalid_source_manifest")
+        .when(declared & (~F.coalesce(kind("sha256") == "object", F.lit(False)) | differ), "invalid_source_manifest").otherwise(_first(members("files"), entry))
+    )
+    is_successor = schema == BUNDLE_SCHEMAS[2]
+    sources = F.when(is_successor, keys("changed_files")).otherwise(keys("files"))
+    part = lambda e, name: text(field(e.value, name))
+    one_input = lambda e: input_error(e.key, part(e, "path"), part(e, "ref"), part(e, "blob"), F.array_contains(sources, e.key) | (json_kind(e.value) != "object"))
+    seconds = F.when(kind("timeout_seconds") == "int", F.try_variant_get(v, "$.timeout_seconds", "bigint"))
+    error = (
+        F.when(~strict_json(F.col("raw")), "invalid_bundle_json")
+        .when(~F.coalesce((json_kind(v) == "object") & schema.isin(*BUNDLE_SCHEMAS) & (text(at("bundle_id")) == F.col("bundle_id")), F.lit(False)), "bundle_identity_mismatch")
+        .otherwise(F.coalesce(
+            F.when(is_successor, successor).otherwise(whole), F.when(has("inputs") & (kind("inputs") != "object"), "invalid_inputs"), _first(members("inputs"), one_input),
+            F.when(has("timeout_seconds") & ~F.coalesce(seconds.between(low, high), F.lit(False)), "invalid_timeout"),
+        ))
+    )
+    return bundles.withColumns({"schema": schema, "error": error})
+
+
 def error_category(kind: Column, code: Column) -> Column:
     """Kinds http, transport and others; HTTP codes by class."""
     http = F.when(code == 404, "missing_repository_object").when(code.isin(401, 403), "authorization_or_rate_limit").when((code == 429) | (code >= 500), "remote_service_error").otherwise("remote_request_error")
@@ -136,7 +207,7 @@ def run_request_errors(requests: DataFrame) -> DataFrame:
     c = F.col
     inputs = F.map_entries(F.coalesce("inputs", F.create_map().cast("map<string,struct<path:string,ref:string,blob:string>>")))
     editing = F.arrays_overlap("keys", F.array(*map(F.lit, ("files", "changed_files", "delete_files", "sha256", "base_source_ref"))))
-    bad_input = F.get(F.filter(F.transform(inputs, lambda e: input_error(e.key, e.value.path, e.value.ref, e.value.blob)), lambda e: e.isNotNull()), F.lit(0))
+    bad_input = F.get(F.filter(F.transform(inputs, lambda e: input_error(e.key, e.value.path, e.value.ref, e.value.blob, e.key == SOURCE_MANIFEST)), lambda e: e.isNotNull()), F.lit(0))
     low, high = SECONDS
     configured = F.array_contains("keys", "config")
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("config_json")).startswith("OBJECT"), F.lit(False))
@@ -186,3 +257,85 @@ def output_binding(folder: Column, name: Column, ref: Column, blob: Column) -> C
     """A saved output as a pinned input; null unless the name is a base name and the object is there."""
     ok = output_name_error(name).isNull() & blob.isNotNull()
     return F.when(ok, F.struct(F.concat_ws("/", folder, name).alias("path"), ref.alias("ref"), blob.alias("blob")))
+
+
+def collected_name_error(name: Column) -> Column:
+    """What keeps a file of an output folder from being collected, or null."""
+    plain = (name != "") & ~name.isin(".", "..") & ~name.contains("/") & ~name.contains("\\") & ~name.contains("\x00")
+    return F.when(name.isin("receipt.json", "admission.json"), "reserved_name").when(~F.coalesce(plain, F.lit(False)), "invalid_filename")
+
+
+def decoded_files(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stored files (type, encoding, content in base64, sha) with ``raw`` bytes, or what is wrong with them."""
+    raw = decoded_base64(F.col("content"))
+    large = F.octet_length(raw) > limit if limit is not None else F.lit(False)
+    error = (
+        F.when(~F.coalesce((F.col("type") == "file") & (F.col("encoding") == "base64") & raw.isNotNull(), F.lit(False)), "expected_base64_file").when(large, "file_too_large")
+        .when(~blob_id_of_bytes(raw).eqNullSafe(F.col("sha")), "blob_identity_mismatch")
+    )
+    return items.withColumn("error", error).withColumn("raw", F.when(F.col("error").isNull(), raw))
+
+
+def over_total(files: DataFrame, by: str, size: Column, limit: int) -> DataFrame:
+    """(group, total_bytes, error) where a group's files together exceed ``limit`` bytes."""
+    per = files.groupBy(by).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_bytes"))
+    return per.withColumn("error", F.when(F.col("total_bytes") > limit, "total_size_exceeded"))
+
+
+def run_drafts(receipts: DataFrame) -> DataFrame:
+    """Run requests drafted from receipts (bundle_id, source_ref, bundle_blob and others): config and status never pass on."""
+    return receipts.select(F.lit("private-run-request/1").alias("schema"), "bundle_id", "source_ref", F.col("bundle_blob").alias("inputs_from"))
+
+
+EXECUTIONS = "transport/bundle-executions"
+
+
+def receipt_rows(runs: DataFrame) -> DataFrame:
+    """Receipts of runs (bundle_id, bundle_blob, source_ref, run_id, run_attempt, files map, result_rows, done)."""
+    return runs.select(
+        F.lit("bundle-computation-receipt/2").alias("schema"), "bundle_id", "bundle_blob", "source_ref", "run_id", "run_attempt", F.map_from_entries(F.array_sort(F.map_entries("files"))).alias("files"), "result_rows",
+        F.when(F.coalesce("done", F.lit(False)), "materialized").otherwise("failed_or_partial").alias("status"), F.lit("pending").alias("scientific_review_status"),
+        F.concat_ws("/", F.lit(EXECUTIONS), "bundle_id", F.concat_ws("-", "run_id", "run_attempt")).alias("prefix"),
+    )
+
+
+def review_rows(receipts: DataFrame) -> DataFrame:
+    """The review queue's rows of ``receipt_rows``: paths of what was saved, null where it wasn't."""
+    saved = lambda name: F.when(F.map_contains_key("files", name), F.concat_ws("/", "prefix", F.lit(name)))
+    return receipts.select(
+        F.lit("private-review-submission/1").alias("schema"), F.lit("pending").alias("review_status"), F.col("status").alias("execution_status"), F.lit("independent_review").alias("next_action"),
+        "bundle_id", "bundle_blob", "source_ref", "run_id", "run_attempt", F.concat_ws("/", "prefix", F.lit("receipt.json")).alias("receipt_path"), saved("result.jsonl").alias("result_path"),
+        saved("summary.json").alias("summary_path"), saved("progress.jsonl").alias("progress_path"),
+    )
+
+
+def source_bindings(receipts: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Receipts (request_schema, request_source_ref, bundle_id, bundle_blob, source_ref) with ``error`` where the source isn't the request's.
+
+    A run request names its source; any other one's source is the manifest (bundle_id, bundle_blob) kept at source_ref.
+    """
+    held = manifests.select(F.col("source_ref").alias("_ref"), F.col("bundle_id").alias("_id"), F.col("bundle_blob").alias("_blob"))
+    found = receipts.join(held, (F.col("source_ref") == F.col("_ref")) & (F.col("request_schema") != "private-run-request/1"), "left")
+    is_run = F.col("request_schema") == "private-run-request/1"
+    same = F.col("_id").eqNullSafe(F.col("bundle_id")) & F.col("_blob").eqNullSafe(F.col("bundle_blob"))
+    error = F.when(is_run & ~F.col("request_source_ref").eqNullSafe(F.col("source_ref")), "request_result_source_mismatch").when(~is_run & ~same, "source_request_identity_mismatch")
+    return found.withColumn("error", error).drop("_ref", "_id", "_blob")
+
+
+def base_sources(changes: DataFrame, declared: DataFrame) -> DataFrame:
+    """(commit, bundle_id, error) of commits' changed paths (commit, path): exactly one manifest, and nothing but what it declares.
+
+    ``declared`` holds the manifests' entries (commit, name).
+    """
+    pattern = r"\Atransport/tasks/bundle-materialized/(bt-[A-Za-z0-9_.\-]{1,64})/BUNDLE_SOURCE[.]json\z"
+    found = F.regexp_extract("path", pattern, 1)
+    ids = changes.select("commit", F.nullif(found, F.lit("")).alias("id")).groupBy("commit").agg(F.count("id").alias("manifests"), F.max("id").alias("bundle_id"))
+    folder = F.concat(F.lit("transport/tasks/bundle-materialized/"), "bundle_id", F.lit("/"))
+    wanted = ids.where("manifests = 1").select("commit", F.concat(folder, F.lit(SOURCE_MANIFEST)).alias("path")).union(declared.join(ids.where("manifests = 1"), "commit").select("commit", F.concat(folder, "name")))
+    sides = changes.select("commit", "path", F.lit(1).alias("side")).union(wanted.select("commit", "path", F.lit(2)))
+    odd = sides.groupBy("commit", "path").agg(F.bit_or("side").alias("sides")).where("sides <> 3").select("commit").distinct().withColumn("odd", F.lit(True))
+    named = declared.groupBy("commit").agg(F.max((F.col("name") == ENTRY_POINT).cast("int")).alias("runs"))
+    error = (
+        F.when(F.col("manifests") != 1, "base_source_manifest_not_unique").when(F.coalesce("runs", F.lit(0)) == 0, "invalid_base_source_files").when(F.coalesce("odd", F.lit(False)), "base_source_commit_scope_mismatch")
+    )
+    return ids.join(named, "commit", "left").join(odd, "commit", "left").select("commit", F.when(F.col("manifests") == 1, F.col("bundle_id")).alias("bundle_id"), error.alias("error"))

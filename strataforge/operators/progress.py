@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.functions import blank, field, finite_nonnegative, json_kind, strict_json
+from strataforge.functions import blank, clamp, field, finite_nonnegative, json_kind, strict_json
 
 #: The schema tag that a progress record carries.
 TAG = "descriptor-progress/1"
@@ -41,11 +41,12 @@ def monotony_errors(rows: DataFrame, by: str = "file", line: str = "line") -> Da
     return rows.withColumn("error", F.coalesce("error", F.when(F.coalesce(falls, F.lit(False)), "nonmonotonic_progress")))
 
 
-def progress_summary(rows: DataFrame, by: str = "file", line: str = "line") -> DataFrame:
+def progress_summary(rows: DataFrame, by: str = "file", line: str = "line", files: DataFrame | None = None) -> DataFrame:
     """Per log: the first error, and over the valid rows before it the counts, last fields, median and slowest item.
 
     The first of equally slow items is the slowest. A final line that is no JSON and has no line end
-    is a truncated one, not an error.
+    is a truncated one, not an error. ``files`` (file, size) adds logs without rows: missing where
+    the size is null, else invalid, ``empty`` or without valid records.
     """
     bad = F.min(F.when(F.col("error").isNotNull(), F.struct(F.col(line).alias("line"), F.col("error").alias("error"), F.col("terminated").alias("terminated"))))
     firsts = rows.groupBy(by).agg(bad.alias("bad"), F.max(line).alias("last_line"))
@@ -54,11 +55,17 @@ def progress_summary(rows: DataFrame, by: str = "file", line: str = "line") -> D
     tail = F.max(F.struct(F.col(line).alias("n"), "processed", "total", "elapsed_seconds", "last_id", "item_seconds", "phase"))
     per = valid.groupBy(by).agg(F.count("*").alias("records"), tail.alias("last"), F.count("item_seconds").alias("timed_items"), F.median("item_seconds").alias("median_item_seconds"), F.max(item).alias("slow"))
     out = firsts.join(per, by, "left")
+    if files is not None:
+        out = files.select(by, F.col("size").alias("_size"), F.lit(True).alias("_listed")).join(out, by, "full_outer")
+    else:
+        out = out.withColumns({"_size": F.lit(1), "_listed": F.lit(False)})
+    absent = F.coalesce(F.col("_listed") & F.col("_size").isNull(), F.lit(False))
+    bare = ~absent & (F.coalesce(F.col("_size") <= 0, F.lit(False)) | F.col("last_line").isNull())
     records = F.coalesce("records", F.lit(0))
     truncated = F.coalesce((F.col("bad.error") == "invalid_json") & (F.col("bad.line") == F.col("last_line")) & ~F.col("bad.terminated"), F.lit(False))
     failed = F.col("bad").isNotNull() & ~truncated
-    status = F.when(failed, "invalid").when(truncated, "partial").otherwise("valid")
-    reason = F.when(failed, F.col("bad.error")).when(truncated & (records == 0), "truncated_final_line")
+    status = F.when(absent, "missing").when(failed | bare, "invalid").when(truncated, "partial").otherwise("valid")
+    reason = F.when(absent, None).when(bare, F.when(F.col("_size") > 0, "no_valid_records").otherwise("empty")).when(failed, F.col("bad.error")).when(truncated & (records == 0), "truncated_final_line")
     clear = lambda c: F.when(~failed, c)
     last = {n: clear(F.col(f"last.{f}")).alias(n) for n, f in (("processed", "processed"), ("total", "total"), ("reported_elapsed_seconds", "elapsed_seconds"), ("last_id", "last_id"), ("last_item_seconds", "item_seconds"), ("phase", "phase"))}
     return out.select(
@@ -68,19 +75,30 @@ def progress_summary(rows: DataFrame, by: str = "file", line: str = "line") -> D
 
 
 def timeout_pattern(summary: DataFrame) -> DataFrame:
-    """``summary`` (records, reported_elapsed_seconds, median_item_seconds; timed_out, wall_seconds,
-    timeout_budget_seconds) with the gap since the last progress, its threshold and the pattern."""
+    """``summary`` (status, records, reported_elapsed_seconds, median_item_seconds; timed_out, wall_seconds,
+    timeout_budget_seconds) with the gap since the last progress, its threshold and the pattern.
+
+    An invalid log has no pattern, nor has one without records, unless it is missing. Without a
+    column ``status`` a log with records is valid and any other missing.
+    """
     c = F.col
     wall, budget, median = c("wall_seconds"), c("timeout_budget_seconds"), c("median_item_seconds")
     has_rows, known, out_of_time = F.coalesce(c("records") > 0, F.lit(False)), finite_nonnegative(wall), F.coalesce("timed_out", F.lit(False))
+    status = c("status") if "status" in summary.columns else F.when(has_rows, "valid").otherwise("missing")
+    usable = status.isin("valid", "partial") & has_rows & c("reported_elapsed_seconds").isNotNull()
     budgeted = finite_nonnegative(budget) & (budget > 0)
-    gap = F.when(has_rows & known, F.greatest(F.lit(0.0), wall - c("reported_elapsed_seconds")))
+    gap = F.when(usable & known, F.greatest(F.lit(0.0), wall - c("reported_elapsed_seconds")))
     # a tenth of the budget and five typical items; without items a quarter of the budget
-    floor = F.when(budgeted, F.least(F.lit(60.0), F.greatest(F.lit(1.0), 0.10 * budget))).otherwise(60.0)
-    untimed = F.when(budgeted, F.least(F.lit(120.0), F.greatest(F.lit(2.0), 0.25 * budget))).otherwise(120.0)
+    floor = F.when(budgeted, clamp(0.10 * budget, F.lit(1.0), F.lit(60.0))).otherwise(60.0)
+    untimed = F.when(budgeted, clamp(0.25 * budget, F.lit(2.0), F.lit(120.0))).otherwise(120.0)
     threshold = F.when(gap.isNotNull() & out_of_time, F.when(median.isNotNull(), F.greatest(floor, 5.0 * median)).otherwise(untimed))
     pattern = F.when(
         out_of_time,
-        F.when(~has_rows, "timeout_no_progress_records").when(~known, "timeout_progress_present_wall_unknown").when(gap >= threshold, "timeout_long_gap_since_progress").otherwise("timeout_recent_progress"),
+        F.when(status == "missing", "timeout_no_progress_records").when(~usable, None).when(~known, "timeout_progress_present_wall_unknown").when(gap >= threshold, "timeout_long_gap_since_progress").otherwise("timeout_recent_progress"),
     )
     return summary.withColumns({"seconds_since_last_progress": gap, "long_gap_threshold_seconds": threshold, "timeout_pattern": pattern})
+
+
+def method_medians(trials: DataFrame, method: str = "method", seconds: str = "seconds") -> DataFrame:
+    """(method, trials, median_seconds): exact medians of timed trials by method."""
+    return trials.groupBy(method).agg(F.count("*").alias("trials"), F.median(seconds).alias("median_seconds"))

@@ -28,3 +28,9 @@ def result_verdicts(lines: DataFrame, files: DataFrame, by: str = "file") -> Dat
     reason = F.when(F.col("size").isNull(), None).when((F.col("size") <= 0) | (lines_ == 0), "empty").when(bad.isNotNull(), F.col("bad.error")).when(mismatch, "row_count_mismatch")
     status = F.when(F.col("size").isNull(), "missing").when(reason.isNotNull(), "invalid").otherwise("valid")
     return out.select(by, status.alias("status"), reason.alias("reason"), records.cast("long").alias("records"), F.col("bad.line").alias("line"))
+
+
+def require_valid(verdicts: DataFrame) -> DataFrame:
+    """``verdicts`` (status, reason) unchanged; reading a row that isn't valid raises its reason."""
+    wrong = F.concat(F.lit("invalid result: "), F.coalesce("reason", "status"))
+    return verdicts.withColumn("status", F.when(F.col("status") == "valid", F.col("status")).otherwise(F.raise_error(wrong).cast("string")))

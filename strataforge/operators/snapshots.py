@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataforge.functions import fullmatch
+
 
 def lookup_paths(paths: DataFrame, snapshot: DataFrame) -> DataFrame:
     """(path, sha, error) of requested paths in a snapshot (path, type, sha); sha is null where absent."""
@@ -39,29 +41,62 @@ def overlay(base: DataFrame, changes: DataFrame, deletes: DataFrame, key: str, v
     return merged.select(key, status.alias("status"), F.when(status.isin("unchanged", "changed"), c("_new")).when(status == "inherited", c("_old")).alias(value))
 
 
+def overlay_verdicts(overlaid: DataFrame, by: str, key: str) -> DataFrame:
+    """(group, error) of ``overlay``'s rows of many successors: a missing deletion, no entry point left, or no effect."""
+    final = F.col("status").isin("changed", "unchanged", "inherited")
+    per = overlaid.groupBy(by).agg(
+        F.max((F.col("status") == "missing_delete").cast("int")).alias("m"), F.max((final & (F.col(key) == "run_task.py")).cast("int")).alias("r"), F.max(F.col("status").isin("changed", "deleted").cast("int")).alias("e")
+    )
+    return per.select(by, F.when(F.col("m") == 1, "successor_delete_missing_file").when(F.col("r") == 0, "invalid_final_source_manifest").when(F.col("e") == 0, "successor_no_effect").alias("error"))
+
+
+def pinned_reads(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Requests (ref, path, expected_blob or null, size_limit or null) with content and blob from a snapshot
+    (ref, path, type, sha, size, content), or the first assertion that fails."""
+    held = snapshot.select("ref", "path", F.col("type").alias("_type"), F.col("sha").alias("_sha"), F.col("size").alias("_size"), F.col("content").alias("_content"))
+    c = F.col
+    error = (
+        F.when(c("_type").isNull(), "missing_repository_object").when(c("_type") != "blob", "expected_file").when(~fullmatch(c("_sha"), r"[0-9a-f]{40}"), "invalid_blob_identity")
+        .when(c("expected_blob").isNotNull() & (c("expected_blob") != c("_sha")), "pinned_file_identity_mismatch").when(F.coalesce(c("_size") > c("size_limit"), F.lit(False)), "file_too_large")
+    )
+    good = lambda name: F.when(c("error").isNull(), c(name))
+    return requests.join(held, ["ref", "path"], "left").withColumn("error", error).select(*requests.columns, "error", good("_sha").alias("blob"), good("_content").alias("content"))
+
+
 def request_chain(requests: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
     """(root, node, depth, error) of every request that a root reaches through its parents.
 
-    The frontier of all roots moves one step per round; each round is checkpointed. A request that
-    stands in its own chain ends it with ``cyclic_chain``, a parent that isn't there with
-    ``missing_parent``.
+    Steps double: after k rounds every request knows its ancestor 2**k steps up, so a chain of n
+    requests takes log n rounds, each a checkpointed join. A request that stands in its own chain
+    ends it with ``cyclic_chain``, a parent that isn't there with ``missing_parent``.
     """
     spark = requests.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chain-"))  # only where the cluster names none
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chain-"))  # a local session that names none
     nodes = requests.select(F.col(node).alias("parent"), F.lit(True).alias("known")).distinct()
     edges = requests.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("parent is not null").join(nodes, "parent", "left").checkpoint()
     start = F.col(roots.columns[0])
-    frontier = roots.select(start.alias("root"), start.alias("node"), F.lit(0).alias("depth"), F.array(start).alias("seen"))
-    found = frontier.select("root", "node", "depth", F.lit(None).cast("string").alias("error"))
+    # what each root has reached: all 2**k of it step 2**k further at once
+    found = roots.select(start.alias("root"), start.alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("closed"))
+    jumps = edges.where("known").select("node", F.col("parent").alias("to"))
+    ends = edges.where("known is null").select("node", F.col("parent").alias("to"))
+    span = 1
     while True:
-        cyclic = F.array_contains("seen", F.col("parent"))
-        error = F.when(cyclic, "cyclic_chain").when(F.col("known").isNull(), "missing_parent")
-        step = frontier.join(edges, "node").select("root", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("seen", F.array("parent")).alias("seen"), error.alias("error")).checkpoint()
-        found = found.union(step.select("root", "node", "depth", "error"))
-        frontier = step.where("error is null").drop("error")
-        if frontier.isEmpty():
-            return found
+        ahead = found.where(F.col("error").isNull() & ~F.coalesce("closed", F.lit(False))).join(jumps, "node").select("root", F.col("to").alias("node"), (F.col("depth") + span).alias("depth")).checkpoint()
+        if ahead.isEmpty():
+            break
+        reached = found.select("root", "node", "depth").union(ahead)
+        # a chain is closed where it comes back to a request; what lies beyond is dropped
+        again = reached.withColumn("first", F.min("depth").over(Window.partitionBy("root", "node"))).where("depth > first").groupBy("root").agg(F.min("depth").alias("back"))
+        open_ = reached.join(again, "root", "left").where(F.col("back").isNull() | (F.col("depth") <= F.col("back")))
+        found = open_.select("root", "node", "depth", F.when(F.col("depth") == F.col("back"), "cyclic_chain").alias("error"), F.col("back").isNotNull().alias("closed")).checkpoint()
+        jumps = jumps.join(jumps.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")).checkpoint()
+        span *= 2
+    chain = found.drop("closed")
+    lost = chain.where("error is null").join(ends, "node").select("root", F.col("to").alias("node"), (F.col("depth") + 1).alias("depth"), F.lit("missing_parent").alias("error"))
+    return chain.union(lost)
 
 
 def merge_layers(chain: DataFrame, entries: DataFrame, node: str, key: str, value: str) -> DataFrame:

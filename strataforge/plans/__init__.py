@@ -5,30 +5,15 @@ Each runs an operator on a table that has its shape; the SQL says the same to Du
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge import functions as fn
 from strataforge.operators import contracts, geometry, identity, lifecycle, progress, results, snapshots, structures
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str) -> Callable:
-    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[function.__name__] = function
-        SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from strataforge.plans import deliveries  # noqa: F401  registers its queries
+from strataforge.plans.registry import QUERIES, SQL  # noqa: F401
+from strataforge.plans.registry import query as _query
+from strataforge.plans.registry import table as _table
 
 _DET = "a[1] * (a[5] * a[9] - a[6] * a[8]) - a[2] * (a[4] * a[9] - a[6] * a[7]) + a[3] * (a[4] * a[8] - a[5] * a[7])"
 

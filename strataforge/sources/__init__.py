@@ -15,11 +15,15 @@ SPLITS = {
 
 
 def lines_of(text: Column, split: str = "bytes") -> Column:
-    """Structs (line, raw, terminated) of a text; a final line end opens no further line."""
+    """Structs (line, raw, terminated) of a text; a final line end opens no further line.
+
+    A final line is terminated by a newline (or what text mode makes one), not by a separator.
+    """
     end = SPLITS[split]
     parts = F.split(text, end, -1)
     count = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    numbered = F.transform(parts, lambda raw, i: F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), (i + 1 < F.size(parts)).alias("terminated")))
+    whole = text.endswith("\n") | text.endswith("\r") if split != "bytes" else text.endswith("\n")
+    numbered = F.transform(parts, lambda raw, i: F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), ((i + 1 < count) | whole).alias("terminated")))
     return F.slice(numbered, 1, count)
 
 
@@ -46,12 +50,76 @@ def read_bounded(spark: SparkSession, path: str, limit: int) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.when(F.col("length") <= limit, F.col("content")).otherwise(F.raise_error(F.lit("file too large"))).alias("content"))
 
 
-def read_pins(spark: SparkSession, path: str) -> DataFrame:
-    """Exact pins ``name==version`` of a lock file: (line, name, version, normalized, error)."""
-    lines = read_lines(spark, path, "universal")
-    pin = r"\A([A-Za-z0-9][A-Za-z0-9_.\-]*)==([A-Za-z0-9][A-Za-z0-9_.!+\-]*)\z"
-    name = F.regexp_extract("raw", pin, 1)
-    out = lines.select("line", name.alias("name"), F.regexp_extract("raw", pin, 2).alias("version"), F.translate(F.lower(name), "_", "-").alias("normalized"), "terminated")
-    repeated = out.where("name <> ''").groupBy("normalized").agg(F.min("line").alias("first"))
+#: An exact pin: a name and a version without white space or another equals sign.
+PIN = r"(?U)\A([A-Za-z0-9_.\-]+)==([^\s=\x1c-\x1f]+)\z"
+
+
+def pins(lines: DataFrame, by: str = "file") -> DataFrame:
+    """Exact pins ``name==version`` of lock files' lines: (file, line, name, version, normalized, error).
+
+    ``lines`` are cut by the ``unicode`` rule; a file's last line lacks its newline where it isn't terminated.
+    """
+    name = F.regexp_extract("raw", PIN, 1)
+    out = lines.select(by, "line", name.alias("name"), F.regexp_extract("raw", PIN, 2).alias("version"), F.translate(F.lower(name), "_", "-").alias("normalized"), "terminated")
+    repeated = out.where("name <> ''").groupBy(by, "normalized").agg(F.min("line").alias("first"))
     error = F.when(F.col("name") == "", "not_exact_pin").when(F.col("line") > F.col("first"), "duplicate_distribution").when(~F.col("terminated"), "missing_final_newline")
-    return out.join(repeated, "normalized", "left").select("line", "name", "version", "normalized", error.alias("error"))
+    return out.join(repeated, [by, "normalized"], "left").select(by, "line", "name", "version", "normalized", error.alias("error"))
+
+
+def read_pins(spark: SparkSession, path: str) -> DataFrame:
+    """``pins`` of the lock files at ``path``."""
+    return pins(read_lines(spark, path, "unicode")).drop("file")
+
+
+def lock_verdicts(locks: DataFrame) -> DataFrame:
+    """(file, package_count, sha256, error) of lock files (file, text, expected_sha256, expected_count).
+
+    A missing final newline comes first, then the first bad line, an empty lock, another hash, another count.
+    """
+    lines = locks.select("file", F.explode(lines_of(F.col("text"), "unicode")).alias("l")).select("file", "l.*")
+    per = pins(lines).groupBy("file").agg(F.count("*").alias("lines"), F.min(F.when(F.col("error") != "missing_final_newline", F.struct("line", "error"))).alias("bad"))
+    digest = F.sha2("text", 256)
+    error = (
+        F.when(~F.col("text").endswith("\n") & ~F.col("text").endswith("\r"), "missing_final_newline").when(F.col("bad").isNotNull(), F.col("bad.error")).when(F.coalesce("lines", F.lit(0)) == 0, "empty_lock")
+        .when(~digest.eqNullSafe(F.col("expected_sha256")), "lock_hash_mismatch").when(~F.col("lines").eqNullSafe(F.col("expected_count")), "package_count_mismatch")
+    )
+    return locks.join(per, "file", "left").select("file", F.coalesce("lines", F.lit(0)).alias("package_count"), digest.alias("sha256"), error.alias("error"))
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content, error) of the files in a folder: exact bytes, or what is wrong with the name."""
+    from strataforge.operators.contracts import collected_name_error
+
+    files = spark.read.format("binaryFile").load(path)
+    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    error = collected_name_error(name)
+    return files.select(name.alias("name"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+
+
+def paged(pages: DataFrame, by: str, page: str, items: str, full: int = 100) -> DataFrame:
+    """(group, item) of listings dealt in pages: pages count until the first one that isn't full."""
+    short = pages.where(F.size(items) < full).groupBy(F.col(by).alias("_by")).agg(F.min(page).alias("_last"))
+    seen = pages.join(short, F.col(by).eqNullSafe(F.col("_by")), "left").where(F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
+    return seen.select(by, page, F.posexplode(items).alias("position", "item"))
+
+
+def write_json_array(rows: DataFrame, path: str, order: str) -> None:
+    """``rows`` as one JSON array: a folder whose part files, one after another, are its text.
+
+    Rows are sorted by ``order`` over range partitions, so nothing gathers in one task; NaN and
+    infinities are refused, and an existing folder is an error.
+    """
+    bad = F.lit(False)
+    for name, kind in rows.dtypes:
+        if kind in ("double", "float"):
+            value = F.col(f"`{name}`")
+            bad = bad | F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(False))
+    first = rows.agg(F.min(order)).first()[0]
+    text = F.when(bad, F.raise_error(F.lit("numbers must be finite"))).otherwise(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
+    # ties of the least key: the first of them in its partition opens the array
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select(F.col(order).alias("_key"), text.alias("value"), F.monotonically_increasing_id().alias("_at"))
+    if first is None:
+        rows.sparkSession.createDataFrame([("[]",)], "value string").write.mode("errorifexists").text(path)
+        return
+    opening = (F.col("_key") == first) & (F.col("_at") == 0)
+    ranged.select(F.concat(F.when(opening, "[").otherwise(","), "value").alias("value")).union(rows.sparkSession.createDataFrame([("]",)], "value string")).write.mode("errorifexists").text(path)

@@ -1,6 +1,8 @@
 """Requests, triggers, snapshots, chains, create-only tables."""
 
+import base64
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,9 +36,9 @@ def test_triggers(spark):
     columns = "action string, is_pull_request boolean, actor string, owner string, triggering_actor string, author string, title string, body string"
     good = ("opened", False, "o", "o", None, "o", " bundle-task:bt-1 ", None)
     swap = lambda **x: tuple(x.get(n, v) for n, v in zip((c.split()[0] for c in columns.split(", ")), good))
-    rows = [good, swap(body="id=bt-1\n\n schema=private-bundle-trigger/2"), swap(body="id=bt-1"), swap(action="closed"), swap(author="x"), swap(title="bundle-task:bt-1 x"), swap(is_pull_request=True), swap(triggering_actor="x")]
+    rows = [good, swap(body="id=bt-1\n\n schema=private-bundle-trigger/2"), swap(body="id=bt-1"), swap(action="closed"), swap(author="x"), swap(title="bundle-task:bt-1 x"), swap(is_pull_request=True), swap(triggering_actor="x"), swap(body="\x1did=bt-1\u2028schema=private-bundle-trigger/2\x0b"), swap(body="id=bt-1\x0bid=bt-1")]
     got = [r.reason for r in contracts.trigger_decisions(spark.createDataFrame(rows, columns)).collect()]
-    assert got == ["authorized", "authorized", "unexpected_public_body", "unsupported_event", "owner_required", "invalid_trigger", "invalid_trigger", "owner_required"]
+    assert got == ["authorized", "authorized", "unexpected_public_body", "unsupported_event", "owner_required", "invalid_trigger", "invalid_trigger", "owner_required", "authorized", "unexpected_public_body"]
 
 
 def test_overlay(spark):
@@ -58,6 +60,79 @@ def test_chain(spark):
     assert {r.k: r.v for r in merged.collect()} == {"a": 3, "b": 2, "c": 4}
 
 
+def test_long_chains_and_loops(spark):
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(70)] + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("x", "x")]
+    chain = snapshots.request_chain(spark.createDataFrame(rows, "node string, parent string"), "node", "parent", spark.createDataFrame([("n69",), ("a",), ("x",)], "n string")).collect()
+    by = lambda root: sorted((r.depth, r.node, r.error) for r in chain if r.root == root)
+    assert by("n69") == [(k, f"n{69 - k}", None) for k in range(70)]
+    assert by("a") == [(0, "a", None), (1, "b", None), (2, "c", None), (3, "d", None), (4, "b", "cyclic_chain")]
+    assert by("x") == [(0, "x", None), (1, "x", "cyclic_chain")]
+
+
+def test_overlay_verdicts(spark):
+    rows = [("ok", "run_task.py", "inherited"), ("ok", "m", "changed"), ("gone", "run_task.py", "deleted"), ("miss", "run_task.py", "inherited"), ("miss", "x", "missing_delete"), ("same", "run_task.py", "unchanged")]
+    got = {r.b: r.error for r in snapshots.overlay_verdicts(spark.createDataFrame(rows, "b string, name string, status string"), "b", "name").collect()}
+    assert got == {"ok": None, "gone": "invalid_final_source_manifest", "miss": "successor_delete_missing_file", "same": "successor_no_effect"}
+
+
+REF = "a" * 40
+SUCCESSOR = {"schema": "private-task-bundle/4", "bundle_id": "bt-u", "base_source_ref": REF, "changed_files": {"helper.py": "VALUE = 2\n"}, "delete_files": ["old.py"], "inputs": {}, "timeout_seconds": 60}
+WHOLE = {"schema": "private-task-bundle/3", "bundle_id": "bt-u", "files": {"run_task.py": "x"}}
+
+
+@pytest.mark.parametrize(
+    ("base", "change", "error"),
+    [
+        (SUCCESSOR, {}, None), (SUCCESSOR, {"files": None}, "successor_ambiguous_source_fields"), (SUCCESSOR, {"base_source_ref": "no"}, "invalid_base_source_ref"), (SUCCESSOR, {"base_source_ref": 5}, "invalid_base_source_ref"),
+        (SUCCESSOR, {"changed_files": [1]}, "invalid_changed_files"), (SUCCESSOR, {"delete_files": {}}, "invalid_delete_files"), (SUCCESSOR, {"delete_files": ["a", "a"]}, "invalid_delete_files"), (SUCCESSOR, {"changed_files": {}, "delete_files": []}, "successor_no_requested_changes"),
+        (SUCCESSOR, {"changed_files": {"../bad.py": "x"}}, "invalid_changed_source_entry"), (SUCCESSOR, {"changed_files": {"x.py": 1}}, "invalid_changed_source_entry"), (SUCCESSOR, {"delete_files": [1]}, "invalid_delete_source_entry"), (SUCCESSOR, {"delete_files": ["BUNDLE_SOURCE.json"]}, "invalid_delete_source_entry"),
+        (SUCCESSOR, {"delete_files": ["helper.py"]}, "successor_change_delete_overlap"), (SUCCESSOR, {"delete_files": ["run_task.py"]}, "cannot_delete_run_task"), (SUCCESSOR, {"inputs": [1]}, "invalid_inputs"), (SUCCESSOR, {"timeout_seconds": True}, "invalid_timeout"), (SUCCESSOR, {"timeout_seconds": 29}, "invalid_timeout"),
+        (SUCCESSOR, {"inputs": {"helper.py": {"path": "inputs/a", "ref": REF, "blob": REF}}}, "invalid_input_entry"), (SUCCESSOR, {"inputs": {"BUNDLE_SOURCE.json": {"path": "inputs/a", "ref": REF, "blob": REF}}}, None), (SUCCESSOR, {"inputs": {"a": 1}}, "invalid_input_entry"), (SUCCESSOR, {"inputs": {"a": {"path": "x", "ref": REF, "blob": REF}}}, "input_path_not_allowed"),
+        (SUCCESSOR, {"inputs": {"a": {"path": "inputs/a", "ref": REF}}}, "input_identity_invalid"), (SUCCESSOR, {"bundle_id": "bt-v"}, "bundle_identity_mismatch"), (SUCCESSOR, {"schema": "private-task-bundle/9"}, "bundle_identity_mismatch"), (WHOLE, {}, None), (WHOLE, {"files": {}}, "invalid_source_files"), (WHOLE, {"files": {"a": "x"}}, "invalid_source_manifest"),
+        (WHOLE, {"sha256": None}, "invalid_source_manifest"), (WHOLE, {"sha256": {"run_task.py": "0"}}, "source_hash_mismatch"), (WHOLE, {"schema": "private-task-bundle/2"}, "invalid_source_manifest"), (WHOLE, {"files": {"run_task.py": 1}}, "invalid_source_entry"),
+        (WHOLE, {"schema": "private-task-bundle/2", "sha256": {"run_task.py": hashlib.sha256(b"x").hexdigest()}}, None),
+    ],
+)
+def test_bundle_documents(spark, base, change, error):
+    row = contracts.bundle_verdicts(spark.createDataFrame([(json.dumps(base | change), "bt-u")], "raw string, bundle_id string")).collect()[0]
+    assert row.error == error
+
+
+def test_texts_that_are_no_bundles(spark):
+    rows = spark.createDataFrame([("{", "b"), ("[1]", "b"), ("", "b"), (None, "b")], "raw string, bundle_id string")
+    assert [r.error for r in contracts.bundle_verdicts(rows).collect()] == ["invalid_bundle_json", "bundle_identity_mismatch", "invalid_bundle_json", "invalid_bundle_json"]
+
+
+def test_files_are_judged_one_after_another(spark):
+    one = f"named_struct('path', '../p', 'ref', '{REF}', 'blob', '{REF}')"
+    two = one.replace("../p", "inputs/p")
+    rows = [
+        ("map('run_task.py', 'x', '../y', 'y')", "map('run_task.py', '0', '../y', '0')", "null"), ("map('../y', 'y', 'run_task.py', 'x')", "map('run_task.py', '0', '../y', '0')", "null"),
+        ("map('run_task.py', 'x')", "null", f"map('a', {one}, 'run_task.py', {two})"), ("map('run_task.py', 'x')", "null", f"map('run_task.py', {two}, 'a', {one})"), ("map('run_task.py', 'x')", "null", f"map('BUNDLE_SOURCE.json', {two})"),
+    ]
+    frame = spark.sql(" union all ".join(f"select {k} as k, {f} as files, {h} as hashes, {i} as inputs, 30 as timeout_seconds" for k, (f, h, i) in enumerate(rows)))
+    assert [r.error for r in contracts.bundle_errors(frame).orderBy("k").collect()] == ["source_hash_mismatch", "invalid_source_entry", "invalid_path", "invalid_input_entry", None]
+
+
+def test_stored_files(spark):
+    raw = b"a\x00\xff" * 50
+    blob = hashlib.sha1(b"blob 150\x00" + raw).hexdigest()
+    text = base64.encodebytes(raw).decode()
+    rows = [("file", "base64", text, blob), ("dir", "base64", text, blob), ("file", "none", text, blob), ("file", "base64", text, "0"), ("file", "base64", None, blob)]
+    schema = "type string, encoding string, content string, sha string"
+    got = [(r.error, r.raw and bytes(r.raw)) for r in contracts.decoded_files(spark.createDataFrame(rows, schema)).collect()]
+    assert got == [(None, raw), ("expected_base64_file", None), ("expected_base64_file", None), ("blob_identity_mismatch", None), ("expected_base64_file", None)]
+    assert contracts.decoded_files(spark.createDataFrame(rows[:1], schema), 149).collect()[0].error == "file_too_large"
+
+
+def test_base_sources(spark):
+    at = "transport/tasks/bundle-materialized/bt-a/"
+    changes = [("c", at + n) for n in ("BUNDLE_SOURCE.json", "run_task.py")] + [("d", at + n) for n in ("BUNDLE_SOURCE.json", "run_task.py")] + [("d", "unrelated"), ("e", "x"), ("f", at + "BUNDLE_SOURCE.json")]
+    declared = [("c", "run_task.py"), ("d", "run_task.py"), ("f", "m.py")]
+    got = {r.commit: (r.bundle_id, r.error) for r in contracts.base_sources(spark.createDataFrame(changes, "commit string, path string"), spark.createDataFrame(declared, "commit string, name string")).collect()}
+    assert got == {"c": ("bt-a", None), "d": ("bt-a", "base_source_commit_scope_mismatch"), "e": (None, "base_source_manifest_not_unique"), "f": ("bt-a", "invalid_base_source_files")}
+
+
 def test_lookup_and_folders(spark):
     tree = spark.createDataFrame([("a/b", "blob", "s1"), ("a/c", "tree", "s2"), ("a/c/d", "blob", "s3")], "path string, type string, sha string")
     paths = spark.createDataFrame([("a/b",), ("a/c",), ("zz",)], "path string")

@@ -1,13 +1,14 @@
 """Structures, result and progress logs from files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataforge import functions as fn
 from strataforge.operators import progress, results, structures
-from strataforge.sources import lines_of, read_bounded, read_lines, read_pins
+from strataforge.sources import lines_of, lock_verdicts, paged, read_bounded, read_lines, read_outputs, read_pins, write_json_array
 
 
 def test_line_splits(spark):
@@ -98,6 +99,29 @@ def test_progress_errors(spark, line, reason):
     assert (r.status, r.reason, r.records, r.line) == ("invalid", reason, 1, 2)
 
 
+def test_an_invalid_log_has_no_pattern(spark):
+    r = summary(spark, record(1, 2.0, "a", 2.0) + "\n{x\n" + record(3, 4.0) + "\n", 500)
+    assert (r.status, r.records, r.seconds_since_last_progress, r.long_gap_threshold_seconds, r.timeout_pattern) == ("invalid", 1, None, None, None)
+    r = summary(spark, '{"schema": "descr', 130)
+    assert (r.status, r.reason, r.records, r.timeout_pattern) == ("partial", "truncated_final_line", 0, None)
+    r = summary(spark, record(1, 2.0, "a", 2.0) + "\n", float("nan"))
+    assert (r.status, r.timeout_pattern) == ("valid", "timeout_progress_present_wall_unknown")
+
+
+def test_logs_that_are_missing_or_empty(spark):
+    lines = spark.createDataFrame([("ok", record(1, 1, "a", 1) + "\n")], "file string, t string").select("file", F.explode(lines_of(F.col("t"), "unicode")).alias("l")).select("file", "l.*")
+    files = spark.createDataFrame([("ok", 9), ("gone", None), ("empty", 0), ("bare", 3)], "file string, size long")
+    out = progress.progress_summary(progress.monotony_errors(progress.parsed_progress(lines)), files=files)
+    out = progress.timeout_pattern(out.withColumns({"timed_out": F.lit(True), "wall_seconds": F.lit(30.0), "timeout_budget_seconds": F.lit(None).cast("double")}))
+    got = {r.file: (r.status, r.reason, r.records, r.timeout_pattern) for r in out.collect()}
+    assert got == {"ok": ("valid", None, 1, "timeout_recent_progress"), "gone": ("missing", None, 0, "timeout_no_progress_records"), "empty": ("invalid", "empty", 0, None), "bare": ("invalid", "no_valid_records", 0, None)}
+
+
+def test_a_separator_does_not_end_the_last_line(spark):
+    r = summary(spark, record(1, 1.5, "a", 1.5) + "\n{x\u2028", 130)
+    assert (r.status, r.truncated_final_line) == ("partial", True)
+
+
 def test_slowest_is_the_first_of_equals(spark):
     assert summary(spark, "\n".join(record(k, k, f"i{k}", 5.0) for k in range(1, 4)) + "\n").slowest_id == "i1"
 
@@ -108,3 +132,55 @@ def test_pins_and_bounds(spark, tmp_path):
     assert read_bounded(spark, str(tmp_path / "lock.txt"), 100).count() == 1
     with pytest.raises(Exception, match="file too large"):
         read_bounded(spark, str(tmp_path / "lock.txt"), 3).collect()
+    (tmp_path / "sep.txt").write_text("a==1\x0cb==2!x~y\n")
+    assert [(r.name, r.version, r.error) for r in read_pins(spark, str(tmp_path / "sep.txt")).orderBy("line").collect()] == [("a", "1", None), ("b", "2!x~y", None)]
+
+
+def test_locks(spark):
+    import hashlib
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [("good", "a==1\nb==2\n", digest("a==1\nb==2\n"), 2), ("empty", "\n", digest("\n"), 0), ("none", "", digest(""), 0), ("count", "a==1\n", digest("a==1\n"), 2), ("hash", "a==1\n", "0", 1), ("twice", "a_b==1\nA-B==1\n", digest(""), 2)]
+    got = {r.file: (r.package_count, r.error) for r in lock_verdicts(spark.createDataFrame(rows, "file string, text string, expected_sha256 string, expected_count long")).collect()}
+    assert got == {"good": (2, None), "empty": (1, "not_exact_pin"), "none": (0, "missing_final_newline"), "count": (1, "package_count_mismatch"), "hash": (1, "lock_hash_mismatch"), "twice": (2, "duplicate_distribution")}
+
+
+def test_json_array_in_parts(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id"), (F.col("id") / 2).alias("half"), F.lit("x").alias("a.b"))
+    write_json_array(rows, str(tmp_path / "out"), "id")
+    text = "".join((tmp_path / "out" / name).read_text() for name in sorted(os.listdir(tmp_path / "out")) if name.startswith("part-"))
+    assert json.loads(text) == [{"id": k, "half": k / 2, "a.b": "x"} for k in range(40)]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        write_json_array(rows, str(tmp_path / "out"), "id")
+    with pytest.raises(Exception, match="numbers must be finite"):
+        write_json_array(rows.withColumn("half", F.lit(float("nan"))), str(tmp_path / "nan"), "id")
+    write_json_array(rows.limit(0), str(tmp_path / "empty"), "id")
+    assert json.loads("".join((tmp_path / "empty" / name).read_text() for name in os.listdir(tmp_path / "empty") if name.startswith("part-"))) == []
+
+
+def test_verdicts_that_must_be_valid(spark):
+    files = spark.createDataFrame([("f", "valid", None)], "file string, status string, reason string")
+    assert results.require_valid(files).count() == 1 and results.require_valid(files).collect()[0].status == "valid"
+    with pytest.raises(Exception, match="row_count_mismatch"):
+        results.require_valid(spark.createDataFrame([("f", "invalid", "row_count_mismatch")], files.schema)).collect()
+
+
+def test_write_index(spark, tmp_path):
+    rows = spark.createDataFrame([("a", ["Si", "O", "O"], 1)], "id string, species array<string>, line long")
+    structures.write_index(rows, str(tmp_path / "index"))
+    assert [(r.id, r.natoms, r.composition.asDict()) for r in spark.read.json(str(tmp_path / "index")).collect()] == [("a", 3, {"O": 2, "Si": 1})]
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        structures.write_index(rows, str(tmp_path / "index"))
+
+
+def test_output_folder(spark, tmp_path):
+    for name, text in (("result.jsonl", "{}\n"), ("receipt.json", "{}"), ("a b+c", "x")):
+        (tmp_path / name).write_text(text)
+    got = {r.name: (r.content and bytes(r.content), r.error) for r in read_outputs(spark, str(tmp_path)).collect()}
+    assert got == {"result.jsonl": (b"{}\n", None), "receipt.json": (None, "reserved_name"), "a b+c": (b"x", None)}
+
+
+def test_pages_end_with_a_short_one(spark):
+    rows = [("c", 1, [1, 2]), ("c", 2, [3]), ("c", 3, [4, 5]), ("d", 1, [6, 7]), (None, 1, [])]
+    got = sorted((r.c, r.item) for r in paged(spark.createDataFrame(rows, "c string, page int, items array<int>"), "c", "page", "items", 2).collect())
+    assert got == [("c", 1), ("c", 2), ("c", 3), ("d", 6), ("d", 7)]
