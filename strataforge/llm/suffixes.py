@@ -56,14 +56,14 @@ def _suffixes(length: int, gram: int) -> Callable:
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = batch.select([ID, BLOCK, SLOT])
             for i, _, data, offsets in slices(batch.column(0)):
                 starts, ends, first = words(data, offsets)
                 hashes = span_hashes(data, starts, ends)
                 at, text, _ = minimisers(first, hashes, length, gram)
                 right = np.minimum(length, first[text + 1] - at)
-                rows = batch.take(pa.array(i + text))
                 codes = (hashes >> np.uint64(48)).astype(">u2")
-                yield pa.RecordBatch.from_arrays([packed_rows(right, codes[ragged(at, right)]), *rows.columns[1:], pa.array((at - first[text]).astype(np.int32))], _NAMES)
+                yield pa.RecordBatch.from_arrays([packed_rows(right, codes[ragged(at, right)]), *rows.take(pa.array(i + text)).columns, pa.array((at - first[text]).astype(np.int32))], _NAMES)
 
     return suffixes
 

@@ -71,3 +71,25 @@ def test_groups_of_near_classes_share_one_class(spark):
     for r in found.collect():
         groups[r.component_id].add(r.doc_id)
     assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i, _, c in brute.jaccard(rows, 4, 85) if c == top) for top in {c for _, _, c in brute.jaccard(rows, 4, 85)})
+
+
+def test_stages_take_columns_of_any_name_and_null_rows(spark):
+    good, bad = "one two three four five six seven. " * 4, "!!%% ## @@ $$ 11 " * 6
+    rows = [(k, (good if k % 2 else bad) + f"w{k}", "en", "s", 5, "x", "y") for k in range(40)] + [(None, None, None, None, None, None, None), (3, good + "w3", "en", "s", 5, "x", "y"), (None, good, "en", "s", 5, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `kept` string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name != "packing":
+            assert out.columns == docs.columns
+        got = [r.doc_id for r in out.collect()]
+        assert name == "quality classifier" or None in got
+    packed = corpus_pipeline.packing_stage(spark, docs, SMALL)
+    assert packed.where("start = 0").count() == len(rows)
+
+
+def test_pipeline_drops_what_its_stages_wrote(spark):
+    from strataforge.llm.store import TABLES, mark
+
+    before, tables = mark(), len(spark.catalog.listTables(pattern=f"{TABLES}*"))
+    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    assert mark() - before < 8 and len(spark.catalog.listTables(pattern=f"{TABLES}*")) == tables
