@@ -140,16 +140,19 @@ def result_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256(lang) END AS h FROM documents WHERE doc_id % 5 = 0),
-     g AS (SELECT doc_id FROM documents WHERE doc_id % 7 = 0), k AS (SELECT doc_id FROM b UNION SELECT doc_id FROM c UNION SELECT doc_id FROM g),
+WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents), c AS (SELECT doc_id, CASE WHEN quality = 1 THEN sha256(text) ELSE sha256(lang) END AS h FROM documents JOIN labels USING (doc_id) UNION ALL SELECT -1 - page_id, sha256(html) FROM pages),
+     g AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT -1000000000 - item_id FROM benchmark), k AS (SELECT doc_id FROM b UNION SELECT doc_id FROM c UNION SELECT doc_id FROM g),
      s AS (SELECT k.doc_id, b.h AS old, c.h AS new, CASE WHEN g.doc_id IS NOT NULL AND b.doc_id IS NULL THEN 'missing_delete' WHEN g.doc_id IS NOT NULL THEN 'deleted' WHEN c.h = b.h THEN 'unchanged' WHEN c.h IS NOT NULL THEN 'changed' ELSE 'inherited' END AS status
            FROM k LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id))
 SELECT doc_id, status, CASE WHEN status IN ('unchanged', 'changed') THEN new WHEN status = 'inherited' THEN old END AS h FROM s""")
 def overlay_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    base = docs.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    changes = docs.where("doc_id % 5 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.sha2("lang", 256)).alias("h"))
-    return snapshots.overlay(base, changes, docs.where("doc_id % 7 = 0").select("doc_id"), "doc_id", "h")
+    """All documents as a base; the labelled ones and all pages as changes, the toxic ones and benchmark items as deletions."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    base = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    edited = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise(F.sha2("lang", 256)).alias("h"))
+    added = _table(spark, sf_dir, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.sha2("html", 256).alias("h"))
+    gone = labels.where("toxic = 1").select("doc_id").union(_table(spark, sf_dir, "benchmark").select((-1_000_000_000 - F.col("item_id")).alias("doc_id")))
+    return snapshots.overlay(base, edited.union(added), gone, "doc_id", "h")
 
 
 @_query("SELECT DISTINCT o_custkey + 10 AS c_custkey FROM orders WHERE o_custkey + 10 NOT IN (SELECT c_custkey FROM customer)")
@@ -220,13 +223,13 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH w AS (SELECT DISTINCT o_custkey AS k, sha256(o_custkey::VARCHAR) AS h FROM orders WHERE o_orderstatus = 'F'), a AS (SELECT c_custkey AS k, sha256(CASE WHEN c_nationkey = 3 THEN c_name ELSE c_custkey::VARCHAR END) AS h FROM customer WHERE c_custkey % 9 <> 0)
+WITH w AS (SELECT DISTINCT o_custkey + 10 AS k, sha256((o_custkey + 10)::VARCHAR) AS h FROM orders), a AS (SELECT c_custkey AS k, sha256(CASE WHEN c_nationkey = 3 THEN c_name ELSE c_custkey::VARCHAR END) AS h FROM customer)
 SELECT coalesce(w.k, a.k) AS k, CASE WHEN a.h IS NULL THEN 'missing' WHEN w.h IS NULL THEN 'undeclared' ELSE 'hash_mismatch' END AS problem FROM w FULL JOIN a ON w.k = a.k WHERE a.h IS NULL OR w.h IS NULL OR a.h <> w.h""")
 def identity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that orders declare against those on record."""
+    """Customers that all orders declare, ten numbers on, against all those on record."""
     number = F.sha2(F.col("k").cast("string"), 256)
-    want = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct().withColumn("h", number)
-    have = _table(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("k"), F.sha2(F.when(F.col("c_nationkey") == 3, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")), 256).alias("h"))
+    want = _table(spark, sf_dir, "orders").select((F.col("o_custkey") + 10).alias("k")).distinct().withColumn("h", number)
+    have = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.sha2(F.when(F.col("c_nationkey") == 3, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")), 256).alias("h"))
     return identity.identity_mismatches(want, have, "k", "h")
 
 
@@ -298,11 +301,11 @@ def snapshot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT doc_id AS k, lang AS v, CASE WHEN doc_id % 3 = 0 THEN 'create' WHEN doc_id % 4 = 0 AND lang <> 'en' THEN 'conflict' ELSE 'same' END AS outcome FROM documents""")
+SELECT doc_id AS k, lang AS v, CASE WHEN l.doc_id IS NULL THEN 'create' WHEN quality = 0 AND lang <> 'en' THEN 'conflict' ELSE 'same' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def create_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages to be put where some rows exist, some of them with another language."""
+    """Languages to be put where the labelled documents' rows exist, poor ones with another language."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("v"))
-    held = docs.where("k % 3 <> 0").withColumn("v", F.when(F.col("k") % 4 == 0, "en").otherwise(F.col("v")))
+    held = docs.join(_table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "k"), "k").select("k", F.when(F.col("quality") == 0, "en").otherwise(F.col("v")).alias("v"))
     return lifecycle.create_only(held, docs, "k", "v")
 
 
