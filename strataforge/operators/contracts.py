@@ -339,3 +339,15 @@ def base_sources(changes: DataFrame, declared: DataFrame) -> DataFrame:
         F.when(F.col("manifests") != 1, "base_source_manifest_not_unique").when(F.coalesce("runs", F.lit(0)) == 0, "invalid_base_source_files").when(F.coalesce("odd", F.lit(False)), "base_source_commit_scope_mismatch")
     )
     return ids.join(named, "commit", "left").join(odd, "commit", "left").select("commit", F.when(F.col("manifests") == 1, F.col("bundle_id")).alias("bundle_id"), error.alias("error"))
+
+
+def source_manifests(sources: DataFrame) -> DataFrame:
+    """Manifest heads of bundles' sources (bundle_id, bundle_schema, bundle_blob, base_source_ref): schema, what the hashes rest on, parent.
+
+    ``identity.manifest_rows`` has the files and their hashes.
+    """
+    is_text, is_successor = F.col("bundle_schema") == BUNDLE_SCHEMAS[1], F.col("bundle_schema") == BUNDLE_SCHEMAS[2]
+    return sources.select(
+        "bundle_id", F.when(is_successor, "bundle-materialized-source/3").otherwise("bundle-materialized-source/2").alias("schema"), "bundle_blob", F.when(is_text | is_successor, F.col("bundle_schema")).alias("submission_schema"),
+        F.when(is_text, "actions_received_utf8").when(is_successor, "actions_received_utf8_overlay").alias("source_hash_authority"), F.when(is_successor, F.col("base_source_ref")).alias("parent_source_ref"),
+    )

@@ -34,3 +34,9 @@ def require_valid(verdicts: DataFrame) -> DataFrame:
     """``verdicts`` (status, reason) unchanged; reading a row that isn't valid raises its reason."""
     wrong = F.concat(F.lit("invalid result: "), F.coalesce("reason", "status"))
     return verdicts.withColumn("status", F.when(F.col("status") == "valid", F.col("status")).otherwise(F.raise_error(wrong).cast("string")))
+
+
+def public_status(executions: DataFrame) -> DataFrame:
+    """Executions (child_exit_code, timed_out, output_limit_exceeded, stdout, stderr as bytes or text) without their output: counts and hashes of bytes."""
+    streams = {f"{x}_{n}": f(x) for x in ("stdout", "stderr") for n, f in (("bytes", lambda c: F.octet_length(c).cast("long")), ("sha256", lambda c: F.sha2(c, 256)))}
+    return executions.withColumns({"schema": F.lit("restricted-exec-status/1"), **streams}).drop("stdout", "stderr")

@@ -24,6 +24,23 @@ def below(snapshot: DataFrame, folder: str) -> DataFrame:
     return snapshot.where(F.col("path").startswith(prefix) & ~rest.contains("/"))
 
 
+def folder_entries(requests: DataFrame, entries: DataFrame, truncated: DataFrame) -> DataFrame:
+    """(snapshot, folder, path, type, sha, error) of what lies directly in requested folders (snapshot, folder).
+
+    A snapshot whose listing is truncated (named in ``truncated``) is an error, and so is a folder
+    that is something else; a folder that isn't there has one row without a path.
+    """
+    parent = F.regexp_extract("path", r"\A(?s)(.*)/[^/]*\z", 1)
+    inside = entries.select("snapshot", parent.alias("folder"), "path", "type", "sha")
+    itself = entries.select("snapshot", F.col("path").alias("folder"), F.col("type").alias("_type"))
+    cut = truncated.select("snapshot").distinct().withColumn("_cut", F.lit(True))
+    asked = requests.join(cut, "snapshot", "left").join(itself, ["snapshot", "folder"], "left")
+    error = F.when(F.col("_cut"), "incomplete_git_tree").when(F.col("_type") != "tree", "expected_result_directory")
+    found = asked.withColumn("error", error).join(inside, ["snapshot", "folder"], "left")
+    good = lambda name: F.when(F.col("error").isNull(), F.col(name)).alias(name)
+    return found.select("snapshot", "folder", good("path"), good("type"), good("sha"), "error").distinct()
+
+
 def overlay(base: DataFrame, changes: DataFrame, deletes: DataFrame, key: str, value: str) -> DataFrame:
     """(key, status, value) of a base with changes and deletions on top, one full outer join each.
 

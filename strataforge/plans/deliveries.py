@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge import functions as fn
-from strataforge.operators import contracts, lifecycle, progress, snapshots
+from strataforge.operators import contracts, lifecycle, progress, results, snapshots
 from strataforge.plans.registry import query, table
 from strataforge.sources import lines_of, lock_verdicts, paged
 
@@ -292,3 +292,40 @@ def overlay_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("toxic").isNull(), "missing_delete").when(F.col("toxic") == 1, "deleted").when(F.col("even") * 2 > F.col("n"), "changed").when(F.col("even") > 0, "unchanged").otherwise("inherited")
     rows = per.select("source", F.when(F.col("lang") == "en", "run_task.py").otherwise(F.col("lang")).alias("name"), status.alias("status"))
     return snapshots.overlay_verdicts(rows, "source", "name")
+
+
+@query("""
+WITH e AS (SELECT o_orderpriority AS snapshot, 'c' || o_custkey || '/o' || o_orderkey AS path, sha1(o_orderkey::VARCHAR) AS sha FROM orders), t AS (SELECT DISTINCT o_orderpriority AS snapshot, 'c' || o_custkey AS folder, o_orderpriority = '5-LOW' AS cut FROM orders)
+SELECT t.snapshot, t.folder, CASE WHEN NOT cut THEN e.path END AS path, CASE WHEN NOT cut THEN e.sha END AS sha, CASE WHEN cut THEN 'incomplete_git_tree' END AS error FROM t JOIN e ON e.snapshot = t.snapshot AND split_part(e.path, '/', 1) = t.folder WHERE NOT cut
+UNION ALL SELECT snapshot, folder, NULL, NULL, 'incomplete_git_tree' FROM t WHERE cut
+UNION ALL SELECT snapshot, path, NULL, NULL, CASE WHEN snapshot = '5-LOW' THEN 'incomplete_git_tree' ELSE 'expected_result_directory' END FROM e""")
+def folder_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files in their customers' folders, a snapshot per priority; one of the snapshots is truncated, and files are asked for as folders."""
+    orders = table(spark, sf_dir, "orders")
+    folder = F.concat(F.lit("c"), "o_custkey")
+    files = orders.select(F.col("o_orderpriority").alias("snapshot"), F.concat(folder, F.lit("/o"), "o_orderkey").alias("path"), F.lit("blob").alias("type"), F.sha1(F.col("o_orderkey").cast("string")).alias("sha"))
+    folders = orders.select(F.col("o_orderpriority").alias("snapshot"), folder.alias("path"), F.lit("tree").alias("type"), F.lit(None).cast("string").alias("sha")).distinct()
+    asked = files.union(folders).select("snapshot", F.col("path").alias("folder"))
+    cut = orders.where("o_orderpriority = '5-LOW'").select(F.col("o_orderpriority").alias("snapshot"))
+    return snapshots.folder_entries(asked, files.union(folders), cut).select("snapshot", "folder", "path", "sha", "error")
+
+
+@query("""
+SELECT conv_id, turn, 'restricted-exec-status/1' AS schema, octet_length(encode(text))::BIGINT AS stdout_bytes, sha256(text) AS stdout_sha256, octet_length(encode(role))::BIGINT AS stderr_bytes, sha256(role) AS stderr_sha256 FROM conversations""")
+def execution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as executions: text and role are what they printed."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("stdout"), F.col("role").alias("stderr"))
+    return results.public_status(turns)
+
+
+@query("""
+SELECT 'bt-' || o_orderkey AS bundle_id, CASE WHEN o_orderstatus = 'P' THEN 'bundle-materialized-source/3' ELSE 'bundle-materialized-source/2' END AS schema, sha1(o_orderkey::VARCHAR) AS bundle_blob,
+       CASE o_orderstatus WHEN 'O' THEN 'private-task-bundle/3' WHEN 'P' THEN 'private-task-bundle/4' END AS submission_schema, CASE o_orderstatus WHEN 'O' THEN 'actions_received_utf8' WHEN 'P' THEN 'actions_received_utf8_overlay' END AS source_hash_authority,
+       CASE WHEN o_orderstatus = 'P' THEN sha1(o_orderpriority) END AS parent_source_ref FROM orders""")
+def source_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as materialised bundles of three schemas."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("bt-"), "o_orderkey").alias("bundle_id"), F.when(F.col("o_orderstatus") == "O", "private-task-bundle/3").when(F.col("o_orderstatus") == "P", "private-task-bundle/4").otherwise("private-task-bundle/2").alias("bundle_schema"),
+        F.sha1(F.col("o_orderkey").cast("string")).alias("bundle_blob"), F.sha1("o_orderpriority").alias("base_source_ref"),
+    )
+    return contracts.source_manifests(rows)
