@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.graph import components
-from strataforge.llm.store import PART_BYTES, RID, P, fresh_dir, identified, is_scan, materialize, partitions
+from strataforge.llm.store import PART_BYTES, RID, P, fresh_dir, identified, is_scan, materialize, partitions, with_group
 from strataforge.llm.textcore import mix, ragged
 
 #: Neighbours of a node at level 0 (half above), beam while building, first beam while searching.
@@ -387,11 +387,11 @@ def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "ve
     found = materialize(asked.repartition(parts, *key).groupBy(*key).cogroup(named.repartition(parts, *key).groupBy(*key)).applyInArrow(_search(least), "a long, b long, outside long"), "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("outside").alias("outside"))
     united = components(found.where("b is not null").select("a", "b"))
-    classes = materialize(nodes.join(degree, "node", "left").join(united, "node", "left").select("vector", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least_id"), "classes")
+    classes = materialize(nodes.join(degree, "node", "left").join(united, "node", "left").select("vector", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least_id", "copies"), "classes")
     least_ids = materialize(classes.groupBy("component").agg(F.min("least_id").alias("component_id")), "named")
     classes = materialize(classes.drop("least_id").join(least_ids, "component"), "classes")
     own = F.coalesce("component_id", "vec_id")
-    out = good.join(classes, "vector").select(*RID, "vec_id", "n_links", own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    out = with_group(good, classes, "vector", "copies").select(*RID, "vec_id", "n_links", own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
     return out.union(bad.select(*RID, "vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
+from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions, with_group
 
 _HISTORY = f"{P}shard int, levels array<binary>, digests binary, winners binary"
 #: Digests per shard that the number of shards aims at.
@@ -129,7 +129,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrived = found.where(F.col(f"{P}member").isNotNull()).select(f"{P}digest", F.greatest(f"{P}member", f"{P}winner").alias(f"{P}winner"), f"{P}size")
     fresh = found.where(F.col(f"{P}member").isNull()).drop(f"{P}member")
     groups = materialize(history.unionByName(arrived).unionByName(fresh).groupBy(f"{P}digest").agg(F.max(f"{P}winner").alias(f"{P}winner"), F.sum(f"{P}size").alias(f"{P}size")), "groups")
-    joined = materialize(rows.join(groups, f"{P}digest").select(*rows.columns, f"{P}winner", f"{P}size"), "joined")
+    joined = materialize(with_group(rows, groups, f"{P}digest", f"{P}size").select(*rows.columns, f"{P}winner", f"{P}size"), "joined")
     # of rows that repeat the winner's id and text, the last in file order stays
     top = joined.where(locator == F.col(f"{P}winner"))
     last = top.groupBy(f"{P}digest").agg(F.max(F.struct(*RID)).alias("r")).select(F.col(f"r.{RID[0]}"), F.col(f"r.{RID[1]}"), F.lit(True).alias(f"{P}kept"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from strataforge.llm.blocks import BLOCK, ENTRIES, ID, SLOT, TEXT, Words, blocked, carried, entry_rows, fragments_for, joined, of_kind, reports, told, word_slices
 from strataforge.llm.graph import components
 from strataforge.llm.pieces import cells
-from strataforge.llm.store import RID, P, identified, is_scan, materialize
+from strataforge.llm.store import RID, P, identified, is_scan, materialize, with_group
 from strataforge.llm.textcore import mix, packed_rows, ragged, window_hashes, windows
 
 #: Pivots of a prefix shingle and size class.
@@ -228,12 +228,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col
     scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
     table, labels = near_classes(rows, size, percent)
-    known = table.join(labels.withColumnRenamed("node", f"{P}set"), f"{P}set", "left").withColumn(f"{P}class", F.coalesce("component", f"{P}set")).drop("component")
-    known = materialize(known, "known")
-    named = materialize(known.where("n_shingles > 0").groupBy(f"{P}class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size")), "named")
-    out = known.join(named, f"{P}class", "left")
-    alone = F.col("n_shingles") == 0
-    return out.select(*RID, f"{P}class", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(1)).otherwise(F.col("component_size")).cast("long").alias("component_size"))
+    sizes = table.where("n_shingles > 0").groupBy(f"{P}set").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
+    sizes = materialize(sizes.join(labels.withColumnRenamed("node", f"{P}set"), f"{P}set", "left").withColumn(f"{P}class", F.coalesce("component", f"{P}set")), "classes")
+    named = sizes.groupBy(f"{P}class").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_size"))
+    groups = materialize(sizes.select(f"{P}set", "rows", f"{P}class").join(named, f"{P}class"), "named")
+    columns = [*RID, f"{P}class", "doc_id", "n_shingles", "component_id", "component_size"]
+    linked = with_group(table.where("n_shingles > 0"), groups, f"{P}set", "rows").select(*columns)
+    alone = table.where("n_shingles = 0").select(*RID, F.col(f"{P}set").alias(f"{P}class"), "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("component_size"))
+    return linked.union(alone)
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -102,6 +102,21 @@ def dealt(df: DataFrame, size: int, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys) if parts > partitions(df.sparkSession) else df
 
 
+#: A group is hot that holds more than one in so many of all rows; there are fewer such groups than this.
+HOT = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` (a written table) joined with ``groups``, one row per ``key`` with its number of rows in ``size``.
+
+    The rows of hot groups meet them where they are, by a broadcast of fewer than ``HOT`` rows (their
+    sizes add up to no more than the table's), so no key's rows gather in one task.
+    """
+    hot = materialize(groups.where(F.col(size) * HOT > rows.count()), "hot")
+    met = rows.join(F.broadcast(hot), key)
+    return met.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key, how))
+
+
 def is_scan(docs: DataFrame) -> bool:
     """Whether the rows come straight from files, so that file and row number identify them."""
     try:
