@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.pieces import PieceIndex, cells
+from strataforge.llm.pieces import Grown, PieceIndex, cells
 from strataforge.llm.store import RID, P, identified, is_scan, materialize, partitions
 from strataforge.llm.textcore import mix, packed_rows, pretokens, ragged, slices
 
 TOKENIZER = "byte_bpe_50k.json"
 DIMENSIONS, BITS = 4, 12
 #: Encoded words that a task remembers; then it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _END = 0
 
 
@@ -48,7 +48,7 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.flat, self.size = PieceIndex(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.index, self.flat, self.at, self.size = PieceIndex(), Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and each text's number of ids; a text that holds an added token is left to the library."""
@@ -89,13 +89,14 @@ class _Encoder:
         numbers, fresh, _ = self.index.add(data, starts, ends)
         if len(fresh):
             raw = data.tobytes()
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)], add_special_tokens=False)]
-            self.flat = np.concatenate((self.flat, np.array([x for e in found for x in e], np.uint32)))
-            self.size = np.concatenate((self.size, np.array([len(e) for e in found], np.int64)))
-        at = np.cumsum(self.size) - self.size
-        lengths = self.size[numbers]
+            found = self.tokenizer.encode([raw[a:b].decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)], is_pretokenized=True, add_special_tokens=False)
+            size = np.bincount(np.array(found.word_ids, np.int64), minlength=len(fresh))
+            self.at.append(len(self.flat) + np.cumsum(size) - size)
+            self.size.append(size)
+            self.flat.append(np.array(found.ids, np.uint32))
+        lengths = self.size.values[numbers]
         total = np.concatenate(([0], np.cumsum(lengths)))[first]
-        return self.flat[ragged(at[numbers], lengths)], np.diff(total)
+        return self.flat.values[ragged(self.at.values[numbers], lengths)], np.diff(total)
 
 
 @cache

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.llm.store import RID, P, fresh_dir, identified, is_scan, materialize
+from strataforge.llm.store import PART_BYTES, RID, P, fresh_dir, identified, is_scan, materialize, partitions
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -128,11 +128,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of any selection of index rows (columns file, offset, length), parsed.
 
-    Rows are ranged by file and offset into as many parts as their bytes ask for, and neighbouring
+    Rows are dealt by file and stretch of ``READ`` bytes, to as many tasks as the session has
+    partitions or, where that is more, as the ranges' bytes ask for; sorted there, neighbouring
     ranges become one read.
     """
     size = int(index.agg(F.sum("length")).first()[0] or 0)
-    dealt = index.select("file", "offset", "length").repartitionByRange(size // READ + 1, "file", "offset").sortWithinPartitions("file", "offset")
+    parts = max(min(size // READ + 1, partitions(index.sparkSession)), size // PART_BYTES + 1)
+    dealt = index.select("file", "offset", "length").repartition(parts, "file", F.expr(f"offset div {READ}")).sortWithinPartitions("file", "offset")
     types = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
