@@ -1,11 +1,12 @@
 """Embedding near-duplicates: a navigable small-world graph per shard, queried by every vector.
 
 Equal vectors are one node. Nodes are dealt to shards by hash; a task builds a shard's hierarchical
-graph and writes it to the shared folder, where blocks of queries find it. A search follows a beam
-to the nearest nodes and from there opens every node that is near enough. Queries of each block are
-audited against the whole shard, each on its own links, and beams double until all of them pass; a
-beam as wide as the shard is a comparison with all of it. Cosines are verified in double precision.
-A block's task counts its links and unites what they join: no table holds a row per pair.
+graph and writes it to the shared folder. A part of a shard's nodes queries another shard in a task
+that reads both files: no vector is shuffled again. A search follows a beam to the nearest nodes and
+from there opens every node that is near enough. Queries of each part are audited against the whole
+shard, each on its own links, and beams double until all of them pass; a beam as wide as the shard
+is a comparison with all of it. Cosines are verified in double precision. The task counts links and
+unites what they join: no table holds a row per pair.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links
 with nothing; vectors link only with vectors of their length; null and repeated ids are rows of
@@ -27,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.graph import components
-from strataforge.llm.store import PART_BYTES, RID, P, fresh_dir, identified, is_scan, materialize, partitions, with_group
+from strataforge.llm.store import RID, fresh_dir, identified, is_scan, materialize, with_group
 from strataforge.llm.textcore import mix, ragged
 
 #: Neighbours of a node at level 0 (half above), beam while building, first beam while searching.
 DEGREE, BUILD_BEAM, BEAM = 32, 48, 32
-#: Bytes of a shard and of a block of queries: eight for a component and ``NODE_BYTES`` more for a node.
-SHARD_BYTES, BLOCK_BYTES, NODE_BYTES = 16 << 20, 4 << 20, 512
+#: Bytes of a shard: eight for a component and ``NODE_BYTES`` more for a node. Parts of a shard's nodes
+#: as queries, and search tasks at most (then a task has several turns).
+SHARD_BYTES, NODE_BYTES, PARTS, TASKS = 16 << 20, 512, 4, 100_000
 #: Queries of an audit's first round, and links that an audit wants to have seen; recall of each audited query.
 AUDITED, RECALL = 64, 0.99
 #: Nodes this much below the threshold are opened too: groups hang together by them.
@@ -308,13 +310,24 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
+def _read(uri: str) -> np.lib.npyio.NpzFile:
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as file:
+        return np.load(io.BytesIO(file.read()))
+
+
 @lru_cache(maxsize=1)
 def _shelf(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, SmallWorld]:
     """Names, copies, vectors and graph of a shard's file."""
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as file:
-        held = np.load(io.BytesIO(file.read()))
-        return held["names"], held["copies"], held["vectors"], SmallWorld.load(held)
+    held = _read(uri)
+    return held["names"], held["copies"], held["vectors"], SmallWorld.load(held)
+
+
+@lru_cache(maxsize=1)
+def _asked(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Names and vectors of a shard's file, as queries."""
+    held = _read(uri)
+    return held["names"], held["vectors"]
 
 
 def search_block(mine: np.ndarray, asked: np.ndarray, shelf: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,14 +350,16 @@ def search_block(mine: np.ndarray, asked: np.ndarray, shelf: tuple, least: float
 
 
 def _search(least: float):  # noqa: ANN202
-    def search(queries: pa.Table, shelves: pa.Table) -> pa.Table:
-        mine = np.zeros(0, np.int64)
-        outside, a, b = mine, mine, mine
-        if len(queries) and len(shelves):
-            mine = queries["node"].to_numpy()
-            outside, a, b = search_block(mine, _vectors(queries["vector"]), _shelf(shelves["uri"][0].as_py()), least)
-        linked = outside > 0
-        return pa.table({"a": np.concatenate((mine[linked], a)), "b": pa.array(np.concatenate((np.zeros(linked.sum(), np.int64), b)), mask=np.arange(linked.sum() + len(a)) < linked.sum()), "outside": np.concatenate((outside[linked], np.zeros(len(a), np.int64)))})
+    """Each row names a shard, one of ``PARTS`` parts of its nodes as queries, and the shard that they query."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, part, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, vectors = (x[part::PARTS] for x in _asked(asked))
+                outside, a, b = search_block(names, vectors, _shelf(uri), least)
+                linked = np.flatnonzero(outside)
+                count = np.concatenate((np.ones(len(linked), bool), np.zeros(len(a), bool)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((names[linked], a))), pa.array(np.concatenate((0 * linked, b)), mask=count), pa.array(np.concatenate((outside[linked], 0 * a)))], ["a", "b", "outside"])
 
     return search
 
@@ -374,17 +389,14 @@ def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "ve
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "nodes")
     count, values = nodes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     size = 8 * values + NODE_BYTES * count
-    shards, blocks = size // SHARD_BYTES + 1, size // BLOCK_BYTES + 1
-    place = lambda k, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(k)).cast("int")
-    shelves = materialize(
-        nodes.select("length", place(shards, 1).alias("shard"), "node", "vector", "copies").repartition(shards, "length", "shard").groupBy("length", "shard").applyInArrow(_build_graphs(fresh_dir(spark, "graphs")), "length int, shard int, uri string"), "shelves"
-    )
-    # a graph's file is read where it is needed; only its name goes along with each block of queries
-    asked = nodes.select("length", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), place(blocks, 2).alias("block"), "node", "vector")
-    named = shelves.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["length", "shard", "block"]
-    parts = min(shards * blocks, max(partitions(spark), shards * size // PART_BYTES + 1))
-    found = materialize(asked.repartition(parts, *key).groupBy(*key).cogroup(named.repartition(parts, *key).groupBy(*key)).applyInArrow(_search(least), "a long, b long, outside long"), "found")
+    shards = size // SHARD_BYTES + 1
+    shard = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(shards)).cast("int").alias("shard")
+    shelves = materialize(nodes.select("length", shard, "node", "vector", "copies").repartition(shards, "length", "shard").groupBy("length", "shard").applyInArrow(_build_graphs(fresh_dir(spark, "graphs")), "length int, shard int, uri string"), "shelves")
+    # every shard's nodes query every shard; files are read where they are needed, and only their names are dealt
+    other = shelves.select("length", F.col("shard").alias("other"), F.col("uri").alias("asked"))
+    every = shelves.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(other, ["length", "other"])
+    turns = materialize(every.select("asked", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "uri"), "turns")
+    found = materialize(turns.repartition(min(max(turns.count(), 1), TASKS)).mapInArrow(_search(least), "a long, b long, outside long"), "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("outside").alias("outside"))
     united = components(found.where("b is not null").select("a", "b"))
     classes = materialize(nodes.join(degree, "node", "left").join(united, "node", "left").select("vector", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least_id", "copies"), "classes")

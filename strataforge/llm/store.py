@@ -7,6 +7,7 @@ names in ``spark.checkpoint.dir``; executors may be lost at any time without los
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -42,27 +43,34 @@ def release(spark: SparkSession) -> None:
     for table in spark.catalog.listTables(pattern=f"{TABLES}*"):
         spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     _delete(spark, f"{shared_dir(spark)}/strataforge/{spark.sparkContext.applicationId}")
-    _written.clear()
+    _written.names.clear()
 
 
-#: Folders and tables that this driver's operators wrote, in order.
-_written: list[str] = []
+class _Written(threading.local):
+    """Folders and tables that operators wrote in this thread of the driver, in order."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+
+
+_written = _Written()
 
 
 def written(name: str) -> str:
     """Note a folder or table of an operator, so that ``drop_since`` finds it."""
-    _written.append(name)
+    _written.names.append(name)
     return name
 
 
 def mark() -> int:
-    return len(_written)
+    return len(_written.names)
 
 
 def drop_since(spark: SparkSession, start: int, keep: int = 0) -> None:
-    """Delete what was written since ``mark`` gave ``start``, but for the last ``keep`` of it."""
-    gone = _written[start : len(_written) - keep]
-    del _written[start : len(_written) - keep]
+    """Delete what this thread wrote since ``mark`` gave ``start``, but for the last ``keep`` of it."""
+    end = len(_written.names) - keep
+    gone = _written.names[start:end]
+    del _written.names[start:end]
     for name in gone:
         if name.startswith(TABLES):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
