@@ -140,7 +140,7 @@ def bundle_verdicts(bundles: DataFrame) -> DataFrame:
     deleted files; the others list all files, with their hashes or, in the second schema, without.
     Kinds are lexical: ``30.0`` is no time-out. JSON is strict here, so NaN makes a text invalid.
     """
-    v = F.try_parse_json("raw")
+    v = F.col("_v")  # parsed once
     at = lambda name: field(v, name)
     has = lambda name: at(name).isNotNull()
     kind = lambda name: json_kind(at(name))
@@ -184,7 +184,7 @@ def bundle_verdicts(bundles: DataFrame) -> DataFrame:
             F.when(has("timeout_seconds") & ~F.coalesce(seconds.between(low, high), F.lit(False)), "invalid_timeout"),
         ))
     )
-    return bundles.withColumns({"schema": schema, "error": error})
+    return bundles.withColumn("_v", F.try_parse_json("raw")).withColumns({"schema": schema, "error": error}).drop("_v")
 
 
 def error_category(kind: Column, code: Column) -> Column:

@@ -13,7 +13,7 @@ TAG = "descriptor-progress/1"
 
 def parsed_progress(lines: DataFrame) -> DataFrame:
     """``lines`` (file, line, raw, terminated) with the typed fields and the first row rule broken."""
-    v = F.try_parse_json("raw")
+    v = F.col("_v")  # parsed once
     number = lambda name: F.when(json_kind(field(v, name)).isin("int", "real"), F.try_variant_get(v, f"$.{name}", "double"))
     whole = lambda name: F.when(json_kind(field(v, name)) == "int", F.try_variant_get(v, f"$.{name}", "bigint"))
     string = lambda name: F.when(json_kind(field(v, name)) == "string", F.try_variant_get(v, f"$.{name}", "string"))
@@ -31,7 +31,7 @@ def parsed_progress(lines: DataFrame) -> DataFrame:
         .when(given("item_seconds") & ~finite_nonnegative(c("item_seconds")), "invalid_item_seconds")
         .when(given("phase") & c("phase").isNull(), "invalid_phase")
     )
-    return lines.withColumns(fields).withColumn("error", error)
+    return lines.withColumn("_v", F.try_parse_json("raw")).withColumns(fields).withColumn("error", error).drop("_v")
 
 
 def monotony_errors(rows: DataFrame, by: str = "file", line: str = "line") -> DataFrame:

@@ -19,12 +19,15 @@ def lines_of(text: Column, split: str = "bytes") -> Column:
 
     A final line is terminated by a newline (or what text mode makes one), not by a separator.
     """
-    end = SPLITS[split]
-    parts = F.split(text, end, -1)
-    count = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
     whole = text.endswith("\n") | text.endswith("\r") if split != "bytes" else text.endswith("\n")
-    numbered = F.transform(parts, lambda raw, i: F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), ((i + 1 < count) | whole).alias("terminated")))
-    return F.slice(numbered, 1, count)
+
+    def numbered(t: Column) -> Column:
+        # bound to a variable, the parts are made once and not for every line again
+        count = F.size(t.parts) - F.when(F.element_at(t.parts, -1) == "", 1).otherwise(0)
+        return F.slice(F.transform(t.parts, lambda raw, i: F.struct((i + 1).cast("long").alias("line"), raw.alias("raw"), ((i + 1 < count) | t.whole).alias("terminated"))), 1, count)
+
+    bound = F.array(F.struct(F.split(text, SPLITS[split], -1).alias("parts"), whole.alias("whole")))
+    return F.when(text.isNotNull(), F.get(F.transform(bound, numbered), F.lit(0)))
 
 
 def read_lines(spark: SparkSession, path: str, split: str = "bytes") -> DataFrame:
