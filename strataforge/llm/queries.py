@@ -5,6 +5,7 @@ from __future__ import annotations
 from strataforge.llm.bpe import op2_bpe
 from strataforge.llm.embeddings import op9_embeddings
 from strataforge.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from strataforge.llm.fingerprints import OP12_SQL, op12_fingerprints
 from strataforge.llm.jaccard import OP6_SQL, op6_jaccard
 from strataforge.llm.packing import op3_packing
 from strataforge.llm.quality import op4_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_embeddings": op9_embeddings,
     "op10_substring": op10_substring,
+    "op12_fingerprints": op12_fingerprints,
 }
 SQL = {
     "op1_warc": OP1_SQL,
@@ -31,4 +33,5 @@ SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op8_suffixes": OP8_SQL,
     "op10_substring": OP10_SQL,
+    "op12_fingerprints": OP12_SQL,
 }
