@@ -12,6 +12,7 @@ from strataforge.llm.quality import op4_quality
 from strataforge.llm.sharding import op5_sharding
 from strataforge.llm.substrings import OP10_SQL, op10_substring
 from strataforge.llm.suffixes import OP8_SQL, op8_suffixes
+from strataforge.llm.vector_codes import OP13_SQL, op13_vector_codes
 from strataforge.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_embeddings": op9_embeddings,
     "op10_substring": op10_substring,
     "op12_fingerprints": op12_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL = {
     "op1_warc": OP1_SQL,
@@ -34,4 +36,5 @@ SQL = {
     "op8_suffixes": OP8_SQL,
     "op10_substring": OP10_SQL,
     "op12_fingerprints": OP12_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
