@@ -10,6 +10,7 @@ from strataforge.llm.jaccard import OP6_SQL, op6_jaccard
 from strataforge.llm.packing import op3_packing
 from strataforge.llm.quality import op4_quality
 from strataforge.llm.sharding import op5_sharding
+from strataforge.llm.spelling import op11_spelling
 from strataforge.llm.substrings import OP10_SQL, op10_substring
 from strataforge.llm.suffixes import OP8_SQL, op8_suffixes
 from strataforge.llm.vector_codes import OP13_SQL, op13_vector_codes
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_embeddings": op9_embeddings,
     "op10_substring": op10_substring,
+    "op11_spelling": op11_spelling,
     "op12_fingerprints": op12_fingerprints,
     "op13_vector_codes": op13_vector_codes,
 }

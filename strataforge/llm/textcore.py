@@ -109,19 +109,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of the words ``[^\\x20\\x09-\\x0D]+``, and each text's first word number."""
-    inside = ~_SPACE[data]
+def stretches(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of the maximal runs of ``inside`` bytes of one text, and each text's first run number."""
     starts_here, ends_here = inside.copy(), inside.copy()
     starts_here[1:] &= ~inside[:-1]
     ends_here[:-1] &= ~inside[1:]
-    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(inside))]
     starts_here[edges] = inside[edges]
     ends_here[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of the words ``[^\\x20\\x09-\\x0D]+``, and each text's first word number."""
+    return stretches(~_SPACE[data], offsets)
+
+
 def windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words at which a window of ``k`` words of one text starts, and its text."""
     counts = np.maximum(np.diff(first) - (k - 1), 0)

@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
     assert assert_same(spark, queries.QUERIES[name], queries.SQL[name], SMALL) > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"op11_spelling"}))
 def test_query_returns_every_row(spark, name):
     table, column = ("embeddings", "vec_id") if "embeddings" in name else ("documents", "doc_id")
     want = {r[0] for r in spark.read.parquet(f"{SMALL}/{table}.parquet").select(column).collect()}
