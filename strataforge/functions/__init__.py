@@ -1,9 +1,11 @@
 """Column functions: identities, paths, typed JSON values."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INFINITY = float("inf")
 
@@ -41,8 +43,30 @@ def blob_id_of_bytes(raw: Column) -> Column:
 
 
 def decoded_base64(content: Column) -> Column:
-    """The bytes of base64 text, whatever line breaks it holds; null where it isn't base64."""
-    return F.try_to_binary(F.regexp_replace(content, r"[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+    """The bytes of base64 text, or null where it isn't base64.
+
+    Lenient decoding: ASCII characters beyond the alphabet are skipped (others make it no base64); padding ends the text where it completes a group of
+    four (two or three letters and one or two signs in a row), and is skipped elsewhere; without such an end the letters
+    must be whole groups.
+    """
+    parts = F.split(F.regexp_replace(content, r"[^A-Za-z0-9+/=]", ""), "=", -1)
+
+    def sign(state: Column, letters: Column) -> Column:
+        held = F.concat(state.held, letters)
+        row = F.when(letters == "", state.row).otherwise(0) + F.when(F.length(held) % 4 >= 2, 1).otherwise(0)
+        ends = (F.length(held) % 4 >= 2) & (F.length(held) % 4 + row >= 4)
+        return F.when(state.ended, state).otherwise(F.struct(held.alias("held"), row.alias("row"), ends.alias("ended")))
+
+    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("row"), F.lit(False).alias("ended"))
+    last = F.element_at(parts, -1)
+    text = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, sign, lambda s: F.when(s.ended, s.held).when(F.length(F.concat(s.held, last)) % 4 == 0, F.concat(s.held, last)))
+    ascii = F.octet_length(content) == F.regexp_count(content, F.lit(r"[\x00-\x7f]"))
+    return F.try_to_binary(F.rpad(F.when(ascii, text), (F.ceil(F.length(text) / 4) * 4).cast("int"), "="), F.lit("base64"))
+
+
+def encoded_base64(raw: Column) -> Column:
+    """Base64 text of bytes, in one line."""
+    return F.regexp_replace(F.base64(raw), r"[\r\n]", "")
 
 
 def short_digest(value: Column, length: int = 12) -> Column:
@@ -68,14 +92,31 @@ def starts_with_any(path: Column, prefixes: list[str]) -> Column:
     return F.coalesce(F.exists(F.array(*map(F.lit, prefixes)), lambda prefix: path.startswith(prefix)), F.lit(False))
 
 
-def sorted_map(entries: Column) -> Column:
-    """A map with its keys in order, so that its JSON is canonical."""
-    return F.map_from_entries(F.array_sort(F.map_entries(entries)))
+@F.pandas_udf(T.StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON texts in canonical form: keys sorted at every depth, no spaces, ASCII with escapes; null where invalid.
+
+    A text is any JSON value. Integers keep all their digits, reals take their shortest form, and of repeated keys the
+    last one counts. NaN and infinities (a real too large is one) have no canonical form.
+    """
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), allow_nan=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def canonical_json_digest(text: Column) -> Column:
+    """SHA-256 of a JSON text's canonical form."""
+    return F.sha2(canonical_json(text), 256)
 
 
 def canonical_digest(entries: Column) -> Column:
-    """SHA-256 of a map's JSON with sorted keys and no spaces."""
-    return F.sha2(F.to_json(sorted_map(entries)), 256)
+    """SHA-256 of a map's canonical JSON."""
+    return canonical_json_digest(F.to_json(entries))
 
 
 def strict_json(text: Column) -> Column:

@@ -140,51 +140,59 @@ def bundle_verdicts(bundles: DataFrame) -> DataFrame:
     deleted files; the others list all files, with their hashes or, in the second schema, without.
     Kinds are lexical: ``30.0`` is no time-out. JSON is strict here, so NaN makes a text invalid.
     """
-    v = F.col("_v")  # parsed once
-    at = lambda name: field(v, name)
-    has = lambda name: at(name).isNotNull()
-    kind = lambda name: json_kind(at(name))
-    text = lambda value: F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string"))
-    members = lambda name: F.map_entries(F.coalesce(F.try_variant_get(v, f"$.{name}", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-    keys = lambda name: F.transform(members(name), lambda e: e.key)
-    schema = text(at("schema"))
+    c, text_of = F.col, lambda value: F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string"))
+    names = ["schema", "bundle_id", "base_source_ref", "files", "changed_files", "sha256", "inputs", "delete_files", "timeout_seconds"]
+    # typed once, step by step: the rules below read these columns and never the document
+    found = bundles.withColumn("_v", F.try_parse_json("raw")).withColumn("_root", json_kind(c("_v")))
+    found = found.withColumns({f"_f_{n}": field(c("_v"), n) for n in names}).withColumns({f"_k_{n}": json_kind(c(f"_f_{n}")) for n in names})
+    members = lambda n: F.coalesce(F.map_entries(F.try_variant_get(c(f"_f_{n}"), "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    typed = lambda e: F.struct(e.key.alias("key"), text_of(e.value).alias("text"))
+    part = lambda e, name: text_of(field(e.value, name)).alias(name)
+    pinned = lambda e: F.struct(e.key.alias("key"), json_kind(e.value).alias("kind"), part(e, "path"), part(e, "ref"), part(e, "blob"))
+    # numbers and flags of one value are repeats of each other, as 1, 1.0 and true
+    number = lambda e: F.coalesce(F.try_variant_get(e, "$", "double"), F.try_variant_get(e, "$", "boolean").cast("double")).cast("string")
+    value = lambda e: F.when(json_kind(e).isin("int", "real", "boolean"), number(e)).otherwise(F.to_json(e))
+    listed = F.coalesce(F.try_variant_get(c("_f_delete_files"), "$", "array<variant>"), F.array().cast("array<variant>"))
+    found = found.withColumns({
+        "_schema": text_of(c("_f_schema")), "_id": text_of(c("_f_bundle_id")), "_ref": text_of(c("_f_base_source_ref")), "_files": F.transform(members("files"), typed), "_changed": F.transform(members("changed_files"), typed),
+        "_hashes": F.transform(members("sha256"), typed), "_inputs": F.transform(members("inputs"), pinned), "_deleted": F.transform(listed, lambda e: F.struct(value(e).alias("value"), text_of(e).alias("text"))),
+        "_seconds": F.when(c("_k_timeout_seconds") == "int", F.try_variant_get(c("_f_timeout_seconds"), "$", "bigint")), "_strict": strict_json(c("raw")),
+    })
+    keys = lambda n: F.transform(n, lambda e: e.key)
+    found = found.withColumns({"_names": keys("_files"), "_edits": keys("_changed"), "_gone": F.transform("_deleted", lambda e: e.text), "_hashed": F.map_from_entries("_hashes")})
+    has = lambda name: c(f"_f_{name}").isNotNull()
+    kind = lambda name: c(f"_k_{name}")
     low, high = SECONDS
-
-    deletes = F.transform(F.coalesce(F.try_variant_get(v, "$.delete_files", "array<variant>"), F.array().cast("array<variant>")), text)
-    deleted = F.coalesce(deletes, F.array().cast("array<string>"))
+    repeats = F.size(F.array_distinct(F.transform("_deleted", lambda e: e.value))) != F.size("_deleted")
+    # The codes of the format, in its order.
     successor = (
-        F.when(has("files") | has("sha256"), "successor_ambiguous_source_fields").when(~fullmatch(text(at("base_source_ref")), OBJECT_ID), "invalid_base_source_ref")
+        F.when(has("files") | has("sha256"), "successor_ambiguous_source_fields").when(~fullmatch(c("_ref"), OBJECT_ID), "invalid_base_source_ref")
         .when(has("changed_files") & (kind("changed_files") != "object"), "invalid_changed_files")
-        .when(has("delete_files") & ((kind("delete_files") != "array") | (F.size(F.array_distinct(deleted)) != F.size(deleted))), "invalid_delete_files")
-        .when((F.size(members("changed_files")) == 0) & (F.size(deleted) == 0), "successor_no_requested_changes")
-        .when(F.exists(members("changed_files"), lambda e: ~plain_source_name(e.key) | text(e.value).isNull()), "invalid_changed_source_entry")
-        .when(F.exists(deleted, lambda name: ~plain_source_name(F.coalesce(name, F.lit("")))), "invalid_delete_source_entry")
-        .when(F.arrays_overlap(keys("changed_files"), deleted), "successor_change_delete_overlap").when(F.array_contains(deleted, ENTRY_POINT), "cannot_delete_run_task")
+        .when(has("delete_files") & ((kind("delete_files") != "array") | repeats), "invalid_delete_files")
+        .when((F.size("_changed") == 0) & (F.size("_deleted") == 0), "successor_no_requested_changes")
+        .when(F.exists("_changed", lambda e: ~plain_source_name(e.key) | e.text.isNull()), "invalid_changed_source_entry")
+        .when(F.exists("_gone", lambda name: ~plain_source_name(F.coalesce(name, F.lit("")))), "invalid_delete_source_entry")
+        .when(F.arrays_overlap("_edits", "_gone"), "successor_change_delete_overlap").when(F.array_contains("_gone", ENTRY_POINT), "cannot_delete_run_task")
     )
-    declared = (schema == BUNDLE_SCHEMAS[0]) | has("sha256")
-    differ = (F.size(F.array_except(keys("files"), keys("sha256"))) > 0) | (F.size(F.array_except(keys("sha256"), keys("files"))) > 0)
-    hashes = F.map_from_entries(F.transform(members("sha256"), lambda e: F.struct(e.key.alias("key"), text(e.value).alias("value"))))
-    entry = lambda e: F.coalesce(
-        F.when(~plain_source_name(e.key) | text(e.value).isNull(), "invalid_source_entry"), F.when(declared & ~F.sha2(text(e.value), 256).eqNullSafe(F.try_element_at(hashes, e.key)), "source_hash_mismatch")
-    )
+    declared = (c("_schema") == BUNDLE_SCHEMAS[0]) | has("sha256")
+    differ = (F.size(F.array_except("_names", keys("_hashes"))) > 0) | (F.size(F.array_except(keys("_hashes"), "_names")) > 0)
+    entry = lambda e: F.coalesce(F.when(~plain_source_name(e.key) | e.text.isNull(), "invalid_source_entry"), F.when(declared & ~F.sha2(e.text, 256).eqNullSafe(F.try_element_at("_hashed", e.key)), "source_hash_mismatch"))
     whole = (
-        F.when(~F.coalesce(kind("files") == "object", F.lit(False)) | (F.size(members("files")) == 0), "invalid_source_files").when(~F.array_contains(keys("files"), ENTRY_POINT), "invalid_source_manifest")
-        .when(declared & (~F.coalesce(kind("sha256") == "object", F.lit(False)) | differ), "invalid_source_manifest").otherwise(_first(members("files"), entry))
+        F.when(~F.coalesce(kind("files") == "object", F.lit(False)) | (F.size("_files") == 0), "invalid_source_files").when(~F.array_contains("_names", ENTRY_POINT), "invalid_source_manifest")
+        .when(declared & (~F.coalesce(kind("sha256") == "object", F.lit(False)) | differ), "invalid_source_manifest").otherwise(_first(c("_files"), entry))
     )
-    is_successor = schema == BUNDLE_SCHEMAS[2]
-    sources = F.when(is_successor, keys("changed_files")).otherwise(keys("files"))
-    part = lambda e, name: text(field(e.value, name))
-    one_input = lambda e: input_error(e.key, part(e, "path"), part(e, "ref"), part(e, "blob"), F.array_contains(sources, e.key) | (json_kind(e.value) != "object"))
-    seconds = F.when(kind("timeout_seconds") == "int", F.try_variant_get(v, "$.timeout_seconds", "bigint"))
+    is_successor = c("_schema") == BUNDLE_SCHEMAS[2]
+    hidden = lambda e: F.when(is_successor, F.array_contains("_edits", e.key)).otherwise(F.array_contains("_names", e.key))
+    one_input = lambda e: input_error(e.key, e.path, e.ref, e.blob, hidden(e) | (e.kind != "object"))
     error = (
-        F.when(~strict_json(F.col("raw")), "invalid_bundle_json")
-        .when(~F.coalesce((json_kind(v) == "object") & schema.isin(*BUNDLE_SCHEMAS) & (text(at("bundle_id")) == F.col("bundle_id")), F.lit(False)), "bundle_identity_mismatch")
+        F.when(~c("_strict"), "invalid_bundle_json")
+        .when(~F.coalesce((c("_root") == "object") & c("_schema").isin(*BUNDLE_SCHEMAS) & (c("_id") == c("bundle_id")), F.lit(False)), "bundle_identity_mismatch")
         .otherwise(F.coalesce(
-            F.when(is_successor, successor).otherwise(whole), F.when(has("inputs") & (kind("inputs") != "object"), "invalid_inputs"), _first(members("inputs"), one_input),
-            F.when(has("timeout_seconds") & ~F.coalesce(seconds.between(low, high), F.lit(False)), "invalid_timeout"),
+            F.when(is_successor, successor).otherwise(whole), F.when(has("inputs") & (kind("inputs") != "object"), "invalid_inputs"), _first(c("_inputs"), one_input),
+            F.when(has("timeout_seconds") & ~F.coalesce(c("_seconds").between(low, high), F.lit(False)), "invalid_timeout"),
         ))
     )
-    return bundles.withColumn("_v", F.try_parse_json("raw")).withColumns({"schema": schema, "error": error}).drop("_v")
+    return found.select(*(c(f"`{x}`") for x in bundles.columns), c("_schema").alias("schema"), error.alias("error"))
 
 
 def error_category(kind: Column, code: Column) -> Column:
@@ -243,7 +251,7 @@ def receipt_errors(receipts: DataFrame) -> DataFrame:
 def push_triggers(pushes: DataFrame) -> DataFrame:
     """Pushes (commits, added, modified, removed arrays) with the one trigger path that they touch, or an error."""
     changed = F.array_distinct(F.concat("added", "modified", "removed"))
-    rest = lambda path: F.substring(path, len(SLOT_PREFIX) + 2, 1 << 16)
+    rest = lambda path: F.substr(path, F.lit(len(SLOT_PREFIX) + 2))
     trigger = F.filter(changed, lambda p: (p == SINGLE_PATH) | (p.startswith(SLOT_PREFIX + "/") & p.endswith(".json") & ~rest(p).contains("/")))
     path = F.get(trigger, F.lit(0))
     error = (

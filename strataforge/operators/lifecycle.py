@@ -39,15 +39,21 @@ def outside_delivery(changes: DataFrame, delivered: DataFrame, path: str) -> Dat
 
 
 def create_only(existing: DataFrame, incoming: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value, outcome) of incoming rows: same (nothing to do), conflict (refused) or create."""
+    """(key, value, outcome) of incoming rows: same (nothing to do), conflict (refused) or create.
+
+    A key that comes with several contents is a conflict whatever exists.
+    """
     held = existing.select(key, F.col(value).alias("_held"), F.lit(True).alias("_there"))
-    outcome = F.when(F.col("_there").isNull(), "create").when(F.col("_held").eqNullSafe(F.col(value)), "same").otherwise("conflict")
-    return incoming.select(key, value).join(held, key, "left").select(key, value, outcome.alias("outcome"))
+    several = (F.count_if(F.col(value).isNull()) > 0).cast("int") + F.when(F.min(value) < F.max(value), 2).when(F.min(value).isNotNull(), 1).otherwise(0) > 1
+    per = incoming.groupBy(F.col(key).alias("_key")).agg(several.alias("_several"))
+    outcome = F.when(F.col("_several"), "conflict").when(F.col("_there").isNull(), "create").when(F.col("_held").eqNullSafe(F.col(value)), "same").otherwise("conflict")
+    rows = incoming.select(key, value).join(per, F.col(key).eqNullSafe(F.col("_key"))).join(held, key, "left")
+    return rows.select(key, value, outcome.alias("outcome"))
 
 
 def append_create_only(existing: DataFrame, incoming: DataFrame, key: str, value: str, path: str) -> None:
-    """Append the rows to create below ``path``; any conflict refuses all of them."""
+    """Append the rows to create below ``path``, each once; any conflict refuses all of them."""
     decided = create_only(existing, incoming, key, value)
     if not decided.where("outcome = 'conflict'").isEmpty():
         raise ValueError("a path exists with other content")
-    decided.where("outcome = 'create'").select(key, value).write.mode("append").parquet(path)
+    decided.where("outcome = 'create'").select(key, value).distinct().write.mode("append").parquet(path)

@@ -20,7 +20,7 @@ def lookup_paths(paths: DataFrame, snapshot: DataFrame) -> DataFrame:
 def below(snapshot: DataFrame, folder: str) -> DataFrame:
     """The entries of a snapshot directly in ``folder``."""
     prefix = folder.rstrip("/") + "/"
-    rest = F.substring(F.col("path"), len(prefix) + 1, 1 << 20)
+    rest = F.substr(F.col("path"), F.lit(len(prefix) + 1))
     return snapshot.where(F.col("path").startswith(prefix) & ~rest.contains("/"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Line ends: ``bytes`` cuts at \\n only, ``universal`` at \\n, \\r\\n and \\r, ``unicode`` also at
 #: vertical tab, form feed, the separators 0x1C to 0x1E, NEL and the two Unicode separators.
@@ -106,23 +107,31 @@ def paged(pages: DataFrame, by: str, page: str, items: str, full: int = 100) ->
     return seen.select(by, page, F.posexplode(items).alias("position", "item"))
 
 
+def not_finite(value: Column, kind: T.DataType) -> Column:
+    """Whether a value of a type holds NaN or an infinity at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(False))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda x: not_finite(x, kind.elementType)), F.lit(False))
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.exists(F.map_values(value), lambda x: not_finite(x, kind.valueType)), F.lit(False))
+    out = F.lit(False)
+    for f in kind.fields if isinstance(kind, T.StructType) else ():
+        out = out | not_finite(value.getField(f.name), f.dataType)
+    return out
+
+
 def write_json_array(rows: DataFrame, path: str, order: str) -> None:
     """``rows`` as one JSON array: a folder whose part files, one after another, are its text.
 
-    Rows are sorted by ``order`` over range partitions, so nothing gathers in one task; NaN and
-    infinities are refused, and an existing folder is an error.
+    Rows are sorted by ``order`` (nulls first) over range partitions, so nothing gathers in one task; NaN and
+    infinities at any depth are refused, and an existing folder is an error.
     """
-    bad = F.lit(False)
-    for name, kind in rows.dtypes:
-        if kind in ("double", "float"):
-            value = F.col(f"`{name}`")
-            bad = bad | F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(False))
-    first = rows.agg(F.min(order)).first()[0]
-    text = F.when(bad, F.raise_error(F.lit("numbers must be finite"))).otherwise(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns))))
-    # ties of the least key: the first of them in its partition opens the array
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select(F.col(order).alias("_key"), text.alias("value"), F.monotonically_increasing_id().alias("_at"))
-    if first is None:
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    text = F.when(not_finite(whole, rows.schema), F.raise_error(F.lit("numbers must be finite"))).otherwise(F.to_json(whole))
+    if rows.isEmpty():
         rows.sparkSession.createDataFrame([("[]",)], "value string").write.mode("errorifexists").text(path)
         return
-    opening = (F.col("_key") == first) & (F.col("_at") == 0)
-    ranged.select(F.concat(F.when(opening, "[").otherwise(","), "value").alias("value")).union(rows.sparkSession.createDataFrame([("]",)], "value string")).write.mode("errorifexists").text(path)
+    # the first range holds the least key, so its first row opens the array
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).select(text.alias("value"), F.monotonically_increasing_id().alias("_at"))
+    ranged.select(F.concat(F.when(F.col("_at") == 0, "[").otherwise(","), "value").alias("value")).union(rows.sparkSession.createDataFrame([("]",)], "value string")).write.mode("errorifexists").text(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from strataforge.operators.lifecycle import append_create_only
 
@@ -17,12 +16,10 @@ def create_only_stream(stream: DataFrame, key: str, value: str, path: str, check
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(key, value).dropDuplicates([key, value])
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(rows.schema).parquet(path)
-        except AnalysisException:
-            held = rows.limit(0)
+        rows, spark = batch.select(key, value), batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        held = spark.read.schema(rows.schema).parquet(path) if there else rows.limit(0)
         append_create_only(held, rows, key, value, path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
