@@ -1,12 +1,15 @@
 """Embedding near-duplicates: a navigable small-world graph per shard, queried by every vector.
 
 Equal vectors are one node. Nodes are dealt to shards by hash; a task builds a shard's hierarchical
-graph and writes it to the shared folder. A part of a shard's nodes queries another shard in a task
-that reads both files: no vector is shuffled again. A search follows a beam to the nearest nodes and
-from there opens every node that is near enough. Queries of each part are audited against the whole
-shard, each on its own links, and beams double until all of them pass; a beam as wide as the shard
-is a comparison with all of it. Cosines are verified in double precision. The task counts links and
-unites what they join: no table holds a row per pair.
+graph and writes it to the shared folder. Each pair of shards (and each shard with itself) is one turn of a
+task that reads both files: no vector is shuffled again. Every vector of either queries the other's graph: a
+search follows a beam to the nearest nodes and from there opens every node that is near enough. A pair that
+either end finds counts at both. Before a shard's vectors query a graph, a fixed number of them is compared
+with all of its nodes and must find its own links, and as many queries placed at a known node, at cosines
+between the threshold and 1, must find it, so that a search is measured where links are rare too; beams
+double until both hold, and a beam as wide as the shard is a comparison with all of it. Cosines are verified
+in double precision. What a turn has found is a bit per pair while it runs; what leaves it is a count for each
+node and a forest: no table holds a row per pair.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links
 with nothing; vectors link only with vectors of their length; null and repeated ids are rows of
@@ -33,14 +36,14 @@ from strataforge.llm.textcore import mix, ragged
 
 #: Neighbours of a node at level 0 (half above), beam while building, first beam while searching.
 DEGREE, BUILD_BEAM, BEAM = 32, 48, 32
-#: Bytes of a shard: eight for a component and ``NODE_BYTES`` more for a node. Parts of a shard's nodes
-#: as queries, and search tasks at most (then a task has several turns).
-SHARD_BYTES, NODE_BYTES, PARTS, TASKS = 16 << 20, 512, 4, 100_000
-#: Queries of an audit's first round, and links that an audit wants to have seen; recall of each audited query.
-AUDITED, RECALL = 64, 0.99
+#: Bytes of a shard (eight for a component and ``NODE_BYTES`` more for a node) and its nodes at most, shards that a small
+#: table of ``SMALL`` nodes a shard is dealt to, and search tasks at most (then a task has several turns).
+SHARD_BYTES, NODE_BYTES, SHARD_NODES, SPREAD, SMALL, TASKS = 16 << 20, 512, 1 << 14, 3, 1 << 11, 100_000
+#: Queries that an audit compares with the whole shard, queries that it places itself; recall of each audited query, and of the placed ones.
+AUDITED, PLACED, RECALL = 64, 128, 0.99
 #: Nodes this much below the threshold are opened too: groups hang together by them.
 _AROUND = 0.02
-_BATCH, _EXPAND, _SLACK, _VERIFIED = 256, 4, 1e-5, 1 << 16
+_BATCH, _EXPAND, _SLACK, _VERIFIED, _ROWS = 256, 4, 1e-5, 1 << 16, 128
 
 
 class SmallWorld:
@@ -235,30 +238,49 @@ class SmallWorld:
     def links(self, queries: np.ndarray, least: float, beam: int, keys: np.ndarray, names: np.ndarray) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], int]:
         """(query, node) pairs of at least ``least``, and the beam that an audit let pass (0: wider than the shard).
 
-        ``keys`` and ``names`` name queries and nodes. Queries of least hash are compared with every
-        node, in rounds, until a number of links (a node to itself isn't one) or all queries are
-        audited. If one of the audited finds less than its share of its own links, all beams double.
-        A beam as wide as the shard sees every node, those without a way to them too.
+        ``keys`` and ``names`` name queries and nodes. The audit's work is bounded: the ``AUDITED`` queries of least
+        hash are compared with every node, and ``PLACED`` queries are made at nodes of least hash. If one of the audited
+        misses more than its share of its own links (a node to itself isn't one), or too many of the placed ones their
+        node, beams double. A beam as wide as the shard sees every node, those without a way to them too.
         """
-        unit = unit_vectors(queries)
-        order, audit, there, count = np.argsort(mix(keys.astype(np.int64).view(np.uint64)), kind="stable"), [], [], 0
-        while len(order) > len(audit) and count < AUDITED:
-            more = order[len(audit) : max(2 * len(audit), AUDITED)]
-            pairs = joined(list(self.exact(unit[more], least)))
-            other = keys[more[pairs[0]]] != names[pairs[1]]
-            there.append((len(audit) + pairs[0][other], pairs[1][other]))
-            audit, count = [*audit, *more], count + int(other.sum())
-        sample, node = joined(there)
-        true = np.bincount(sample, minlength=len(audit))
-        wanted = sample * len(self.unit) + node
-        while beam < len(self.unit):
+        unit, n = unit_vectors(queries), len(self.unit)
+        least_hash = lambda x, count: np.argsort(mix(x.astype(np.int64).view(np.uint64)), kind="stable")[:count]
+        audit, places = least_hash(keys, AUDITED), least_hash(names, PLACED)
+        sample, node = joined(list(self.exact(unit[audit], least)))
+        other = keys[audit[sample]] != names[node]
+        sample, node = sample[other], node[other]
+        true, wanted = np.bincount(sample, minlength=len(audit)), sample * n + node
+        placed = self._placed(places, least)
+        while beam < n:
             query, found = joined(list(self.near(unit[audit], least, beam)))
-            missed = np.bincount(sample[~np.isin(wanted, query * len(self.unit) + found)], minlength=len(audit))
-            if (missed <= (1 - RECALL) * true).all():
+            missed = np.bincount(sample[~np.isin(wanted, query * n + found)], minlength=len(audit))
+            query, found = joined(list(self.near(placed, least, beam)))
+            lost = len(places) - int((found == places[query]).sum())
+            if (missed <= (1 - RECALL) * true).all() and lost <= (1 - RECALL) * len(places):
                 return self.near(unit, least, beam), beam
             beam *= 2
         return self.exact(unit, least), 0
 
+    def _placed(self, places: np.ndarray, least: float) -> np.ndarray:
+        """A unit vector for each of some nodes, at a cosine to it between ``least`` and 1 (evenly spread), in a direction of its own."""
+        rng, at = np.random.default_rng(len(self.unit)), self.unit[places].astype(float)
+        aside = rng.normal(size=at.shape)
+        aside -= (aside * at).sum(axis=1, keepdims=True) * at
+        size = np.linalg.norm(aside, axis=1, keepdims=True)
+        cosine = (least + (1 - least) * (np.arange(len(places)) + 1) / (len(places) + 1))[:, None]
+        return np.where(size > 1e-9, cosine * at + np.sqrt(np.maximum(1 - cosine**2, 0)) * aside / np.maximum(size, 1e-9), at).astype(np.float32)
+
+    def found(self, queries: np.ndarray, least: float, keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The pairs of ``links`` as bits: a row per query, eight nodes a byte."""
+        out = np.zeros((len(queries), -(-len(self.unit) // 8)), np.uint8)
+        for query, node in self.links(queries, least, BEAM, keys, names)[0]:
+            if len(query):
+                low, high = int(query.min()), int(query.max()) + 1
+                block = np.zeros((high - low, len(self.unit)), bool)
+                block[query - low, node] = True
+                out[low:high] |= np.packbits(block, axis=1, bitorder="little")
+        return out
+
     def _slack(self) -> float:
         return max(_SLACK, self.unit.shape[1] * 2.0**-23)
 
@@ -316,50 +338,53 @@ def _read(uri: str) -> np.lib.npyio.NpzFile:
         return np.load(io.BytesIO(file.read()))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _shelf(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, SmallWorld]:
     """Names, copies, vectors and graph of a shard's file."""
     held = _read(uri)
     return held["names"], held["copies"], held["vectors"], SmallWorld.load(held)
 
 
-@lru_cache(maxsize=1)
-def _asked(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """Names and vectors of a shard's file, as queries."""
-    held = _read(uri)
-    return held["names"], held["vectors"]
-
-
-def search_block(mine: np.ndarray, asked: np.ndarray, shelf: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of queries (names, vectors) against a shard: copies of all nodes linked to each, and a forest (a, b) of the links.
+def search_pair(one: tuple, other: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two shelves (or one with itself): copies of all nodes linked to each node of either, and a forest (a, b) of the links.
 
-    Pairs are verified and counted as they are found; what leaves is a number for each query and
-    an edge at most for each node met.
+    Both query each other's graph, and a pair that either search has found is verified once and counts at both ends.
     """
-    names, copies, held, graph = shelf
-    outside, labels = np.zeros(len(mine), np.int64), np.arange(len(mine) + len(names))
-    for query, node in graph.links(asked, least, BEAM, mine, names)[0]:
-        other = mine[query] != names[node]
-        query, node = query[other], node[other]
-        good = np.concatenate([np.zeros(0, bool), *(_cosines(asked[query[c : c + _VERIFIED]], held[node[c : c + _VERIFIED]]) >= least for c in range(0, len(query), _VERIFIED))])
+    (mine, copies, held, graph), (names, others, vectors, across) = one, other
+    same, n, m = one is other, len(mine), len(names)
+    there = across.found(held, least, mine, names)
+    back = there if same else graph.found(vectors, least, names, mine)
+    outside, beyond, labels = np.zeros(n, np.int64), np.zeros(m, np.int64), np.arange(n if same else n + m)
+    for low in range(0, n, _ROWS):
+        high = min(low + _ROWS, n)
+        linked = np.unpackbits(there[low:high], axis=1, count=m, bitorder="little").view(bool)
+        linked |= np.unpackbits(back[:, low // 8 : -(-high // 8)], axis=1, count=high - low, bitorder="little").view(bool).T
+        if same:
+            linked[np.arange(high - low), np.arange(low, high)] = False
+        query, node = np.nonzero(linked)
+        query += low
+        good = np.concatenate([np.zeros(0, bool), *(_cosines(held[query[c : c + _VERIFIED]], vectors[node[c : c + _VERIFIED]]) >= least for c in range(0, len(query), _VERIFIED))])
         query, node = query[good], node[good]
-        outside += np.bincount(query, weights=copies[node], minlength=len(mine)).astype(np.int64)
-        unite(labels, query, len(mine) + node)
-    every, child = np.concatenate((mine, names)), np.flatnonzero(labels != np.arange(len(labels)))
-    return outside, every[child], every[labels[child]]
+        outside += np.bincount(query, weights=others[node], minlength=n).astype(np.int64)
+        if not same:
+            beyond += np.bincount(node, weights=copies[query], minlength=m).astype(np.int64)
+        unite(labels, query, node if same else n + node)
+    every, child = mine if same else np.concatenate((mine, names)), np.flatnonzero(labels != np.arange(len(labels)))
+    return outside, beyond, every[child], every[labels[child]]
 
 
 def _search(least: float):  # noqa: ANN202
-    """Each row names a shard, one of ``PARTS`` parts of its nodes as queries, and the shard that they query."""
+    """Each row names two shards (or one twice) of which every vector queries the other's graph."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, part, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, vectors = (x[part::PARTS] for x in _asked(asked))
-                outside, a, b = search_block(names, vectors, _shelf(uri), least)
-                linked = np.flatnonzero(outside)
+            for one, other in sorted(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                mine, theirs = _shelf(one), _shelf(other)
+                outside, beyond, a, b = search_pair(mine, theirs, least)
+                names, number = np.concatenate((mine[0], theirs[0])), np.concatenate((outside, beyond))
+                linked = np.flatnonzero(number)
                 count = np.concatenate((np.ones(len(linked), bool), np.zeros(len(a), bool)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((names[linked], a))), pa.array(np.concatenate((0 * linked, b)), mask=count), pa.array(np.concatenate((outside[linked], 0 * a)))], ["a", "b", "outside"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((names[linked], a))), pa.array(np.concatenate((0 * linked, b)), mask=count), pa.array(np.concatenate((number[linked], 0 * a)))], ["a", "b", "outside"])
 
     return search
 
@@ -389,14 +414,17 @@ def embedding_links(embeddings: DataFrame, least: float = 0.9, id_col: str = "ve
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "nodes")
     count, values = nodes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     size = 8 * values + NODE_BYTES * count
-    shards = size // SHARD_BYTES + 1
+    shards = max(size // SHARD_BYTES + 1, count // SHARD_NODES + 1, min(SPREAD, count // SMALL + 1))
     shard = F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(shards)).cast("int").alias("shard")
     shelves = materialize(nodes.select("length", shard, "node", "vector", "copies").repartition(shards, "length", "shard").groupBy("length", "shard").applyInArrow(_build_graphs(fresh_dir(spark, "graphs")), "length int, shard int, uri string"), "shelves")
-    # every shard's nodes query every shard; files are read where they are needed, and only their names are dealt
-    other = shelves.select("length", F.col("shard").alias("other"), F.col("uri").alias("asked"))
-    every = shelves.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(other, ["length", "other"])
-    turns = materialize(every.select("asked", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "uri"), "turns")
-    found = materialize(turns.repartition(min(max(turns.count(), 1), TASKS)).mapInArrow(_search(least), "a long, b long, outside long"), "found")
+    # every pair of shards is one turn; files are read where they are needed, and only their names are dealt
+    other = shelves.select("length", F.col("shard").alias("other"), F.col("uri").alias("against"))
+    every = shelves.withColumn("other", F.explode(F.sequence(F.col("shard"), F.lit(shards - 1)))).join(other, ["length", "other"])
+    turns = materialize(every.select("uri", "against"), "turns")
+    count = max(turns.count(), 1)
+    # a task for each turn, or neighbouring turns, which share a file, in one task
+    dealt = turns.repartition(count) if count <= TASKS else turns.repartitionByRange(TASKS, "uri", "against")
+    found = materialize(dealt.mapInArrow(_search(least), "a long, b long, outside long"), "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("outside").alias("outside"))
     united = components(found.where("b is not null").select("a", "b"))
     classes = materialize(nodes.join(degree, "node", "left").join(united, "node", "left").select("vector", (F.col("copies") - 1 + F.coalesce("outside", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "least_id", "copies"), "classes")

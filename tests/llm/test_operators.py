@@ -14,7 +14,7 @@ import tiktoken
 
 from strataforge.llm import quality as q
 from strataforge.llm.bpe import RANKS, bpe_decode, bpe_encode, token_ranks
-from strataforge.llm.embeddings import SmallWorld, embedding_links, joined, search_block
+from strataforge.llm.embeddings import SmallWorld, embedding_links, joined, search_pair
 from strataforge.llm.exact_dedup import build_levels, exact_dedup, slots
 from strataforge.llm.graph import components
 from strataforge.llm.jaccard import jaccard_components
@@ -378,7 +378,9 @@ def test_nodes_that_no_beam_reaches_are_found(hot):
         near[near >= 1300] = -1
     graph.kin = np.where(graph.kin >= 1300, np.repeat(names, np.diff(graph.kin_at)), graph.kin)
     assert graph.links(vectors, 0.9, 32, names, names)[1] == 0
-    outside, a, b = search_block(names, vectors, (names, np.ones(1500, int), vectors, graph), 0.9)
+    shelf = names, np.ones(1500, int), vectors, graph
+    outside, beyond, a, b = search_pair(shelf, shelf, 0.9)
+    assert not beyond.any()
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     truth = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()
     assert len(truth) > 300 and outside.tolist() == np.bincount(np.ravel(truth), minlength=1500).tolist()
@@ -393,7 +395,39 @@ def test_audits_count_links_of_a_node_to_others_only():
     found, beam = graph.links(vectors, 0.9, 16, names, names)
     a, b = joined(list(found))
     assert beam == 16 and (a != b).sum() == 200
-    graph.links(vectors[:200], 0.9, 16, names[:200], names)  # no links at all: every query is audited
+
+
+@pytest.mark.parametrize("pairs", [0, 20])
+def test_audits_are_bounded_where_links_are_rare(monkeypatch, pairs):
+    from strataforge.llm import embeddings as e
+
+    rnd = np.random.default_rng(11)
+    vectors, names = rnd.normal(size=(4000, 32)), np.arange(4000)
+    vectors[4000 - pairs :] = vectors[:pairs] + 0.05 * rnd.normal(size=(pairs, 32))
+    halves = [(names[k::2], np.ones(2000, int), vectors[k::2], SmallWorld(vectors[k::2], names[k::2])) for k in (0, 1)]
+    compared, plain = [], SmallWorld.exact
+    monkeypatch.setattr(SmallWorld, "exact", lambda self, unit, least: compared.append(len(unit)) or plain(self, unit, least))
+    degree = np.zeros(4000, int)
+    for one, other in ((0, 0), (0, 1), (1, 1)):
+        outside, beyond, _, _ = search_pair(halves[one], halves[other], 0.9)
+        degree[halves[one][0]] += outside
+        degree[halves[other][0]] += beyond
+    assert max(compared) <= e.AUDITED and sum(compared) <= 4 * e.AUDITED
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert degree.sum() == 2 * pairs and (degree == (unit @ unit.T >= 0.9).sum(axis=1) - 1).all()
+
+
+def test_a_pair_that_one_end_finds_counts_at_both():
+    rnd = np.random.default_rng(12)
+    vectors, names = rnd.normal(size=(300, 16)), np.arange(300)
+    vectors[150:160] = vectors[:10] + 0.05 * rnd.normal(size=(10, 16))
+    shelves = [(names[k : k + 150], np.arange(1, 151), vectors[k : k + 150], SmallWorld(vectors[k : k + 150], names[k : k + 150])) for k in (0, 150)]
+    blind = SmallWorld(vectors[:150], names[:150])
+    blind.found = lambda queries, *_: np.zeros((len(queries), 19), np.uint8)
+    for one, other in (shelves, shelves[::-1], [(*shelves[0][:3], blind), shelves[1]], [shelves[1], (*shelves[0][:3], blind)]):
+        outside, beyond, a, b = search_pair(one, other, 0.9)
+        assert sorted(outside.nonzero()[0]) == sorted(beyond.nonzero()[0]) == list(range(10)) and (outside[:10] == np.arange(1, 11)).all() and (beyond[:10] == np.arange(1, 11)).all()
+        assert sorted(zip(a.tolist(), b.tolist())) == [(150 + k, k) for k in range(10)] or sorted(zip(a.tolist(), b.tolist())) == [(k, 150 + k) for k in range(10)]
 
 
 def test_vectors_whose_products_overflow(spark):
