@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions import blank, clamp, field, finite_nonnegative, json_kind, strict_json
+from strataforge.operators.medians import medians, with_row_before
 
 #: The schema tag that a progress record carries.
 TAG = "descriptor-progress/1"
@@ -36,9 +37,10 @@ def parsed_progress(lines: DataFrame) -> DataFrame:
 
 def monotony_errors(rows: DataFrame, by: str = "file", line: str = "line") -> DataFrame:
     """``rows`` with nonmonotonic_progress where processed or elapsed_seconds falls below the row before."""
-    before = Window.partitionBy(by).orderBy(line)
-    falls = (F.col("processed") < F.lag("processed").over(before)) | (F.col("elapsed_seconds") < F.lag("elapsed_seconds").over(before))
-    return rows.withColumn("error", F.coalesce("error", F.when(F.coalesce(falls, F.lit(False)), "nonmonotonic_progress")))
+    known = with_row_before(rows, by, line, ["processed", "elapsed_seconds"])
+    falls = (F.col("processed") < F.col("_before_processed")) | (F.col("elapsed_seconds") < F.col("_before_elapsed_seconds"))
+    error = F.coalesce("error", F.when(F.coalesce(falls, F.lit(False)), "nonmonotonic_progress"))
+    return known.withColumn("error", error).select(*rows.columns)
 
 
 def progress_summary(rows: DataFrame, by: str = "file", line: str = "line", files: DataFrame | None = None) -> DataFrame:
@@ -53,8 +55,9 @@ def progress_summary(rows: DataFrame, by: str = "file", line: str = "line", file
     valid = rows.join(firsts, by).where(F.col("bad").isNull() | (F.col(line) < F.col("bad.line")))
     item = F.when(F.col("item_seconds").isNotNull(), F.struct(F.col("item_seconds").alias("s"), (-F.col(line)).alias("n"), F.col("last_id").alias("i")))
     tail = F.max(F.struct(F.col(line).alias("n"), "processed", "total", "elapsed_seconds", "last_id", "item_seconds", "phase"))
-    per = valid.groupBy(by).agg(F.count("*").alias("records"), tail.alias("last"), F.count("item_seconds").alias("timed_items"), F.median("item_seconds").alias("median_item_seconds"), F.max(item).alias("slow"))
-    out = firsts.join(per, by, "left")
+    per = valid.groupBy(by).agg(F.count("*").alias("records"), tail.alias("last"), F.count("item_seconds").alias("timed_items"), F.max(item).alias("slow"))
+    middle = medians(valid, by, "item_seconds", "median_item_seconds")
+    out = firsts.join(per, by, "left").join(middle, by, "left")
     if files is not None:
         out = files.select(by, F.col("size").alias("_size"), F.lit(True).alias("_listed")).join(out, by, "full_outer")
     else:
@@ -101,4 +104,6 @@ def timeout_pattern(summary: DataFrame) -> DataFrame:
 
 def method_medians(trials: DataFrame, method: str = "method", seconds: str = "seconds") -> DataFrame:
     """(method, trials, median_seconds): exact medians of timed trials by method."""
-    return trials.groupBy(method).agg(F.count("*").alias("trials"), F.median(seconds).alias("median_seconds"))
+    counts = trials.groupBy(F.col(method).alias("_method")).agg(F.count("*").alias("trials"))
+    middle = medians(trials, method, seconds, "median_seconds")
+    return counts.join(middle, F.col("_method").eqNullSafe(F.col(method)), "left").select(F.col("_method").alias(method), "trials", "median_seconds")
