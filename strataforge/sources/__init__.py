@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,47 @@ def lines_of(text: Column, split: str = "bytes") -> Column:
     return F.when(text.isNotNull(), F.get(F.transform(bound, numbered), F.lit(0)))
 
 
-def read_lines(spark: SparkSession, path: str, split: str = "bytes") -> DataFrame:
-    """(file, line, raw, terminated) of text files, one file a task: the price of line numbers."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", "utf-8")
-    return files.select(F.col("path").alias("file"), F.explode(lines_of(text, split)).alias("l")).select("file", "l.*")
+def read_lines(spark: SparkSession, path: str, split: str = "bytes", per: str = "file") -> DataFrame:
+    """(file, line, raw, terminated) of text files, numbered from 1 in each file (or, with ``per="folder"``, through its folder's files by name).
+
+    Under the rules ``bytes`` and ``universal`` a file is cut wherever Spark cuts it: tasks number the lines of their splits,
+    and the splits' counts (a row each) give each split its first number. Under ``unicode`` a file is read whole.
+    """
+    if split == "unicode":
+        if per != "file":
+            raise ValueError("the unicode rule numbers each file by itself")
+        files = spark.read.format("binaryFile").load(path)
+        return files.select(F.col("path").alias("file"), F.explode(lines_of(F.decode("content", "utf-8"), split)).alias("l")).select("file", "l.*")
+    # text readers end lines at any of \n, \r\n and \r unless told otherwise
+    lines = _split_lines(spark, path, None if split == "universal" else "\n")
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
+    folder = F.regexp_replace("file", r"[^/]*\z", "")
+    group = F.col("file") if per == "file" else folder
+    before = Window.partitionBy("group").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    places = splits.withColumn("group", group).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ends = _line_ends(spark, path, split)
+    last = Window.partitionBy("file").orderBy(F.col("start").desc())
+    places = places.withColumn("_rank", F.row_number().over(last)).join(ends.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"))
+    places = places.select(F.col("file").alias("_name"), F.col("start").alias("_start"), "first", "base", F.when(F.col("_rank") == 1, F.col("last")).alias("final"), "ended")
+    met = lines.join(places, (F.col("file") == F.col("_name")) & (F.col("start") == F.col("_start")))
+    return met.select("file", (F.col("at") - F.col("first") + F.col("base") + 1).alias("line"), "raw", (F.col("ended") | ~F.coalesce(F.col("at") == F.col("final"), F.lit(False))).alias("terminated"))
+
+
+def _split_lines(spark: SparkSession, path: str, separator: str | None) -> DataFrame:
+    """(file, start, at, raw): a line, its split's first byte, and a number that grows with the lines of a split."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+
+
+def _line_ends(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """(file, ended): whether the last line of each file has its line end.
+
+    Every line but the last has a newline, so that the bytes of all lines and newlines are the file's, or one more.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").endswith("\r").alias("returned")).alias("line"), (F.octet_length("value") + 1).alias("bytes"))
+    per = rows.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("size").alias("size"), F.max("line").alias("line"))
+    ended = F.col("bytes") == F.col("size")
+    return per.select("file", (ended | F.col("line.returned") if split == "universal" else ended).alias("ended"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
