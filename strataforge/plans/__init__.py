@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataforge import functions as fn
 from strataforge.operators import contracts, geometry, identity, lifecycle, progress, results, snapshots, structures
-from strataforge.plans import deliveries  # noqa: F401  registers its queries
+from strataforge.plans import deliveries, runs  # noqa: F401  registers their queries
 from strataforge.plans.registry import QUERIES, SQL  # noqa: F401
 from strataforge.plans.registry import query as _query
 from strataforge.plans.registry import table as _table

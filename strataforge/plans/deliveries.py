@@ -20,7 +20,7 @@ def _pick(number: Column, *values: Column | str | None) -> Column:
     return out
 
 
-@query("""
+TIMEOUT_SQL = """
 WITH f AS (SELECT c_custkey AS file, CASE WHEN c_acctbal < 0 THEN NULL WHEN c_nationkey = 3 THEN 0 ELSE 1 END AS size, c_nationkey % 2 = 0 AS timed_out, CASE WHEN c_nationkey % 5 > 0 THEN abs(c_acctbal) END AS wall, CASE WHEN c_nationkey % 3 = 0 THEN 100.0 + c_nationkey END AS budget FROM customer),
      e AS (SELECT f.file, event_id AS line, value, CASE WHEN value < 1 THEN 'invalid_item_seconds' END AS error FROM events JOIN f ON user_id = f.file WHERE size > 0),
      b AS (SELECT file, min(line) FILTER (error IS NOT NULL) AS bad, count(*) AS n FROM e GROUP BY file),
@@ -31,9 +31,11 @@ WITH f AS (SELECT c_custkey AS file, CASE WHEN c_acctbal < 0 THEN NULL WHEN c_na
      t AS (SELECT *, CASE WHEN gap IS NOT NULL AND timed_out THEN greatest(CASE WHEN budget > 0 THEN least(60.0, greatest(1.0, 0.10::DOUBLE * budget)) ELSE 60.0 END, 5.0 * med) END AS threshold FROM g)
 SELECT file, status, reason, records, gap::DOUBLE AS seconds_since_last_progress,
        CASE WHEN NOT timed_out THEN NULL WHEN status = 'missing' THEN 'timeout_no_progress_records' WHEN status = 'invalid' THEN NULL WHEN wall IS NULL THEN 'timeout_progress_present_wall_unknown' WHEN gap >= threshold THEN 'timeout_long_gap_since_progress' ELSE 'timeout_recent_progress' END AS timeout_pattern
-FROM t""")
-def timeout_from_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log per customer: missing, empty, invalid from the first small value on, or valid; then its time-out."""
+FROM t"""
+
+
+def customer_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A run per customer and the lines of its log, if it has one: the customer's events."""
     n, balance = F.col("c_nationkey"), F.col("c_acctbal")
     runs = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("file"), F.when(balance < 0, None).when(n == 3, 0).otherwise(1).alias("size"), (n % 2 == 0).alias("timed_out"), F.when(n % 5 > 0, F.abs(balance)).alias("wall_seconds"), F.when(n % 3 == 0, F.lit(100.0) + n).alias("timeout_budget_seconds")
@@ -42,7 +44,13 @@ def timeout_from_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("file"), F.col("event_id").alias("line"), F.lit(True).alias("terminated"), F.col("event_id").alias("processed"), F.lit(None).cast("long").alias("total"), F.col("event_id").cast("double").alias("elapsed_seconds"),
         F.lit(None).cast("string").alias("last_id"), F.col("value").alias("item_seconds"), F.col("event_type").alias("phase"), F.when(F.col("value") < 1, "invalid_item_seconds").alias("error"),
     )
-    there = events.join(runs.where("size > 0").select("file"), "file", "left_semi")
+    return runs, events.join(runs.where("size > 0").select("file"), "file", "left_semi")
+
+
+@query(TIMEOUT_SQL)
+def timeout_from_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log per customer: missing, empty, invalid from the first small value on, or valid; then its time-out."""
+    runs, there = customer_logs(spark, sf_dir)
     summary = progress.progress_summary(progress.monotony_errors(there), files=runs.select("file", "size"))
     return progress.timeout_pattern(summary.join(runs.drop("size"), "file")).select("file", "status", "reason", "records", "seconds_since_last_progress", "timeout_pattern")
 
