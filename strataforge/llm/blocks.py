@@ -106,10 +106,15 @@ def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def distinct(hashes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes in order, each entry's number among them, and least and largest value of each."""
-    order = np.argsort(hashes, kind="stable")
+def distinct(hashes: np.ndarray, values: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, each entry's number among them, and least and largest value of each.
+
+    With ``checks``, a second hash of each entry, entries are equal where both are; a hash may then come several times.
+    """
+    order = np.argsort(hashes, kind="stable") if checks is None else np.lexsort((checks, hashes))
     edge = np.append(True, np.diff(hashes[order]) != 0) if len(order) else np.zeros(0, bool)
+    if checks is not None and len(order):
+        edge[1:] |= np.diff(checks[order]) != 0
     start, inverse = np.flatnonzero(edge), np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(edge) - 1
     if not len(start):
@@ -139,7 +144,7 @@ def entry_rows(block: int, keys: np.ndarray, extra: np.ndarray, fragments: int,
     return pa.table([pa.array(fragment[start], pa.int32()), pa.array(np.full(len(start), block), pa.int64()), packed_rows(count * width, low), packed_rows(count, extra)], names=[x.split(" ")[0] for x in ENTRIES.split(", ")])
 
 
-def _report(width: int, kind: str, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+def _report(width: int, kind: str | np.dtype, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable:
     """A fragment's function: group entries by hash, let ``decide`` tell a byte for each, 0 for nothing to tell."""
 
     def report(table: pa.Table) -> pa.Table:
@@ -170,7 +175,23 @@ def not_first(start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarra
     return np.repeat(np.minimum.reduceat(ids, start), size) < ids
 
 
-def reports(entries: DataFrame, size: int, decide: Callable, width: int = 8, kind: str = "<i8") -> DataFrame:
+#: An entry of 128 bits: a least id, and a second hash beside the one that is sent.
+CHECKED = np.dtype([("id", "<i8"), ("check", "<u8")])
+
+
+def not_first_checked(start: np.ndarray, size: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """``not_first`` for ``CHECKED`` entries: only those count as the same hash whose second hashes agree too."""
+    group = np.repeat(np.arange(len(start)), size)
+    order = np.lexsort((entries["check"], group))
+    checks, ids = entries["check"][order], entries["id"][order]
+    edge = np.append(True, (np.diff(group[order]) != 0) | (np.diff(checks) != 0))
+    begin = np.flatnonzero(edge)
+    out = np.empty(len(order), bool)
+    out[order] = not_first(begin, np.diff(np.append(begin, len(order))), ids)
+    return out
+
+
+def reports(entries: DataFrame, size: int, decide: Callable, width: int = 8, kind: str | np.dtype = "<i8") -> DataFrame:
     """What the fragments tell the blocks; ``size`` bytes of entries, about."""
     return dealt(entries, size, f"{P}fragment").groupBy(f"{P}fragment").applyInArrow(_report(width, kind, decide), REPORT)
 

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning, with classes instead of all pairs.
 
-Every distinct shingle set is one class (a 64-bit digest of the set), so copies never pair up: one
-row of a class stands for all. Blocks of texts send their distinct shingles, counted, to the
+Every distinct shingle set is one class (two independent 64-bit digests of the set), so copies never pair
+up: one row of a class stands for all. Blocks of texts send their distinct shingles, counted, to the
 fragments that own their hash ranges and learn how frequent each is. Frequency orders all shingles
 globally: those of one class only come first, so a class of which too few shingles are shared has
 an empty prefix and drops out. The others' shared shingles are cut at fixed frequencies into
@@ -15,7 +15,8 @@ across components. No pair that could join two components is left out.
 Defined cases: A-Z count as a-z; a null or wordless text has an empty set and links with nothing; a
 text of fewer words than a shingle is one shingle; a null id is never a component's id unless all
 its ids are null; repeated rows are rows of their own; an empty table gives an empty result; other
-columns are not read. Shingles are compared by 64-bit hashes.
+columns are not read. Shingles are compared by 64-bit hashes: of two compared sets of n and m shingles one of n m / 2**64
+is counted too much.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from strataforge.llm.textcore import mix, packed_rows, ragged, window_hashes, wi
 PIVOTS = 3
 #: Frequencies at which the global order is cut.
 CUTS = (4, 8, 16)
-_SETS = f"{BLOCK} long, {SLOT} int, {RID[0]} long, {RID[1]} long, doc_id long, n_shingles long, {P}set long"
+_SETS = f"{BLOCK} long, {SLOT} int, {RID[0]} long, {RID[1]} long, doc_id long, n_shingles long, {P}set binary"
 _CLASSES = "set long, n long, m long, prefix binary, segments array<binary>"
 
 
@@ -58,11 +59,13 @@ def shingle_sets(part: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found[new], np.bincount(text[new], minlength=len(count))
 
 
-def set_digests(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A digest of each set that no order of its shingles changes; 0 for an empty set."""
-    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(found + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)))
-    end = np.cumsum(counts)
-    return np.where(counts > 0, mix(total[end] - total[end - counts] + counts.astype(np.uint64)), np.uint64(0))
+def set_digests(found: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """16 bytes for each set that no order of its shingles changes: two sums of differently mixed hashes; null for an empty set."""
+    end, out = np.cumsum(counts), np.zeros((len(counts), 2), "<u8")
+    for k, seed in enumerate((0x632BE59BD9B4E019, 0x9FB21C651E98DF25)):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix(mix(found + np.uint64(seed)) ^ np.uint64(seed)), dtype=np.uint64)))
+        out[:, k] = mix(total[end] - total[end - counts] + counts.astype(np.uint64))
+    return pa.array([x.tobytes() if n else None for x, n in zip(out, counts, strict=True)], pa.binary())
 
 
 def frequency(start: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -72,21 +75,21 @@ def frequency(start: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 def _chosen(docs: pa.Table, rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts of a block that stand for a class: shingles, their counts, digests; distinct shingles and how many sets hold each."""
-    stands = np.zeros(1 << 16, bool)
-    stands[rows[SLOT].to_numpy()] = True
+    """Of the texts of a block that stand for a class: shingles, their counts, classes; distinct shingles and how many sets hold each."""
+    stands = np.full(1 << 16, -1)
+    stands[rows[SLOT].to_numpy()] = rows["set"].to_numpy()
     found, counts = [], []
-    mine = docs.filter(pa.array(stands[docs[SLOT].to_numpy()]))
+    mine = docs.filter(pa.array(stands[docs[SLOT].to_numpy()] >= 0))
     for part in word_slices(mine[TEXT], lower=True):
         some, per = shingle_sets(part, size)
         found.append(some)
         counts.append(per)
     found, counts = joined(found, np.uint64), joined(counts)
     keys, per = np.unique(found, return_counts=True)
-    return found, counts, set_digests(found, counts), keys, per
+    return found, counts, stands[mine[SLOT].to_numpy()], keys, per
 
 
-def _classes(found: np.ndarray, counts: np.ndarray, digests: np.ndarray, freq: np.ndarray, percent: int) -> pa.Table:
+def _classes(found: np.ndarray, counts: np.ndarray, names: np.ndarray, freq: np.ndarray, percent: int) -> pa.Table:
     """Classes that can have links: prefix, and shared shingles cut by the global order. ``freq`` is 0 for shingles of one class."""
     owner, n = np.repeat(np.arange(len(counts)), counts), counts
     found, freq, owner = found[freq > 0], freq[freq > 0], owner[freq > 0]
@@ -105,7 +108,7 @@ def _classes(found: np.ndarray, counts: np.ndarray, digests: np.ndarray, freq: n
         inside = (freq >= low) & (freq < high)  # found is sorted in each set
         segments.append(packed_rows(np.bincount(number[owner[inside]], minlength=len(alive)), found[inside]))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(segments) * len(alive) + 1, len(segments)), pa.int32()), pa.concat_arrays(segments).take(pa.array(np.arange(len(segments) * len(alive)).reshape(len(segments), -1).T.ravel())))
-    return pa.table([pa.array(digests[alive].view(np.int64)), pa.array(n[alive]), pa.array(m[alive]), packed_rows(spare[alive], prefix), lists], names=["set", "n", "m", "prefix", "segments"])
+    return pa.table([pa.array(names[alive]), pa.array(n[alive]), pa.array(m[alive]), packed_rows(spare[alive], prefix), lists], names=["set", "n", "m", "prefix", "segments"])
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +153,8 @@ def _pair(x: str, y: str) -> list:
     return [F.when(swap, F.col(f"{q}{c}")).otherwise(F.col(f"{p}{c}")).alias(n) for c, p, q, n in (("set", x, y, "a"), ("set", y, x, "b"), ("n", x, y, "na"), ("n", y, x, "nb"), ("rest", x, y, "ra"), ("rest", y, x, "rb"))]
 
 
-def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with their set's digest and size, (node, component) of linked sets)."""
+def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set's digest and size; the distinct sets (digest, number ``set``, rows, least id); (node, component) of linked sets."""
     spark = rows.sparkSession
     blocks, total = blocked(rows, "doc_id", "text", RID)
     fragments = fragments_for(spark, total, 1)
@@ -160,7 +163,7 @@ def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
         for batch in batches:
             for part in word_slices(pa.chunked_array([batch.column(0)]), lower=True):
                 found, counts = shingle_sets(part, size)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.row, len(counts)) for k in range(1, 6)), pa.array(counts, pa.int64()), pa.array(set_digests(found, counts).view(np.int64))], [x.split(" ")[0] for x in _SETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.row, len(counts)) for k in range(1, 6)), pa.array(counts, pa.int64()), set_digests(found, counts)], [x.split(" ")[0] for x in _SETS.split(", ")])
 
     def shingles(docs: pa.Table, stand: pa.Table) -> pa.Table:
         if not len(stand):
@@ -169,14 +172,15 @@ def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
         return entry_rows(docs[BLOCK][0].as_py(), keys, per.astype("<u4"), fragments)
 
     def ordered(docs: pa.Table, here: pa.Table) -> pa.Table:
-        found, counts, digests, keys, _ = _chosen(docs, of_kind(here, 0), size)
+        found, counts, names, keys, _ = _chosen(docs, of_kind(here, 0), size)
         freq = told(of_kind(here, 1), keys, fragments)
-        return _classes(found, counts, digests, freq[np.searchsorted(keys, found)], percent)
+        return _classes(found, counts, names, freq[np.searchsorted(keys, found)], percent)
 
     table = materialize(blocks.select(TEXT, BLOCK, SLOT, *(F.col(n).alias(c) for n, c in zip(carried(RID), RID, strict=True)), F.col(ID).alias("doc_id")).mapInArrow(sets, _SETS), "sets")
     # one row stands for a class
-    stand = table.where("n_shingles > 0").groupBy(f"{P}set").agg(F.min(F.struct(BLOCK, SLOT)).alias("r")).select(F.col(f"r.{BLOCK}").alias(BLOCK), F.col(f"r.{SLOT}").alias(SLOT), F.lit(0).alias("kind"))
-    stand = materialize(stand, "stand")
+    stand = table.where("n_shingles > 0").groupBy(f"{P}set").agg(F.min(F.struct(BLOCK, SLOT)).alias("r"), F.count("*").alias("rows"), F.min("doc_id").alias("least"))
+    every = materialize(stand.select(f"{P}set", F.monotonically_increasing_id().alias("set"), F.col(f"r.{BLOCK}").alias(BLOCK), F.col(f"r.{SLOT}").alias(SLOT), "rows", "least"), "stand")
+    stand = every.select(BLOCK, SLOT, "set", F.lit(0).alias("kind"))
     entries = blocks.groupBy(BLOCK).cogroup(stand.groupBy(BLOCK)).applyInArrow(shingles, ENTRIES)
     frequencies = reports(entries, 2 * total, frequency, 8, "<u4").withColumn("kind", F.lit(1))
     both = stand.unionByName(frequencies, allowMissingColumns=True)
@@ -220,21 +224,20 @@ def near_classes(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
             labels = components(links, labels)
     if labels is None:
         labels = spark.createDataFrame([], "node long, component long")
-    return table, labels
+    return table, every, labels
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", *, scan: bool | None = None) -> DataFrame:
     """One row per row of ``docs``: identity, class, doc_id, n_shingles, component_id (its smallest id), component_size."""
     scan = is_scan(docs) if scan is None else scan
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(["_metadata"] if scan else [])), "doc_id", "text", scan=scan).select(*RID, "doc_id", "text")
-    table, labels = near_classes(rows, size, percent)
-    sizes = table.where("n_shingles > 0").groupBy(f"{P}set").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
-    sizes = materialize(sizes.join(labels.withColumnRenamed("node", f"{P}set"), f"{P}set", "left").withColumn(f"{P}class", F.coalesce("component", f"{P}set")), "classes")
+    table, every, labels = near_classes(rows, size, percent)
+    sizes = materialize(every.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn(f"{P}class", F.coalesce("component", "set")), "classes")
     named = sizes.groupBy(f"{P}class").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_size"))
     groups = materialize(sizes.select(f"{P}set", "rows", f"{P}class").join(named, f"{P}class"), "named")
     columns = [*RID, f"{P}class", "doc_id", "n_shingles", "component_id", "component_size"]
     linked = with_group(table.where("n_shingles > 0"), groups, f"{P}set", "rows").select(*columns)
-    alone = table.where("n_shingles = 0").select(*RID, F.col(f"{P}set").alias(f"{P}class"), "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("component_size"))
+    alone = table.where("n_shingles = 0").select(*RID, F.lit(None).cast("long").alias(f"{P}class"), "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("component_size"))
     return linked.union(alone)
 
 

@@ -8,7 +8,8 @@ windows only those in the document with the smallest id stay.
 
 Defined cases: a null text has no words; a null id comes after every id; rows with one id don't
 remove each other's words; texts of fewer than 13 words keep all; an empty table gives an empty
-result; other columns are carried only where asked. Windows are compared by 64-bit hashes.
+result; other columns are carried only where asked. Windows are compared by two independent hashes of
+64 bits.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataforge.llm.blocks import BLOCK, ENTRIES, ID, TEXT, Words, blocked, carried, distinct, entry_rows, fragments_for, ids_of, joined, not_first, of_kind, reports, shared, told, word_slices
+from strataforge.llm.blocks import BLOCK, CHECKED, ENTRIES, ID, TEXT, Words, blocked, carried, distinct, entry_rows, fragments_for, ids_of, joined, not_first_checked, of_kind, reports, shared, told, word_slices
 from strataforge.llm.store import P, materialize
-from strataforge.llm.textcore import packed_rows, ragged, window_hashes, windows
+from strataforge.llm.textcore import packed_rows, ragged, span_hashes, window_hashes, windows
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -95,7 +96,22 @@ class _Candidates(NamedTuple):
     ids: np.ndarray
     keys: np.ndarray
     number: np.ndarray
-    least: np.ndarray
+    entries: np.ndarray
+
+
+#: Seed of the second hash of a word.
+_CHECK = 0x5851F42D4C957F2D
+
+
+def checks_of(part: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """A second hash of the windows that start ``at`` words of a slice, made from second hashes of their words."""
+    inside = np.zeros(len(part.starts) + 1, np.int64)
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + window, -1)
+    some = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+    hashes = np.zeros(len(part.starts), np.uint64)
+    hashes[some] = span_hashes(part.data, part.starts[some], part.ends[some], _CHECK)
+    return window_hashes(hashes, at, window)
 
 
 def _candidates(docs: pa.Table, found: pa.Table, window: int, locate: Callable) -> _Candidates:
@@ -103,8 +119,11 @@ def _candidates(docs: pa.Table, found: pa.Table, window: int, locate: Callable)
     parts, doc_ids = word_slices(docs[TEXT]), ids_of(docs[ID])
     at = locate(parts, docs, found) if len(found) else [s.first[:0] for s in parts]
     ids = joined([doc_ids[s.row + np.searchsorted(s.first, x, "right") - 1] for s, x in zip(parts, at, strict=True)])
-    keys, number, least, _ = distinct(joined([window_hashes(s.hashes, x, window) for s, x in zip(parts, at, strict=True)], np.uint64), ids)
-    return _Candidates(parts, at, ids, keys, number, least)
+    checks = joined([checks_of(s, x, window) for s, x in zip(parts, at, strict=True)], np.uint64)
+    keys, number, least, _ = distinct(joined([window_hashes(s.hashes, x, window) for s, x in zip(parts, at, strict=True)], np.uint64), ids, checks)
+    entries = np.zeros(len(keys), CHECKED)
+    entries["id"], entries["check"][number] = least, checks
+    return _Candidates(parts, at, ids, keys, number, entries)
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
@@ -131,13 +150,13 @@ def remove_repeats(blocks: DataFrame, size: int, found: DataFrame, window: int,
 
     def entries(docs: pa.Table, here: pa.Table) -> pa.Table:
         if not len(docs) or not len(here):
-            return entry_rows(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), fragments)
+            return entry_rows(0, np.zeros(0, np.uint64), np.zeros(0, CHECKED), fragments)
         got = _candidates(docs, here, window, locate)
-        return entry_rows(docs[BLOCK][0].as_py(), got.keys, got.least.astype("<i8"), fragments)
+        return entry_rows(docs[BLOCK][0].as_py(), got.keys, got.entries, fragments)
 
     def remove(docs: pa.Table, here: pa.Table) -> pa.Table:
         got = _candidates(docs, here, window, locate)
-        gone = (got.least[got.number] < got.ids) | (told(of_kind(here, 1), got.keys, fragments)[got.number] > 0)
+        gone = (got.entries["id"][got.number] < got.ids) | (told(of_kind(here, 1), got.keys, fragments)[got.number] > 0)
         n_words, n_removed, kept, done = [], [], [], 0
         for part, at in zip(got.parts, got.at, strict=True):
             flagged = at[gone[done : done + len(at)]]
@@ -152,7 +171,7 @@ def remove_repeats(blocks: DataFrame, size: int, found: DataFrame, window: int,
         return docs.select([ID, TEXT, *carried(carry)]).append_column(RESULT[0], pa.array(joined(n_words))).append_column(RESULT[1], pa.array(joined(n_removed))).append_column(RESULT[2], pa.chunked_array(kept, pa.string()))
 
     pairs = blocks.groupBy(BLOCK).cogroup(found.groupBy(BLOCK)).applyInArrow(entries, ENTRIES)
-    both = found.unionByName(reports(pairs, size // 2, not_first).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = found.unionByName(reports(pairs, size // 2, not_first_checked, 8, CHECKED).withColumn("kind", F.lit(1)), allowMissingColumns=True)
     kinds = {f.name: f for f in blocks.schema.fields}
     schema = T.StructType([kinds[c] for c in (ID, TEXT, *carried(carry))] + [T.StructField(n, t) for n, t in zip(RESULT, (T.LongType(), T.LongType(), T.StringType()), strict=True)])
     return blocks.groupBy(BLOCK).cogroup(both.groupBy(BLOCK)).applyInArrow(remove, schema).toDF(ID, TEXT, *carry, *RESULT)

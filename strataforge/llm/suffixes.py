@@ -10,7 +10,7 @@ words within such a stretch are then compared exactly, since the neighbour to th
 the match to the left; of equal windows only those in the document with the smallest id stay.
 
 Suffixes are compared by 16-bit word codes over the ``LENGTH`` words that a window can hold, which
-can only lengthen a match before the exact step, and windows by 64-bit hashes. Defined cases: a null
+can only lengthen a match before the exact step, and windows by two independent 64-bit hashes. Defined cases: a null
 text has no words; a null id comes after every id; repeats within one id stay; texts of fewer than
 ``LENGTH`` words keep all; an empty table gives an empty result; other columns are carried only
 where asked.

@@ -60,25 +60,26 @@ def span_chunks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tupl
     return eight[starts] & _KEEP[np.minimum(sizes, 8)], rest, more
 
 
-def chunk_hashes(first: np.ndarray, rest: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans given as ``span_chunks``.
+def chunk_hashes(first: np.ndarray, rest: np.ndarray, more: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans given as ``span_chunks``; another ``seed`` gives other hashes, independent of the first.
 
     Every chunk of eight bytes is mixed with its place in the span before they are added up, so
     that no pattern in a span's bytes (as with powers of one base) makes spans alike.
     """
-    out = mix(first + U(0x632BE59BD9B4E019))
+    seed = U(seed)
+    out = mix((first ^ seed) + U(0x632BE59BD9B4E019))
     if len(rest):
         number = 1 + ragged(np.zeros(len(more), np.int64), more)
-        total = np.concatenate((np.zeros(1, U), np.cumsum(mix(rest ^ mix(number.astype(U))), dtype=U)))
+        total = np.concatenate((np.zeros(1, U), np.cumsum(mix(rest ^ mix(number.astype(U) + seed)), dtype=U)))
         end = np.cumsum(more)
         out += total[end] - total[end - more]
-    return mix(out + sizes.astype(U) * U(0xD6E8FEB86659FD93))
+    return mix(out + sizes.astype(U) * U(0xD6E8FEB86659FD93) + seed)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of the byte spans ``data[starts:ends]``: equal spans hash equally wherever they stand."""
     sizes = ends - starts
-    return chunk_hashes(*span_chunks(data, starts, sizes), sizes)
+    return chunk_hashes(*span_chunks(data, starts, sizes), sizes, seed)
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -131,3 +131,35 @@ def test_hilbert_curve_is_one_unbroken_path():
     assert sorted(keys.tolist()) == list(range(512))
     path = points[:, np.argsort(keys)].astype(int)
     assert (np.abs(np.diff(path, axis=1)).sum(axis=0) == 1).all()
+
+
+def test_windows_of_equal_hashes_stay_apart():
+    """Two blocks send windows under one 64-bit hash: only those whose second hashes agree are repeats."""
+    import pyarrow as pa
+
+    from strataforge.llm import blocks as b
+
+    def sent(block, ids, checks):
+        keys, number, least, _ = b.distinct(np.full(len(ids), 7, np.uint64), np.array(ids), np.array(checks, np.uint64))
+        entries = np.zeros(len(keys), b.CHECKED)
+        entries["id"], entries["check"][number] = least, checks
+        return number, keys, b.entry_rows(block, keys, entries, 4)
+
+    one, keys, first = sent(1, [5, 5, 9], [100, 200, 200])
+    two, more, second = sent(2, [3, 6, 8], [300, 200, 100])
+    assert len(keys) == 2 and len(more) == 3
+    told = b._report(8, b.CHECKED, b.not_first_checked)(pa.concat_tables([first, second]))
+    by = {block: told.filter(pa.compute.equal(told[b.BLOCK], block)) for block in (1, 2)}
+    assert b.told(by[1], keys, 4)[one].tolist() == [0, 0, 0]
+    assert b.told(by[2], more, 4)[two].tolist() == [0, 1, 1]
+
+
+def test_second_hashes_are_others():
+    data = np.frombuffer(b"alpha beta gamma delta epsilon-zeta-eta", np.uint8)
+    starts, ends, _ = t.words(data, np.array([0, len(data)]))
+    assert not set(t.span_hashes(data, starts, ends)) & set(t.span_hashes(data, starts, ends, 99))
+    from strataforge.llm.jaccard import set_digests
+
+    found = np.arange(1, 7, dtype=np.uint64)
+    one, two, three, none = set_digests(found[[0, 1, 2, 1, 0, 2, 3, 4, 5]], np.array([3, 3, 3, 0])).to_pylist()
+    assert one == two != three and none is None and one[:8] != one[8:]
