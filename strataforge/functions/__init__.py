@@ -109,6 +109,20 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def config_text(texts: pd.Series) -> pd.Series:
+    """JSON objects as the text of a configuration file: sorted keys, spaces after signs, no escapes beyond ASCII's, a final newline; null for anything else."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            value = None if text is None else json.loads(text)
+            return json.dumps(value, ensure_ascii=False, sort_keys=True, allow_nan=False) + "\n" if isinstance(value, dict) else None
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
 def canonical_json_digest(text: Column) -> Column:
     """SHA-256 of a JSON text's canonical form."""
     return F.sha2(canonical_json(text), 256)

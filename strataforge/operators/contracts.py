@@ -210,9 +210,11 @@ def output_name_error(name: Column) -> Column:
 def run_request_errors(requests: DataFrame) -> DataFrame:
     """Run requests (keys, schema, bundle_id, wanted_id, source_ref, inputs, timeout_seconds, config_json) with the first broken rule.
 
-    A run names a source by its identity and can't edit it; its configuration is a JSON object or absent.
+    A run names a source by its identity and can't edit it; its configuration is a JSON object or absent. A column
+    ``inputs_error`` says what is wrong with inputs that come from earlier requests (``snapshots.inherited_inputs``).
     """
     c = F.col
+    inherited = c("inputs_error") if "inputs_error" in requests.columns else F.lit(None).cast("string")
     inputs = F.map_entries(F.coalesce("inputs", F.create_map().cast("map<string,struct<path:string,ref:string,blob:string>>")))
     editing = F.arrays_overlap("keys", F.array(*map(F.lit, ("files", "changed_files", "delete_files", "sha256", "base_source_ref"))))
     bad_input = F.get(F.filter(F.transform(inputs, lambda e: input_error(e.key, e.value.path, e.value.ref, e.value.blob, e.key == SOURCE_MANIFEST)), lambda e: e.isNotNull()), F.lit(0))
@@ -222,7 +224,7 @@ def run_request_errors(requests: DataFrame) -> DataFrame:
     collides = F.exists(inputs, lambda e: e.key == "run_config.json")
     error = (
         F.when(~F.coalesce((c("schema") == "private-run-request/1") & (c("bundle_id") == c("wanted_id")), F.lit(False)), "run_request_identity_mismatch").when(~fullmatch(c("source_ref"), OBJECT_ID), "invalid_run_source_ref")
-        .when(editing, "run_request_cannot_edit_source").when(bad_input.isNotNull(), bad_input).when(~F.coalesce(c("timeout_seconds").between(low, high), F.lit(True)), "invalid_timeout")
+        .when(editing, "run_request_cannot_edit_source").when(inherited.isNotNull(), inherited).when(bad_input.isNotNull(), bad_input).when(~F.coalesce(c("timeout_seconds").between(low, high), F.lit(True)), "invalid_timeout")
         .when(configured & ~is_object, "invalid_run_config").when(configured & collides, "run_config_input_collision")
     )
     return requests.withColumn("error", error)
@@ -298,22 +300,36 @@ def run_drafts(receipts: DataFrame) -> DataFrame:
 EXECUTIONS = "transport/bundle-executions"
 
 
+def _given(rows: DataFrame, name: str, kind: str) -> Column:
+    """A column that callers may leave out."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind).alias(name)
+
+
 def receipt_rows(runs: DataFrame) -> DataFrame:
-    """Receipts of runs (bundle_id, bundle_blob, source_ref, run_id, run_attempt, files map, result_rows, done)."""
+    """Receipts of runs (bundle_id, bundle_blob, source_ref, run_id, run_attempt, files map, result_rows, done) and their ``prefix``.
+
+    What else is known of a run goes in as given: exit_code, timed_out, output_limit_exceeded, validation_errors, metadata_errors,
+    collection_errors (arrays), result_validation and progress (any type).
+    """
+    errors = lambda name: F.coalesce(_given(runs, name, "array<string>"), F.array().cast("array<string>")).alias(name)
+    # Fixed values of the format.
     return runs.select(
         F.lit("bundle-computation-receipt/2").alias("schema"), "bundle_id", "bundle_blob", "source_ref", "run_id", "run_attempt", F.map_from_entries(F.array_sort(F.map_entries("files"))).alias("files"), "result_rows",
-        F.when(F.coalesce("done", F.lit(False)), "materialized").otherwise("failed_or_partial").alias("status"), F.lit("pending").alias("scientific_review_status"),
-        F.concat_ws("/", F.lit(EXECUTIONS), "bundle_id", F.concat_ws("-", "run_id", "run_attempt")).alias("prefix"),
+        F.when(F.coalesce("done", F.lit(False)), "materialized").otherwise("failed_or_partial").alias("status"), F.lit("published").alias("publication_status"), F.lit("not_claimed").alias("scientific_completion"),
+        F.lit("pending").alias("scientific_review_status"), F.struct(_given(runs, "exit_code", "int").alias("exit_code"), _given(runs, "timed_out", "boolean").alias("timed_out"), _given(runs, "output_limit_exceeded", "boolean").alias("output_limit_exceeded")).alias("execution_status"),
+        errors("validation_errors"), _given(runs, "result_validation", "string"), _given(runs, "progress", "string"), errors("metadata_errors"), errors("collection_errors"),
+        F.concat_ws("/", F.lit(EXECUTIONS), "bundle_id", F.concat_ws("-", "run_id", "run_attempt")).alias("prefix"), _given(runs, "stage", "string"),
     )
 
 
 def review_rows(receipts: DataFrame) -> DataFrame:
     """The review queue's rows of ``receipt_rows``: paths of what was saved, null where it wasn't."""
     saved = lambda name: F.when(F.map_contains_key("files", name), F.concat_ws("/", "prefix", F.lit(name)))
+    # Fixed values of the format.
     return receipts.select(
-        F.lit("private-review-submission/1").alias("schema"), F.lit("pending").alias("review_status"), F.col("status").alias("execution_status"), F.lit("independent_review").alias("next_action"),
-        "bundle_id", "bundle_blob", "source_ref", "run_id", "run_attempt", F.concat_ws("/", "prefix", F.lit("receipt.json")).alias("receipt_path"), saved("result.jsonl").alias("result_path"),
-        saved("summary.json").alias("summary_path"), saved("progress.jsonl").alias("progress_path"),
+        F.lit("private-review-submission/1").alias("schema"), F.lit("pending").alias("review_status"), F.col("status").alias("execution_status"), F.lit("independent_review").alias("next_action"), "scientific_review_status", "stage",
+        F.size("validation_errors").alias("validation_error_count"), "bundle_id", "bundle_blob", "source_ref", "run_id", "run_attempt", F.concat_ws("/", "prefix", F.lit("receipt.json")).alias("receipt_path"),
+        saved("result.jsonl").alias("result_path"), saved("summary.json").alias("summary_path"), saved("progress.jsonl").alias("progress_path"),
     )
 
 
@@ -330,32 +346,95 @@ def source_bindings(receipts: DataFrame, manifests: DataFrame) -> DataFrame:
     return found.withColumn("error", error).drop("_ref", "_id", "_blob")
 
 
-def base_sources(changes: DataFrame, declared: DataFrame) -> DataFrame:
-    """(commit, bundle_id, error) of commits' changed paths (commit, path): exactly one manifest, and nothing but what it declares.
+MATERIALIZED = "transport/tasks/bundle-materialized"
+SOURCE_SCHEMAS = ["bundle-materialized-source/2", "bundle-materialized-source/3"]
+
 
-    ``declared`` holds the manifests' entries (commit, name).
+def base_sources(changes: DataFrame, declared: DataFrame, manifests: DataFrame | None = None, contents: DataFrame | None = None) -> DataFrame:
+    """(commit, bundle_id, error) of commits' changed paths (commit, path): one manifest that is sound, and nothing but what it declares.
+
+    ``declared`` holds the manifests' entries (commit, name, sha256), ``manifests`` their heads (commit, schema, bundle_id) and ``contents``
+    the files at each commit (commit, path, content in bytes). Without heads (or digests and contents) those checks are left
+    out. Entries are judged in the order of their names, each one's form before its content.
     """
-    pattern = r"\Atransport/tasks/bundle-materialized/(bt-[A-Za-z0-9_.\-]{1,64})/BUNDLE_SOURCE[.]json\z"
+    pattern, c = rf"\A{MATERIALIZED}/(bt-[A-Za-z0-9_.\-]{{1,64}})/BUNDLE_SOURCE[.]json\z", F.col
     found = F.regexp_extract("path", pattern, 1)
     ids = changes.select("commit", F.nullif(found, F.lit("")).alias("id")).groupBy("commit").agg(F.count("id").alias("manifests"), F.max("id").alias("bundle_id"))
-    folder = F.concat(F.lit("transport/tasks/bundle-materialized/"), "bundle_id", F.lit("/"))
-    wanted = ids.where("manifests = 1").select("commit", F.concat(folder, F.lit(SOURCE_MANIFEST)).alias("path")).union(declared.join(ids.where("manifests = 1"), "commit").select("commit", F.concat(folder, "name")))
+    one = ids.where("manifests = 1").select("commit", F.concat(F.lit(f"{MATERIALIZED}/"), "bundle_id", F.lit("/")).alias("folder"))
+    wanted = one.select("commit", F.concat("folder", F.lit(SOURCE_MANIFEST)).alias("path")).union(declared.join(one, "commit").select("commit", F.concat("folder", "name")))
     sides = changes.select("commit", "path", F.lit(1).alias("side")).union(wanted.select("commit", "path", F.lit(2)))
     odd = sides.groupBy("commit", "path").agg(F.bit_or("side").alias("sides")).where("sides <> 3").select("commit").distinct().withColumn("odd", F.lit(True))
-    named = declared.groupBy("commit").agg(F.max((F.col("name") == ENTRY_POINT).cast("int")).alias("runs"))
+    entries = declared.join(one, "commit", "left")
+    bad = F.lit(None).cast("string")
+    if contents is not None:
+        held = contents.select(c("commit").alias("_commit"), c("path").alias("_path"), F.sha2(c("content").cast("binary"), 256).alias("_have"))
+        entries = entries.join(held, (c("commit") == c("_commit")) & (F.concat("folder", "name") == c("_path")), "left")
+        shape = ~plain_source_name(F.coalesce("name", F.lit(""))) | ~fullmatch(c("sha256"), r"[0-9a-f]{64}")
+        bad = F.when(shape, "invalid_base_source_entry").when(c("_have").isNull(), "missing_repository_object").when(c("_have") != c("sha256"), "base_source_hash_mismatch")
+    named = entries.groupBy("commit").agg(F.max((c("name") == ENTRY_POINT).cast("int")).alias("runs"), F.min(F.when(bad.isNotNull(), F.struct("name", bad.alias("error")))).alias("bad"))
+    out = ids.join(named, "commit", "left").join(odd, "commit", "left")
+    unsound = F.lit(False)
+    if manifests is not None:
+        out = out.join(manifests.select("commit", c("schema").alias("_schema"), c("bundle_id").alias("_id")), "commit", "left")
+        unsound = ~F.coalesce(c("_schema").isin(*SOURCE_SCHEMAS) & (c("_id") == c("bundle_id")), F.lit(False))
+    # The codes of the format, in its order.
     error = (
-        F.when(F.col("manifests") != 1, "base_source_manifest_not_unique").when(F.coalesce("runs", F.lit(0)) == 0, "invalid_base_source_files").when(F.coalesce("odd", F.lit(False)), "base_source_commit_scope_mismatch")
+        F.when(~fullmatch(c("commit"), OBJECT_ID) if contents is not None else F.lit(False), "invalid_base_source_ref").when(c("manifests") != 1, "base_source_manifest_not_unique").when(unsound, "invalid_base_source_manifest")
+        .when(F.coalesce("runs", F.lit(0)) == 0, "invalid_base_source_files").when(c("bad").isNotNull(), c("bad.error")).when(F.coalesce("odd", F.lit(False)), "base_source_commit_scope_mismatch")
     )
-    return ids.join(named, "commit", "left").join(odd, "commit", "left").select("commit", F.when(F.col("manifests") == 1, F.col("bundle_id")).alias("bundle_id"), error.alias("error"))
+    return out.select("commit", F.when(c("manifests") == 1, c("bundle_id")).alias("bundle_id"), error.alias("error"))
+
+
+def successor_lists(base: Column, changed: Column, deleted: Column) -> Column:
+    """What a successor does to its base (maps name -> text; an array of names), in sorted lists: requested, actual, unchanged, deleted, inherited."""
+    edits = F.map_keys(changed)
+    same = F.filter(edits, lambda name: F.try_element_at(base, name).eqNullSafe(F.try_element_at(changed, name)) & F.map_contains_key(base, name))
+    actual = F.array_except(edits, same)
+    left = F.array_except(F.array_union(F.map_keys(base), edits), deleted)
+    named = {"requested_changed_files": edits, "actual_changed_files": actual, "unchanged_overlay_files": same, "deleted_files": deleted, "inherited_files": F.array_except(left, actual)}
+    return F.struct(*(F.array_sort(v).alias(k) for k, v in named.items()))
 
 
 def source_manifests(sources: DataFrame) -> DataFrame:
-    """Manifest heads of bundles' sources (bundle_id, bundle_schema, bundle_blob, base_source_ref): schema, what the hashes rest on, parent.
+    """Manifests of bundles' sources (bundle_id, bundle_schema, bundle_blob, base_source_ref): a row each, in the format's fields.
 
-    ``identity.manifest_rows`` has the files and their hashes.
+    Given ``files`` (name -> text: all of a bundle's, or what a successor changes), ``inputs`` and ``timeout_seconds``, they are in it; a
+    successor's files come with ``base_bundle_id``, ``base_files`` and ``delete_files``, and its lists of what it changed. A bundle's files are
+    one value; ``identity.manifest_rows`` has files of any number, a row each.
     """
-    is_text, is_successor = F.col("bundle_schema") == BUNDLE_SCHEMAS[1], F.col("bundle_schema") == BUNDLE_SCHEMAS[2]
-    return sources.select(
-        "bundle_id", F.when(is_successor, "bundle-materialized-source/3").otherwise("bundle-materialized-source/2").alias("schema"), "bundle_blob", F.when(is_text | is_successor, F.col("bundle_schema")).alias("submission_schema"),
-        F.when(is_text, "actions_received_utf8").when(is_successor, "actions_received_utf8_overlay").alias("source_hash_authority"), F.when(is_successor, F.col("base_source_ref")).alias("parent_source_ref"),
+    c = F.col
+    is_text, is_successor = c("bundle_schema") == BUNDLE_SCHEMAS[1], c("bundle_schema") == BUNDLE_SCHEMAS[2]
+    none, text_map = F.create_map().cast("map<string,string>"), "map<string,string>"
+    files, base = (F.coalesce(_given(sources, n, text_map), none) for n in ("files", "base_files"))
+    deleted = F.coalesce(_given(sources, "delete_files", "array<string>"), F.array().cast("array<string>"))
+    kept = F.map_filter(base, lambda k, _: ~F.array_contains(deleted, k) & ~F.map_contains_key(files, k))
+    final = F.when(is_successor, F.map_concat(kept, files)).otherwise(files)
+    hashes = F.map_from_entries(F.array_sort(F.transform(F.map_entries(final), lambda e: F.struct(e.key.alias("key"), F.sha2(e.value, 256).alias("value")))))
+    # in columns of their own first: beside an output column named files, the expressions would mean that one
+    made = sources.withColumns({"_hashes": hashes, "_successor": F.when(is_successor, successor_lists(base, files, deleted))})
+    # Fixed values of the format.
+    return made.select(
+        "bundle_id", F.when(is_successor, SOURCE_SCHEMAS[1]).otherwise(SOURCE_SCHEMAS[0]).alias("schema"), F.concat(F.lit("transport/bundle_inbox/"), "bundle_id", F.lit(".json")).alias("bundle_path"), "bundle_blob", c("_hashes").alias("files"),
+        _given(sources, "inputs", "map<string,struct<path:string,ref:string,blob:string>>"), _given(sources, "timeout_seconds", "long"), F.when(is_text | is_successor, c("bundle_schema")).alias("submission_schema"),
+        F.when(is_text, "actions_received_utf8").when(is_successor, "actions_received_utf8_overlay").alias("source_hash_authority"), F.when(is_successor, c("base_source_ref")).alias("parent_source_ref"),
+        F.when(is_successor, _given(sources, "base_bundle_id", "string")).alias("parent_bundle_id"), c("_successor").alias("successor"),
+    )
+
+
+def source_origins(requests: DataFrame, manifests: DataFrame, history: DataFrame) -> DataFrame:
+    """Requests (bundle_id, bundle_blob, source_ref) with ``origin``, the commit that wrote their source, or ``error``.
+
+    ``manifests`` (source_ref, bundle_id, bundle_blob, digest) are the manifests as they stand at commits; ``history`` (source_ref, bundle_id, origin)
+    the last commit, seen from each source_ref, that changed the bundle's manifest. Another commit counts where it holds the same manifest.
+    """
+    c = F.col
+    here = manifests.select("source_ref", F.struct("bundle_id", "bundle_blob", "digest").alias("_here"))
+    there = manifests.select(c("source_ref").alias("_origin"), F.struct("bundle_id", "digest").alias("_there"))
+    past = history.select("source_ref", "bundle_id", c("origin").alias("_origin"))
+    met = requests.join(here, "source_ref", "left").join(past, ["source_ref", "bundle_id"], "left").join(there, "_origin", "left")
+    error = (
+        F.when(c("_here").isNull(), "missing_repository_object").when((c("_here.bundle_id") != c("bundle_id")) | ~c("_here.bundle_blob").eqNullSafe(c("bundle_blob")), "materialized_manifest_identity_mismatch")
+        .when(~fullmatch(c("_origin"), OBJECT_ID), "source_origin_unresolved")
+        .when((c("_origin") != c("source_ref")) & ~F.coalesce((c("_there.bundle_id") == c("bundle_id")) & (c("_there.digest") == c("_here.digest")), F.lit(False)), "source_origin_identity_mismatch")
     )
+    return met.withColumn("error", error).select(*requests.columns, F.when(c("error").isNull(), c("_origin")).alias("origin"), "error")

@@ -27,6 +27,27 @@ def manifest_rows(files: DataFrame, by: str, name: str, content: str) -> DataFra
     return rows.join(totals, F.col(by).eqNullSafe(F.col("_group"))).drop("_group")
 
 
+def wheel_rows(folders: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """(group, error, wheel_count, wheel_bytes, manifest_sha256) of folders of wheels: ``folders`` names them, ``files`` (group, name, regular, content) has what is in them.
+
+    An empty folder is an error, and so is an entry that is no regular file or has another suffix. The digest covers names and
+    hashes in the order of names; it is made from the sums of their row hashes, so that no folder is gathered in one value.
+    """
+    odd = ~F.coalesce(F.col("regular") & F.lower("name").endswith(".whl") & (F.length("name") > 4), F.lit(False))
+    row = [F.sum(F.xxhash64(F.lit(seed), "name", content_sha256(F.col("content"))).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    per = files.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.max(odd.cast("int")).alias("odd"), F.sha2(F.concat_ws("-", *row), 256).alias("digest"))
+    error = F.when(F.coalesce("n", F.lit(0)) == 0, "wheelhouse is empty").when(F.col("odd") == 1, "wheelhouse contains a non-wheel entry")
+    good = lambda name, out: F.when(F.col("error").isNull(), F.col(name)).alias(out)
+    return folders.select(by).join(per, by, "left").withColumn("error", error).select(by, "error", good("n", "wheel_count"), good("bytes", "wheel_bytes"), good("digest", "manifest_sha256"))
+
+
+def installed_errors(pins: DataFrame, installed: DataFrame, by: str = "file") -> DataFrame:
+    """(by, name, problem) where a pinned distribution (by, normalized, version) isn't installed (by, normalized, version) or has another version."""
+    have = installed.groupBy(by, "normalized").agg(F.min("version").alias("_have"))
+    problem = F.when(F.col("_have").isNull(), "missing").when(F.col("_have") != F.col("version"), "version_mismatch")
+    return pins.join(have, [by, "normalized"], "left").select(by, F.col("normalized").alias("name"), problem.alias("problem")).where("problem is not null")
+
+
 def duplicate_names(rows: DataFrame, name: str) -> DataFrame:
     """(normalized, copies) of names that coincide once case and underscores are set aside."""
     return rows.groupBy(F.translate(F.lower(name), "_", "-").alias("normalized")).agg(F.count("*").alias("copies")).where("copies > 1")

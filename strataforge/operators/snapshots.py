@@ -7,7 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataforge.functions import fullmatch
+from strataforge.functions import blob_id_of_bytes, fullmatch
+
+
+# Fixed values of the formats: what may stand in a chain of requests.
+RUN_SCHEMA = "private-run-request/1"
+REQUEST_SCHEMAS = [RUN_SCHEMA, "private-task-bundle/2", "private-task-bundle/3", "private-task-bundle/4"]
 
 
 def lookup_paths(paths: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -67,17 +72,25 @@ def overlay_verdicts(overlaid: DataFrame, by: str, key: str) -> DataFrame:
     return per.select(by, F.when(F.col("m") == 1, "successor_delete_missing_file").when(F.col("r") == 0, "invalid_final_source_manifest").when(F.col("e") == 0, "successor_no_effect").alias("error"))
 
 
-def pinned_reads(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
+def pinned_reads(requests: DataFrame, snapshot: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
     """Requests (ref, path, expected_blob or null, size_limit or null) with content and blob from a snapshot
-    (ref, path, type, sha, size, content), or the first assertion that fails."""
+    (ref, path, type, sha, size, content in bytes), or the first assertion that fails; content must hash to its blob.
+
+    Content that a snapshot holds only by its blob (null) comes from ``blobs`` (sha, content), where given.
+    """
     held = snapshot.select("ref", "path", F.col("type").alias("_type"), F.col("sha").alias("_sha"), F.col("size").alias("_size"), F.col("content").alias("_content"))
     c = F.col
+    met = requests.join(held, ["ref", "path"], "left")
+    if blobs is not None:
+        met = met.join(blobs.select(c("sha").alias("_sha"), c("content").alias("_body")), "_sha", "left").withColumn("_content", F.coalesce("_content", "_body"))
     error = (
         F.when(c("_type").isNull(), "missing_repository_object").when(c("_type") != "blob", "expected_file").when(~fullmatch(c("_sha"), r"[0-9a-f]{40}"), "invalid_blob_identity")
         .when(c("expected_blob").isNotNull() & (c("expected_blob") != c("_sha")), "pinned_file_identity_mismatch").when(F.coalesce(c("_size") > c("size_limit"), F.lit(False)), "file_too_large")
+        .when(c("_content").isNull(), "missing_repository_object").when(blob_id_of_bytes(c("_content")) != c("_sha"), "blob_identity_mismatch")
+        .when(F.coalesce(F.octet_length("_content") > c("size_limit"), F.lit(False)), "file_too_large")
     )
     good = lambda name: F.when(c("error").isNull(), c(name))
-    return requests.join(held, ["ref", "path"], "left").withColumn("error", error).select(*requests.columns, "error", good("_sha").alias("blob"), good("_content").alias("content"))
+    return met.withColumn("error", error).select(*requests.columns, "error", good("_sha").alias("blob"), good("_content").alias("content"))
 
 
 def request_chain(requests: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
@@ -121,3 +134,27 @@ def merge_layers(chain: DataFrame, entries: DataFrame, node: str, key: str, valu
     layers = chain.where("error is null").join(entries.select(F.col(node).alias("node"), key, value), "node")
     newest = F.min(F.struct("depth", F.col("node").alias("node"), F.col(value).alias("value"))).alias("n")
     return layers.groupBy("root", key).agg(newest).select("root", key, F.col("n.value").alias(value), F.col("n.node").alias(node))
+
+
+def inherited_inputs(requests: DataFrame, saved: DataFrame) -> DataFrame:
+    """``requests`` (request, schema, inputs_from, inputs map) with the inputs they inherit and ``inputs_error``.
+
+    A run request may name the blob of an earlier request in ``inputs_from``, whose inputs it takes over beneath its own, and so on through
+    ``saved`` (blob, schema, inputs_from, inputs). What fails first along the chain counts: a name that is no blob, a chain that comes
+    back, a blob that isn't there, a document that is no request.
+    """
+    c, own = F.col, lambda name: F.concat(F.lit("request:"), name)
+    entry = "map<string,struct<path:string,ref:string,blob:string>>"
+    node = lambda rows, name: rows.select(name.alias("node"), "schema", "inputs_from", c("inputs").cast(entry).alias("inputs"))
+    every = node(requests, own(c("request").cast("string"))).union(node(saved, c("blob")))
+    named = fullmatch(c("inputs_from"), r"[0-9a-f]{40}")
+    follows = (c("schema") == RUN_SCHEMA) & c("inputs_from").isNotNull()
+    linked = every.withColumn("parent", F.when(follows & named, c("inputs_from")))
+    chain = request_chain(linked, "node", "parent", requests.select(own(c("request").cast("string")).alias("node")))
+    facts = linked.select("node", F.when(~F.coalesce(c("schema").isin(*REQUEST_SCHEMAS), F.lit(False)) & ~c("node").startswith("request:"), "inputs_from_not_a_request").when(follows & ~named, "invalid_inputs_from").alias("fault"))
+    told = chain.join(facts, "node", "left").withColumn("code", F.when(c("error") == "cyclic_chain", "cyclic_inputs_from").when(c("error") == "missing_parent", "missing_repository_object").otherwise(c("fault")))
+    errors = told.where("code is not null").groupBy("root").agg(F.min(F.struct("depth", "code")).getField("code").alias("inputs_error"))
+    entries = linked.where("inputs is not null").select("node", F.explode("inputs").alias("name", "spec"))
+    merged = merge_layers(chain, entries, "node", "name", "spec").groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "spec")))).alias("_merged"))
+    out = requests.join(errors, own(c("request").cast("string")) == c("root"), "left").drop("root").join(merged, own(c("request").cast("string")) == c("root"), "left").drop("root")
+    return out.withColumn("inputs", F.coalesce("_merged", c("inputs").cast(entry))).drop("_merged")

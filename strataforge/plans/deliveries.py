@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge import functions as fn
-from strataforge.operators import contracts, lifecycle, progress, results, snapshots
+from strataforge.operators import contracts, identity, lifecycle, progress, results, snapshots
 from strataforge.plans.registry import query, table
 from strataforge.sources import lines_of, lock_verdicts, paged
 
@@ -217,20 +217,31 @@ def source_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_orderkey AS commit, count(DISTINCT l_linenumber) FILTER (l_linenumber = 1) AS m, count(*) FILTER (l_linenumber = 1) AS manifests, max(CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END) AS runs, max(CASE WHEN l_linenumber > 1 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS odd FROM lineitem GROUP BY 1)
-SELECT commit, CASE WHEN manifests = 1 THEN 'bt-' || commit END AS bundle_id, CASE WHEN manifests <> 1 THEN 'base_source_manifest_not_unique' WHEN runs = 0 THEN 'invalid_base_source_files' WHEN odd = 1 THEN 'base_source_commit_scope_mismatch' END AS error FROM g""")
+WITH l AS (SELECT sha1(l_orderkey::VARCHAR) AS commit, l_orderkey AS k, l_linenumber AS n, CASE WHEN l_linenumber = 2 THEN 'run_task.py' WHEN l_tax > 0.07 THEN 'm' || l_linenumber || '/x.py' ELSE 'm' || l_linenumber || '.py' END AS name, l_returnflag AS f, l_discount AS d FROM lineitem),
+     g AS (SELECT commit, any_value(k) AS k, count(*) FILTER (n = 1) AS manifests, max((n = 2)::INT) AS runs, max((n > 1 AND f = 'R')::INT) AS odd FROM l GROUP BY commit),
+     e AS (SELECT DISTINCT commit, name, sha256(CASE WHEN d > 0.09 THEN 'x' ELSE f || n END) AS want FROM l WHERE n > 1), h AS (SELECT commit, name, sha256(f || n) AS have FROM l WHERE n > 1),
+     b AS (SELECT e.commit, e.name, CASE WHEN contains(e.name, '/') THEN 'invalid_base_source_entry' WHEN have <> want THEN 'base_source_hash_mismatch' END AS error FROM e JOIN h ON h.commit = e.commit AND h.name = e.name),
+     w AS (SELECT commit, min({'name': name, 'error': error}).error AS bad FROM b WHERE error IS NOT NULL GROUP BY commit)
+SELECT g.commit, CASE WHEN manifests = 1 THEN 'bt-' || k END AS bundle_id, CASE WHEN manifests <> 1 THEN 'base_source_manifest_not_unique' WHEN coalesce(o_orderstatus, 'P') = 'P' THEN 'invalid_base_source_manifest' WHEN runs = 0 THEN 'invalid_base_source_files'
+       WHEN bad IS NOT NULL THEN bad WHEN odd = 1 THEN 'base_source_commit_scope_mismatch' END AS error FROM g LEFT JOIN w USING (commit) LEFT JOIN orders ON o_orderkey = k""")
 def base_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as commits: line 1 is the manifest, the others its files, returned ones files it doesn't declare."""
+    """Orders as commits: line 1 is the manifest, the others its files; returned ones lie elsewhere, highly discounted ones have other content."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    name = F.when(n == 2, "run_task.py").otherwise(F.concat(F.lit("m"), n.cast("string"), F.lit(".py")))
-    folder = F.concat(F.lit("transport/tasks/bundle-materialized/bt-"), k.cast("string"), F.lit("/"))
-    rows = table(spark, sf_dir, "lineitem").select(k.alias("commit"), n.alias("n"), "l_returnflag", name.alias("name"), F.when(n == 1, F.concat(folder, F.lit("BUNDLE_SOURCE.json"))).when(F.col("l_returnflag") == "R", F.concat(F.lit("elsewhere/"), name)).otherwise(F.concat(folder, name)).alias("path"))
-    return contracts.base_sources(rows.select("commit", "path"), rows.where("n > 1").select("commit", "name").distinct())
+    m = F.concat(F.lit("m"), n.cast("string"))
+    name = F.when(n == 2, "run_task.py").when(F.col("l_tax") > 0.07, F.concat(m, F.lit("/x.py"))).otherwise(F.concat(m, F.lit(".py")))
+    folder, text = F.concat(F.lit(contracts.MATERIALIZED + "/bt-"), k.cast("string"), F.lit("/")), F.concat("l_returnflag", n.cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.sha1(k.cast("string")).alias("commit"), n.alias("n"), name.alias("name"), F.when(n == 1, F.concat(folder, F.lit("BUNDLE_SOURCE.json"))).when(F.col("l_returnflag") == "R", F.concat(F.lit("elsewhere/"), name)).otherwise(F.concat(folder, name)).alias("changed"),
+        F.concat(folder, name).alias("path"), text.alias("content"), F.sha2(F.when(F.col("l_discount") > 0.09, "x").otherwise(text), 256).alias("sha256"),
+    )
+    heads = table(spark, sf_dir, "orders").select(F.sha1(F.col("o_orderkey").cast("string")).alias("commit"), F.when(F.col("o_orderstatus") == "P", "other/1").otherwise(contracts.SOURCE_SCHEMAS[0]).alias("schema"), F.concat(F.lit("bt-"), "o_orderkey").alias("bundle_id"))
+    files = rows.where("n > 1")
+    return contracts.base_sources(rows.select("commit", F.col("changed").alias("path")), files.select("commit", "name", "sha256").distinct(), heads, files.select("commit", "path", F.encode("content", "utf-8").alias("content")))
 
 
 @query("""
 SELECT o_orderkey::VARCHAR AS run_id, 'private-review-submission/1' AS schema, CASE WHEN o_orderstatus = 'F' THEN 'materialized' ELSE 'failed_or_partial' END AS execution_status, 'transport/bundle-executions/bt-' || o_custkey || '/' || o_orderkey || '-1/receipt.json' AS receipt_path,
-       CASE WHEN o_orderstatus <> 'P' THEN 'transport/bundle-executions/bt-' || o_custkey || '/' || o_orderkey || '-1/result.jsonl' END AS result_path, 'private-run-request/1' AS draft_schema, sha1(o_orderpriority) AS inputs_from FROM orders""")
+       CASE WHEN o_orderstatus <> 'P' THEN 'transport/bundle-executions/bt-' || o_custkey || '/' || o_orderkey || '-1/result.jsonl' END AS result_path, 'private-run-request/1' AS draft_schema, sha1(o_orderpriority) AS inputs_from, 'pending' AS scientific_review_status, o_orderpriority AS stage, CASE WHEN o_totalprice > 100000 THEN 2 ELSE 0 END AS validation_error_count, 'published' AS publication_status, 'not_claimed' AS scientific_completion, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS exit_code FROM orders""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as runs: their receipts, the review queue's rows and the drafts of the runs after them."""
     digest = F.sha2("o_orderpriority", 256)
@@ -238,12 +249,13 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("bt-"), "o_custkey").alias("bundle_id"), F.sha1("o_orderpriority").alias("bundle_blob"), F.sha1("o_orderstatus").alias("source_ref"), F.col("o_orderkey").cast("string").alias("run_id"), F.lit("1").alias("run_attempt"),
         files.alias("files"), F.lit(1).alias("result_rows"), (F.col("o_orderstatus") == "F").alias("done"),
+        F.col("o_orderpriority").alias("stage"), F.when(F.col("o_totalprice") > 100000, F.array(F.lit("a"), F.lit("b"))).alias("validation_errors"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("exit_code"),
     )
     receipts = contracts.receipt_rows(runs)
     drafts = contracts.run_drafts(receipts.select("bundle_id", "source_ref", "bundle_blob", "run_id")).select(F.col("schema").alias("draft_schema"), "bundle_id", "inputs_from").distinct()
-    reviews = contracts.review_rows(receipts)
+    reviews = contracts.review_rows(receipts).join(receipts.select("run_id", "publication_status", "scientific_completion", F.col("execution_status.exit_code").alias("exit_code")), "run_id")
     out = reviews.join(drafts.withColumnRenamed("inputs_from", "blob"), (reviews.bundle_id == drafts.bundle_id) & (reviews.bundle_blob == F.col("blob")))
-    return out.select("run_id", "schema", "execution_status", "receipt_path", "result_path", "draft_schema", F.col("blob").alias("inputs_from"))
+    return out.select("run_id", "schema", "execution_status", "receipt_path", "result_path", "draft_schema", F.col("blob").alias("inputs_from"), "scientific_review_status", "stage", "validation_error_count", "publication_status", "scientific_completion", "exit_code")
 
 
 @query("SELECT o_orderpriority AS method, count(*) AS trials, median(o_totalprice) AS median_seconds FROM orders GROUP BY 1")
@@ -262,17 +274,21 @@ def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha1('x') WHEN doc_id % 5 = 1 THEN sha1(text) END AS expected, CASE WHEN doc_id % 2 = 0 THEN 400 END AS size_limit, text FROM documents)
-SELECT q.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_repository_object' WHEN toxic = 1 THEN 'expected_file' WHEN expected <> sha1(text) THEN 'pinned_file_identity_mismatch' WHEN octet_length(encode(text)) > size_limit THEN 'file_too_large' END AS error,
-       CASE WHEN toxic = 0 AND NOT coalesce(expected <> sha1(text), false) AND NOT coalesce(octet_length(encode(text)) > size_limit, false) THEN sha1(text) END AS blob FROM q LEFT JOIN labels l USING (doc_id)""")
+WITH b AS (SELECT doc_id, text, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS blob, octet_length(encode(text)) AS size FROM documents),
+     q AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN sha1('x') WHEN doc_id % 5 = 1 THEN blob END AS expected, CASE WHEN doc_id % 2 = 0 THEN 400 END AS size_limit FROM b),
+     e AS (SELECT q.*, CASE WHEN l.doc_id IS NULL THEN 'missing_repository_object' WHEN toxic = 1 THEN 'expected_file' WHEN expected <> blob THEN 'pinned_file_identity_mismatch' WHEN size > size_limit THEN 'file_too_large'
+                  WHEN quality = 0 AND doc_id % 4 = 0 THEN 'blob_identity_mismatch' END AS error FROM q LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, error, CASE WHEN error IS NULL THEN blob END AS blob, CASE WHEN error IS NULL THEN sha256(text) END AS digest FROM e""")
 def pinned_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents asked for by identity and size in a snapshot of the labelled ones, toxic ones being folders."""
+    """Documents asked for by identity and size in a snapshot of the labelled ones: toxic ones are folders, every other one is held by its blob alone, some poor ones have other content."""
     docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
-    requests = docs.select("doc_id", F.lit("main").alias("ref"), d.cast("string").alias("path"), F.when(d % 5 == 0, F.sha1(F.lit("x"))).when(d % 5 == 1, F.sha1("text")).alias("expected_blob"), F.when(d % 2 == 0, 400).alias("size_limit"))
-    held = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(
-        F.lit("main").alias("ref"), d.cast("string").alias("path"), F.when(F.col("toxic") == 1, "tree").otherwise("blob").alias("type"), F.sha1("text").alias("sha"), F.octet_length("text").alias("size"), F.encode("text", "utf-8").alias("content")
-    )
-    return snapshots.pinned_reads(requests, held).select("doc_id", "error", "blob")
+    blob, raw = fn.blob_id(F.col("text")), F.encode("text", "utf-8")
+    requests = docs.select("doc_id", F.lit("main").alias("ref"), d.cast("string").alias("path"), F.when(d % 5 == 0, F.sha1(F.lit("x"))).when(d % 5 == 1, blob).alias("expected_blob"), F.when(d % 2 == 0, 400).alias("size_limit"))
+    content = F.when((F.col("quality") == 0) & (d % 4 == 0), F.encode(F.concat("text", F.lit("x")), "utf-8")).otherwise(raw)
+    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumns({"sha": blob, "content": content})
+    held = rows.select(F.lit("main").alias("ref"), d.cast("string").alias("path"), F.when(F.col("toxic") == 1, "tree").otherwise("blob").alias("type"), "sha", F.octet_length("text").alias("size"), F.when(d % 4 < 2, F.col("content")).alias("content"))
+    blobs = rows.where(d % 4 >= 2).select("sha", "content").distinct()
+    return snapshots.pinned_reads(requests, held, blobs).select("doc_id", "error", "blob", F.sha2("content", 256).alias("digest"))
 
 
 @query("""
@@ -327,13 +343,79 @@ def execution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'bt-' || o_orderkey AS bundle_id, CASE WHEN o_orderstatus = 'P' THEN 'bundle-materialized-source/3' ELSE 'bundle-materialized-source/2' END AS schema, sha1(o_orderkey::VARCHAR) AS bundle_blob,
-       CASE o_orderstatus WHEN 'O' THEN 'private-task-bundle/3' WHEN 'P' THEN 'private-task-bundle/4' END AS submission_schema, CASE o_orderstatus WHEN 'O' THEN 'actions_received_utf8' WHEN 'P' THEN 'actions_received_utf8_overlay' END AS source_hash_authority,
-       CASE WHEN o_orderstatus = 'P' THEN sha1(o_orderpriority) END AS parent_source_ref FROM orders""")
+WITH l AS (SELECT l_orderkey AS k, 'm' || l_linenumber || '.py' AS name, max(l_returnflag) AS old, max(l_linestatus) = 'F' AS edited, max(l_discount) > 0.05 AS other, max(l_tax) > 0.06 AND max(l_linestatus) <> 'F' AS gone FROM lineitem GROUP BY 1, 2),
+     o AS (SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+     x AS (SELECT k, name, CASE WHEN edited AND other THEN old || '!' ELSE old END AS text, edited, other, gone, st = 'P' AS succ FROM l JOIN o USING (k) UNION ALL SELECT k, 'n.py', k::VARCHAR, true, true, false, true FROM o WHERE st = 'P'),
+     f AS (SELECT k, string_agg(name || '=' || sha256(CASE WHEN succ THEN text ELSE replace(text, '!', '') END), ',' ORDER BY name) FILTER (NOT (succ AND gone)) AS files,
+                  string_agg(name, ',' ORDER BY name) FILTER (succ AND edited) AS requested, string_agg(name, ',' ORDER BY name) FILTER (succ AND edited AND other) AS actual, string_agg(name, ',' ORDER BY name) FILTER (succ AND edited AND NOT other) AS unchanged,
+                  string_agg(name, ',' ORDER BY name) FILTER (succ AND gone) AS deleted, string_agg(name, ',' ORDER BY name) FILTER (succ AND NOT gone AND NOT (edited AND other)) AS inherited FROM x GROUP BY k)
+SELECT 'bt-' || o.k AS bundle_id, CASE WHEN st = 'P' THEN 'bundle-materialized-source/3' ELSE 'bundle-materialized-source/2' END AS schema, 'transport/bundle_inbox/bt-' || o.k || '.json' AS bundle_path, sha1(o.k::VARCHAR) AS bundle_blob, coalesce(files, '') AS files, 600::BIGINT AS timeout_seconds,
+       CASE st WHEN 'O' THEN 'private-task-bundle/3' WHEN 'P' THEN 'private-task-bundle/4' END AS submission_schema, CASE st WHEN 'O' THEN 'actions_received_utf8' WHEN 'P' THEN 'actions_received_utf8_overlay' END AS source_hash_authority,
+       CASE WHEN st = 'P' THEN sha1(pr) END AS parent_source_ref, CASE WHEN st = 'P' THEN 'bt-base' END AS parent_bundle_id, CASE WHEN st = 'P' THEN coalesce(requested, '') END AS requested, CASE WHEN st = 'P' THEN coalesce(actual, '') END AS actual, CASE WHEN st = 'P' THEN coalesce(unchanged, '') END AS unchanged,
+       CASE WHEN st = 'P' THEN coalesce(deleted, '') END AS deleted, CASE WHEN st = 'P' THEN coalesce(inherited, '') END AS inherited FROM o LEFT JOIN f USING (k)""")
 def source_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as materialised bundles of three schemas."""
-    rows = table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("bt-"), "o_orderkey").alias("bundle_id"), F.when(F.col("o_orderstatus") == "O", "private-task-bundle/3").when(F.col("o_orderstatus") == "P", "private-task-bundle/4").otherwise("private-task-bundle/2").alias("bundle_schema"),
-        F.sha1(F.col("o_orderkey").cast("string")).alias("bundle_blob"), F.sha1("o_orderpriority").alias("base_source_ref"),
+    """Orders as materialised bundles of three schemas, their lines as files; successors change, repeat, delete and add some."""
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.concat(F.lit("m"), "l_linenumber", F.lit(".py")).alias("name")).agg(
+        F.max("l_returnflag").alias("old"), (F.max("l_linestatus") == "F").alias("edited"), (F.max("l_discount") > 0.05).alias("other"), ((F.max("l_tax") > 0.06) & (F.max("l_linestatus") != "F")).alias("gone")
+    )
+    entry = lambda value: F.struct(c("name").alias("key"), value.alias("value"))
+    listed = lambda value, when: F.collect_list(F.when(when, value))  # noqa: E731  the lines of one order
+    text = F.when(c("other"), F.concat("old", F.lit("!"))).otherwise(c("old"))
+    per = lines.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.map_from_entries(listed(entry(c("old")), F.lit(True))).alias("all"), F.map_from_entries(listed(entry(text), c("edited"))).alias("edits"), listed(c("name"), c("gone")).alias("gone"))
+    none, successor = F.create_map().cast("map<string,string>"), c("o_orderstatus") == "P"
+    rows = table(spark, sf_dir, "orders").join(per, "o_orderkey", "left").select(
+        F.concat(F.lit("bt-"), "o_orderkey").alias("bundle_id"), F.when(c("o_orderstatus") == "O", "private-task-bundle/3").when(successor, "private-task-bundle/4").otherwise("private-task-bundle/2").alias("bundle_schema"),
+        F.sha1(c("o_orderkey").cast("string")).alias("bundle_blob"), F.sha1("o_orderpriority").alias("base_source_ref"), F.lit("bt-base").alias("base_bundle_id"), F.lit(600).cast("long").alias("timeout_seconds"), c("all").alias("base_files"), c("gone").alias("delete_files"),
+        F.when(successor, F.map_concat(F.coalesce("edits", none), F.create_map(F.lit("n.py"), c("o_orderkey").cast("string")))).otherwise(c("all")).alias("files"),
     )
-    return contracts.source_manifests(rows)
+    found = contracts.source_manifests(rows)
+    files = F.array_join(F.transform(F.map_entries("files"), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
+    lists = {"requested": "requested_changed_files", "actual": "actual_changed_files", "unchanged": "unchanged_overlay_files", "deleted": "deleted_files", "inherited": "inherited_files"}
+    return found.select("bundle_id", "schema", "bundle_path", "bundle_blob", files.alias("files"), "timeout_seconds", "submission_schema", "source_hash_authority", "parent_source_ref", "parent_bundle_id", *(F.array_join(f"successor.{v}", ",").alias(k) for k, v in lists.items()))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'run' WHEN 'O' THEN 'bundle' ELSE 'other' END AS s, CASE o_orderpriority WHEN '1-URGENT' THEN 'none' WHEN '5-LOW' THEN 'bad' ELSE 'up' END AS p FROM orders),
+     c AS (SELECT k AS root, k, 0 AS depth, s, p FROM o WHERE s = 'run' UNION ALL SELECT c.root, c.k - 1, depth + 1, o.s, o.p FROM c LEFT JOIN o ON o.k = c.k - 1 WHERE c.s = 'run' AND c.p = 'up'),
+     f AS (SELECT root, max(CASE WHEN s IS NULL THEN 'missing_repository_object' WHEN s = 'other' THEN 'inputs_from_not_a_request' WHEN s = 'run' AND p = 'bad' THEN 'invalid_inputs_from' END) AS fault FROM c GROUP BY root),
+     n AS (SELECT root, 'i' || k % 3 || '.json' AS name, arg_min(k, depth) AS k FROM c WHERE s IS NOT NULL GROUP BY 1, 2),
+     m AS (SELECT root, string_agg(name || '=inputs/' || k, ',' ORDER BY name) AS inputs FROM n GROUP BY root)
+SELECT root AS o_orderkey, fault AS error, CASE WHEN fault IS NULL THEN inputs END AS inputs FROM f JOIN m USING (root)""")
+def run_request_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests that take over the inputs of the order before them; the finished ones are judged as runs."""
+    c, ref = F.col, F.sha1(F.col("o_orderkey").cast("string"))
+    source = F.when(c("o_orderpriority") == "5-LOW", "no blob").when(c("o_orderpriority") != "1-URGENT", F.sha1((c("o_orderkey") - 1).cast("string")))
+    schema = F.when(c("o_orderstatus") == "F", snapshots.RUN_SCHEMA).when(c("o_orderstatus") == "O", snapshots.REQUEST_SCHEMAS[1]).otherwise("other/1")
+    spec = F.struct(F.concat(F.lit("inputs/"), "o_orderkey").alias("path"), ref.alias("ref"), ref.alias("blob"))
+    saved = table(spark, sf_dir, "orders").select("o_orderkey", ref.alias("blob"), schema.alias("schema"), source.alias("inputs_from"), F.create_map(F.concat(F.lit("i"), c("o_orderkey") % 3, F.lit(".json")), spec).alias("inputs"))
+    asked = saved.where(c("schema") == snapshots.RUN_SCHEMA).select(c("o_orderkey").alias("request"), "schema", "inputs_from", "inputs")
+    runs = snapshots.inherited_inputs(asked, saved.drop("o_orderkey")).select("*", F.array(F.lit("inputs")).alias("keys"), F.lit("b").alias("bundle_id"), F.lit("b").alias("wanted_id"), F.sha1(F.lit("s")).alias("source_ref"), F.lit(60).alias("timeout_seconds"), F.lit(None).cast("string").alias("config_json"))
+    judged = contracts.run_request_errors(runs)
+    listed = F.array_join(F.transform(F.map_entries("inputs"), lambda e: F.concat(e.key, F.lit("="), e.value.path)), ",")
+    return judged.select(c("request").alias("o_orderkey"), "error", F.when(c("error").isNull(), listed).alias("inputs"))
+
+
+@query("""
+WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, page_id, html FROM pages)
+SELECT host, CASE WHEN max((octet_length(encode(html)) > 4000)::INT) = 1 THEN 'wheelhouse contains a non-wheel entry' END AS error, CASE WHEN max((octet_length(encode(html)) > 4000)::INT) = 0 THEN count(*) END AS wheel_count,
+       CASE WHEN max((octet_length(encode(html)) > 4000)::INT) = 0 THEN sum(octet_length(encode(html)))::BIGINT END AS wheel_bytes FROM h GROUP BY host UNION ALL SELECT 'nation-' || n_nationkey, 'wheelhouse is empty', NULL, NULL FROM nation""")
+def wheel_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as folders of wheels, long pages being something else; nations as empty folders."""
+    files = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.concat("page_id", F.when(F.octet_length("html") > 4000, ".zip").otherwise(".whl")).alias("name"), F.lit(True).alias("regular"), F.encode("html", "utf-8").alias("content"))
+    folders = files.select("host").distinct().union(table(spark, sf_dir, "nation").select(F.concat(F.lit("nation-"), "n_nationkey")))
+    return identity.wheel_rows(folders, files, "host").select("host", "error", "wheel_count", "wheel_bytes")
+
+
+@query("""
+WITH c AS (SELECT c_custkey, 'bt-' || c_custkey AS id, sha1(c_custkey::VARCHAR) AS ref, c_nationkey AS n, c_acctbal AS b FROM customer)
+SELECT c_custkey, CASE WHEN n = 1 THEN 'missing_repository_object' WHEN n = 2 THEN 'materialized_manifest_identity_mismatch' WHEN b < 0 THEN 'source_origin_unresolved' WHEN n = 3 THEN NULL WHEN n % 2 = 0 AND b > 5000 THEN 'source_origin_identity_mismatch' END AS error,
+       CASE WHEN n NOT IN (1, 2) AND b >= 0 THEN CASE WHEN n = 3 THEN ref WHEN NOT (n % 2 = 0 AND b > 5000) THEN sha1('o' || c_custkey) END END AS origin FROM c""")
+def source_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests whose sources were written by other commits, or the same ones."""
+    c, n = F.col, F.col("c_nationkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", n, "c_acctbal", F.concat(F.lit("bt-"), "c_custkey").alias("bundle_id"), F.sha1("c_name").alias("bundle_blob"), F.sha1(c("c_custkey").cast("string")).alias("source_ref"), F.sha1(F.concat(F.lit("o"), "c_custkey")).alias("before"))
+    here = rows.where(n != 1).select("source_ref", "bundle_id", F.when(n == 2, "x").otherwise(c("bundle_blob")).alias("bundle_blob"), F.sha2("bundle_id", 256).alias("digest"))
+    there = rows.select(c("before").alias("source_ref"), "bundle_id", "bundle_blob", F.when((n % 2 == 0) & (c("c_acctbal") > 5000), "other").otherwise(F.sha2("bundle_id", 256)).alias("digest"))
+    history = rows.where(c("c_acctbal") >= 0).select("source_ref", "bundle_id", F.when(n == 3, c("source_ref")).otherwise(c("before")).alias("origin"))
+    return contracts.source_origins(rows.select("c_custkey", "bundle_id", "bundle_blob", "source_ref"), here.union(there), history).select("c_custkey", "error", "origin")
\ No newline at end of file
