@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataforge.store import filesystem
+
 #: Line ends: ``bytes`` cuts at \\n only, ``universal`` at \\n, \\r\\n and \\r, ``unicode`` also at
 #: vertical tab, form feed, the separators 0x1C to 0x1E, NEL and the two Unicode separators.
 SPLITS = {
@@ -127,13 +135,47 @@ def lock_verdicts(locks: DataFrame) -> DataFrame:
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content, error) of the files in a folder: exact bytes, or what is wrong with the name."""
+    """(name, content, error) of what lies in a folder: exact bytes, or what is wrong with an entry; a row without a name where the folder can't be listed.
+
+    The driver lists names; tasks read the files, each by itself, so that one that can't be read is a row and no failure of
+    the job. A folder that isn't there has no rows.
+    """
     from strataforge.operators.contracts import collected_name_error
 
-    files = spark.read.format("binaryFile").load(path)
-    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
-    error = collected_name_error(name)
-    return files.select(name.alias("name"), F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+    system, folder = filesystem(spark, path)
+    entries, kinds = [], "name string, uri string, regular boolean, size long, changed long"
+    try:
+        found = system.listStatus(folder) if system.exists(folder) and system.getFileStatus(folder).isDirectory() else None
+        if found is None and system.exists(folder):
+            return _unreadable(spark)
+        for f in found or []:
+            entries.append((f.getPath().getName(), f.getPath().toString(), f.isFile() and not f.isSymlink(), f.getLen(), f.getModificationTime()))
+    except Py4JJavaError:  # no permission, or it went meanwhile
+        return _unreadable(spark)
+    listed = spark.createDataFrame(sorted(entries), kinds)
+    named = listed.withColumn("error", F.coalesce(collected_name_error(F.col("name")), F.when(~F.col("regular"), "not_regular_file")))
+    return named.mapInArrow(_read_entries, "name string, content binary, error string")
+
+
+def _unreadable(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(None, None, "output_directory_unreadable")], "name string, content binary, error string")
+
+
+def _read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Listed files to their bytes: a file at a time, so that a task holds one."""
+    for batch in batches:
+        for entry in batch.to_pylist():
+            content, error = None, entry["error"]
+            if error is None:
+                try:
+                    store, path = fs.FileSystem.from_uri(quote(entry["uri"], safe=":/"))
+                    with store.open_input_file(path) as file:
+                        content = file.read()
+                    if len(content) != entry["size"] or int(store.get_file_info(path).mtime_ns // 1_000_000) != entry["changed"]:
+                        content, error = None, "changed_during_collection"
+                except OSError:
+                    error = "read_failed"
+            yield pa.RecordBatch.from_arrays([pa.array([entry["name"]]), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["name", "content", "error"])
 
 
 def paged(pages: DataFrame, by: str, page: str, items: str, full: int = 100) -> DataFrame:
