@@ -6,10 +6,16 @@ names in ``spark.checkpoint.dir``; executors may be lost at any time without los
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 import tempfile
 import threading
 import uuid
+import zlib
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,6 +155,55 @@ def identified(docs: DataFrame, *columns: str, scan: bool = False) -> DataFrame:
     )
 
 
+#: Rows of a file that one bitmap covers.
+BITMAP_ROWS = 1 << 22
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of the file scan ``docs`` whose identity is in ``kept``, without moving them.
+
+    The decisions travel instead: a bit per row in a bitmap for every ``BITMAP_ROWS`` rows of a file, written to the shared
+    folder. A scan's task reads the bitmaps of the stretches that it scans; what is broadcast is their names.
+    """
+    spark = docs.sparkSession
+    folder, columns = fresh_dir(spark, "bitmaps"), docs.columns
+    plain = [f"{P}c{k}" for k in range(len(columns))]  # under names that hold no dots
+    chunk, place = F.expr(f"{RID[1]} div {BITMAP_ROWS}").alias(f"{P}chunk"), F.expr(f"cast({RID[1]} % {BITMAP_ROWS} as int)").alias(f"{P}at")
+
+    def write(table: pa.Table) -> pa.Table:
+        bits = np.zeros(BITMAP_ROWS, bool)
+        bits[table[f"{P}at"].to_numpy()] = True
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.bits"  # a repeated attempt writes a file of its own
+        with store.open_output_stream(f"{root}/{name}") as file:
+            file.write(zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1))
+        return table.select([RID[0], f"{P}chunk"]).slice(0, 1).append_column(f"{P}uri", pa.array([f"{folder}/{name}"]))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=8)
+        def bitmap(uri: str) -> np.ndarray:
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_input_file(path) as file:
+                return np.unpackbits(np.frombuffer(zlib.decompress(file.read()), np.uint8), bitorder="little").view(bool)
+
+        for batch in batches:
+            names, at = batch.column(len(columns) + 1).dictionary_encode(), batch.column(len(columns)).to_numpy()
+            which, stays = names.indices.to_numpy(), np.zeros(len(batch), bool)
+            for k, uri in enumerate(names.dictionary.to_pylist()):
+                here = np.flatnonzero(which == k)
+                stays[here] = bitmap(uri)[at[here]]
+            yield batch.select(plain).filter(pa.array(stays))
+
+    made = kept.select(RID[0], chunk, place).groupBy(RID[0], f"{P}chunk").applyInArrow(write, f"{RID[0]} long, {P}chunk long, {P}uri string")
+    uris = materialize(made, "bitmaps")
+    written(folder)
+    known = docs.select(*(F.col(quoted(c)) for c in columns), F.xxhash64(F.col("_metadata.file_path")).alias(RID[0]), F.col("_metadata.row_index").alias(RID[1]))
+    met = known.select("*", chunk, place).join(F.broadcast(uris), [RID[0], f"{P}chunk"])  # a name for every BITMAP_ROWS rows
+    rows = met.select(*(F.col(quoted(c)).alias(n) for c, n in zip(columns, plain, strict=True)), f"{P}at", f"{P}uri")
+    return rows.mapInArrow(keep, rows.select(*plain).schema).toDF(*columns)
+
+
 def range_positions(df: DataFrame, order: list[Column | str], kind: str) -> DataFrame:
     """``df`` sorted by ``order`` over range partitions, with its global position ``_sf_pos``.
 

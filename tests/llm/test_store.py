@@ -3,6 +3,7 @@
 import os
 
 from pyspark.sql import functions as F
+import pytest
 
 from strataforge.llm.store import RID, P, identified, is_scan, materialize, range_positions, shared_dir
 
@@ -38,3 +39,20 @@ def test_release(spark, awkward):
     assert os.path.exists(path) and spark.catalog.listTables(pattern=f"{TABLES}*")
     release(spark)
     assert not os.path.exists(path) and not spark.catalog.listTables(pattern=f"{TABLES}*")
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1 << 22])
+def test_rows_are_kept_where_they_are(spark, tmp_path, monkeypatch, rows):
+    from strataforge.llm import store
+
+    monkeypatch.setattr(store, "BITMAP_ROWS", rows)
+    table = spark.range(60).selectExpr("id", "cast(id as string) as `a.b`", "if(id % 7 = 0, null, id) as kept", "array(id) as list")
+    table.repartition(3).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    known = store.identified(docs.select("id", "_metadata"), "id", scan=True)
+    found = store.kept_rows(docs, known.where("id % 3 = 1 or id > 50").select(*store.RID))
+    assert found.columns == docs.columns and found.dtypes == docs.dtypes
+    got = sorted(found.collect())
+    assert got == sorted(docs.where("id % 3 = 1 or id > 50").collect())
+    assert store.kept_rows(docs, known.where("false").select(*store.RID)).count() == 0
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
