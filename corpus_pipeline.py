@@ -15,7 +15,7 @@ from strataforge.llm.exact_dedup import exact_dedup
 from strataforge.llm.jaccard import jaccard_components
 from strataforge.llm.packing import TOKENIZER, pack
 from strataforge.llm.quality import fit_quality, quality_scores, quality_statistics
-from strataforge.llm.store import RID, P, drop_since, is_scan, mark, materialize, quoted
+from strataforge.llm.store import RID, P, drop_since, is_scan, kept_rows, mark, materialize, quoted
 from strataforge.llm.substrings import RESULT, substring_dedup
 
 
@@ -23,13 +23,6 @@ def _scanned(docs: DataFrame) -> DataFrame:
     return docs if is_scan(docs) else materialize(docs, "docs")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of the file scan ``docs`` whose identity is in ``kept``."""
-    known = docs.select(*(F.col(quoted(c)) for c in docs.columns), F.xxhash64(F.col("_metadata.file_path")).alias(RID[0]), F.col("_metadata.row_index").alias(RID[1]))
-    # a merge join at every size: whether the identities can be broadcast isn't left to chance
-    return known.join(materialize(kept.select(*RID), "kept").hint("merge"), RID, "left_semi").drop(*RID)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score, learned from the labels of the training folds, is 0.5 or more.
 
@@ -39,13 +32,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = _scanned(docs)
     statistics = quality_statistics(docs)
     scores = quality_scores(statistics, fit_quality(statistics, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _only(docs, scores.where("score >= 0.5"))
+    return kept_rows(docs, scores.where("score >= 0.5"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (a null one counts as empty), the row with the largest doc_id; a null doc_id loses, the last row of equals stays."""
     docs = _scanned(docs)
-    return _only(docs, exact_dedup(docs).where("kept"))
+    return kept_rows(docs, exact_dedup(docs).where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +50,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(jaccard_components(docs, 5, 80), "near")
     grouped = found.where("component_size > 1")
     first = grouped.groupBy(f"{P}class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), *RID)).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in RID))
-    return _only(docs, found.where("component_size = 1").select(*RID).union(first))
+    return kept_rows(docs, found.where("component_size = 1").select(*RID).union(first))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
