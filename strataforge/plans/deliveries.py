@@ -79,28 +79,48 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("l.line").alias("line"), F.octet_length("l.raw").cast("long").alias("n_bytes"), F.col("l.terminated").alias("terminated"))
 
 
-@query("""
-SELECT o_orderkey, CASE o_orderkey % 17 WHEN 0 THEN 'invalid_bundle_json' WHEN 1 THEN 'bundle_identity_mismatch' WHEN 2 THEN 'successor_ambiguous_source_fields' WHEN 3 THEN 'invalid_base_source_ref' WHEN 4 THEN 'invalid_changed_files'
-       WHEN 5 THEN 'invalid_delete_files' WHEN 6 THEN 'successor_no_requested_changes' WHEN 7 THEN 'invalid_changed_source_entry' WHEN 8 THEN 'invalid_delete_source_entry' WHEN 9 THEN 'successor_change_delete_overlap'
-       WHEN 10 THEN 'cannot_delete_run_task' WHEN 11 THEN 'invalid_inputs' WHEN 12 THEN CASE WHEN o_orderstatus = 'F' THEN 'source_hash_mismatch' END WHEN 13 THEN 'invalid_source_manifest' WHEN 14 THEN 'invalid_timeout' END AS error,
-       CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 17 IN (12, 13) THEN 'private-task-bundle/2' WHEN o_orderkey % 17 = 16 THEN 'private-task-bundle/3' ELSE 'private-task-bundle/4' END AS schema FROM orders""")
+_PARTS = {  # of one document in so many: what stands after its head
+    "4": ["}", ',"files":{}}', ',"changed_files":[]}', ',"changed_files":{"m.py":"x"},"delete_files":["a","a"]}', ',"delete_files":[1,2]}', ',"delete_files":[1,1.0]}', ',"delete_files":["old.py",null]}', ',"changed_files":{"../m.py":"x"}}', ',"changed_files":{"m.py":7}}', ',"changed_files":{"m.py":"x"},"delete_files":["BUNDLE_SOURCE.json"]}',
+          ',"changed_files":{"m.py":"x"},"delete_files":["m.py"]}', ',"delete_files":["run_task.py"]}', ',"changed_files":{"m.py":"x"},"inputs":[]}', ',"changed_files":{"m.py":"x"},"timeout_seconds":30.0}', ',"changed_files":{"m.py":"x"},"timeout_seconds":29}', ',"changed_files":{"m.py":"x"},"delete_files":["old.py"],"timeout_seconds":1800}', ',"changed_files":{"m.py":"x"},"inputs":{"m.py":{"path":"inputs/a"}}}', ',"changed_files":{"m.py":"x"}'],
+    "2": [',"files":{"run_task.py":"$P"}}', ',"files":{"m.py":"$P"}}', ',"files":{}}', ',"files":{"run_task.py":"x","a/b":"y"}}', ',"files":{"run_task.py":1}}', ',"files":{"run_task.py":"$P"},"sha256":{"run_task.py":"$H"}}', ',"files":{"run_task.py":"$P"},"sha256":{}}'],
+}
+_LIST = lambda parts: "[" + ", ".join("'" + x + "'" for x in parts) + "]"
+_NAME = "regexp_full_match({0}, '[A-Za-z0-9][A-Za-z0-9_.\\-]{{0,95}}') AND {0} <> 'BUNDLE_SOURCE.json'"
+
+
+@query(f"""
+WITH k AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN '2' WHEN 'O' THEN '4' ELSE '3' END AS tag, {_LIST(_PARTS["2"])} AS whole, {_LIST(_PARTS["4"])} AS parts FROM orders),
+     r AS (SELECT o_orderkey, 'bt-' || o_orderkey AS id, CASE WHEN o_totalprice > 400000 THEN '{{"schema":"private-task-bundle/9","bundle_id":"bt-' || o_orderkey || '"' ELSE '{{"schema":"private-task-bundle/' || tag || '","bundle_id":"bt-' || CASE WHEN o_totalprice < 5000 THEN o_orderkey + 1 ELSE o_orderkey END || '"' END
+               || CASE WHEN tag = '4' THEN ',"base_source_ref":"' || CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0 THEN 'abc' ELSE sha1(o_orderpriority) END || '"' || parts[o_orderkey % len(parts) + 1]
+                       ELSE replace(replace(whole[o_orderkey % len(whole) + 1], '$P', o_orderpriority), '$H', sha256(CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END)) END AS raw FROM k),
+     v AS (SELECT o_orderkey, id, json_valid(raw) AS ok, CASE WHEN json_valid(raw) THEN raw::JSON END AS d FROM r),
+     t AS (SELECT *, d->>'$.schema' AS schema, json_type(d, '$.changed_files') AS kc, json_type(d, '$.delete_files') AS kd, json_type(d, '$.files') AS kf, json_type(d, '$.sha256') AS kh, json_type(d, '$.inputs') AS ki, json_type(d, '$.timeout_seconds') AS kt FROM v),
+     n AS (SELECT *, CASE WHEN kc = 'OBJECT' THEN json_keys(d, '$.changed_files') ELSE [] END AS cs, CASE WHEN kd = 'ARRAY' THEN list_transform((d->'$.delete_files')::JSON[], lambda x: CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (x::DOUBLE)::VARCHAR ELSE coalesce(x::VARCHAR, 'null') END) ELSE [] END AS ds,
+                  CASE WHEN kf = 'OBJECT' THEN json_keys(d, '$.files') ELSE [] END AS fs, CASE WHEN kh = 'OBJECT' THEN json_keys(d, '$.sha256') ELSE [] END AS hs, CASE WHEN ki = 'OBJECT' THEN json_keys(d, '$.inputs') ELSE [] END AS ins FROM t),
+     b AS (SELECT *, list_filter(list_transform(ds, lambda x: CASE WHEN starts_with(x, '"') THEN x[2:-2] END), lambda x: x IS NOT NULL) AS names,
+                  len(list_filter(cs, lambda x: NOT ({_NAME.format("x")}) OR json_type(d->'$.changed_files'->x) <> 'VARCHAR')) > 0 AS bad_c, len(list_filter(fs, lambda x: NOT ({_NAME.format("x")}) OR json_type(d->'$.files'->x) <> 'VARCHAR')) > 0 AS bad_f,
+                  len(list_filter(fs, lambda x: sha256(d->'$.files'->>x) IS DISTINCT FROM (d->'$.sha256'->>x))) > 0 AS bad_h FROM n),
+     e AS (SELECT *, CASE WHEN kf IS NOT NULL OR kh IS NOT NULL THEN 'successor_ambiguous_source_fields' WHEN NOT regexp_full_match(d->>'$.base_source_ref', '[0-9a-f]{{40}}') THEN 'invalid_base_source_ref' WHEN kc <> 'OBJECT' THEN 'invalid_changed_files'
+                  WHEN kd IS NOT NULL AND (kd <> 'ARRAY' OR len(list_distinct(ds)) <> len(ds)) THEN 'invalid_delete_files' WHEN len(cs) = 0 AND len(ds) = 0 THEN 'successor_no_requested_changes' WHEN bad_c THEN 'invalid_changed_source_entry'
+                  WHEN len(names) < len(ds) OR len(list_filter(names, lambda x: NOT ({_NAME.format("x")}))) > 0 THEN 'invalid_delete_source_entry' WHEN list_has_any(cs, names) THEN 'successor_change_delete_overlap' WHEN list_contains(names, 'run_task.py') THEN 'cannot_delete_run_task' END AS succ,
+                  CASE WHEN kf IS DISTINCT FROM 'OBJECT' OR len(fs) = 0 THEN 'invalid_source_files' WHEN NOT list_contains(fs, 'run_task.py') THEN 'invalid_source_manifest' WHEN (ends_with(schema, '/2') OR kh IS NOT NULL) AND (kh IS DISTINCT FROM 'OBJECT' OR NOT (list_has_all(fs, hs) AND list_has_all(hs, fs))) THEN 'invalid_source_manifest'
+                  WHEN bad_f THEN 'invalid_source_entry' WHEN (ends_with(schema, '/2') OR kh IS NOT NULL) AND bad_h THEN 'source_hash_mismatch' END AS own FROM b)
+SELECT o_orderkey, CASE WHEN NOT ok THEN 'invalid_bundle_json' WHEN schema NOT IN ('private-task-bundle/2', 'private-task-bundle/3', 'private-task-bundle/4') OR d->>'$.bundle_id' <> id THEN 'bundle_identity_mismatch'
+       ELSE coalesce(CASE WHEN ends_with(schema, '/4') THEN succ ELSE own END, CASE WHEN ki <> 'OBJECT' THEN 'invalid_inputs' WHEN list_has_any(ins, cs) THEN 'invalid_input_entry' WHEN kt IS NOT NULL AND (kt NOT IN ('UBIGINT', 'BIGINT') OR (d->>'$.timeout_seconds')::DOUBLE NOT BETWEEN 30 AND 1800) THEN 'invalid_timeout' END) END AS error, schema FROM e""")
 def bundle_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as bundle documents, each judged from its text."""
-    k, name = F.col("o_orderkey"), F.concat(F.lit("bt-"), F.col("o_orderkey"))
-    ref = F.sha1(F.col("o_orderpriority"))
-    opened = lambda tag: F.concat(F.lit('{"schema":"private-task-bundle/'), F.lit(tag), F.lit('","bundle_id":"'), name, F.lit('"'))
-    successor = F.concat(opened("4"), F.lit(',"base_source_ref":"'), ref, F.lit('"'))
-    more = lambda *parts: F.concat(successor, *(p if isinstance(p, Column) else F.lit(p) for p in parts))
-    edit = ',"changed_files":{"m.py":"x"}'
-    source = F.concat(F.lit(',"files":{"run_task.py":"'), "o_orderpriority", F.lit('"}'))
-    hashed = lambda value: F.concat(opened("2"), source, F.lit(',"sha256":{"run_task.py":"'), F.sha2(value, 256), F.lit('"}}'))
-    raw = _pick(
-        k, "{", F.lit('{"schema":"private-task-bundle/4","bundle_id":"bt-other"}'), more(edit, ',"files":{}}'), F.concat(opened("4"), F.lit(',"base_source_ref":"abc"}')), more(',"changed_files":[]}'), more(edit, ',"delete_files":["a","a"]}'), more("}"),
-        more(',"changed_files":{"../m.py":"x"}}'), more(edit, ',"delete_files":["BUNDLE_SOURCE.json"]}'), more(edit, ',"delete_files":["m.py"]}'), more(',"delete_files":["run_task.py"]}'), more(edit, ',"inputs":[]}'),
-        hashed(F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).otherwise(F.col("o_orderpriority"))), F.concat(opened("2"), source, F.lit("}")), more(edit, ',"timeout_seconds":30.0}'),
-        more(edit, ',"delete_files":["old.py"],"timeout_seconds":30,"inputs":{"a.json":{"path":"inputs/a","ref":"', ref, '","blob":"', ref, '"}}}'), F.concat(opened("3"), source, F.lit("}")),
-    )
-    return contracts.bundle_verdicts(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), name.alias("bundle_id"))).select("o_orderkey", "error", "schema")
+    """Orders as bundle documents, each judged from its text; the SQL reads the same texts."""
+    c, k = F.col, F.col("o_orderkey")
+    name, price = F.concat(F.lit("bt-"), k), F.col("o_totalprice")
+    tag = F.when(c("o_orderstatus") == "F", "2").when(c("o_orderstatus") == "O", "4").otherwise("3")
+    head = F.when(price > 400000, F.concat(F.lit('{"schema":"private-task-bundle/9","bundle_id":"'), name, F.lit('"'))).otherwise(
+        F.concat(F.lit('{"schema":"private-task-bundle/'), tag, F.lit('","bundle_id":"bt-'), F.when(price < 5000, k + 1).otherwise(k), F.lit('"'))
+    )
+    ref = F.when((c("o_orderpriority") == "1-URGENT") & (k % 2 == 0), "abc").otherwise(F.sha1("o_orderpriority"))
+    digest = F.sha2(F.when(c("o_custkey") % 2 == 0, c("o_orderpriority")).otherwise(c("o_orderstatus")), 256)
+    whole = F.replace(F.replace(_pick(k, *_PARTS["2"]), F.lit("$P"), c("o_orderpriority")), F.lit("$H"), digest)
+    tail = F.when(tag == "4", F.concat(F.lit(',"base_source_ref":"'), ref, F.lit('"'), _pick(k, *_PARTS["4"]))).otherwise(whole)
+    bundles = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(head, tail).alias("raw"), name.alias("bundle_id"))
+    return contracts.bundle_verdicts(bundles).select("o_orderkey", "error", "schema")
 
 
 @query("""
