@@ -155,16 +155,31 @@ def identified(docs: DataFrame, *columns: str, scan: bool = False) -> DataFrame:
     )
 
 
-#: Rows of a file that one bitmap covers.
-BITMAP_ROWS = 1 << 22
+#: Bytes of bitmaps that are broadcast at most; beyond, rows of a file that one written bitmap covers.
+BITMAP_BYTES, BITMAP_ROWS = 64 << 20, 1 << 22
 
 
 def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of the file scan ``docs`` whose identity is in ``kept``, without moving them.
+    """The rows of the file scan ``docs`` whose identity is in ``kept``, without moving them: the decisions travel, a bit per row.
 
-    The decisions travel instead: a bit per row in a bitmap for every ``BITMAP_ROWS`` rows of a file, written to the shared
-    folder. A scan's task reads the bitmaps of the stretches that it scans; what is broadcast is their names.
+    Bitmaps of up to ``BITMAP_BYTES`` (half a billion rows) are broadcast to the scan, which never leaves the JVM; more of them
+    are written to the shared folder and read by the tasks that scan their rows.
     """
+    number = F.col(RID[1]) + 1
+    bits = kept.select(RID[0], F.bitmap_bucket_number(number).alias(f"{P}chunk"), F.bitmap_bit_position(number).alias("p")).groupBy(RID[0], f"{P}chunk").agg(F.bitmap_construct_agg("p").alias(f"{P}bits"))
+    bits = materialize(bits, "bits")
+    if bits.count() * 4096 > BITMAP_BYTES:  # the size of one
+        return _kept_by_files(docs, kept)
+    known = docs.select(*(F.col(quoted(c)) for c in docs.columns), F.xxhash64(F.col("_metadata.file_path")).alias(RID[0]), F.col("_metadata.row_index").alias(RID[1]))
+    at = F.bitmap_bit_position(number).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(f"{P}bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = F.broadcast(bits.withColumnRenamed(RID[0], f"{P}name"))
+    is_set = F.call_function("getbit", byte, at % 8) == 1
+    return known.join(here, (F.col(RID[0]) == F.col(f"{P}name")) & (F.bitmap_bucket_number(number) == F.col(f"{P}chunk")) & is_set, "left_semi").drop(*RID)
+
+
+def _kept_by_files(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """``kept_rows`` with a written bitmap for every ``BITMAP_ROWS`` rows of a file; what is broadcast is their names."""
     spark = docs.sparkSession
     folder, columns = fresh_dir(spark, "bitmaps"), docs.columns
     plain = [f"{P}c{k}" for k in range(len(columns))]  # under names that hold no dots

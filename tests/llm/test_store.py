@@ -41,10 +41,11 @@ def test_release(spark, awkward):
     assert not os.path.exists(path) and not spark.catalog.listTables(pattern=f"{TABLES}*")
 
 
-@pytest.mark.parametrize("rows", [1, 7, 1 << 22])
-def test_rows_are_kept_where_they_are(spark, tmp_path, monkeypatch, rows):
+@pytest.mark.parametrize(("size", "rows"), [(1 << 26, 1), (0, 1), (0, 7), (0, 1 << 22)])
+def test_rows_are_kept_where_they_are(spark, tmp_path, monkeypatch, size, rows):
     from strataforge.llm import store
 
+    monkeypatch.setattr(store, "BITMAP_BYTES", size)
     monkeypatch.setattr(store, "BITMAP_ROWS", rows)
     table = spark.range(60).selectExpr("id", "cast(id as string) as `a.b`", "if(id % 7 = 0, null, id) as kept", "array(id) as list")
     table.repartition(3).write.parquet(f"{tmp_path}/t")
@@ -55,4 +56,10 @@ def test_rows_are_kept_where_they_are(spark, tmp_path, monkeypatch, rows):
     got = sorted(found.collect())
     assert got == sorted(docs.where("id % 3 = 1 or id > 50").collect())
     assert store.kept_rows(docs, known.where("false").select(*store.RID)).count() == 0
+    many = spark.range(100_000).select("id", F.lit("x").alias("text"))
+    many.coalesce(1).write.parquet(f"{tmp_path}/many")
+    docs = spark.read.parquet(f"{tmp_path}/many")
+    chosen = store.identified(docs.select("id", "_metadata"), "id", scan=True).where("id % 1009 in (0, 7, 8) or id between 32766 and 32770")
+    if rows != 1 or size:
+        assert {r.id for r in store.kept_rows(docs, chosen.select(*store.RID)).collect()} == {k for k in range(100_000) if k % 1009 in (0, 7, 8) or 32766 <= k <= 32770}
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
