@@ -103,8 +103,8 @@ def live_summaries(rows: DataFrame, *, silence_seconds: float | None = None, exp
     """A stream of ``progress_summary``'s rows for the logs in a stream of parsed lines (file, line, terminated, fields, error).
 
     Each batch gives a row for each log that got lines in it (``seen`` is its last line). After ``silence_seconds`` without
-    lines a log's row comes once more, marked ``silent``; a log is forgotten ``expire_seconds`` after its last change. The session needs
-    ``STATE_STORE``.
+    lines a log's row comes once more, marked ``silent``; a log is forgotten ``expire_seconds`` after its last change. Both need a processing-time trigger: a stream that waits for
+    timers never ends by itself, so an available-now trigger would run on. The session needs ``STATE_STORE``.
     """
     columns = ["file", "line", "terminated", "processed", "total", "elapsed_seconds", "last_id", "item_seconds", "phase", "error"]
     parsed = rows.select(*columns).withColumn("file", F.col("file").cast("string"))
