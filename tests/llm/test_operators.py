@@ -304,11 +304,17 @@ def test_an_id_does_not_depend_on_its_neighbours(spark):
 
 
 def test_archives_are_read_in_parts(spark, tmp_path):
-    rnd = np.random.default_rng(8)
-    pages = spark.createDataFrame([(k, f"http://a/{k}", rnd.bytes(200_000).hex()) for k in range(60)], "page_id long, url string, html string").repartition(2)
-    records = read_records(write_archives(pages, f"file://{tmp_path}/warc"))
-    used = records.select(F.spark_partition_id().alias("p"), "page_id").groupBy("p").count().collect()
-    assert len(used) > 2 and sum(r["count"] for r in used) == 60
+    # archives have random names, so stretches are dealt by chance: of enough of them some land in three tasks
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        html = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda x: F.sha2(F.concat_ws("-", "id", x), 256)))
+        pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), html.alias("html")).repartition(2)
+        records = read_records(write_archives(pages, f"file://{tmp_path}/warc"))
+        used = records.select(F.spark_partition_id().alias("p"), "page_id").groupBy("p").count().collect()
+        assert len(used) > 2 and sum(r["count"] for r in used) == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_blocks_are_bounded_by_bytes_and_rows(spark):
