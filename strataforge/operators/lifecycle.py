@@ -24,13 +24,35 @@ def completed(stage: Column, exit_code: Column, timed_out: Column, output_limit_
     return F.coalesce(sure, F.lit(False)) & no(timed_out) & no(output_limit_exceeded) & none(metadata_errors) & none(collection_errors)
 
 
+#: Rows of a key's slice: two slices that meet make the square of it in pairs.
+SLICE = 2048
+
+
 def identity_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of both sides that agree in every identity column, nulls equal to nulls."""
-    a, b = left.alias("a"), right.alias("b")
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return a.join(b, condition).select("a.*", *(F.col(f"b.{c}") for c in right.columns if c not in on))
+    """Rows of both sides that agree in every identity column, nulls equal to nulls.
+
+    A key with many rows is cut into slices on both sides, and each two slices that meet are a tile of their own: tasks get
+    tiles, not keys, and their number grows with the pairs. One small job counts the tiles.
+    """
+    spark = left.sparkSession
+    kinds = dict(left.select(*on).union(right.select(*on)).dtypes)
+    key = F.struct(*(F.col(c).cast(kinds[c]).alias(c) for c in on)).alias("_key")  # one value, never null, so that nulls meet nulls
+    counted = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(key, F.lit(0), F.lit(1)))
+    slices = lambda n: F.ceil(F.sum(n) / SLICE).cast("int")
+    keys = counted.groupBy("_key").agg(slices("l").alias("_a"), slices("r").alias("_b"))
+    tiles = keys.agg(F.sum(F.col("_a").cast("long") * F.col("_b"))).first()[0] or 0
+    large = F.broadcast(keys.where("_a > 1 or _b > 1"))  # a row in SLICE at most
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tiles // 8)
+
+    def tiled(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """A row's own slice follows from the row; it goes to each slice of the other side."""
+        cut = rows.withColumns({"_key": key, "_own": F.xxhash64(*rows.columns)}).join(large.select("_key", own, other), "_key", "left")
+        cut = cut.withColumns({own: F.coalesce(F.pmod("_own", own), F.lit(0)), other: F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(other, F.lit(1)), F.lit(1)) - 1))})
+        # a given number of partitions isn't coalesced by their bytes, which say nothing of the pairs
+        return cut.select(F.struct("_key", F.col("_a").cast("long").alias("a"), F.col("_b").cast("long").alias("b")).alias("_tile"), *rows.columns).repartition(n, "_tile")
+
+    rest = [c for c in right.columns if c not in on]
+    return tiled(left, "_a", "_b").join(tiled(right, "_b", "_a").select("_tile", *rest), "_tile").select(*left.columns, *rest)
 
 
 def outside_delivery(changes: DataFrame, delivered: DataFrame, path: str) -> DataFrame:
