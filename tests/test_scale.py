@@ -1,8 +1,14 @@
 """Steps whose work must not gather in one task or one value."""
 
+import random
+from statistics import median
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+import pytest
 
 from strataforge.operators import lifecycle
+from strataforge.streaming.logs import LiveLog
 
 
 def test_pairs_of_a_large_key_are_dealt_out(spark):
@@ -12,3 +18,50 @@ def test_pairs_of_a_large_key_are_dealt_out(spark):
     per = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per) == 8100 * 2700 + 900 * 300 and max(per) < sum(per) * 0.7
     assert pairs.where("(a % 10 = 0) <> (b % 10 = 0)").isEmpty() and pairs.where("a < 40").distinct().count() == 4 * 300 + 36 * 2700
+
+
+class States:
+    """States of one log in memory, with the number of calls for them."""
+
+    def __init__(self):
+        self.calls, self.value, self.parts = 0, None, {}
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.parts
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.parts[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls, self.parts[key] = self.calls + 1, value
+
+
+@pytest.mark.parametrize("expire", [None, 60.0])
+def test_a_live_log_calls_for_its_state_by_parts(expire):
+    states, log, times = States(), LiveLog(None, expire), [random.Random(7).choice((k % 500, k, -k)) / 7 for k in range(12_000)]
+    random.Random(5).shuffle(times)
+    log.init(states)
+    for end in (1, 3000, 3001, 12_000):
+        start, before = {1: 0, 3000: 1, 3001: 3000, 12_000: 3001}[end], states.calls
+        rows = [Row(file="f", line=k, terminated=True, processed=k, total=None, elapsed_seconds=float(k), last_id=str(k), item_seconds=times[k], phase="p", error=None) for k in range(start, end)]
+        (got,) = log.handleInputRows(("f",), iter(rows[::-1]), None)
+        assert got.records == got.timed_items == end and got.median_item_seconds == median(times[:end]) and got.slowest_item_seconds == max(times[:end])
+        assert states.calls - before < 60
