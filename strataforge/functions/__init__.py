@@ -1,5 +1,6 @@
 """Column functions: identities, paths, typed JSON values."""
 
+from collections.abc import Callable
 import json
 
 import pandas as pd
@@ -42,6 +43,11 @@ def blob_id_of_bytes(raw: Column) -> Column:
     return F.sha1(F.concat(head, F.unhex(F.lit("00")), raw))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value being computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decoded_base64(content: Column) -> Column:
     """The bytes of base64 text, or null where it isn't base64.
 
@@ -49,7 +55,6 @@ def decoded_base64(content: Column) -> Column:
     four (two or three letters and one or two signs in a row), and is skipped elsewhere; without such an end the letters
     must be whole groups.
     """
-    parts = F.split(F.regexp_replace(content, r"[^A-Za-z0-9+/=]", ""), "=", -1)
 
     def sign(state: Column, letters: Column) -> Column:
         held = F.concat(state.held, letters)
@@ -57,11 +62,22 @@ def decoded_base64(content: Column) -> Column:
         ends = (F.length(held) % 4 >= 2) & (F.length(held) % 4 + row >= 4)
         return F.when(state.ended, state).otherwise(F.struct(held.alias("held"), row.alias("row"), ends.alias("ended")))
 
-    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("row"), F.lit(False).alias("ended"))
-    last = F.element_at(parts, -1)
-    text = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, sign, lambda s: F.when(s.ended, s.held).when(F.length(F.concat(s.held, last)) % 4 == 0, F.concat(s.held, last)))
-    ascii = F.octet_length(content) == F.regexp_count(content, F.lit(r"[\x00-\x7f]"))
-    return F.try_to_binary(F.rpad(F.when(ascii, text), (F.ceil(F.length(text) / 4) * 4).cast("int"), "="), F.lit("base64"))
+    def split(clean: Column) -> Column:
+        """Letters of a text with signs among them."""
+        parts = F.split(clean, "=", -1)
+        last = F.element_at(parts, -1)
+        start = F.struct(F.lit("").alias("held"), F.lit(0).alias("row"), F.lit(False).alias("ended"))
+        return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, sign, lambda s: F.when(s.ended, s.held).when(F.length(F.concat(s.held, last)) % 4 == 0, F.concat(s.held, last)))
+
+    def letters(clean: Column) -> Column:
+        body = F.rtrim(clean, F.lit("="))
+        over = F.length(body) % 4
+        whole = (over == 0) | ((over >= 2) & (over + F.length(clean) - F.length(body) >= 4))
+        return F.when(body.contains("="), split(clean)).when(whole, body)
+
+    ascii = ~F.regexp_like(content, F.lit(r"[^\x00-\x7f]"))
+    text = _once(F.when(ascii, F.regexp_replace(content, r"[^A-Za-z0-9+/=]+", "")), letters)
+    return _once(text, lambda t: F.unbase64(F.rpad(t, (F.ceil(F.length(t) / 4) * 4).cast("int"), "=")))
 
 
 def encoded_base64(raw: Column) -> Column:

@@ -277,13 +277,13 @@ def collected_name_error(name: Column) -> Column:
 
 def decoded_files(items: DataFrame, limit: int | None = None) -> DataFrame:
     """Stored files (type, encoding, content in base64, sha) with ``raw`` bytes, or what is wrong with them."""
-    raw = decoded_base64(F.col("content"))
+    items, raw = items.withColumn("_raw", decoded_base64(F.col("content"))), F.col("_raw")  # a column of its own: decoded once
     large = F.octet_length(raw) > limit if limit is not None else F.lit(False)
     error = (
         F.when(~F.coalesce((F.col("type") == "file") & (F.col("encoding") == "base64") & raw.isNotNull(), F.lit(False)), "expected_base64_file").when(large, "file_too_large")
         .when(~blob_id_of_bytes(raw).eqNullSafe(F.col("sha")), "blob_identity_mismatch")
     )
-    return items.withColumn("error", error).withColumn("raw", F.when(F.col("error").isNull(), raw))
+    return items.withColumn("error", error).withColumn("raw", F.when(F.col("error").isNull(), raw)).drop("_raw")
 
 
 def over_total(files: DataFrame, by: str, size: Column, limit: int) -> DataFrame:

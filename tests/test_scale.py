@@ -1,5 +1,6 @@
 """Steps whose work must not gather in one task or one value."""
 
+import base64
 import random
 from statistics import median
 
@@ -7,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 import pytest
 
-from strataforge.operators import lifecycle
+from strataforge.operators import contracts, lifecycle
 from strataforge.streaming.logs import LiveLog
 
 
@@ -65,3 +66,12 @@ def test_a_live_log_calls_for_its_state_by_parts(expire):
         (got,) = log.handleInputRows(("f",), iter(rows[::-1]), None)
         assert got.records == got.timed_items == end and got.median_item_seconds == median(times[:end]) and got.slowest_item_seconds == max(times[:end])
         assert states.calls - before < 60
+
+
+def test_stored_files_are_decoded_once(spark):
+    raw = random.Random(3).randbytes(300_000)
+    text = base64.encodebytes(raw).decode()
+    rows = spark.createDataFrame([("file", "base64", t, None) for t in (text, text.replace("=", "") + "=-=", text + "é", "=" + text)], "type string, encoding string, content string, sha string")
+    found = contracts.decoded_files(rows.withColumn("sha", contracts.blob_id_of_bytes(F.lit(raw)))).select("error", "raw")
+    assert [(r.error, r.raw and bytes(r.raw)) for r in found.collect()] == [(None, raw), (None, raw), ("expected_base64_file", None), (None, raw)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("unbase64(") == 1
