@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions import blank, blob_id_of_bytes, decoded_base64, field, fullmatch, json_kind, safe_path, starts_with_any, strict_json, stripped
@@ -350,37 +350,66 @@ MATERIALIZED = "transport/tasks/bundle-materialized"
 SOURCE_SCHEMAS = ["bundle-materialized-source/2", "bundle-materialized-source/3"]
 
 
+def _commit_key(commit: Column) -> Column:
+    """A commit in half the bytes, where it is hex: a sign for the form, then its bytes."""
+    return F.when(fullmatch(commit, OBJECT_ID), F.concat(F.unhex(F.lit("01")), F.unhex(commit))).otherwise(F.concat(F.unhex(F.lit("00")), commit.cast("binary")))
+
+
+def _commit_of(key: Column) -> Column:
+    rest = F.substring(key, 2, 2**31 - 1)
+    return F.when(F.substring(key, 1, 1) == F.unhex(F.lit("01")), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def base_sources(changes: DataFrame, declared: DataFrame, manifests: DataFrame | None = None, contents: DataFrame | None = None) -> DataFrame:
     """(commit, bundle_id, error) of commits' changed paths (commit, path): one manifest that is sound, and nothing but what it declares.
 
     ``declared`` holds the manifests' entries (commit, name, sha256), ``manifests`` their heads (commit, schema, bundle_id) and ``contents``
     the files at each commit (commit, path, content in bytes). Without heads (or digests and contents) those checks are left
     out. Entries are judged in the order of their names, each one's form before its content.
+
+    Changes, entries and contents are dealt out by their commit, once, with paths cut at the bundle's folder and digests as bytes; all that follows stays where it is.
     """
-    pattern, c = rf"\A{MATERIALIZED}/(bt-[A-Za-z0-9_.\-]{{1,64}})/BUNDLE_SOURCE[.]json\z", F.col
-    found = F.regexp_extract("path", pattern, 1)
-    ids = changes.select("commit", F.nullif(found, F.lit("")).alias("id")).groupBy("commit").agg(F.count("id").alias("manifests"), F.max("id").alias("bundle_id"))
-    one = ids.where("manifests = 1").select("commit", F.concat(F.lit(f"{MATERIALIZED}/"), "bundle_id", F.lit("/")).alias("folder"))
-    wanted = one.select("commit", F.concat("folder", F.lit(SOURCE_MANIFEST)).alias("path")).union(declared.join(one, "commit").select("commit", F.concat("folder", "name")))
-    sides = changes.select("commit", "path", F.lit(1).alias("side")).union(wanted.select("commit", "path", F.lit(2)))
-    odd = sides.groupBy("commit", "path").agg(F.bit_or("side").alias("sides")).where("sides <> 3").select("commit").distinct().withColumn("odd", F.lit(True))
-    entries = declared.join(one, "commit", "left")
+    c, key, none = F.col, _commit_key(F.col("commit")).alias("_key"), F.lit(None).cast("binary")
+    below = lambda group: F.regexp_extract("path", rf"(?s)\A{MATERIALIZED}/([^/]*)/(.*)\z", group)
+    inside = F.coalesce(c("path").startswith(f"{MATERIALIZED}/") & F.substring("path", len(MATERIALIZED) + 2, 2**31 - 1).contains("/"), F.lit(False))
+    # the folder is null where it is the bundle's own, whatever that is; "" is none of any bundle
+    split = (F.when(inside, below(1)).when(c("path").isNotNull(), "").alias("folder"), F.when(inside, below(2)).alias("name"))
+    rows = changes.select(key, *split, F.lit(1).alias("kind"), none.alias("digest"))
+    given = declared.where(c("commit").isNotNull())
+    if contents is None:
+        rows = rows.union(given.select(key, F.lit(None).cast("string"), "name", F.lit(2), none))
+    else:
+        sound = plain_source_name(F.coalesce("name", F.lit(""))) & fullmatch(c("sha256"), r"[0-9a-f]{64}")
+        rows = rows.union(given.select(key, F.lit(None).cast("string"), "name", F.when(sound, 2).otherwise(3), F.when(sound, F.unhex("sha256"))))
+        rows = rows.union(contents.where(c("commit").isNotNull() & inside).select(key, *split, F.lit(4), F.unhex(F.sha2(c("content").cast("binary"), 256))))
+    of_commit = Window.partitionBy("_key")
+    found = F.when((c("kind") == 1) & (c("name") == SOURCE_MANIFEST) & fullmatch(c("folder"), r"bt-[A-Za-z0-9_.\-]{1,64}"), c("folder"))
+    rows = rows.withColumns({"_n": F.count(found).over(of_commit), "_bundle": F.max(found).over(of_commit)})
+    own = c("folder").isNull() | F.coalesce(c("folder") == c("_bundle"), F.lit(False))
+    has = lambda test: F.max(F.coalesce(test, F.lit(False)))
+    kind = c("kind")
+    per = rows.withColumn("own", own).where("own or kind <> 4").groupBy("_key", "own", "name").agg(
+        F.max("_n").alias("_n"), F.max("_bundle").alias("_bundle"), has(kind == 1).alias("changed"), has(kind.isin(2, 3)).alias("listed"), has(kind == 2).alias("sound"), has(kind == 3).alias("formless"),
+        has((kind == 4) & c("digest").isNotNull()).alias("held"), has((kind == 4) & c("digest").isNull()).alias("lost"), F.min("digest").alias("low"), F.max("digest").alias("high"),
+    )
     bad = F.lit(None).cast("string")
-    if contents is not None:
-        held = contents.select(c("commit").alias("_commit"), c("path").alias("_path"), F.sha2(c("content").cast("binary"), 256).alias("_have"))
-        entries = entries.join(held, (c("commit") == c("_commit")) & (F.concat("folder", "name") == c("_path")), "left")
-        shape = ~plain_source_name(F.coalesce("name", F.lit(""))) | ~fullmatch(c("sha256"), r"[0-9a-f]{64}")
-        bad = F.when(shape, "invalid_base_source_entry").when(c("_have").isNull(), "missing_repository_object").when(c("_have") != c("sha256"), "base_source_hash_mismatch")
-    named = entries.groupBy("commit").agg(F.max((c("name") == ENTRY_POINT).cast("int")).alias("runs"), F.min(F.when(bad.isNotNull(), F.struct("name", bad.alias("error")))).alias("bad"))
-    out = ids.join(named, "commit", "left").join(odd, "commit", "left")
+    if contents is not None:  # of several rows of a name, the first code in alphabetical order
+        bad = F.when(c("sound") & c("held") & (c("low") != c("high")), "base_source_hash_mismatch").when(c("formless"), "invalid_base_source_entry").when(c("sound") & (c("lost") | ~c("held")), "missing_repository_object")
+    wanted = c("own") & (c("listed") | F.coalesce(c("name") == SOURCE_MANIFEST, F.lit(False)))
+    met = c("changed") | c("listed")  # else it is only there
+    out = per.groupBy("_key").agg(
+        F.max("_n").alias("manifests"), F.max("_bundle").alias("bundle_id"), has(c("changed")).alias("there"), has(met & (c("changed") != wanted)).alias("odd"),
+        has(c("listed") & (c("name") == ENTRY_POINT)).alias("runs"), F.min(F.when(bad.isNotNull(), F.struct("name", bad.alias("error")))).alias("bad"),
+    ).where("there")
     unsound = F.lit(False)
     if manifests is not None:
-        out = out.join(manifests.select("commit", c("schema").alias("_schema"), c("bundle_id").alias("_id")), "commit", "left")
+        out = out.join(manifests.select(key, c("schema").alias("_schema"), c("bundle_id").alias("_id")), "_key", "left")
         unsound = ~F.coalesce(c("_schema").isin(*SOURCE_SCHEMAS) & (c("_id") == c("bundle_id")), F.lit(False))
+    out = out.withColumn("commit", _commit_of(c("_key")))
     # The codes of the format, in its order.
     error = (
         F.when(~fullmatch(c("commit"), OBJECT_ID) if contents is not None else F.lit(False), "invalid_base_source_ref").when(c("manifests") != 1, "base_source_manifest_not_unique").when(unsound, "invalid_base_source_manifest")
-        .when(F.coalesce("runs", F.lit(0)) == 0, "invalid_base_source_files").when(c("bad").isNotNull(), c("bad.error")).when(F.coalesce("odd", F.lit(False)), "base_source_commit_scope_mismatch")
+        .when(~c("runs"), "invalid_base_source_files").when(c("bad").isNotNull(), c("bad.error")).when(c("odd"), "base_source_commit_scope_mismatch")
     )
     return out.select("commit", F.when(c("manifests") == 1, c("bundle_id")).alias("bundle_id"), error.alias("error"))
 

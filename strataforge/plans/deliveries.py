@@ -256,7 +256,7 @@ def base_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     heads = table(spark, sf_dir, "orders").select(F.sha1(F.col("o_orderkey").cast("string")).alias("commit"), F.when(F.col("o_orderstatus") == "P", "other/1").otherwise(contracts.SOURCE_SCHEMAS[0]).alias("schema"), F.concat(F.lit("bt-"), "o_orderkey").alias("bundle_id"))
     files = rows.where("n > 1")
-    return contracts.base_sources(rows.select("commit", F.col("changed").alias("path")), files.select("commit", "name", "sha256").distinct(), heads, files.select("commit", "path", F.encode("content", "utf-8").alias("content")))
+    return contracts.base_sources(rows.select("commit", F.col("changed").alias("path")), files.select("commit", "name", "sha256"), heads, files.select("commit", "path", F.encode("content", "utf-8").alias("content")))
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Steps whose work must not gather in one task or one value."""
 
 import base64
+import hashlib
 import random
 from statistics import median
 
@@ -75,3 +76,18 @@ def test_stored_files_are_decoded_once(spark):
     found = contracts.decoded_files(rows.withColumn("sha", contracts.blob_id_of_bytes(F.lit(raw)))).select("error", "raw")
     assert [(r.error, r.raw and bytes(r.raw)) for r in found.collect()] == [(None, raw), (None, raw), ("expected_base64_file", None), (None, raw)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("unbase64(") == 1
+
+
+def test_base_sources_are_dealt_out_once(spark):
+    a, b, gone = "a" * 40, "b" * 40, "c" * 40
+    folder = f"{contracts.MATERIALIZED}/bt-1/"
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    changes = [(k, folder + n) for k in (a, b, None, "bt") for n in ("BUNDLE_SOURCE.json", "run_task.py", "m.py")] + [(b, None)]
+    declared = [(k, n, sha(n)) for k in (a, b, None, "bt", gone) for n in ("run_task.py", "m.py")] * 2
+    contents = [(k, folder + n, bytearray(n.encode())) for k in (a, b, "bt", gone) for n in ("run_task.py", "m.py", "more.py")]
+    heads = [(k, contracts.SOURCE_SCHEMAS[0], "bt-1") for k in (a, b, None, "bt")]
+    frames = [spark.createDataFrame(rows, f"commit string, {more}") for rows, more in ((changes, "path string"), (declared, "name string, sha256 string"), (heads, "schema string, bundle_id string"), (contents, "path string, content binary"))]
+    found = contracts.base_sources(*frames)
+    assert {r.commit: (r.bundle_id, r.error) for r in found.collect()} == {a: ("bt-1", None), b: ("bt-1", "base_source_commit_scope_mismatch"), None: ("bt-1", "invalid_base_source_ref"), "bt": ("bt-1", "invalid_base_source_ref")}
+    assert {r.error for r in contracts.base_sources(*frames[:2]).where("commit is null").collect()} == {"invalid_base_source_files"}
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") <= 2  # the rows, and the heads
